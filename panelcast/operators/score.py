@@ -32,7 +32,9 @@ def smape_loss(actual: Column, predicted: Column) -> Column:
 def mae(actual: Column, predicted: Column, clip: float | None = None) -> Column:
     """Mean absolute error, each term at most ``clip`` if given."""
     error = F.abs(actual - predicted)
-    return F.avg(F.least(error, F.lit(clip)) if clip is not None else error)
+    if clip is not None:
+        error = F.when(error > clip, F.lit(float(clip))).otherwise(error)
+    return F.avg(error)
 
 
 METRICS = {

@@ -23,20 +23,23 @@ from panelcast.spec import PanelSpec, day_number
 FORECAST = {"extra": 1, "gap": 3}
 FEATURE = {"extra": 0, "gap": 1}
 
+# Cells gathered at a time per window: bounds the memory of a task when many targets are asked for.
+MAX_CELLS = 4_000_000
 
-def middle(values: np.ndarray) -> np.ndarray:
-    """Median along the first axis, NaN skipped; NaN where nothing is known."""
-    ordered = np.sort(values, axis=0)
-    known = (~np.isnan(values)).sum(axis=0)
-    low, high = np.maximum((known - 1) // 2, 0), np.minimum(known // 2, len(ordered) - 1)
-    at = np.indices(known.shape)
-    return np.where(known > 0, (ordered[(low, *at)] + ordered[(high, *at)]) / 2, np.nan)
 
+def middle(values: np.ndarray, axis: int) -> np.ndarray:
+    """Median along an axis, NaN skipped; NaN where nothing is known."""
+    ordered = np.sort(values, axis=axis)
+    known = (~np.isnan(values)).sum(axis=axis, keepdims=True)
+    low, high = np.maximum((known - 1) // 2, 0), np.minimum(known // 2, values.shape[axis] - 1)
+    both = np.take_along_axis(ordered, low, axis) + np.take_along_axis(ordered, high, axis)
+    return np.squeeze(np.where(known > 0, both / 2, np.nan), axis)
 
-def average(values: np.ndarray) -> np.ndarray:
-    """Mean along the first axis, NaN skipped; NaN where nothing is known."""
-    known = (~np.isnan(values)).sum(axis=0)
-    return np.where(known > 0, np.nansum(values, axis=0) / np.maximum(known, 1), np.nan)
+
+def average(values: np.ndarray, axis) -> np.ndarray:
+    """Mean along an axis or axes, NaN skipped; NaN where nothing is known."""
+    known = (~np.isnan(values)).sum(axis=axis)
+    return np.where(known > 0, np.nansum(values, axis=axis) / np.maximum(known, 1), np.nan)
 
 
 SUMMARIES = {"median": middle, "mean": average}
@@ -87,42 +90,39 @@ def window_summaries(
     first = targets[0] - (max(windows) + extra)
     span = targets[-1] - gap - first + 1
     methods = list(methods)
+    labels = windows if groups is None else range(len(groups))
+
+    def one_window(cube, has_row, days, w):
+        """Summaries of some target days for one window: (method, target, season, measure)."""
+        at = (days - (w + extra) - first)[:, None] + np.arange(w + extra - gap + 1)
+        part = cube[at]
+        if window_mean:
+            mean = average(part, axis=(1, 2))[:, None, None, :]
+            part = np.where(has_row[at][..., None] & np.isnan(part), mean, part)
+        return np.stack([SUMMARIES[method](part, axis=1) for method in methods])
 
     def summarise(rows: pd.DataFrame) -> pd.DataFrame:
         cube, has_row = _cube(rows, measures, first, span, seasons)
-        blocks = []
-        for target in targets:
-            for method in methods:
-                per_window = []
-                for w in windows:
-                    lo, hi = max(target - (w + extra) - first, 0), target - gap - first + 1
-                    part = cube[lo:hi]
-                    if not len(part):
-                        per_window.append(np.full((seasons, len(measures)), np.nan))
-                        continue
-                    if window_mean:
-                        mean = average(part.reshape(-1, len(measures)))
-                        part = np.where(has_row[lo:hi, :, None] & np.isnan(part), mean, part)
-                    per_window.append(SUMMARIES[method](part))
-                stack = np.stack(per_window)
-                if groups is not None:
-                    stack = np.stack([middle(stack[g]) for g in groups])
-                blocks.append(stack)
-        values = np.concatenate(blocks).reshape(-1, len(measures))
-        labels = windows if groups is None else list(range(len(groups)))
-        n_labels, n_methods = len(labels), len(methods)
-        out = pd.DataFrame(
-            {
-                station: rows[station].iloc[0],
-                "target_day": np.repeat(targets, n_methods * n_labels * seasons).astype("int32"),
-                "season": np.tile(np.arange(seasons), len(targets) * n_methods * n_labels).astype("int32"),
-                "method": np.tile(np.repeat(methods, n_labels * seasons), len(targets)),
-                label: np.tile(np.repeat(labels, seasons), len(targets) * n_methods).astype("int32"),
-            }
-        )
-        for i, m in enumerate(measures):
-            out[m] = values[:, i]
-        return out
+        step = max(1, MAX_CELLS // (max(windows) * seasons * len(measures)))
+        chunks = []
+        for i in range(0, len(targets), step):
+            days = np.asarray(targets[i : i + step])
+            stack = np.stack([one_window(cube, has_row, days, w) for w in windows])
+            if groups is not None:
+                stack = np.stack([middle(stack[g], axis=0) for g in groups])
+            chunks.append(stack)
+        # (label, method, target, season, measure)
+        values = np.concatenate(chunks, axis=2)
+        label_at, method_at, target_at, season_at = np.indices(values.shape[:4], dtype="int32").reshape(4, -1)
+        out = {
+            station: rows[station].iloc[0],
+            "target_day": np.asarray(targets, dtype="int32")[target_at],
+            "season": season_at,
+            "method": np.asarray(methods, dtype=object)[method_at],
+            label: np.asarray(labels, dtype="int32")[label_at],
+        }
+        flat = values.reshape(-1, len(measures))
+        return pd.DataFrame({**out, **{m: flat[:, i] for i, m in enumerate(measures)}})
 
     kind = dict(df.dtypes)[station]
     schema = f"`{station}` {kind}, target_day int, season int, method string, {label} int, " + ", ".join(
