@@ -87,10 +87,11 @@ def spine(
     ts = F.col(spec.ts)
     lo = start if start is not None else df.agg(F.min(ts)).scalar()
     hi = end if end is not None else df.agg(F.max(ts)).scalar()
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = (stations if stations is not None else df).select(spec.station).distinct()
-    steps = names.repartition(spread, spec.station).select(spec.station, F.sequence(lo, hi, F.expr(spec.interval)).alias("_steps"))
-    return steps.select(spec.station, F.explode("_steps").alias(spec.ts))
+    spread = names.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    last = F.timestamp_diff(spec.step, lo, hi)
+    numbered = spread.select(spec.station, lo.alias("_lo"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_k"))
+    return numbered.where("_k >= 0").select(spec.station, (F.col("_lo") + spec.steps("_k")).alias(spec.ts))
 
 
 def to_spine(

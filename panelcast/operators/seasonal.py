@@ -2,9 +2,10 @@
 
 Two ways to the same numbers:
 
-* ``window_summaries`` - one group per station, every window and target day computed on a
-  day x season matrix. The history is shuffled once, however many windows and origins are asked
-  for. Its groups are as long as the calendar between the first window and the last target.
+* ``window_summaries`` - the rows of each station collected once, then every window and target day
+  computed on day x season matrices, many stations per Arrow batch. The history is shuffled once,
+  however many windows and origins are asked for, and a station's list is only as long as the
+  calendar between the first window and the last target.
 * ``rolling_seasonal_summary`` - RANGE frames in SQL, one result per row of the panel.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelcast.operators.impute import fill_within
@@ -45,14 +46,24 @@ def average(values: np.ndarray, axis) -> np.ndarray:
 SUMMARIES = {"median": middle, "mean": average}
 
 
-def _cube(rows: pd.DataFrame, measures: Sequence[str], first: int, days: int, seasons: int):
-    """Values as (day, season, measure), and which cells have a row at all."""
-    cube = np.full((days, seasons, len(measures)), np.nan)
-    has_row = np.zeros((days, seasons), dtype=bool)
-    d, s = rows["_day"].to_numpy() - first, rows["_season"].to_numpy()
-    cube[d, s] = rows[list(measures)].to_numpy(dtype=float)
-    has_row[d, s] = True
-    return cube, has_row
+def _cubes(batch: pa.RecordBatch, measures: Sequence[str], first: int, days: int, seasons: int):
+    """Per run of stations of a batch: their numbers, values (station, day, season, measure), row mask."""
+    lists = batch.column("_rows")
+    lengths = np.diff(lists.offsets.to_numpy())
+    cells = lists.flatten()
+    day, season = cells.field("_day").to_numpy() - first, cells.field("_season").to_numpy()
+    values = np.column_stack([cells.field(m).to_numpy(zero_copy_only=False) for m in measures])
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    run = max(1, MAX_CELLS // (days * seasons * len(measures)))
+    for start in range(0, len(lengths), run):
+        stop = min(start + run, len(lengths))
+        cut = slice(ends[start], ends[stop])
+        row = np.repeat(np.arange(stop - start), lengths[start:stop])
+        cube = np.full((stop - start, days, seasons, len(measures)), np.nan)
+        has_row = np.zeros(cube.shape[:3], dtype=bool)
+        cube[row, day[cut], season[cut]] = values[cut]
+        has_row[row, day[cut], season[cut]] = True
+        yield np.arange(start, stop), cube, has_row
 
 
 def _day_list(days) -> list[int]:
@@ -93,36 +104,38 @@ def window_summaries(
     labels = windows if groups is None else range(len(groups))
 
     def one_window(cube, has_row, days, w):
-        """Summaries of some target days for one window: (method, target, season, measure)."""
+        """Summaries of some target days for one window: (method, station, target, season, measure)."""
         at = (days - (w + extra) - first)[:, None] + np.arange(w + extra - gap + 1)
-        part = cube[at]
+        part = cube[:, at]
         if window_mean:
-            mean = average(part, axis=(1, 2))[:, None, None, :]
-            part = np.where(has_row[at][..., None] & np.isnan(part), mean, part)
-        return np.stack([SUMMARIES[method](part, axis=1) for method in methods])
-
-    def summarise(rows: pd.DataFrame) -> pd.DataFrame:
-        cube, has_row = _cube(rows, measures, first, span, seasons)
-        step = max(1, MAX_CELLS // (max(windows) * seasons * len(measures)))
-        chunks = []
-        for i in range(0, len(targets), step):
-            days = np.asarray(targets[i : i + step])
-            stack = np.stack([one_window(cube, has_row, days, w) for w in windows])
-            if groups is not None:
-                stack = np.stack([middle(stack[g], axis=0) for g in groups])
-            chunks.append(stack)
-        # (label, method, target, season, measure)
-        values = np.concatenate(chunks, axis=2)
-        label_at, method_at, target_at, season_at = np.indices(values.shape[:4], dtype="int32").reshape(4, -1)
-        out = {
-            station: rows[station].iloc[0],
-            "target_day": np.asarray(targets, dtype="int32")[target_at],
-            "season": season_at,
-            "method": np.asarray(methods, dtype=object)[method_at],
-            label: np.asarray(labels, dtype="int32")[label_at],
+            mean = average(part, axis=(2, 3))[:, :, None, None, :]
+            part = np.where(has_row[:, at][..., None] & np.isnan(part), mean, part)
+        return np.stack([SUMMARIES[method](part, axis=2) for method in methods])
+
+    def result(names, stack, days) -> pa.RecordBatch:
+        label_at, method_at, station_at, target_at, season_at = np.indices(stack.shape[:5], dtype="int32").reshape(5, -1)
+        flat = stack.reshape(-1, len(measures))
+        columns = {
+            station: names.take(pa.array(station_at)),
+            "target_day": pa.array(days.astype("int32")[target_at]),
+            "season": pa.array(season_at),
+            "method": pa.array(methods).take(pa.array(method_at)),
+            label: pa.array(np.asarray(labels, dtype="int32")[label_at]),
+            **{m: pa.array(flat[:, i], from_pandas=True) for i, m in enumerate(measures)},
         }
-        flat = values.reshape(-1, len(measures))
-        return pd.DataFrame({**out, **{m: flat[:, i] for i, m in enumerate(measures)}})
+        return pa.RecordBatch.from_pydict(columns)
+
+    def summarise(batches):
+        for batch in batches:
+            for numbers, cube, has_row in _cubes(batch, measures, first, span, seasons):
+                names = batch.column(station).take(pa.array(numbers))
+                step = max(1, MAX_CELLS // (len(numbers) * max(windows) * seasons * len(measures)))
+                for i in range(0, len(targets), step):
+                    days = np.asarray(targets[i : i + step])
+                    stack = np.stack([one_window(cube, has_row, days, w) for w in windows])
+                    if groups is not None:
+                        stack = np.stack([middle(stack[g], axis=0) for g in groups])
+                    yield result(names, stack, days)
 
     kind = dict(df.dtypes)[station]
     schema = f"`{station}` {kind}, target_day int, season int, method string, {label} int, " + ", ".join(
@@ -137,7 +150,8 @@ def window_summaries(
         spec.season().alias("_season"),
         *[F.col(m).cast("double").alias(m) for m in measures],
     )
-    return relevant.groupBy(station).applyInPandas(summarise, schema)
+    rows = F.collect_list(F.struct("_day", "_season", *measures)).alias("_rows")
+    return relevant.groupBy(station).agg(rows).mapInArrow(summarise, schema)
 
 
 def rolling_seasonal_summary(

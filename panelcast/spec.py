@@ -53,9 +53,10 @@ class PanelSpec:
         """Steps per day: 24 for an hourly panel, 1 for a daily one."""
         return 24 if self.step == "hour" else 1
 
-    @property
-    def interval(self) -> str:
-        return f"INTERVAL 1 {self.step.upper()}"
+    def steps(self, count: str | Column) -> Column:
+        """The interval of ``count`` steps."""
+        count = (F.col(count) if isinstance(count, str) else count).cast("int")
+        return F.make_dt_interval(hours=count) if self.step == "hour" else F.make_dt_interval(days=count)
 
     def season(self) -> Column:
         """Position of the row within its day."""

@@ -90,13 +90,13 @@ def median_of_medians(spark, sf):
     """Forty-eight hours ahead of one origin on the whole grid, clipped at 0."""
     base = panel_h(spark, sf)
     forecast = R.median_of_medians(base, HOURLY, [ORIGIN_H], {"all": WINDOWS_H})
-    return rounded(B.on_grid(forecast, base, HOURLY), *M, places=4)
+    return rounded(B.on_grid(forecast, base, HOURLY), *M, places=8)
 
 
 def median_of_medians_imputed(spark, sf):
     base = panel_h(spark, sf)
     forecast = R.median_of_medians(base, HOURLY, [ORIGIN_H], {"all": WINDOWS_H}, methods=["mean"], fill="day+mean")
-    return rounded(B.on_grid(forecast, base, HOURLY), *M, places=4)
+    return rounded(B.on_grid(forecast, base, HOURLY), *M, places=8)
 
 
 def median_of_medians_daily(spark, sf):
@@ -388,7 +388,7 @@ truth AS (
 _H24 = ", ".join(f"round(median(m1) FILTER (WHERE hour(ts) = {h}), 6) AS h{h}" for h in range(24))
 _SUMMARY = f'SELECT station, target, season, "window", {r(*M)} FROM summaries'
 _GRID = f"""SELECT g.origin, g.station, g.horizon,
-  {', '.join(f'round(greatest(0, coalesce(f.{m}, 0)), 4) AS {m}' for m in M)}
+  {', '.join(f'round(greatest(0, coalesce(f.{m}, 0)), 8) AS {m}' for m in M)}
   FROM (SELECT DISTINCT '{ORIGIN_H}' AS origin, station, h.horizon FROM panel_h,
         (SELECT unnest(range(48)) AS horizon) h) g
   LEFT JOIN forecast f USING (origin, station, horizon)"""
