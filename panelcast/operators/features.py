@@ -13,7 +13,8 @@ from panelcast.spec import PanelSpec, day_number
 
 def shifted_splits(last, num_shifts: int, shift_step: int = 1) -> list[int]:
     """Split days stepping back from ``last``, which is the first of them."""
-    return [day_number(last) - shift_step * i for i in range(num_shifts)]
+    first = last if isinstance(last, int) else day_number(last)
+    return [first - shift_step * i for i in range(num_shifts)]
 
 
 def history_label_split(

@@ -6,8 +6,9 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from panelcast.operators import curve as C, features as X, score as S
+from panelcast.operators import curve as C, features as X, net as N, pooled as P, score as S
 from panelcast.operators.impute import impute
+from panelcast.session import write_and_read
 from registry.forecasting import summary_cte
 from registry.panels import (
     DAILY, HOURLY, SQL_PANEL_D, SQL_PANEL_H, SQL_PANEL_S, T, panel_d, panel_h, panel_s, r, read, rounded, sql,
@@ -134,12 +135,53 @@ def curve_ridge(spark, sf):
     return rounded(C.to_wide(out, DAILY), *M)
 
 
+def _imputed(spark, sf):
+    return impute(panel_h(spark, sf), HOURLY, ["neighbors", "season", "mean"], max_missing=3)
+
+
+def pooled_forecast(spark, sf):
+    """Ensemble of two grouped-fold models over all series, two days ahead."""
+    forecast, _ = P.pooled_panel_forecast(
+        _imputed(spark, sf), HOURLY, SPLIT, X.shifted_splits("2024-01-23", SHIFTS), HISTORY, WINDOWS, k=2
+    )
+    return rounded(C.to_wide(_as_forecast(forecast), HOURLY), *M)
+
+
+def pooled_fold_scores(spark, sf):
+    _, scores = P.pooled_panel_forecast(
+        _imputed(spark, sf), HOURLY, SPLIT, X.shifted_splits("2024-01-23", SHIFTS), HISTORY, WINDOWS, k=2
+    )
+    return rounded(scores, "score")
+
+
+def _as_forecast(df):
+    """A split's horizon 0 is the day after it."""
+    return df.withColumn("origin", F.date_from_unix_date(F.col("split_day") + 1))
+
+
+def pooled_net(spark, sf):
+    """The shortcut net, a few epochs of two folds, forecasting two days ahead."""
+    base = write_and_read(_imputed(spark, sf), "panel")
+    rows = X.supervised(base, HOURLY, X.shifted_splits("2024-01-23", SHIFTS), HISTORY, WINDOWS)
+    train = write_and_read(rows.join(X.group_folds(rows, "station", 2), "station"), "training")
+    net = N.train_net(train, HOURLY, N.NetSetting(units=(24, 24, 24, 24), epochs=8), k=2)
+    test = X.supervised(base, HOURLY, [SPLIT], HISTORY, WINDOWS, labels=False)
+    return rounded(C.to_wide(_as_forecast(N.net_forecast(net, test, HOURLY)), HOURLY), *M)
+
+
+def neighbor_gbt_impute(spark, sf):
+    """Gated cells filled by one boosted model per measure."""
+    base = panel_h(spark, sf)
+    models = P.fit_neighbor_trees(base, HOURLY, maxIter=3, maxDepth=3)
+    return rounded(P.fill_from_trees(base, HOURLY, models, max_missing=3), *M)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         history_label_split, shifted_training_set, supervised_medians, indicators, standardize, scaler_table,
         scaler_inverse, group_kfold, fold_ensemble, fold_score_spread, holidays, trend_season_linear, curve_forecast,
-        curve_ridge,
+        curve_ridge, pooled_forecast, pooled_fold_scores, pooled_net, neighbor_gbt_impute,
     )
 }
 
