@@ -84,14 +84,11 @@ def forward_fill_stream(df: DataFrame, spec: PanelSpec) -> DataFrame:
         last = list(state.get) if state.exists else [None] * len(measures)
         rows = pd.concat(list(frames)).sort_values(spec.ts)
         for i, m in enumerate(measures):
-            known = rows[m].astype(float)
+            known = rows[m].astype(float).ffill()
             if last[i] is not None:
-                known = pd.concat([pd.Series([last[i]]), known]).ffill().iloc[1:]
-            else:
-                known = known.ffill()
-            rows[m] = known.to_numpy()
-            end = rows[m].iloc[-1]
-            last[i] = None if pd.isna(end) else float(end)
+                known = known.fillna(last[i])
+            rows[m] = known
+            last[i] = None if pd.isna(known.iloc[-1]) else float(known.iloc[-1])
         state.update(tuple(last))
         yield rows[[spec.station, spec.ts, "day", *measures]]
 

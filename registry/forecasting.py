@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from panelcast.fixed import FIB_WINDOWS, GOLDEN_WINDOWS, WINDOW_FAMILIES, window_family
@@ -9,8 +11,8 @@ from panelcast.operators import score as S, seasonal as R
 from panelcast.plans import backtest as B
 from registry.imputing import fill_cte
 from registry.panels import (
-    DAILY, HOURLY, ORIGIN_D, ORIGIN_H, ORIGINS_H, SQL_PANEL_D, SQL_PANEL_H, SQL_PANEL_S, T, WINDOWS_H,
-    panel_d, panel_h, panel_s, r, rounded, sql,
+    DAILY, HOURLY, ORIGIN_D, ORIGIN_H, ORIGINS_H, SQL_PANEL_H, SQL_PANEL_S, SQL_PANEL_W, T, WIDE, WINDOWS_H,
+    panel_h, panel_s, panel_w, r, rounded, sql,
 )
 
 M = ("m1", "m2", "m3")
@@ -71,6 +73,19 @@ def rolling_summary_golden(spark, sf):
     return rounded(_windowed(panel_s(spark, sf), DAILY, [ORIGIN_D], GOLDEN_WINDOWS).drop("method", "season"), *M)
 
 
+def rolling_summary_hourly(spark, sf):
+    """Eight long windows for two target days over every hour of the 35 grouped stations."""
+    out = _windowed(panel_w(spark, sf), WIDE, ["2001-06-01", "2001-06-02"], GOLDEN_WINDOWS)
+    return rounded(out.drop("method"), *M)
+
+
+def median_of_medians_hourly(spark, sf):
+    """Forty-eight hours ahead of 47 successive origins, 35 stations, eight windows."""
+    origins = [R.day_number("2001-06-01") - i for i in range(47)]
+    out = R.median_of_medians(panel_w(spark, sf), WIDE, origins, {"golden_8": GOLDEN_WINDOWS})
+    return rounded(out.drop("method", "family"), *M)
+
+
 def median_features(spark, sf):
     out = R.median_features(panel_h(spark, sf), HOURLY, [ORIGIN_H], WINDOWS_H)
     return rounded(out.drop("target_day"), *M)
@@ -223,7 +238,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         seasonal_median, seasonal_mean, pivot_hour_medians, rolling_summary_anchored, rolling_summary_mean,
-        rolling_summary_frame, rolling_summary_imputed, rolling_summary_golden, median_features,
+        rolling_summary_frame, rolling_summary_imputed, rolling_summary_golden, rolling_summary_hourly,
+        median_of_medians_hourly, median_features,
         median_features_shifted, median_of_medians, median_of_medians_imputed, median_of_medians_daily, forecast_grid,
         truth_complete, smape_official, smape_missing_forecast, smape_skipna, smape_loss, mae_clipped,
         backtest_rolling, backtest_legacy_align, score_grid, daily_score, overall_score, score_wide, bootstrap_score,
@@ -305,9 +321,11 @@ def scores_cte(name, truth, forecast, metric=_official, where="TRUE"):
     return f"\n{name} AS (" + "\n  UNION ALL ".join(parts) + ")"
 
 
-def _next_days(origins):
-    from datetime import date, timedelta
+def _days_before(last, n):
+    return [(date.fromisoformat(last) - timedelta(days=i)).isoformat() for i in range(n)]
+
 
+def _next_days(origins):
     days = {date.fromisoformat(o) + timedelta(days=k) for o in origins for k in (0, 1)}
     return sorted(d.isoformat() for d in days)
 
@@ -435,6 +453,17 @@ SQL = {
         summary_cte("summaries", "panel_s", [ORIGIN_D], GOLDEN_WINDOWS, season="0"),
         select=f'SELECT station, target, "window", {r(*M)} FROM summaries',
     ),
+    "rolling_summary_hourly": sql(
+        SQL_PANEL_W,
+        summary_cte("summaries", "panel_w", ["2001-06-01", "2001-06-02"], GOLDEN_WINDOWS),
+        select=_SUMMARY,
+    ),
+    "median_of_medians_hourly": sql(
+        SQL_PANEL_W,
+        summary_cte("summaries", "panel_w", _days_before("2001-06-02", 48), GOLDEN_WINDOWS),
+        forecast_cte("forecast", "summaries", _days_before("2001-06-01", 47)),
+        select=f"SELECT origin, station, horizon, {r(*M)} FROM forecast",
+    ),
     "median_features": sql(
         SQL_PANEL_H,
         summary_cte("summaries", "panel_h", [ORIGIN_H], WINDOWS_H, extra=0, gap=1),

@@ -5,22 +5,20 @@ Files are landed by Spark from the given tables, then read back by the jobs unde
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
-from panelcast.fixed import FIB_WINDOWS
 from panelcast.functions.columns import hour_of
 from panelcast.operators import panel as P, score as S
-from panelcast.operators.impute import fit_neighbor_lines, fill_from_neighbors
-from panelcast.plans import backtest as B, histories as H, predict as D
+from panelcast.operators.impute import fill_from_neighbors, fit_neighbor_lines
+from panelcast.operators.seasonal import median_features
+from panelcast.plans import histories as H, predict as D
 from panelcast.session import shared_folder
 from panelcast.sources import landed as L, stores as K
 from panelcast.streaming import jobs as J
-from registry.forecasting import ORIGINS_D, _scores, forecast_cte, summary_cte, SQL as FORECAST_SQL
-from registry.imputing import SQL as IMPUTE_SQL
+from registry.forecasting import _scores, forecast_cte, summary_cte, SQL as FORECAST_SQL
+from registry.imputing import SQL as IMPUTE_SQL, SQL_LINES, SQL_NEIGHBORS, SQL_VIEWED
 from registry.panels import (
-    DAILY, HOURLY, ORIGIN_H, SQL_PANEL_H, SQL_READINGS_H, T, WINDOWS_H, panel_h, panel_s, r, read, readings_h,
+    HOURLY, ORIGIN_H, SQL_PANEL_H, SQL_READINGS_H, T, WINDOWS_H, panel_h, r, read, readings_h,
     rounded, sql,
 )
 
@@ -165,8 +163,6 @@ def score_store(spark, sf):
 
 def feature_cache(spark, sf):
     """Built on the first call, read on the second."""
-    from panelcast.operators.seasonal import median_features
-
     root, key = shared_folder(spark, "features"), {"city": "a", "windows": WINDOWS_H, "split": ORIGIN_H}
 
     def build():
@@ -287,7 +283,6 @@ _MERGED_GRID = f"""SELECT g.station || '#' || g.horizon AS test_id,
   LEFT JOIN (SELECT * FROM forecast_a WHERE station < 'p' UNION ALL SELECT * FROM forecast_b WHERE station >= 'p') f
   USING (station, horizon)"""
 _TARGETS = ["2024-01-26", "2024-01-27"]
-_PLAIN = ", ".join(M)
 _FORWARD = ", ".join(
     f"round(last_value({m} IGNORE NULLS) OVER (PARTITION BY station, CAST(ts AS DATE) ORDER BY ts "
     f"ROWS UNBOUNDED PRECEDING), 6) AS {m}"
@@ -312,7 +307,14 @@ SQL = {
     ),
     "history_refresh": _spined(f"SELECT {_ROWS} FROM spined", _REFRESHED, "r.m1, r.m2, r.m3"),
     "history_stored": sql(SQL_PANEL_H, select=f"SELECT {_ROWS} FROM panel_h WHERE station < 'p'"),
-    "imputed_history": None,
+    "imputed_history": sql(
+        SQL_PANEL_H.replace("panel_h AS", "panel_all AS"),
+        "\npanel_h AS (SELECT * FROM panel_all WHERE ts < TIMESTAMP '2024-01-30')",
+        SQL_VIEWED,
+        SQL_LINES,
+        SQL_NEIGHBORS,
+        select=f"SELECT station, {T}, {r(*M, places=4)}, 'all' AS city FROM neighbors",
+    ),
     "stored_neighbor_models": IMPUTE_SQL["neighbor_regression_impute"],
     "city_merge_forecast": sql(
         SQL_PANEL_H,
@@ -323,16 +325,34 @@ SQL = {
         select=_MERGED_GRID,
     ),
     "score_store": FORECAST_SQL["daily_score"],
-    "feature_cache": FORECAST_SQL["median_features"].replace(
-        'SELECT station, season, "window"', "SELECT station, season, \"window\""
-    ),
+    "feature_cache": FORECAST_SQL["median_features"],
     "stream_ingest": "SELECT event_id, ts::VARCHAR AS ts, user_id, event_type, round(value, 6) AS value, props FROM events",
     "stream_dedupe": sql(SQL_READINGS_H, select=f"SELECT station, {T} FROM readings_h"),
+    "stream_hourly": """
+        SELECT event_type AS station, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+        strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
+        count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS greatest, round(sum(value), 6) AS total
+        FROM events GROUP BY event_type, date_trunc('hour', ts)
+        HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "stream_sliding": """
+        SELECT event_type AS station, strftime(date_trunc('day', ts) - INTERVAL 1 DAY * k, '%Y-%m-%d %H:%M:%S')
+        AS window_start, strftime(date_trunc('day', ts) - INTERVAL 1 DAY * k + INTERVAL 5 DAY, '%Y-%m-%d %H:%M:%S')
+        AS window_end, count(*) AS n, round(avg(value), 4) AS mean, round(max(value), 4) AS greatest,
+        round(sum(value), 4) AS total
+        FROM events CROSS JOIN (SELECT unnest(range(5)) AS k)
+        GROUP BY event_type, date_trunc('day', ts) - INTERVAL 1 DAY * k
+        HAVING date_trunc('day', ts) - INTERVAL 1 DAY * k + INTERVAL 5 DAY
+               <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "stream_daily_median": sql(
+        SQL_PANEL_H,
+        select="""SELECT station, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+        round(median(m1), 6) AS median FROM panel_h GROUP BY station, date_trunc('day', ts)
+        HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM panel_h) - INTERVAL 10 DAY""",
+    ),
     "stream_ffill": sql(SQL_PANEL_H, select=f"SELECT station, {T}, {_FORWARD} FROM panel_h"),
     "stream_upsert": sql(
         SQL_READINGS_H,
         select=f"""SELECT station, {T},
         round(CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN m1 + 1 ELSE m1 END, 6) AS m1, {r('m2', 'm3')} FROM readings_h""",
     ),
-}
-del SQL["imputed_history"]
+}
\ No newline at end of file

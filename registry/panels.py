@@ -3,6 +3,7 @@
 panel_h   hourly, station = event type, from every event
 panel_d   daily, station = order priority, from every order
 panel_s   daily, station = supplier, from every line item
+panel_w   hourly, 35 stations = groups of suppliers, from every line item
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from panelcast.operators.panel import to_spine
 from panelcast.spec import PanelSpec
 
 HOURLY = PanelSpec(measures=("m1", "m2", "m3"), absent={"m3": ("error",)})
+WIDE = PanelSpec(measures=("m1", "m2", "m3"))
 DAILY = PanelSpec(measures=("m1", "m2", "m3"), step="day")
 
 ORIGIN_H = "2024-01-26"
@@ -68,6 +70,15 @@ def panel_s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_spine(daily, DAILY)
 
 
+def panel_w(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "lineitem")
+    ts = F.col("l_shipdate") + F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int"))
+    hourly = items.groupBy((F.col("l_suppkey") % 35).cast("string").alias("station"), ts.alias("ts")).agg(
+        F.avg("l_quantity").alias("m1"), F.max("l_extendedprice").alias("m2"), F.avg("l_extendedprice").alias("m3")
+    )
+    return to_spine(hourly, WIDE)
+
+
 SQL_READINGS_H = """
 readings_h AS (
   SELECT event_type AS station, date_trunc('hour', ts) AS ts,
@@ -89,7 +100,7 @@ panel_h AS (
 )"""
 
 
-def _daily(name: str, grouped: str) -> str:
+def _spined(name: str, grouped: str, step: str = "DAY") -> str:
     return f"""
 {name}_raw AS ({grouped}),
 {name} AS (
@@ -97,22 +108,28 @@ def _daily(name: str, grouped: str) -> str:
   FROM (SELECT DISTINCT station FROM {name}_raw) s
   CROSS JOIN (
     SELECT unnest(generate_series(
-      (SELECT min(ts) FROM {name}_raw), (SELECT max(ts) FROM {name}_raw), INTERVAL 1 DAY)) AS ts
+      (SELECT min(ts) FROM {name}_raw), (SELECT max(ts) FROM {name}_raw), INTERVAL 1 {step})) AS ts
   ) t
   LEFT JOIN {name}_raw r ON r.station = s.station AND r.ts = t.ts
 )"""
 
 
-SQL_PANEL_D = _daily(
+SQL_PANEL_D = _spined(
     "panel_d",
     "SELECT o_orderpriority AS station, o_orderdate AS ts, avg(o_totalprice) AS m1, "
     "max(o_totalprice) AS m2, count(*)::DOUBLE AS m3 FROM orders GROUP BY 1, 2",
 )
-SQL_PANEL_S = _daily(
+SQL_PANEL_S = _spined(
     "panel_s",
     "SELECT l_suppkey::VARCHAR AS station, l_shipdate AS ts, avg(l_quantity) AS m1, "
     "max(l_extendedprice) AS m2, count(*)::DOUBLE AS m3 FROM lineitem GROUP BY 1, 2",
 )
+SQL_PANEL_W = _spined(
+    "panel_w",
+    "SELECT (l_suppkey % 35)::VARCHAR AS station, l_shipdate + INTERVAL 1 HOUR * (l_orderkey % 24)::INT AS ts, "
+    "avg(l_quantity) AS m1, max(l_extendedprice) AS m2, avg(l_extendedprice) AS m3 FROM lineitem GROUP BY 1, 2",
+    "HOUR",
+)
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
