@@ -11,6 +11,7 @@ from panelcast.fixed import window_family
 from panelcast.functions.columns import clip_missing
 from panelcast.operators.score import leaderboard, mean_scores, score_grid, truth
 from panelcast.operators.seasonal import forecast_grid, median_of_medians
+from panelcast.session import write_and_read
 from panelcast.spec import PanelSpec
 
 SETTING = ["family", "method", "fill"]
@@ -83,8 +84,10 @@ def settings_board(
 ) -> DataFrame:
     """Mean backtest score of every family x method x fill, best first.
 
-    Families and methods share one pass over the history; each fill needs its own.
+    Families and methods share one pass over the history; each fill needs its own. The panel is
+    stored first, as training and truth of every fill read it.
     """
+    panel = write_and_read(panel.select(*spec.columns), "panel")
     windows = {f: window_family(f) for f in families}
     runs = [
         backtest_medians(panel, panel, spec, origins, windows, methods, fill).withColumn("fill", F.lit(fill or "none"))

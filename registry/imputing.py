@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelcast.operators import impute as I
+from panelcast.session import write_and_read
 from registry.panels import HOURLY, SQL_PANEL_H, T, panel_h, r, rounded, sql
 
 M = ("m1", "m2", "m3")
@@ -32,8 +33,9 @@ def zero_fill(spark, sf):
 
 def impute_cascade(spark, sf):
     """Neighbours, then day, then season, then mean, then zero."""
+    base = write_and_read(panel_h(spark, sf), "panel")
     steps = ["neighbors", "day", "season", "mean", "zero"]
-    return rounded(I.impute(panel_h(spark, sf), HOURLY, steps, max_missing=GATE), *M, places=4)
+    return rounded(I.impute(base, HOURLY, steps, max_missing=GATE), *M, places=4)
 
 
 def impute_main_residual(spark, sf):
@@ -60,7 +62,8 @@ def neighbor_line_models(spark, sf):
 
 
 def neighbor_regression_impute(spark, sf):
-    return rounded(I.fill_from_neighbors(panel_h(spark, sf), HOURLY, GATE), *M, places=4)
+    base = write_and_read(panel_h(spark, sf), "panel")
+    return rounded(I.fill_from_neighbors(base, HOURLY, GATE), *M, places=4)
 
 
 QUERIES = {

@@ -4,6 +4,9 @@ panel_h   hourly, station = event type, from every event
 panel_d   daily, station = order priority, from every order
 panel_s   daily, station = supplier, from every line item
 panel_w   hourly, 35 stations = groups of suppliers, from every line item
+
+Readings are stored once, one row per station and step; stations, time bounds and cells of the
+spine are read from the stored table, so each query scans its raw table a single time.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.functions.columns import hour_of
 from panelcast.operators.panel import to_spine
+from panelcast.session import write_and_read
 from panelcast.spec import PanelSpec
 
 HOURLY = PanelSpec(measures=("m1", "m2", "m3"), absent={"m3": ("error",)})
@@ -40,13 +44,13 @@ def readings_h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel_h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly panel over whole days."""
-    events = read(spark, sf_dir, "events")
+    readings = write_and_read(readings_h(spark, sf_dir), "readings")
     first, last = F.date_trunc("day", F.min("ts")), F.date_trunc("day", F.max("ts"))
     return to_spine(
-        readings_h(spark, sf_dir),
+        readings,
         HOURLY,
-        start=events.agg(first.cast("timestamp_ntz")).scalar(),
-        end=events.agg(last.cast("timestamp_ntz") + F.expr("INTERVAL 23 HOURS")).scalar(),
+        start=readings.agg(first.cast("timestamp_ntz")).scalar(),
+        end=readings.agg(last.cast("timestamp_ntz") + F.expr("INTERVAL 23 HOURS")).scalar(),
     )
 
 
@@ -57,7 +61,7 @@ def panel_d(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("o_totalprice").alias("m2"),
         F.count("*").cast("double").alias("m3"),
     )
-    return to_spine(daily, DAILY)
+    return to_spine(write_and_read(daily, "readings"), DAILY)
 
 
 def panel_s(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +71,7 @@ def panel_s(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("l_extendedprice").alias("m2"),
         F.count("*").cast("double").alias("m3"),
     )
-    return to_spine(daily, DAILY)
+    return to_spine(write_and_read(daily, "readings"), DAILY)
 
 
 def panel_w(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +80,7 @@ def panel_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = items.groupBy((F.col("l_suppkey") % 35).cast("string").alias("station"), ts.alias("ts")).agg(
         F.avg("l_quantity").alias("m1"), F.max("l_extendedprice").alias("m2"), F.avg("l_extendedprice").alias("m3")
     )
-    return to_spine(hourly, WIDE)
+    return to_spine(write_and_read(hourly, "readings"), WIDE)
 
 
 SQL_READINGS_H = """
