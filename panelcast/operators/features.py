@@ -7,7 +7,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast.operators.panel import series_arrays
-from panelcast.operators.seasonal import _day_list, median_features
+from panelcast.operators.seasonal import _day_list, in_days, median_features
 from panelcast.spec import PanelSpec, day_number
 
 
@@ -34,7 +34,9 @@ def history_label_split(
     """
     steps = spec.seasons
     days = _day_list(splits)
-    arrays = series_arrays(df, spec).withColumn(
+    label_days = gap_days + -(-horizon // steps) if labels else 0
+    needed = in_days(df, spec, days[0] - history_days, days[-1] + label_days)
+    arrays = series_arrays(needed, spec).withColumn(
         "split_day", F.explode(F.array(*[F.lit(d) for d in days]))
     )
     split_ts = F.date_from_unix_date("split_day").cast("timestamp_ntz")

@@ -66,6 +66,12 @@ def _cubes(batch: pa.RecordBatch, measures: Sequence[str], first: int, days: int
         yield np.arange(start, stop), cube, has_row
 
 
+def in_days(df: DataFrame, spec: PanelSpec, first: int, last: int) -> DataFrame:
+    """Rows of the day numbers first..last, by bounds on the time itself, which reach the scan."""
+    bounds = [F.date_from_unix_date(F.lit(d)).cast("timestamp_ntz") for d in (first, last + 1)]
+    return df.where((F.col(spec.ts) >= bounds[0]) & (F.col(spec.ts) < bounds[1]))
+
+
 def _day_list(days) -> list[int]:
     return sorted({d if isinstance(d, int) else day_number(d) for d in days})
 
@@ -141,10 +147,7 @@ def window_summaries(
     schema = f"`{station}` {kind}, target_day int, season int, method string, {label} int, " + ", ".join(
         f"`{m}` double" for m in measures
     )
-    # Bounds on the time itself, which reach the scan.
-    low = F.lit(str(np.datetime64(first, "D"))).cast("timestamp_ntz")
-    high = F.lit(str(np.datetime64(targets[-1] - gap + 1, "D"))).cast("timestamp_ntz")
-    relevant = df.where((F.col(spec.ts) >= low) & (F.col(spec.ts) < high)).select(
+    relevant = in_days(df, spec, first, targets[-1] - gap).select(
         station,
         spec.day().alias("_day"),
         spec.season().alias("_season"),
@@ -207,12 +210,16 @@ def median_of_medians(
         raise ValueError("fill must be None, 'day' or 'day+mean'")
     days = _day_list(origins)
     names = list(families)
-    source = fill_within(df, spec, by="day") if fill else df
+    windows = sorted({w for f in families.values() for w in f})
+    source = df
+    if fill:  # whole days only, so the range can be cut first
+        history = in_days(df, spec, days[0] - windows[-1] - FORECAST["extra"], days[-1] + days_ahead)
+        source = fill_within(history, spec, by="day")
     summaries = window_summaries(
         source,
         spec,
         sorted({d + k for d in days for k in range(days_ahead)}),
-        sorted({w for f in families.values() for w in f}),
+        windows,
         methods=methods,
         window_mean=fill == "day+mean",
         across=[families[n] for n in names],

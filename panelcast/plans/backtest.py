@@ -17,12 +17,14 @@ from panelcast.spec import PanelSpec
 SETTING = ["family", "method", "fill"]
 
 
-def on_grid(forecast: DataFrame, stations: DataFrame, spec: PanelSpec, horizon: int = 48, clip: bool = True) -> DataFrame:
-    """One origin's forecast on the whole station x horizon grid, missing ones 0 if clipped."""
-    origin = forecast.agg(F.max("origin")).scalar()
-    grid = forecast_grid(stations, spec, horizon).withColumn("origin", origin)
+def on_grid(
+    forecast: DataFrame, stations: DataFrame, spec: PanelSpec, origin: str, horizon: int = 48, clip: bool = True
+) -> DataFrame:
+    """The forecast of one origin on the whole station x horizon grid, missing ones 0 if clipped."""
+    grid = forecast_grid(stations, spec, horizon)
     keys = ["origin", spec.station, "horizon"]
-    joined = grid.join(forecast.select(*keys, *spec.measures), keys, "left")
+    values = forecast.where(F.col("origin") == F.lit(origin).cast("date")).select(*keys[1:], *spec.measures)
+    joined = grid.join(values, keys[1:], "left").withColumn("origin", F.lit(origin).cast("date"))
     if clip:
         joined = joined.withColumns({m: clip_missing(m) for m in spec.measures})
     return joined.select(*keys, *spec.measures)

@@ -75,7 +75,7 @@ def predict_cities(
     if model not in JOBS:
         raise ValueError(f"unknown model {model!r}")
     per_city = [
-        on_grid(JOBS[model](panel, spec, origin, settings[city]), panel, spec).withColumn("city", F.lit(city))
+        on_grid(JOBS[model](panel, spec, origin, settings[city]), panel, spec, origin).withColumn("city", F.lit(city))
         for city, panel in panels.items()
     ]
     return reduce(DataFrame.unionByName, per_city)

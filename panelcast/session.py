@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -25,18 +26,22 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     )
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="panelcast-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for a written table, below the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster a machine-local
-    path would be lost with its machine.
+    Only a local session without that setting falls back to a temporary folder: on a cluster a
+    machine-local path would be lost with its machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="panelcast-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -42,9 +42,13 @@ def write_submission(submission: DataFrame, path: str, pred_date: str, model: st
     submission.write.mode("overwrite").option("header", True).csv(f"{path}/pred_date={pred_date}/model={model}")
 
 
-def append_scores(scores: DataFrame, path: str) -> None:
-    """Add the scores of a run. Runs are kept apart as files; nothing stored is rewritten."""
-    scores.write.mode("append").parquet(path)
+def append_scores(scores: DataFrame, path: str, places: int = 9) -> None:
+    """Add the scores of a run. Runs are kept apart as files; nothing stored is rewritten.
+
+    Scores are rounded, so that a repeated run stores rows equal to those of the first.
+    """
+    doubles = {c: F.round(c, places) for c, kind in scores.dtypes if kind == "double"}
+    scores.withColumns(doubles).write.mode("append").parquet(path)
 
 
 def read_scores(spark: SparkSession, path: str, day: str = "origin") -> DataFrame:

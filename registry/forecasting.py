@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelcast.fixed import FIB_WINDOWS, GOLDEN_WINDOWS, WINDOW_FAMILIES, window_family
 from panelcast.operators import score as S, seasonal as R
 from panelcast.plans import backtest as B
+from panelcast.session import write_and_read
 from registry.imputing import fill_cte
 from registry.panels import (
     DAILY, HOURLY, ORIGIN_D, ORIGIN_H, ORIGINS_H, SQL_PANEL_H, SQL_PANEL_S, SQL_PANEL_W, T, WIDE, WINDOWS_H,
@@ -105,13 +106,13 @@ def median_of_medians(spark, sf):
     """Forty-eight hours ahead of one origin on the whole grid, clipped at 0."""
     base = panel_h(spark, sf)
     forecast = R.median_of_medians(base, HOURLY, [ORIGIN_H], {"all": WINDOWS_H})
-    return rounded(B.on_grid(forecast, base, HOURLY), *M, places=8)
+    return rounded(B.on_grid(forecast, base, HOURLY, ORIGIN_H), *M, places=8)
 
 
 def median_of_medians_imputed(spark, sf):
     base = panel_h(spark, sf)
     forecast = R.median_of_medians(base, HOURLY, [ORIGIN_H], {"all": WINDOWS_H}, methods=["mean"], fill="day+mean")
-    return rounded(B.on_grid(forecast, base, HOURLY), *M, places=8)
+    return rounded(B.on_grid(forecast, base, HOURLY, ORIGIN_H), *M, places=8)
 
 
 def median_of_medians_daily(spark, sf):
@@ -219,7 +220,7 @@ def bootstrap_score(spark, sf):
 
 def score_table_merge(spark, sf):
     """Two runs over overlapping dates; equal rows count once."""
-    scores = B.daily_table(_scores(spark, sf))
+    scores = write_and_read(B.daily_table(_scores(spark, sf)), "scores")
     early, late = scores.where("origin <= '2024-01-24'"), scores.where("origin >= '2024-01-20'")
     return rounded(S.merge_scores(early, late), "score")
 

@@ -54,11 +54,15 @@ def test_arrow_form_equals_frame_form(synthetic):
         F.unix_date(F.col("ts").cast("date")).alias("target_day"),
         F.hour("ts").alias("season"),
         F.explode(
-            F.array(*[F.struct(F.lit(w).alias("window"), f"m1_w{w}", f"m2_w{w}") for w in windows]).cast(
-                "array<struct<window:int,m1:double,m2:double>>"
+            F.array(
+                *[
+                    F.struct(F.lit(w).alias("window"), F.col(f"m1_w{w}").alias("m1"), F.col(f"m2_w{w}").alias("m2"))
+                    for w in windows
+                ]
             )
-        ).alias("s"),
-    ).select("station", "target_day", "season", "s.*")
+        ).alias("cells"),
+    ).select("station", "target_day", "season", "cells.*")
+
     def rounded(df):
         return df.select("station", "target_day", "season", "window", F.round("m1", 8), F.round("m2", 8))
 
@@ -101,7 +105,7 @@ def test_origins_in_one_job_equal_single_ones(synthetic):
 def test_grid_is_complete_and_clipped(panel):
     df = panel([("a", f"2024-01-{d:02d} 00:00:00", -5.0) for d in range(1, 10)] + [("b", "2024-01-01 00:00:00", 1.0)])
     forecast = R.median_of_medians(df, DAILY, ["2024-01-09"], {"f": [3, 4]})
-    grid = B.on_grid(forecast, df, DAILY, horizon=2)
+    grid = B.on_grid(forecast, df, DAILY, "2024-01-09", horizon=2)
     assert sorted((r.station, r.horizon, r.m1) for r in grid.collect()) == [
         ("a", 0, 0.0), ("a", 1, 0.0), ("b", 0, 0.0), ("b", 1, 0.0),
     ]
