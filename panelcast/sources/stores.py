@@ -56,10 +56,10 @@ def read_scores(spark: SparkSession, path: str, day: str = "origin") -> DataFram
     return spark.read.option("mergeSchema", True).parquet(path).distinct().orderBy(day)
 
 
-def append_setting(spark: SparkSession, path: str, setting: dict, summary_path: str) -> None:
-    """Log which setting's scores lie where."""
-    row = [(json.dumps(setting, sort_keys=True, default=str), summary_path)]
-    spark.createDataFrame(row, "setting string, summary string").write.mode("append").json(path)
+def append_settings(spark: SparkSession, path: str, settings: Sequence[dict], summary_path: str) -> None:
+    """Log which settings' scores lie where."""
+    rows = [(json.dumps(s, sort_keys=True, default=str), summary_path) for s in settings]
+    spark.createDataFrame(rows, "setting string, summary string").coalesce(1).write.mode("append").json(path)
 
 
 def cached_features(spark: SparkSession, root: str, key: dict, build: Callable[[], DataFrame]) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from panelcast.fixed import FIB_WINDOWS, GOLDEN_WINDOWS, WINDOW_FAMILIES, window_family
 from panelcast.operators import score as S, seasonal as R
-from panelcast.plans import backtest as B
-from panelcast.session import write_and_read
-from registry.imputing import fill_cte
+from panelcast.plans import backtest as B, experiments as E
+from panelcast.session import shared_folder, write_and_read
+from registry.imputing import GATE, SQL_LINES, SQL_NEIGHBORS, SQL_VIEWED, fill_cte
 from registry.panels import (
     DAILY, HOURLY, ORIGIN_D, ORIGIN_H, ORIGINS_H, SQL_PANEL_H, SQL_PANEL_S, SQL_PANEL_W, T, WIDE, WINDOWS_H,
     panel_h, panel_s, panel_w, r, rounded, sql,
@@ -235,6 +235,20 @@ def best_setting(spark, sf):
     return rounded(S.best_setting(board, ["family", "method", "fill"]), "score")
 
 
+CITY_GATE = 20  # missing suppliers of fifty
+
+
+def settings_grid(spark, sf):
+    """All 160 settings: two cities, learned fill, in-window fill, summary and family, mean daily score."""
+    base = panel_s(spark, sf)
+    even = F.col("station").cast("int") % 2 == 0
+    panels = {"beijing": base.where(even), "london": base.where(~even)}
+    settings = E.medians_settings()
+    daily = E.run_medians(panels, DAILY, settings, ORIGINS_D[-4:], dict.fromkeys(panels, CITY_GATE))
+    board = E.record(daily, settings, shared_folder(spark, "experiment"))
+    return rounded(board.join(E.settings_table(spark, settings), "num"), "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -244,7 +258,7 @@ QUERIES = {
         median_features_shifted, median_of_medians, median_of_medians_imputed, median_of_medians_daily, forecast_grid,
         truth_complete, smape_official, smape_missing_forecast, smape_skipna, smape_loss, mae_clipped,
         backtest_rolling, backtest_legacy_align, score_grid, daily_score, overall_score, score_wide, bootstrap_score,
-        score_table_merge, settings_leaderboard, best_setting,
+        score_table_merge, settings_leaderboard, settings_grid, best_setting,
     )
 }
 
@@ -352,11 +366,11 @@ def _naive(metric, join="LEFT JOIN", extra=""):
     return sql(SQL_PANEL_H, select=" UNION ALL ".join(parts))
 
 
-def _settings(families, fills, select):
+def _settings(families, fills, select, prefix=(SQL_PANEL_S,), train="panel_s", raw="panel_s", origins=ORIGINS_D):
     """Long SQL: summaries for all windows, family medians, scores per setting."""
     members = ", ".join(f"('{f}', {w})" for f in families for w in window_family(f))
     windows = sorted({w for f in families for w in window_family(f)})
-    targets = _next_days(ORIGINS_D)
+    targets = _next_days(origins)
     ws = ", ".join(f"({w})" for w in windows)
     both = []
     for fill in fills:
@@ -373,12 +387,12 @@ def _settings(families, fills, select):
         for m in M
     ]
     return sql(
-        SQL_PANEL_S,
+        *prefix,
         f"""
 cells_raw AS MATERIALIZED (
   SELECT station, t.target, w."window", m1, m2, m3
   FROM (VALUES {_texts(targets)}) t(target) CROSS JOIN (VALUES {ws}) w("window")
-  JOIN panel_s ON CAST(ts AS DATE) BETWEEN CAST(t.target AS DATE) - (w."window" + 1) AND CAST(t.target AS DATE) - 3
+  JOIN {train} ON CAST(ts AS DATE) BETWEEN CAST(t.target AS DATE) - (w."window" + 1) AND CAST(t.target AS DATE) - 3
 )""",
         f'\ncells_mean AS MATERIALIZED (SELECT station, target, "window", {means} FROM cells_raw)',
         "\nsummaries AS MATERIALIZED (" + " UNION ALL ".join(both) + ")",
@@ -386,7 +400,7 @@ cells_raw AS MATERIALIZED (
 forecast AS MATERIALIZED (
   SELECT s.fill, s.method, m.family, o.origin, s.station, l.lead AS horizon,
          {', '.join(f'median(s.{m}) AS {m}' for m in M)}
-  FROM (VALUES {_texts(ORIGINS_D)}) o(origin) CROSS JOIN (VALUES (0), (1)) l(lead)
+  FROM (VALUES {_texts(origins)}) o(origin) CROSS JOIN (VALUES (0), (1)) l(lead)
   JOIN summaries s ON CAST(s.target AS DATE) = CAST(o.origin AS DATE) + l.lead
   JOIN (VALUES {members}) m(family, "window") ON m."window" = s."window"
   GROUP BY 1, 2, 3, 4, 5, 6
@@ -394,8 +408,8 @@ forecast AS MATERIALIZED (
         f"""
 truth AS (
   SELECT o.origin, station, datediff('day', CAST(o.origin AS DATE), ts) AS horizon, m1, m2, m3
-  FROM (VALUES {_texts(ORIGINS_D)}) o(origin)
-  JOIN panel_s ON ts >= CAST(o.origin AS DATE) AND ts < CAST(o.origin AS DATE) + 2
+  FROM (VALUES {_texts(origins)}) o(origin)
+  JOIN {raw} ON ts >= CAST(o.origin AS DATE) AND ts < CAST(o.origin AS DATE) + 2
 )""",
         "\nscores AS (" + " UNION ALL ".join(parts) + ")",
         "\ndaily AS (SELECT fill, method, family, origin, avg(score) AS score FROM scores GROUP BY 1, 2, 3, 4)",
@@ -404,6 +418,29 @@ truth AS (
     )
 
 
+def _city_settings(city, even, learned, first_num):
+    """The forty settings of one city and one kind of training panel."""
+    where = "= 0" if even else "= 1"
+    prefix = [SQL_PANEL_S, f"\npanel_h AS MATERIALIZED (SELECT * FROM panel_s WHERE station::INT % 2 {where})"]
+    if learned:
+        gate = SQL_NEIGHBORS.replace(f"_missing < {GATE} ", f"_missing < {CITY_GATE} ").replace(
+            "neighbors AS (", "neighbors AS MATERIALIZED ("
+        )
+        prefix += [SQL_VIEWED, SQL_LINES, gate]
+    numbers = " ".join(
+        f"WHEN fill = '{fill}' AND method = '{method}' AND family = '{family}' THEN {first_num + i}"
+        for i, (fill, method, family) in enumerate(
+            (f, m, w) for f in ("day+mean", "none") for m in ("median", "mean") for w in WINDOW_FAMILIES
+        )
+    )
+    select = f"""SELECT CASE {numbers} END AS num, round(score, 6) AS score, '{city}' AS city,
+    {str(learned).lower()} AS learned, fill = 'day+mean' AS fill, method, family FROM board"""
+    return _settings(
+        WINDOW_FAMILIES, ["none", "day+mean"], select, prefix, "neighbors" if learned else "panel_h", "panel_h",
+        ORIGINS_D[-4:],
+    )
+
+
 _H24 = ", ".join(f"round(median(m1) FILTER (WHERE hour(ts) = {h}), 6) AS h{h}" for h in range(24))
 _SUMMARY = f'SELECT station, target, season, "window", {r(*M)} FROM summaries'
 _GRID = f"""SELECT g.origin, g.station, g.horizon,
@@ -553,6 +590,13 @@ forecast AS (
         ["none", "day+mean"],
         "SELECT family, method, fill, round(score, 6) AS score FROM board",
     ),
+    "settings_grid": " UNION ALL ".join(
+        f"SELECT * FROM ({_city_settings(city, even, learned, first)})"
+        for city, even, learned, first in (
+            ("beijing", True, True, 1), ("beijing", True, False, 41),
+            ("london", False, True, 81), ("london", False, False, 121),
+        )
+    ),
     "best_setting": _settings(
         WINDOW_FAMILIES[:5],
         ["none"],

@@ -100,6 +100,16 @@ def history_build(spark, sf):
     return rounded(H.build_history([early, late, rest], HOURLY, start="2024-01-02"), *M)
 
 
+def history_backfilled(spark, sf):
+    """Readings of strong events alone on the spine, gaps filled from the full panel."""
+    events = read(spark, sf, "events").where(F.col("value") >= 50)
+    strong = events.groupBy(F.col("event_type").alias("station"), hour_of("ts").alias("ts")).agg(
+        F.avg("value").alias("m1"), F.max("value").alias("m2"), F.lit(None).cast("double").alias("m3")
+    )
+    out = H.build_from_readings(strong, HOURLY, "2024-01-02", "2024-01-29", secondary=readings_h(spark, sf))
+    return rounded(out, *M)
+
+
 def history_refresh(spark, sf):
     base = readings_h(spark, sf)
     old = P.to_spine(P.in_range(base, HOURLY, None, "2024-01-20"), HOURLY)
@@ -157,7 +167,7 @@ def score_store(spark, sf):
     scores, root = S.mean_scores(_scores(spark, sf)), shared_folder(spark, "scores")
     K.append_scores(scores.where("origin <= '2024-01-24'"), f"{root}/scores")
     K.append_scores(scores.where("origin >= '2024-01-20'"), f"{root}/scores")
-    K.append_setting(spark, f"{root}/settings", {"windows": WINDOWS_H}, f"{root}/scores")
+    K.append_settings(spark, f"{root}/settings", [{"windows": WINDOWS_H}], f"{root}/scores")
     return rounded(K.read_scores(spark, f"{root}/scores"), "score")
 
 
@@ -241,7 +251,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingest_station_wide, ingest_station_files, ingest_city_feed, ingest_incremental, history_build,
-        history_refresh, history_stored, imputed_history, stored_neighbor_models, city_merge_forecast,
+        history_backfilled, history_refresh, history_stored, imputed_history, stored_neighbor_models, city_merge_forecast,
         curve_city_forecast, score_store, feature_cache, stream_ingest, stream_dedupe, stream_hourly, stream_sliding,
         stream_daily_median, stream_ffill, stream_upsert,
     )
@@ -305,6 +315,22 @@ SQL = {
     "history_build": _spined(
         f"SELECT {_ROWS} FROM spined WHERE spined.ts >= TIMESTAMP '2024-01-02'", _HISTORY, "r.m1, r.m2, r.m3"
     ),
+    "history_backfilled": sql(
+        SQL_READINGS_H,
+        """
+strong AS (
+  SELECT event_type AS station, date_trunc('hour', ts) AS ts, avg(value) AS m1, max(value) AS m2 FROM events
+  WHERE value >= 50 AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-29' GROUP BY 1, 2)""",
+        """
+grid AS (
+  SELECT s.station, t.ts FROM (SELECT DISTINCT station FROM strong) s
+  CROSS JOIN (SELECT unnest(generate_series(
+    (SELECT min(ts) FROM strong), (SELECT max(ts) FROM strong), INTERVAL 1 HOUR)) AS ts) t)""",
+        select="""SELECT g.station, strftime(g.ts, '%Y-%m-%d %H:%M:%S') AS ts, round(coalesce(s.m1, h.m1), 6) AS m1,
+        round(coalesce(s.m2, h.m2), 6) AS m2, round(h.m3, 6) AS m3
+        FROM grid g LEFT JOIN strong s ON s.station = g.station AND s.ts = g.ts
+        LEFT JOIN readings_h h ON h.station = g.station AND h.ts = g.ts""",
+    ),
     "history_refresh": _spined(f"SELECT {_ROWS} FROM spined", _REFRESHED, "r.m1, r.m2, r.m3"),
     "history_stored": sql(SQL_PANEL_H, select=f"SELECT {_ROWS} FROM panel_h WHERE station < 'p'"),
     "imputed_history": sql(

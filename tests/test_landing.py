@@ -115,7 +115,7 @@ def test_scores_and_settings(spark, tmp_path):
     scores = spark.createDataFrame([("d2", 0.2), ("d1", 0.1)], "origin string, score double")
     for _ in range(2):
         K.append_scores(scores, str(tmp_path / "s"))
-        K.append_setting(spark, str(tmp_path / "log"), {"windows": [1]}, "s")
+        K.append_settings(spark, str(tmp_path / "log"), [{"windows": [1]}], "s")
     assert [r.origin for r in K.read_scores(spark, str(tmp_path / "s")).collect()] == ["d1", "d2"]
     assert spark.read.json(str(tmp_path / "log")).count() == 2
     assert K.read_if_any(spark, str(tmp_path / "nothing")) is None
