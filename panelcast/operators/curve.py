@@ -11,7 +11,7 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelcast.operators.panel import series
@@ -24,6 +24,10 @@ RANGE_OF_CHANGES = 0.8
 TREND_WIDTH = 5.0
 SEASON_WIDTH = 10.0
 
+ROUNDS = 40
+SMALLEST_CHANGE = 1e-7
+TOLERANCE = 1e-6
+
 
 def _fourier(days: np.ndarray, history_days: float, seasons: int) -> np.ndarray:
     columns = []
@@ -41,24 +45,6 @@ def _design(days, start, length, changes, seasons):
     return np.hstack([np.ones((len(t), 1)), t[:, None], hinges, _fourier(days, length, seasons)])
 
 
-def _lasso(gram, moment, ridge, l1, beta, sweeps=200, tolerance=1e-7):
-    """Coordinate descent on the normal equations with per-coefficient ridge and l1 weights."""
-    gradient = moment - gram @ beta
-    for _ in range(sweeps):
-        largest = 0.0
-        for j in range(len(beta)):
-            pull = gradient[j] + gram[j, j] * beta[j]
-            new = np.sign(pull) * max(abs(pull) - l1[j], 0.0) / (gram[j, j] + ridge[j])
-            change = new - beta[j]
-            if change:
-                gradient -= gram[:, j] * change
-                beta[j] = new
-                largest = max(largest, abs(change))
-        if largest < tolerance:
-            break
-    return beta
-
-
 def fit_curve(days, values, future_days, strength, n_changes, seasons, penalty="laplace"):
     """Fit one series (times in days, known values only) and predict the future days."""
     start, length = days[0], max(days[-1] - days[0], 1e-9)
@@ -73,15 +59,16 @@ def fit_curve(days, values, future_days, strength, n_changes, seasons, penalty="
     gram, moment, energy = x.T @ x, x.T @ y, y @ y
     noise = max(float(y.var()), 1e-8)
     beta = np.zeros(x.shape[1])
-    for _ in range(3):
-        if penalty == "laplace":
-            ridge = np.where(is_change, 0.0, noise / width**2)
-            l1 = np.where(is_change, noise / strength, 0.0)
-            beta = _lasso(gram, moment, ridge, l1, beta)
-        else:
-            ridge = np.where(is_change, noise / strength**2, noise / width**2)
-            beta = np.linalg.solve(gram + np.diag(ridge), moment)
+    size = np.full(x.shape[1], strength)
+    for _ in range(ROUNDS if penalty == "laplace" else 3):
+        # A Laplace prior is met by re-weighted normal ones: weight 1 / (strength * |change|).
+        ridge = noise / np.where(is_change, strength * size, width**2)
+        before, beta = beta, np.linalg.solve(gram + np.diag(ridge), moment)
         noise = max((energy - 2 * beta @ moment + beta @ gram @ beta) / len(y), 1e-8)
+        if penalty == "laplace":
+            size = np.maximum(np.abs(beta), SMALLEST_CHANGE)
+        if np.abs(beta - before).max() < TOLERANCE:
+            break
     return _design(future_days, start, length, changes, seasons) @ beta * scale
 
 
@@ -106,25 +93,37 @@ def curve_forecast(
         raise ValueError("penalty must be 'laplace' or 'ridge'")
     days, seasons, station = _day_list(origins), spec.seasons, spec.station
 
-    def forecast(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_t")
-        t, v = rows["_t"].to_numpy() / 24.0, rows["value"].to_numpy(dtype=float)
-        steps = np.arange(horizon) / seasons
-        parts = []
-        for origin in days:
-            seen = (t <= origin - cut_hours / 24 + 1e-9) & ~np.isnan(v)
-            last = t[t <= origin - cut_hours / 24 + 1e-9]
-            if len(last):
-                seen &= t >= last[-1] - history_days - 1e-9
-            value = np.full(horizon, np.nan)
+    def one_series(t, v):
+        """Forecasts (origin, horizon) of one series with times in days."""
+        steps, out = np.arange(horizon) / seasons, np.full((len(days), horizon), np.nan)
+        for i, origin in enumerate(days):
+            past = t <= origin - cut_hours / 24 + 1e-9
+            if not past.any():
+                continue
+            seen = past & ~np.isnan(v) & (t >= t[past].max() - history_days - 1e-9)
             if seen.sum() >= 2:
-                value = fit_curve(t[seen], v[seen], origin + steps, strength, changepoints, seasons, penalty)
-            parts.append(pd.DataFrame({"_origin": origin, "horizon": np.arange(horizon), "value": value}))
-        out = pd.concat(parts)
-        out.insert(0, "measure", rows["measure"].iloc[0])
-        out.insert(0, station, rows[station].iloc[0])
+                out[i] = fit_curve(t[seen], v[seen], origin + steps, strength, changepoints, seasons, penalty)
         return out
 
+    def forecast(batches):
+        for batch in batches:
+            lists = batch.column("_rows")
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            cells = lists.flatten()
+            t = cells.field("_t").to_numpy() / 24.0
+            v = cells.field("value").to_numpy(zero_copy_only=False).astype(float)
+            values = np.stack([one_series(t[a:b], v[a:b]) for a, b in zip(ends[:-1], ends[1:])])
+            series_at, origin_at, step_at = np.indices(values.shape, dtype="int32").reshape(3, -1)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    station: batch.column(station).take(pa.array(series_at)),
+                    "measure": batch.column("measure").take(pa.array(series_at)),
+                    "_origin": pa.array(np.asarray(days, dtype="int32")[origin_at]),
+                    "horizon": pa.array(step_at),
+                    "value": pa.array(values.ravel(), from_pandas=True),
+                }
+            )
+
     low = str(np.datetime64(days[0] - history_days - 2, "D"))
     high = str(np.datetime64(days[-1], "D"))
     known = df.where(
@@ -134,7 +133,8 @@ def curve_forecast(
     long = series(known, spec).select(station, "measure", hours, "value")
     kind = dict(df.dtypes)[station]
     schema = f"`{station}` {kind}, measure string, _origin int, horizon int, value double"
-    fitted = long.groupBy(station, "measure").applyInPandas(forecast, schema)
+    rows = F.array_sort(F.collect_list(F.struct("_t", "value"))).alias("_rows")
+    fitted = long.groupBy(station, "measure").agg(rows).mapInArrow(forecast, schema)
     return fitted.select(
         F.date_from_unix_date("_origin").alias("origin"), station, "measure", "horizon", "value"
     )

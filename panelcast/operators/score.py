@@ -94,7 +94,9 @@ def score_grid(
     """
     on = list(on or ["origin", spec.station, "horizon"])
     answers = actual.select(*on, *[F.col(m).alias(f"_a_{m}") for m in spec.measures])
-    pairs = answers.join(predicted, on, "left")
+    # Forecasts multiply their history by origins and settings, which size estimates do not see,
+    # so they are never to be broadcast on an estimate.
+    pairs = answers.join(predicted.hint("merge"), on, "left")
     cells = pairs.groupBy(*by, spec.station).agg(
         *[METRICS[metric](F.col(f"_a_{m}"), F.col(m)).alias(m) for m in spec.measures]
     )

@@ -47,7 +47,10 @@ SUMMARIES = {"median": middle, "mean": average}
 
 
 def _cubes(batch: pa.RecordBatch, measures: Sequence[str], first: int, days: int, seasons: int):
-    """Per run of stations of a batch: their numbers, values (station, day, season, measure), row mask."""
+    """Per run of stations of a batch: their numbers, values (station, season, measure, day), row mask.
+
+    Days come last, so that a window is one contiguous run.
+    """
     lists = batch.column("_rows")
     lengths = np.diff(lists.offsets.to_numpy())
     cells = lists.flatten()
@@ -59,10 +62,10 @@ def _cubes(batch: pa.RecordBatch, measures: Sequence[str], first: int, days: int
         stop = min(start + run, len(lengths))
         cut = slice(ends[start], ends[stop])
         row = np.repeat(np.arange(stop - start), lengths[start:stop])
-        cube = np.full((stop - start, days, seasons, len(measures)), np.nan)
-        has_row = np.zeros(cube.shape[:3], dtype=bool)
-        cube[row, day[cut], season[cut]] = values[cut]
-        has_row[row, day[cut], season[cut]] = True
+        cube = np.full((stop - start, seasons, len(measures), days), np.nan)
+        has_row = np.zeros((stop - start, seasons, days), dtype=bool)
+        cube[row, season[cut], :, day[cut]] = values[cut]
+        has_row[row, season[cut], day[cut]] = True
         yield np.arange(start, stop), cube, has_row
 
 
@@ -110,24 +113,25 @@ def window_summaries(
     labels = windows if groups is None else range(len(groups))
 
     def one_window(cube, has_row, days, w):
-        """Summaries of some target days for one window: (method, station, target, season, measure)."""
+        """Summaries of some target days for one window: (method, station, season, measure, target)."""
         at = (days - (w + extra) - first)[:, None] + np.arange(w + extra - gap + 1)
-        part = cube[:, at]
+        part = cube[..., at]
         if window_mean:
-            mean = average(part, axis=(2, 3))[:, :, None, None, :]
-            part = np.where(has_row[:, at][..., None] & np.isnan(part), mean, part)
-        return np.stack([SUMMARIES[method](part, axis=2) for method in methods])
+            mean = average(part, axis=(1, 4))[:, None, :, :, None]
+            part = np.where(has_row[..., at][:, :, None] & np.isnan(part), mean, part)
+        return np.stack([SUMMARIES[method](part, axis=4) for method in methods])
 
     def result(names, stack, days) -> pa.RecordBatch:
-        label_at, method_at, station_at, target_at, season_at = np.indices(stack.shape[:5], dtype="int32").reshape(5, -1)
-        flat = stack.reshape(-1, len(measures))
+        stack = np.moveaxis(stack, 4, 0)  # measures first
+        flat = stack.reshape(len(measures), -1)
+        label_at, method_at, station_at, season_at, target_at = np.indices(stack.shape[1:], dtype="int32").reshape(5, -1)
         columns = {
             station: names.take(pa.array(station_at)),
             "target_day": pa.array(days.astype("int32")[target_at]),
             "season": pa.array(season_at),
             "method": pa.array(methods).take(pa.array(method_at)),
             label: pa.array(np.asarray(labels, dtype="int32")[label_at]),
-            **{m: pa.array(flat[:, i], from_pandas=True) for i, m in enumerate(measures)},
+            **{m: pa.array(flat[i], from_pandas=True) for i, m in enumerate(measures)},
         }
         return pa.RecordBatch.from_pydict(columns)
 

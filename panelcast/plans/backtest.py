@@ -24,7 +24,7 @@ def on_grid(
     grid = forecast_grid(stations, spec, horizon)
     keys = ["origin", spec.station, "horizon"]
     values = forecast.where(F.col("origin") == F.lit(origin).cast("date")).select(*keys[1:], *spec.measures)
-    joined = grid.join(values, keys[1:], "left").withColumn("origin", F.lit(origin).cast("date"))
+    joined = grid.join(values.hint("merge"), keys[1:], "left").withColumn("origin", F.lit(origin).cast("date"))
     if clip:
         joined = joined.withColumns({m: clip_missing(m) for m in spec.measures})
     return joined.select(*keys, *spec.measures)
