@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from panelcast.operators.panel import series
-from panelcast.operators.seasonal import _day_list
+from panelcast.operators.seasonal import day_list
 from panelcast.spec import PanelSpec
 
 # --- fixed values: periods in days with Fourier order and least history, and prior widths ---
@@ -91,7 +91,7 @@ def curve_forecast(
     """
     if penalty not in ("laplace", "ridge"):
         raise ValueError("penalty must be 'laplace' or 'ridge'")
-    days, seasons, station = _day_list(origins), spec.seasons, spec.station
+    days, seasons, station = day_list(origins), spec.seasons, spec.station
 
     def one_series(t, v):
         """Forecasts (origin, horizon) of one series with times in days."""

@@ -7,7 +7,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast.operators.panel import series_arrays
-from panelcast.operators.seasonal import _day_list, in_days, median_features
+from panelcast.operators.seasonal import day_list, in_days, median_features
 from panelcast.spec import PanelSpec, day_number
 
 
@@ -33,7 +33,7 @@ def history_label_split(
     without the whole label span) on the spine are left out.
     """
     steps = spec.seasons
-    days = _day_list(splits)
+    days = day_list(splits)
     label_days = gap_days + -(-horizon // steps) if labels else 0
     needed = in_days(df, spec, days[0] - history_days, days[-1] + label_days)
     arrays = series_arrays(needed, spec).withColumn(
@@ -60,7 +60,7 @@ def median_arrays(
 
     Order of the array: shift, window, season.
     """
-    days = _day_list(splits)
+    days = day_list(splits)
     needed = sorted({d - k for d in days for k in range(median_shifts)})
     medians = median_features(df, spec, needed, windows)
     long = medians.unpivot(

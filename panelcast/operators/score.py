@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast.functions.columns import abs_ratio, ape_ratio
 from panelcast.operators.panel import complete_case, drop_absent
-from panelcast.operators.seasonal import _day_list, in_days
+from panelcast.operators.seasonal import day_list, in_days
 from panelcast.spec import PanelSpec
 
 
@@ -59,7 +59,7 @@ def truth(
     the few origins it can serve by its day alone, so no range join is needed. ``complete`` keeps
     only rows with every measure known; by default each measure counts for itself.
     """
-    days = _day_list(origins)
+    days = day_list(origins)
     span = in_days(df, spec, days[0] + gap_days, days[-1] + gap_days + days_ahead - 1)
     known = complete_case(span, spec) if complete else span
     lead = F.explode(F.sequence(F.lit(0), F.lit(days_ahead - 1))).alias("_lead")

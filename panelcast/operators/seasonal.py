@@ -66,6 +66,8 @@ def _cubes(batch: pa.RecordBatch, measures: Sequence[str], first: int, days: int
         has_row = np.zeros((stop - start, seasons, days), dtype=bool)
         cube[row, season[cut], :, day[cut]] = values[cut]
         has_row[row, season[cut], day[cut]] = True
+        if has_row.sum() != len(row):
+            raise ValueError("the panel holds a station and time twice; dedupe it first")
         yield np.arange(start, stop), cube, has_row
 
 
@@ -75,7 +77,8 @@ def in_days(df: DataFrame, spec: PanelSpec, first: int, last: int) -> DataFrame:
     return df.where((F.col(spec.ts) >= bounds[0]) & (F.col(spec.ts) < bounds[1]))
 
 
-def _day_list(days) -> list[int]:
+def day_list(days) -> list[int]:
+    """Sorted day numbers, each once, of dates or day numbers."""
     return sorted({d if isinstance(d, int) else day_number(d) for d in days})
 
 
@@ -97,13 +100,13 @@ def window_summaries(
     of window sizes, the result holds per list the median of its windows' summaries instead of
     one row per window; the column ``windows`` then numbers the lists from 0.
 
-    Expects unique keys. Result: (station, target_day, season, method, window | windows, measures).
+    Keys must be unique. Result: (station, target_day, season, method, window | windows, measures).
     """
     unknown = set(methods) - set(SUMMARIES)
     if unknown:
         raise ValueError(f"unknown methods {sorted(unknown)}")
     spec.check(df)
-    targets, windows, measures = _day_list(targets), sorted(set(windows)), list(spec.measures)
+    targets, windows, measures = day_list(targets), sorted(set(windows)), list(spec.measures)
     groups = [[windows.index(w) for w in g] for g in across] if across is not None else None
     label = "window" if groups is None else "windows"
     seasons, station = spec.seasons, spec.station
@@ -212,7 +215,7 @@ def median_of_medians(
     """
     if fill not in (None, "day", "day+mean"):
         raise ValueError("fill must be None, 'day' or 'day+mean'")
-    days = _day_list(origins)
+    days = day_list(origins)
     names = list(families)
     windows = sorted({w for f in families.values() for w in f})
     source = df

@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.fixed import CURVE_HISTORY_DAYS, MAX_MISSING_NEIGHBORS, WINDOW_FAMILIES, window_family
 from panelcast.operators.curve import curve_forecast, to_wide
+from panelcast.operators.features import shifted_splits
 from panelcast.operators.impute import impute
+from panelcast.operators.pooled import pooled_panel_forecast
 from panelcast.operators.score import mean_scores
+from panelcast.operators.seasonal import day_list
 from panelcast.plans.backtest import backtest, backtest_medians
 from panelcast.session import write_and_read
 from panelcast.sources.stores import append_scores, append_settings
@@ -47,6 +50,8 @@ class CurveSetting:
 
 @dataclass(frozen=True)
 class NetExperiment:
+    """Setting of a pooled experiment; ``batch_size`` is kept for the record, epochs use all rows."""
+
     num: int
     city: str
     history_days: int
@@ -152,6 +157,38 @@ def run_curves(
     return reduce(DataFrame.unionByName, scored)
 
 
+def run_pooled(
+    panels: dict[str, DataFrame],
+    spec: PanelSpec,
+    settings: Sequence[NetExperiment],
+    origins: Sequence,
+    max_missing: dict[str, float] = MAX_MISSING_NEIGHBORS,
+    exclude: Sequence[str] = (),
+    folds: int = 5,
+    estimator=None,
+) -> DataFrame:
+    """Daily scores of pooled forecasts: (num, origin, score).
+
+    Every origin is a split day of its own, with training splits from three days before it; its
+    forecast starts a day later and is scored there. Stations of ``exclude`` are neither trained on
+    nor scored.
+    """
+    scored = []
+    for s in settings:
+        raw = write_and_read(panels[s.city].select(*spec.columns), "panel")
+        steps = ["neighbors", "season", "mean"]
+        filled = write_and_read(impute(raw, spec, steps, max_missing=max_missing[s.city]), "imputed")
+        for day in day_list(origins):
+            forecast, _ = pooled_panel_forecast(
+                filled, spec, day, shifted_splits(day - 3, s.shifts), s.history_days, window_family(s.family),
+                s.median_shifts, k=folds, estimator=estimator, exclude=exclude,
+            )
+            wide = to_wide(forecast.withColumn("origin", F.date_from_unix_date("split_day")), spec)
+            scores = backtest(wide, raw, spec, [day], gap_days=1, ignore_stations=exclude)
+            scored.append(mean_scores(scores).withColumn("num", F.lit(s.num)))
+    return reduce(DataFrame.unionByName, scored)
+
+
 def record(scores: DataFrame, settings: Sequence, path: str) -> DataFrame:
     """Append the scores and the settings behind them below ``path``; return mean scores per setting."""
     append_scores(scores, f"{path}/scores")

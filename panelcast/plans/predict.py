@@ -9,11 +9,13 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from panelcast.operators.curve import curve_forecast, to_wide
+from panelcast.operators.features import group_folds, shifted_splits, supervised
 from panelcast.operators.impute import impute
+from panelcast.operators.net import NetSetting, net_forecast, train_net
 from panelcast.operators.pooled import pooled_panel_forecast
 from panelcast.operators.seasonal import median_of_medians
-from panelcast.operators.features import shifted_splits
 from panelcast.plans.backtest import on_grid
+from panelcast.session import write_and_read
 from panelcast.sources.stores import to_submission, write_submission
 from panelcast.spec import PanelSpec, day_number
 
@@ -34,6 +36,7 @@ class CitySetting:
     median_shifts: int = 2
     folds: int = 5
     exclude: Sequence[str] = field(default_factory=tuple)
+    net: NetSetting = NetSetting()
 
 
 def medians_job(panel: DataFrame, spec: PanelSpec, origin: str, s: CitySetting) -> DataFrame:
@@ -65,7 +68,22 @@ def pooled_job(panel: DataFrame, spec: PanelSpec, origin: str, s: CitySetting, e
     return to_wide(forecast.withColumn("origin", F.date_from_unix_date(F.col("split_day") + 1)), spec)
 
 
-JOBS = {"medians": medians_job, "curve": curve_job, "pooled": pooled_job}
+def net_job(panel: DataFrame, spec: PanelSpec, origin: str, s: CitySetting) -> DataFrame:
+    """The same training set and splits, learned by the shortcut net, one net per fold."""
+    filled = write_and_read(
+        impute(panel, spec, ["neighbors", "season", "mean"], max_missing=s.max_missing).select(*spec.columns), "panel"
+    )
+    split = day_number(origin) - 1
+    shape = (s.lag_history_days, s.windows, s.median_shifts)
+    known = filled.where(~F.col(spec.station).isin(list(s.exclude))) if s.exclude else filled
+    rows = supervised(known, spec, shifted_splits(split - 3, s.shifts), *shape)
+    train = write_and_read(rows.join(group_folds(rows, spec.station, s.folds), spec.station), "training")
+    net = train_net(train, spec, s.net, s.folds)
+    forecast = net_forecast(net, supervised(filled, spec, [split], *shape, labels=False), spec)
+    return to_wide(forecast.withColumn("origin", F.date_from_unix_date(F.col("split_day") + 1)), spec)
+
+
+JOBS = {"medians": medians_job, "curve": curve_job, "pooled": pooled_job, "net": net_job}
 
 
 def predict_cities(

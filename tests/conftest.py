@@ -38,6 +38,6 @@ def synthetic(spark):
                  + 3 * sin(2 * pi() * h.id / 168) + (pmod(hash(s.station, h.id), 100) - 50) / 50.0 AS m1,
                s.level * 2.0 + 5 * cos(2 * pi() * (h.id % 24) / 24) AS m2
         FROM (VALUES ('a', 30.0D), ('b', 45.0D), ('c', 60.0D)) s(station, level)
-        CROSS JOIN (SELECT cast(id AS int) AS id FROM range(60 * 24)) h
+        LATERAL VIEW explode(sequence(0, 60 * 24 - 1)) h AS id
         """
     )

@@ -28,6 +28,11 @@ def test_window_bounds(days):
     assert only(R.median_features(days, DAILY, ["2024-01-11"], [4])) == [8.5]
 
 
+def test_doubled_keys_are_refused(days):
+    with pytest.raises(Exception, match="dedupe it first"):
+        R.window_summaries(days.union(days), DAILY, ["2024-01-11"], [4]).collect()
+
+
 def test_window_before_the_history_is_null(days):
     both = R.window_summaries(days, DAILY, ["2024-01-02", "2024-01-11"], [4]).orderBy("target_day")
     assert only(both) == [None, 7.0]
