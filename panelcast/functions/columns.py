@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+EPOCH = "1970-01-01 00:00:00"
+
 
 def number(c: str | Column) -> Column:
     """Text or numeric column as double; unreadable text ('NaT', '') and NaN become NULL."""
@@ -31,6 +33,17 @@ def hour_of(ts: str | Column) -> Column:
     return F.date_trunc("hour", ts).cast("timestamp_ntz")
 
 
+def as_instant(ts: str | Column) -> Column:
+    """Zone-free time read as UTC, as a TIMESTAMP, whatever the session's zone."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), ts))
+
+
+def as_wall_time(ts: str | Column) -> Column:
+    """The inverse of ``as_instant``."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit(EPOCH).cast("timestamp_ntz"))
+
+
 def clip_missing(c: str | Column, lowest: float = 0.0) -> Column:
     """At least ``lowest``; a missing forecast becomes ``lowest``."""
     return F.greatest(F.lit(lowest), number(c))

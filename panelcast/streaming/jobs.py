@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from panelcast.functions.columns import as_instant, as_wall_time
 from panelcast.operators.panel import dedupe
 from panelcast.spec import PanelSpec
 
@@ -27,13 +28,19 @@ def landed_stream(
 
 
 def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
-    """Event time with its watermark: rows later than ``delay`` are dropped by stateful operators."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    """Event time with its watermark: rows later than ``delay`` are dropped by stateful operators.
+
+    Watermarks need instants; zone-free times are read as UTC, so days start at their midnight.
+    """
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        df = df.withColumn(ts, as_instant(ts))
+    return df.withWatermark(ts, delay)
 
 
 def dedupe_stream(df: DataFrame, keys: Sequence[str], ts: str, delay: str = "1 day") -> DataFrame:
     """First row per key; a key is remembered for ``delay`` only."""
-    return event_time(df, ts, delay).dropDuplicatesWithinWatermark(list(keys))
+    once = event_time(df, ts, delay).dropDuplicatesWithinWatermark(list(keys))
+    return once.withColumn(ts, as_wall_time(ts))
 
 
 def window_summary(
@@ -53,8 +60,8 @@ def window_summary(
     )
     return aggregated.select(
         "station",
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        as_wall_time("w.start").alias("window_start"),
+        as_wall_time("w.end").alias("window_end"),
         "n",
         "mean",
         "greatest",
@@ -66,7 +73,7 @@ def median_summary(df: DataFrame, station: str, ts: str, value: str, size: str,
     """Exact median per station and window of an hourly panel, whose windows hold a bounded number of rows."""
     grouped = event_time(df, ts, delay).groupBy(F.window(ts, size).alias("w"), F.col(station).alias("station"))
     return grouped.agg(F.percentile(value, F.lit(0.5)).alias("median")).select(
-        "station", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "median"
+        "station", as_wall_time("w.start").alias("window_start"), "median"
     )
 
 
@@ -94,14 +101,14 @@ def forward_fill_stream(df: DataFrame, spec: PanelSpec) -> DataFrame:
 
     keyed = df.select(
         spec.station,
-        F.col(spec.ts).cast("timestamp").alias(spec.ts),
+        as_instant(spec.ts).alias(spec.ts),
         F.col(spec.ts).cast("date").alias("day"),
         *measures,
     )
     filled = keyed.groupBy(spec.station, "day").applyInPandasWithState(
         fill, schema, state_schema, "append", GroupStateTimeout.NoTimeout
     )
-    return filled.withColumn(spec.ts, F.col(spec.ts).cast("timestamp_ntz")).drop("day")
+    return filled.withColumn(spec.ts, as_wall_time(spec.ts)).drop("day")
 
 
 def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:

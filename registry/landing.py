@@ -208,8 +208,7 @@ def stream_dedupe(spark, sf):
     """Each (station, hour) once."""
     events = _events_stream(spark, sf).select(F.col("event_type").alias("station"), hour_of("ts").alias("ts"))
     once = J.dedupe_stream(events, ["station", "ts"], "ts", "2 days")
-    out = J.run_to_table(once, shared_folder(spark, "stream"))
-    return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    return rounded(J.run_to_table(once, shared_folder(spark, "stream")))
 
 
 def stream_hourly(spark, sf):
