@@ -112,7 +112,9 @@ def to_spine(
     return spine(df, spec, start, end, stations).join(unique, spec.keys, "left").select(*[_quoted(c) for c in df.columns])
 
 
-def in_range(df: DataFrame, spec: PanelSpec, start: str | None = None, end: str | None = None, closed: bool = False) -> DataFrame:
+def in_range(
+    df: DataFrame, spec: PanelSpec, start: str | None = None, end: str | None = None, closed: bool = False
+) -> DataFrame:
     """Rows with start <= ts < end, or <= end if ``closed``; an open side is not checked."""
     ts = F.col(spec.ts)
     if start is not None:

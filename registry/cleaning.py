@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelcast.functions.columns import clip_missing, hour_of, number, shift_hours, at_hour
 from panelcast.operators import panel as P
 from registry.panels import (
-    DAILY, HOURLY, ORIGIN_D, SQL_PANEL_D, SQL_PANEL_H, SQL_PANEL_S, SQL_READINGS_H, T,
+    DAILY, HOURLY, SQL_PANEL_D, SQL_PANEL_H, SQL_PANEL_S, SQL_READINGS_H, T,
     panel_d, panel_h, panel_s, r, read, readings_h, rounded, sql,
 )
 

@@ -11,8 +11,6 @@ spine are read from the stored table, so each query scans its raw table a single
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.functions.columns import hour_of
@@ -161,7 +159,3 @@ def r(*columns: str, places: int = 6, table: str = "") -> str:
 
 
 T = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
-
-
-def union_all(frames):
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators import net as N
