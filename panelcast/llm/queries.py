@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import mixing, packing
+from panelcast.llm import gam, langid, mixing, packing
+from panelcast.llm.sampling import remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +18,27 @@ def word_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = gam.fit(docs, gam.train_part(table(spark, sf_dir, "labels")))
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    return gam.score(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", predicted)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer()).drop("ids")
 
 
+def op9_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(langid.train_part(docs))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op6_packing": op6_packing, "op10_mixing": op10_mixing}
+QUERIES = {"op3_quality_gam": op3_quality_gam, "op6_packing": op6_packing, "op9_language_kernel": op9_language_kernel, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {}
