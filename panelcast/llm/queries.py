@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import gam, langid, mixing, packing
+from panelcast.llm import gam, langid, mixing, ngram_join, packing
 from panelcast.llm.sampling import remainder
 
 
@@ -18,6 +18,10 @@ def word_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = gam.fit(docs, gam.train_part(table(spark, sf_dir, "labels")))
@@ -40,5 +44,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op3_quality_gam": op3_quality_gam, "op6_packing": op6_packing, "op9_language_kernel": op9_language_kernel, "op10_mixing": op10_mixing}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_quality_gam": op3_quality_gam, "op6_packing": op6_packing, "op9_language_kernel": op9_language_kernel, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {}
