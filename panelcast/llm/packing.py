@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tx.slices(whole, "text", 48 << 20):
+            for batch in tx.slices(whole, "text", 12 << 20):
                 flat, starts = encode(batch.column("text"), tokenizer)
                 out: list[list] = [[], [], [], [], [], []]
                 for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import gam, langid, mixing, ngram_join, packing
+from panelcast.llm import gam, langid, lines, mixing, ngram_join, packing
 from panelcast.llm.sampling import remainder
 
 
@@ -33,6 +33,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer()).drop("ids")
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(langid.train_part(docs))
@@ -44,5 +48,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_quality_gam": op3_quality_gam, "op6_packing": op6_packing, "op9_language_kernel": op9_language_kernel, "op10_mixing": op10_mixing}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_quality_gam": op3_quality_gam, "op6_packing": op6_packing, "op8_fuzzy_lines": op8_fuzzy_lines, "op9_language_kernel": op9_language_kernel, "op10_mixing": op10_mixing}
 SQL: dict[str, str] = {}
