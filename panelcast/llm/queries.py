@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import gam, langid, lines, mixing, ngram_join, packing
+from panelcast.llm import gam, langid, lines, mixing, multi_index, ngram_join, packing, quantised
 from panelcast.llm.sampling import remainder
 
 
@@ -22,6 +22,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return multi_index.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = gam.fit(docs, gam.train_part(table(spark, sf_dir, "labels")))
@@ -29,6 +34,10 @@ def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.score(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", predicted)
 
 
+def op4_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer()).drop("ids")
 
@@ -48,5 +57,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_quality_gam": op3_quality_gam, "op6_packing": op6_packing, "op8_fuzzy_lines": op8_fuzzy_lines, "op9_language_kernel": op9_language_kernel, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op2_multi_index": op2_multi_index,
+    "op3_quality_gam": op3_quality_gam,
+    "op4_quantised": op4_quantised,
+    "op6_packing": op6_packing,
+    "op8_fuzzy_lines": op8_fuzzy_lines,
+    "op9_language_kernel": op9_language_kernel,
+    "op10_mixing": op10_mixing,
+}
 SQL: dict[str, str] = {}
