@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import gam, langid, lines, mixing, multi_index, ngram_join, packing, quantised
+from panelcast.llm import gam, katz, langid, lines, mixing, multi_index, ngram_join, packing, quantised
 from panelcast.llm.sampling import remainder
 
 
@@ -42,6 +42,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer()).drop("ids")
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score(docs.withColumn("train", remainder("doc_id", 10) != 0), "train").withColumn("held_out", remainder("doc_id", 10) == 0)
+
+
 def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op3_quality_gam": op3_quality_gam,
     "op4_quantised": op4_quantised,
     "op6_packing": op6_packing,
+    "op7_katz": op7_katz,
     "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_language_kernel": op9_language_kernel,
     "op10_mixing": op10_mixing,
