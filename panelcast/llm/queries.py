@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import gam, katz, langid, lines, mixing, multi_index, ngram_join, packing, quantised
+from panelcast.llm import gam, katz, langid, lines, mixing, multi_index, ngram_join, packing, pii, quantised
 from panelcast.llm.sampling import remainder
 
 
@@ -38,6 +38,13 @@ def op4_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs)).drop("text")
+    counts = [pii.count("base", i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text("base"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer()).drop("ids")
 
@@ -67,6 +74,7 @@ QUERIES = {
     "op2_multi_index": op2_multi_index,
     "op3_quality_gam": op3_quality_gam,
     "op4_quantised": op4_quantised,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_katz": op7_katz,
     "op8_fuzzy_lines": op8_fuzzy_lines,
