@@ -17,6 +17,13 @@ def shifted_splits(last, num_shifts: int, shift_step: int = 1) -> list[int]:
     return [first - shift_step * i for i in range(num_shifts)]
 
 
+def _whole(values, start, end, spec: PanelSpec):
+    """The values, if there is one for every step of their span; fails where steps are missing or repeat."""
+    steps = F.timestamp_diff(spec.step, start, end) + 1
+    why = F.concat(F.lit("the panel is not on its spine between "), start.cast("string"), F.lit(" and "), end.cast("string"))
+    return F.when(F.size(values) != steps, F.raise_error(why).cast("array<double>")).otherwise(values)
+
+
 def history_label_split(
     df: DataFrame,
     spec: PanelSpec,
@@ -39,6 +46,7 @@ def history_label_split(
     arrays = series_arrays(needed, spec).withColumn(
         "split_day", F.explode(F.array(*[F.lit(d) for d in days]))
     )
+    arrays = arrays.withColumn("values", _whole(F.col("values"), F.col("start"), F.col("end"), spec))
     split_ts = F.date_from_unix_date("split_day").cast("timestamp_ntz")
     placed = arrays.withColumn("_at", F.timestamp_diff(spec.step, F.col("start"), split_ts).cast("int"))
     length, label_at = history_days * steps, F.col("_at") + gap_days * steps + 1

@@ -55,34 +55,39 @@ def fill_zero(df: DataFrame, spec: PanelSpec) -> DataFrame:
 def with_neighbors(df: DataFrame, spec: PanelSpec, within: Sequence[str] = ()) -> DataFrame:
     """Per row and measure: mean of the other stations at the same time, and missing stations.
 
-    Adds ``<m>_others`` (leave-one-out mean, NULL if no other station reports), ``<m>_missing``
-    (stations without a reading, this one included) and ``n_stations``. ``within`` names columns that confine the
-    neighbourhood, e.g. a city. Sums per time are aggregated and joined back.
+    Adds ``<m>_others`` (leave-one-out mean, NULL if no other station reports), ``<m>_stations`` (how
+    many report the measure at all) and ``<m>_missing`` (those of them without a reading, this one
+    included). Stations for which the spec calls a measure absent are no neighbours in it. ``within``
+    names columns that confine the neighbourhood, e.g. a city. Sums per time are aggregated and
+    joined back.
     """
     keys = [*within, spec.ts]
-    totals = [F.count(F.lit(1)).alias("n_stations")]
+    totals = []
     for m in spec.measures:
-        totals += [F.sum(m).alias(f"_sum_{m}"), F.count(m).alias(f"_cnt_{m}")]
+        known = F.when(spec.reports(m), F.col(m))
+        totals += [F.sum(known).alias(f"_sum_{m}"), F.count(known).alias(f"_cnt_{m}"), F.count_if(spec.reports(m)).alias(f"_all_{m}")]
     joined = df.join(df.groupBy(*keys).agg(*totals), keys, "left")
     added = {}
     for m in spec.measures:
-        known = F.col(m).isNotNull().cast("int")
-        others = F.col(f"_cnt_{m}") - known
-        rest = F.col(f"_sum_{m}") - F.coalesce(F.col(m), F.lit(0.0))
+        own = F.when(spec.reports(m), F.col(m))
+        others = F.col(f"_cnt_{m}") - own.isNotNull().cast("int")
+        rest = F.col(f"_sum_{m}") - F.coalesce(own, F.lit(0.0))
         added[f"{m}_others"] = F.when(others > 0, rest / F.nullif(others, F.lit(0)))
-        added[f"{m}_missing"] = F.col("n_stations") - F.col(f"_cnt_{m}")
-    return joined.withColumns(added).select(*df.columns, *added, "n_stations")
+        added[f"{m}_stations"] = F.col(f"_all_{m}")
+        added[f"{m}_missing"] = F.col(f"_all_{m}") - F.col(f"_cnt_{m}")
+    return joined.withColumns(added).select(*df.columns, *added)
 
 
 def fit_neighbor_lines(df: DataFrame, spec: PanelSpec, within: Sequence[str] = ()) -> DataFrame:
     """One line per station and measure: value ~ slope * mean of the others + intercept.
 
-    All models come from a single aggregation over the panel, whatever their number.
+    All models come from a single aggregation over the panel, whatever their number. Measures that a
+    station never reports get no line there.
     """
     viewed = with_neighbors(df, spec, within)
     fits = []
     for m in spec.measures:
-        y, x = F.col(m), F.col(f"{m}_others")
+        y, x = F.when(spec.reports(m), F.col(m)), F.col(f"{m}_others")
         fits += [F.regr_slope(y, x).alias(f"{m}_slope"), F.regr_intercept(y, x).alias(f"{m}_intercept")]
     return viewed.groupBy(spec.station).agg(*fits)
 
@@ -103,9 +108,9 @@ def fill_from_neighbors(
     viewed = with_neighbors(df, spec, within)
     models = models if models is not None else fit_neighbor_lines(df, spec, within)
     joined = viewed.join(models, spec.station, "left")
-    limit = F.col("n_stations") * max_missing if max_missing < 1 else F.lit(max_missing)
     filled = {}
     for m in spec.measures:
+        limit = F.col(f"{m}_stations") * max_missing if max_missing < 1 else F.lit(max_missing)
         guess = F.col(f"{m}_slope") * F.col(f"{m}_others") + F.col(f"{m}_intercept")
         filled[m] = F.coalesce(F.col(m), F.when(F.col(f"{m}_missing") < limit, guess))
     return joined.withColumns(filled).select(*df.columns)

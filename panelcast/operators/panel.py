@@ -31,18 +31,31 @@ def clean(
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str = "first") -> DataFrame:
-    """One row per key: the first or last by ``order``, the remaining columns breaking ties.
+    """One row per key: the first or last by ``order``.
 
-    A minimum over structs, not a ranked window: copies of one key collapse on the map side, so a
-    key holding a third of all rows never meets in one task.
+    The order must decide: if rows that differ share a key's first (or last) place, the job fails
+    rather than choose by value. Equal rows are one row, so keys that repeat nothing but whole rows
+    need no order.
+
+    Minima over structs, not a ranked window: copies of one key collapse on the map side, so a key
+    holding a third of all rows never meets in one task. The places of the least and the greatest
+    hash of the other columns show whether the order decided.
     """
     if keep not in ("first", "last"):
         raise ValueError("keep must be 'first' or 'last'")
     rest = [c for c in df.columns if c not in keys and c not in order]
-    row = F.struct(*[_quoted(c) for c in [*order, *rest]])
+    place, content = [_quoted(c) for c in order], F.xxhash64(*[_quoted(c) for c in rest]) if rest else F.lit(0).cast("long")
+    row = F.struct(*place, *[_quoted(c) for c in rest])
     pick = F.min if keep == "first" else F.max
-    kept = df.groupBy(*keys).agg(pick(row).alias("_row"))
-    return kept.select(*keys, "_row.*").select(*[_quoted(c) for c in df.columns])
+    kept = df.groupBy(*[_quoted(c) for c in keys]).agg(
+        pick(row).alias("_row"),
+        pick(F.struct(*place, content.alias("_h"))).alias("_a"),
+        pick(F.struct(*place, F.bitwise_not(content).alias("_h"))).alias("_b"),
+    )
+    undecided = F.col("_a._h") != F.bitwise_not(F.col("_b._h"))
+    why = F.concat(F.lit("the order does not decide between rows of key "), F.to_json(F.struct(*[_quoted(c) for c in keys])))
+    kept = kept.withColumn("_row", F.when(undecided, F.raise_error(why).cast(df.select(row).schema[0].dataType)).otherwise(F.col("_row")))
+    return kept.select(*[_quoted(c) for c in keys], "_row.*").select(*[_quoted(c) for c in df.columns])
 
 
 def union_sources(*sources: DataFrame, rank: str | None = None) -> DataFrame:
@@ -176,6 +189,7 @@ def series_arrays(df: DataFrame, spec: PanelSpec) -> DataFrame:
     long = packed.select(
         spec.station,
         F.col("_rows")[0][spec.ts].alias("start"),
+        F.element_at("_rows", -1)[spec.ts].alias("end"),
         F.explode(
             F.create_map(*[x for m in spec.measures for x in (F.lit(m), F.col(f"_rows.{m}"))])
         ).alias("measure", "values"),

@@ -113,7 +113,7 @@ def neighbor_features(df: DataFrame, spec: PanelSpec, measure: str, within: Sequ
     columns = {
         "others": F.coalesce(others, F.col("own_mean")),
         "lonely": lonely.cast("double"),
-        "missing": F.col(f"{measure}_missing") / F.col("n_stations"),
+        "missing": F.col(f"{measure}_missing") / F.col(f"{measure}_stations"),
         "season": spec.season().cast("double"),
     }
     return viewed.join(own, spec.station).withColumns(columns)
@@ -169,7 +169,7 @@ def fill_from_trees(
         viewed = neighbor_features(df, spec, m, within)
         gaps = viewed.where(
             F.col(m).isNull() & spec.reports(m)
-            & (F.col(f"{m}_missing") < (F.col("n_stations") * max_missing if max_missing < 1 else F.lit(max_missing)))
+            & (F.col(f"{m}_missing") < (F.col(f"{measure}_stations") * max_missing if max_missing < 1 else F.lit(max_missing)))
         )
         guesses = model.transform(gaps).select(*spec.keys, F.col("prediction").alias("_guess"))
         filled = (

@@ -81,15 +81,15 @@ def score_grid(
     by: Sequence[str] = ("origin",),
     on: Sequence[str] | None = None,
     metric: str = "smape",
-    two_is_missing: bool = True,
+    two_is_missing: bool = False,
     ignore_stations: Sequence[str] = (),
 ) -> DataFrame:
     """Error per group, station and measure: (*by, station, measure, score).
 
     ``on`` are the columns both tables share, by default origin, station and horizon; label columns
     of the forecasts (family, method, ...) may be named in ``by``, and forecasts then hold a row
-    per label and horizon. Truth without any forecast row is kept, with missing forecasts. With
-    ``two_is_missing`` a score of exactly 2 is no score. Cells of ``ignore_stations`` are reported
+    per label and horizon. Truth without any forecast row is kept, with missing forecasts. On request
+    (``two_is_missing``) a score of exactly 2 is no score. Cells of ``ignore_stations`` are reported
     as missing.
     """
     on = list(on or ["origin", spec.station, "horizon"])
@@ -114,10 +114,28 @@ def mean_scores(scores: DataFrame, by: Sequence[str] = ("origin",)) -> DataFrame
     return scores.groupBy(*by).agg(F.avg("score").alias("score"))
 
 
-def leaderboard(scores: DataFrame, setting: Sequence[str], day: str = "origin") -> DataFrame:
-    """Mean of daily means per setting, best first."""
-    daily = mean_scores(scores, [*setting, day])
-    return daily.groupBy(*setting).agg(F.avg("score").alias("score")).orderBy(F.col("score").asc_nulls_last(), *setting)
+def common_cells(scores: DataFrame, setting: Sequence[str], cell: Sequence[str]) -> DataFrame:
+    """Scores of the cells that every setting with any score scores, so that means over settings compare like with like."""
+    known = scores.where(F.col("score").isNotNull())
+    settings = known.agg(F.count_distinct(F.struct(*setting))).scalar()
+    shared = known.groupBy(*cell).agg(F.count_distinct(F.struct(*setting)).alias("_n")).where(F.col("_n") == settings)
+    return known.join(shared.select(*cell), list(cell), "left_semi")
+
+
+def leaderboard(
+    scores: DataFrame, setting: Sequence[str], day: str = "origin", cell: Sequence[str] = ("station", "measure")
+) -> DataFrame:
+    """Mean of daily means per setting over the cells that all settings score, best first.
+
+    ``cell`` are the columns that with ``day`` name a scored cell, as far as ``scores`` has them. A
+    cell that one setting fails to score counts for none; how many count is told as ``cells``.
+    """
+    daily = common_cells(scores, setting, [day, *[c for c in cell if c in scores.columns]]).groupBy(*setting, day).agg(
+        F.avg("score").alias("score"), F.count("score").alias("cells")
+    )
+    means = daily.groupBy(*setting).agg(F.avg("score").alias("score"), F.sum("cells").alias("cells"))
+    board = scores.select(*setting).distinct().join(means, list(setting), "left")
+    return board.orderBy(F.col("score").asc_nulls_last(), *setting)
 
 
 def best_setting(board: DataFrame, setting: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelcast.operators.impute import impute
 from panelcast.operators.panel import clean, dedupe, in_range, merge_sources, to_spine, union_sources
+from panelcast.session import write_and_read
 from panelcast.spec import PanelSpec
 
 
@@ -17,14 +18,18 @@ def build_history(
     start: str | None = None,
     rename: Mapping[str, str] | None = None,
     keep: str = "first",
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Union of the sources, the earlier one winning, on the spine, from ``start`` on.
 
-    Sources may differ in columns; those outside the panel are projected away.
+    Sources may differ in columns; those outside the panel are projected away. Where a source holds a
+    key twice with different values, ``order`` names the columns of all sources that tell which row
+    came first (for landed files ``arrival``); without them such a source is refused. The unique
+    readings are stored once, as bounds, stations and cells of the spine are read from them.
     """
-    cleaned = [clean(s, spec, rename).select(*spec.columns) for s in sources]
+    cleaned = [clean(s, spec, rename).select(*spec.columns, *order) for s in sources]
     ranked = union_sources(*cleaned, rank="_rank")
-    unique = dedupe(ranked, spec.keys, ["_rank"], keep).drop("_rank")
+    unique = write_and_read(dedupe(ranked, spec.keys, ["_rank", *order], keep).select(*spec.columns), "readings")
     return in_range(to_spine(unique, spec), spec, start)
 
 
@@ -37,7 +42,7 @@ def build_from_readings(
     secondary: DataFrame | None = None,
 ) -> DataFrame:
     """Unique landed readings cut to their range, put on the spine, completed from a second panel."""
-    panel = to_spine(in_range(readings, spec, start, end, closed), spec)
+    panel = to_spine(write_and_read(in_range(readings, spec, start, end, closed), "readings"), spec)
     return panel if secondary is None else merge_sources(panel, secondary, spec)
 
 
@@ -48,7 +53,7 @@ def refresh(
 
     With ``partial`` the window may end early: its upper bound is not checked.
     """
-    fresh = to_spine(in_range(window, spec, start, None if partial else end, closed=True), spec)
+    fresh = to_spine(write_and_read(in_range(window, spec, start, None if partial else end, closed=True), "readings"), spec)
     return dedupe(union_sources(history, fresh, rank="_rank"), spec.keys, ["_rank"], "last").drop("_rank")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import timedelta
 from functools import reduce
 from typing import Sequence
 
@@ -17,7 +18,7 @@ from panelcast.operators.seasonal import median_of_medians
 from panelcast.plans.backtest import on_grid
 from panelcast.session import write_and_read
 from panelcast.sources.stores import to_submission, write_submission
-from panelcast.spec import PanelSpec, day_number
+from panelcast.spec import EPOCH, PanelSpec, day_number
 
 
 @dataclass(frozen=True)
@@ -100,7 +101,11 @@ def predict_cities(
 
 
 def daily_job(panels, spec, origin, settings, model, path) -> DataFrame:
-    """Forecast, write the submission of the day, and return it."""
+    """Forecast, write the submission of the day, and return it as stored.
+
+    The prediction date is the day before the origin, the first forecast day.
+    """
     submission = to_submission(predict_cities(panels, spec, origin, settings, model), spec)
-    write_submission(submission, path, origin, model)
-    return submission
+    pred_date = (EPOCH + timedelta(days=day_number(origin) - 1)).isoformat()
+    folder = write_submission(submission, path, pred_date, model)
+    return submission.sparkSession.read.schema(submission.schema).option("header", True).csv(folder)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from panelcast.fixed import CITY_FEED_COLUMNS, LONDON_HEADERS, MEASURE_NAMES
 from panelcast.functions.columns import at_hour, number, shift_hours
@@ -21,6 +22,19 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: str | None
     return reader.csv(paths)
 
 
+def arrival(lines: bool = True) -> Column:
+    """Place of a row in the order of landing: file time, file, and (with ``lines``) place in the file.
+
+    For use in the first projection over files. Streams cannot number lines there.
+    """
+    place = [
+        F.col("_metadata.file_modification_time").alias("time"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    ]
+    return F.struct(*place, *([F.monotonically_increasing_id().alias("line")] if lines else []))
+
+
 def read_station_wide(
     spark: SparkSession,
     feeds: Sequence[str | Sequence[str]],
@@ -34,7 +48,7 @@ def read_station_wide(
 
     Each feed is one path or list of paths whose files share a header; feeds may differ in their
     columns and types. Rows are (date yyyymmdd, hour, type, stations...) in local time. Of rows with
-    equal type and time the one of the latest feed and file stays.
+    equal type and time the last to arrive stays: by feed, then by file time, file and line.
     """
     frames = []
     for rank, paths in enumerate(feeds):
@@ -46,15 +60,28 @@ def read_station_wide(
                 ts.alias(spec.ts),
                 "type",
                 F.lit(rank).alias("_feed"),
-                F.col("_metadata.file_path").alias("_file"),
+                arrival().alias("_arrival"),
                 *[number(F.col(f"`{s}`")).alias(s) for s in names],
             )
         )
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    unique = dedupe(rows, [spec.ts, "type"], ["_feed", "_file"], keep="last").drop("_feed", "_file")
+    unique = dedupe(rows, [spec.ts, "type"], ["_feed", "_arrival"], keep="last").drop("_feed", "_arrival")
     return station_columns_to_rows(unique, spec, stations, types=types)
 
 
+def _header_groups(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the names in their header line, site prefixes left off. One line per file reaches the driver."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")
+    )
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("header")).collect()
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in sorted(heads, key=lambda r: r["file"]):
+        names = next(csv.reader([r["header"]], skipinitialspace=True), [])
+        groups.setdefault(tuple(n.split(": ")[-1].strip() for n in names), []).append(r["file"])
+    return groups
+
+
 def read_station_files(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -67,30 +94,31 @@ def read_station_files(
     """One file per station (and month), each with its own header -> unique (station, ts, measures).
 
     Headers read ``<site>: <quantity>``; the text after the last ': ' names the column. Order and
-    number of columns may differ per file, so lines are read as text and matched to the header line
-    of their own file. The station is taken from the path. Where files overlap the last one wins.
+    number of columns may differ per file: files of equal names are read together by the CSV source,
+    with the names as schema, so a large file is split like any other. The station is taken from the
+    path. Where rows overlap the last to arrive wins.
     """
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("_file"), F.split("value", ",").alias("_cells")
-    ).withColumn("_cells", F.transform("_cells", lambda c: F.trim(F.regexp_replace(c, '^"|"$', ""))))
-    last_part = F.transform("_cells", lambda c: F.element_at(F.split(c, ": "), -1))
-    tagged = lines.withColumn("_names", last_part)
-    is_header = F.array_contains("_names", time_header)
-    header_lines = tagged.where(is_header).select("_file", "_names")
-    data = tagged.where(~is_header).drop("_names").join(header_lines, "_file")
-
-    def cell(header: str):
-        place = F.array_position("_names", header).cast("int")
-        return F.when(place > 0, F.get("_cells", place - 1))
-
     wanted = {names.get(short, short): header for header, short in headers.items() if header != time_header}
-    columns = {m: number(cell(wanted[m])) if m in wanted else F.lit(None).cast("double") for m in spec.measures}
-    ts = F.try_to_timestamp(cell(time_header)).cast("timestamp_ntz")
-    station = F.regexp_extract("_file", station_pattern, 1)
-    readings = data.select(
-        station.alias(spec.station), ts.alias(spec.ts), "_file", *[c.alias(m) for m, c in columns.items()]
-    )
-    return dedupe(readings.where(F.col(spec.ts).isNotNull()), spec.keys, ["_file"], keep="last").drop("_file")
+    frames = []
+    for columns, files in _header_groups(spark, paths).items():
+        if time_header not in columns:
+            continue
+        schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(columns))])
+        raw = spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", True).csv(files)
+        cell = {name: F.col(f"_{i}") for i, name in reversed(list(enumerate(columns)))}
+        measures = {m: number(cell[wanted[m]]) if wanted.get(m) in cell else F.lit(None).cast("double") for m in spec.measures}
+        frames.append(
+            raw.select(
+                F.regexp_extract(F.col("_metadata.file_path"), station_pattern, 1).alias(spec.station),
+                F.try_to_timestamp(cell[time_header]).cast("timestamp_ntz").alias(spec.ts),
+                arrival().alias("_arrival"),
+                *[c.alias(m) for m, c in measures.items()],
+            )
+        )
+    if not frames:
+        raise ValueError(f"no file has a column {time_header!r}")
+    readings = reduce(DataFrame.unionByName, frames)
+    return dedupe(readings.where(F.col(spec.ts).isNotNull()), spec.keys, ["_arrival"], keep="last").drop("_arrival")
 
 
 def read_city_feed(

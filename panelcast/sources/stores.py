@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelcast.fixed import MEASURE_NAMES
 from panelcast.functions.columns import clip_missing
 from panelcast.operators.panel import dedupe, new_rows
+from panelcast.session import write_and_read
 from panelcast.spec import PanelSpec
 
 
@@ -37,9 +38,11 @@ def to_submission(forecast: DataFrame, spec: PanelSpec, names=MEASURE_NAMES, cli
     return forecast.select(F.concat_ws("#", spec.station, F.col("horizon").cast("string")).alias("test_id"), *columns)
 
 
-def write_submission(submission: DataFrame, path: str, pred_date: str, model: str) -> None:
-    """CSV with header under ``pred_date=.../model=...``; writing again replaces that part alone."""
-    submission.write.mode("overwrite").option("header", True).csv(f"{path}/pred_date={pred_date}/model={model}")
+def write_submission(submission: DataFrame, path: str, pred_date: str, model: str) -> str:
+    """CSV with header under ``pred_date=.../model=...``, the folder returned; writing again replaces that part alone."""
+    folder = f"{path}/pred_date={pred_date}/model={model}"
+    submission.write.mode("overwrite").option("header", True).csv(folder)
+    return folder
 
 
 def append_scores(scores: DataFrame, path: str, places: int = 9) -> None:
@@ -77,17 +80,25 @@ def cached_features(spark: SparkSession, root: str, key: dict, build: Callable[[
     return stored
 
 
-def land(rows: DataFrame, path: str, keys: Sequence[str], complete_before: str | None = None, ts: str = "ts") -> None:
+def land(
+    rows: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    complete_before: str | None = None,
+    ts: str = "ts",
+    order: Sequence[str] = (),
+) -> None:
     """Append the rows whose key is not stored yet, so landing the same files again adds nothing.
 
-    ``complete_before`` holds back rows of the current, still incomplete day. Of the stored table
-    only the time span of the new rows is read.
+    Of rows of one key the last by ``order`` stays (for landed files ``arrival``); these columns are
+    not stored. ``complete_before`` holds back rows of the current, still incomplete day. The rows
+    are read once; of the stored table only their time span is.
     """
     if complete_before is not None:
         rows = rows.where(F.col(ts) < F.lit(complete_before).cast("timestamp_ntz"))
-    fresh = dedupe(rows, keys, [], keep="last")
+    fresh = write_and_read(dedupe(rows, keys, order, keep="last").drop(*order), "landed")
     known = read_if_any(rows.sparkSession, path)
     if known is not None:
-        span = (F.col(ts) >= rows.agg(F.min(ts)).scalar()) & (F.col(ts) <= rows.agg(F.max(ts)).scalar())
+        span = (F.col(ts) >= fresh.agg(F.min(ts)).scalar()) & (F.col(ts) <= fresh.agg(F.max(ts)).scalar())
         fresh = new_rows(fresh, known.where(span), keys)
     fresh.write.mode("append").parquet(path)

@@ -16,15 +16,26 @@ from pyspark.sql.types import StructType
 
 from panelcast.functions.columns import as_instant, as_wall_time
 from panelcast.operators.panel import dedupe
+from panelcast.sources.landed import arrival as place_of_arrival
 from panelcast.spec import PanelSpec
 
 
 def landed_stream(
-    spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet", files_per_trigger: int = 100, **options
+    spark: SparkSession,
+    path: str,
+    schema: str | StructType,
+    fmt: str = "parquet",
+    files_per_trigger: int = 100,
+    arrival: bool = False,
+    **options,
 ) -> DataFrame:
-    """Files as they land below ``path``; files seen before are not read again."""
+    """Files as they land below ``path``; files seen before are not read again.
+
+    With ``arrival`` a column of that name tells each row's place in the order of landing.
+    """
     reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.options(**options).load(path)
+    rows = reader.options(**options).load(path)
+    return rows.select("*", place_of_arrival(lines=False).alias("arrival")) if arrival else rows
 
 
 def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -77,26 +88,34 @@ def median_summary(df: DataFrame, station: str, ts: str, value: str, size: str,
     )
 
 
-def forward_fill_stream(df: DataFrame, spec: PanelSpec) -> DataFrame:
+def forward_fill_stream(df: DataFrame, spec: PanelSpec, delay: str = "2 days") -> DataFrame:
     """Carry each measure's last known value forward within the station's day.
 
-    ``df`` is an hourly panel in order of landing. State is one row per station and day: the last
-    values and their time. Days are grouped apart, so a station's history spreads over tasks.
+    A row is filled from values known at earlier times of its day, whichever batch brought them, never
+    from later ones. State is one row per station and day with the day's known values by time step; it
+    ends once the watermark, ``delay`` behind the latest time, has passed the day. Rows later than
+    that are dropped. Days are grouped apart, so a station's history spreads over tasks.
     """
-    measures = list(spec.measures)
+    measures, steps = list(spec.measures), spec.seasons
     schema = f"{spec.station} string, {spec.ts} timestamp, day date, " + ", ".join(f"{m} double" for m in measures)
-    state_schema = ", ".join(f"{m} double" for m in measures)
+    state_schema = ", ".join(f"{m} array<double>" for m in measures)
 
     def fill(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = list(state.get) if state.exists else [None] * len(measures)
-        rows = pd.concat(list(frames)).sort_values(spec.ts)
-        for i, m in enumerate(measures):
-            known = rows[m].astype(float).ffill()
-            if last[i] is not None:
-                known = known.fillna(last[i])
-            rows[m] = known
-            last[i] = None if pd.isna(known.iloc[-1]) else float(known.iloc[-1])
-        state.update(tuple(last))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else [[None] * steps for _ in measures]
+        known = {m: pd.Series(list(v), dtype="float64") for m, v in zip(measures, held)}
+        rows = pd.concat(list(frames)).sort_values(spec.ts, kind="stable")
+        at = rows[spec.ts].dt.hour.to_numpy() if steps > 1 else rows[spec.ts].dt.hour.to_numpy() * 0
+        for m in measures:
+            for i, v in zip(at, rows[m]):
+                if pd.notna(v):
+                    known[m][i] = v
+            rows[m] = rows[m].astype("float64").fillna(pd.Series(known[m].ffill().to_numpy()[at], index=rows.index))
+        state.update(tuple([None if pd.isna(x) else float(x) for x in known[m]] for m in measures))
+        end = int(pd.Timestamp(key[1], tz="UTC").timestamp() * 1000) + 86_400_000
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield rows[[spec.station, spec.ts, "day", *measures]]
 
     keyed = df.select(
@@ -104,9 +123,9 @@ def forward_fill_stream(df: DataFrame, spec: PanelSpec) -> DataFrame:
         as_instant(spec.ts).alias(spec.ts),
         F.col(spec.ts).cast("date").alias("day"),
         *measures,
-    )
+    ).withWatermark(spec.ts, delay)
     filled = keyed.groupBy(spec.station, "day").applyInPandasWithState(
-        fill, schema, state_schema, "append", GroupStateTimeout.NoTimeout
+        fill, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
     )
     return filled.withColumn(spec.ts, as_wall_time(spec.ts)).drop("day")
 
@@ -125,15 +144,21 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_upserts(stream: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Apply batches of rows as upserts; the latest batch holding a key wins.
+def run_upserts(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Apply batches of rows as upserts; the last row to arrive for a key wins.
 
-    Each batch is written to its own folder, replaced if the batch is repeated after a failure,
-    and never rewritten later; the current state is resolved on reading.
+    Batches count first, then ``order`` within a batch (for landed files the column that
+    ``landed_stream`` adds on ``arrival=True``) and the place in the file; without ``order`` a batch that holds a key twice with
+    different values fails. Each batch is written to its own folder, replaced if the
+    batch is repeated after a failure, and never rewritten later; the current state is resolved on
+    reading.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        dedupe(batch, keys, [], keep="last").write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        numbered = batch.withColumn("_line", F.monotonically_increasing_id()) if order else batch
+        by = [*order, "_line"] if order else []
+        last = dedupe(numbered, keys, by, keep="last").drop(*by)
+        last.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(apply)

@@ -142,7 +142,7 @@ def _naive_pairs(spark, sf):
 
 def _naive_score(spark, sf, metric):
     actual, predicted = _naive_pairs(spark, sf)
-    scores = S.score_grid(actual, predicted, HOURLY, by=[], on=HOURLY.keys, metric=metric, two_is_missing=False)
+    scores = S.score_grid(actual, predicted, HOURLY, by=[], on=HOURLY.keys, metric=metric)
     return rounded(scores, "score")
 
 
@@ -151,7 +151,7 @@ def smape_official(spark, sf):
     actual, predicted = _naive_pairs(spark, sf)
     known = predicted.where("m1 IS NOT NULL")
     paired = actual.join(known.select("station", "ts"), HOURLY.keys, "left_semi")
-    scores = S.score_grid(paired, known, HOURLY, by=[], on=HOURLY.keys, two_is_missing=False)
+    scores = S.score_grid(paired, known, HOURLY, by=[], on=HOURLY.keys)
     return rounded(scores, "score")
 
 
@@ -231,7 +231,7 @@ def settings_leaderboard(spark, sf):
 
 
 def best_setting(spark, sf):
-    board = B.settings_board(panel_s(spark, sf), DAILY, ORIGINS_D, WINDOW_FAMILIES[:5], fills=[None])
+    board = B.settings_board(panel_s(spark, sf), DAILY, ORIGINS_D, WINDOW_FAMILIES)
     return rounded(S.best_setting(board, ["family", "method", "fill"]), "score")
 
 
@@ -244,7 +244,7 @@ def settings_grid(spark, sf):
     even = F.col("station").cast("int") % 2 == 0
     panels = {"beijing": base.where(even), "london": base.where(~even)}
     settings = E.medians_settings()
-    daily = E.run_medians(panels, DAILY, settings, ORIGINS_D[-4:], dict.fromkeys(panels, CITY_GATE))
+    daily = E.run_medians(panels, DAILY, settings, ORIGINS_D, dict.fromkeys(panels, CITY_GATE))
     board = E.record(daily, settings, shared_folder(spark, "experiment"))
     return rounded(board.join(E.settings_table(spark, settings), "num"), "score")
 
@@ -328,7 +328,7 @@ def _official(a, p):
 def scores_cte(name, truth, forecast, metric=_official, where="TRUE"):
     """SQL of the score grid in long form."""
     parts = [
-        f"""SELECT t.origin, t.station, '{m}' AS measure, nullif({metric('t.' + m, 'f.' + m)}, 2) AS score
+        f"""SELECT t.origin, t.station, '{m}' AS measure, {metric('t.' + m, 'f.' + m)} AS score
     FROM {truth} t LEFT JOIN {forecast} f USING (origin, station, horizon)
     WHERE {where} {"AND t.station <> 'error'" if m == 'm3' else ''} GROUP BY 1, 2"""
         for m in M
@@ -366,7 +366,7 @@ def _naive(metric, join="LEFT JOIN", extra=""):
     return sql(SQL_PANEL_H, select=" UNION ALL ".join(parts))
 
 
-def _settings(families, fills, select, prefix=(SQL_PANEL_S,), train="panel_s", raw="panel_s", origins=ORIGINS_D):
+def _settings(families, fills, select, prefix=(SQL_PANEL_S,), train="panel_s", raw="panel_s", origins=ORIGINS_D, ranked=True):
     """Long SQL: summaries for all windows, family medians, scores per setting."""
     members = ", ".join(f"('{f}', {w})" for f in families for w in window_family(f))
     windows = sorted({w for f in families for w in window_family(f)})
@@ -382,7 +382,7 @@ def _settings(families, fills, select, prefix=(SQL_PANEL_S,), train="panel_s", r
             )
     means = ", ".join(f'coalesce({m}, avg({m}) OVER (PARTITION BY station, target, "window")) AS {m}' for m in M)
     parts = [
-        f"""SELECT f.fill, f.method, f.family, t.origin, t.station, nullif({_official('t.' + m, 'f.' + m)}, 2) AS score
+        f"""SELECT f.fill, f.method, f.family, t.origin, t.station, '{m}' AS measure, {_official('t.' + m, 'f.' + m)} AS score
     FROM truth t JOIN forecast f USING (origin, station, horizon) GROUP BY 1, 2, 3, 4, 5"""
         for m in M
     ]
@@ -412,8 +412,17 @@ truth AS (
   JOIN {raw} ON ts >= CAST(o.origin AS DATE) AND ts < CAST(o.origin AS DATE) + 2
 )""",
         "\nscores AS (" + " UNION ALL ".join(parts) + ")",
-        "\ndaily AS (SELECT fill, method, family, origin, avg(score) AS score FROM scores GROUP BY 1, 2, 3, 4)",
-        "\nboard AS (SELECT family, method, fill, avg(score) AS score FROM daily GROUP BY 1, 2, 3)",
+        """
+common AS (
+  SELECT origin, station, measure FROM scores WHERE score IS NOT NULL GROUP BY 1, 2, 3
+  HAVING count(*) = (SELECT count(*) FROM (SELECT DISTINCT fill, method, family FROM scores))
+)""",
+        f"""
+daily AS (
+  SELECT fill, method, family, origin, avg(score) AS score, count(score) AS cells
+  FROM scores {"SEMI JOIN common USING (origin, station, measure)" if ranked else ""} GROUP BY 1, 2, 3, 4
+)""",
+        "\nboard AS (SELECT family, method, fill, avg(score) AS score, sum(cells)::BIGINT AS cells FROM daily GROUP BY 1, 2, 3)",
         select=select,
     )
 
@@ -437,7 +446,7 @@ def _city_settings(city, even, learned, first_num):
     {str(learned).lower()} AS learned, fill = 'day+mean' AS fill, method, family FROM board"""
     return _settings(
         WINDOW_FAMILIES, ["none", "day+mean"], select, prefix, "neighbors" if learned else "panel_h", "panel_h",
-        ORIGINS_D[-4:],
+        ORIGINS_D, False,
     )
 
 
@@ -588,7 +597,7 @@ forecast AS (
     "settings_leaderboard": _settings(
         WINDOW_FAMILIES,
         ["none", "day+mean"],
-        "SELECT family, method, fill, round(score, 6) AS score FROM board",
+        "SELECT family, method, fill, round(score, 6) AS score, cells FROM board",
     ),
     "settings_grid": " UNION ALL ".join(
         f"SELECT * FROM ({_city_settings(city, even, learned, first)})"
@@ -598,8 +607,8 @@ forecast AS (
         )
     ),
     "best_setting": _settings(
-        WINDOW_FAMILIES[:5],
-        ["none"],
+        WINDOW_FAMILIES,
+        ["none", "day+mean"],
         "SELECT round(score, 6) AS score, family, method, fill FROM board ORDER BY score, family, method, fill LIMIT 1",
     ),
 }

@@ -95,18 +95,20 @@ def mean_cte(name: str, source: str) -> str:
 
 
 SQL_VIEWED = (
-    "\nviewed AS (SELECT station, ts, m1, m2, m3, "
+    "\nreported AS (SELECT station, ts, m1, m2, m3, m1 AS k1, m2 AS k2, CASE WHEN station <> 'error' THEN m3 END AS k3,"
+    " 1 AS n1, 1 AS n2, CASE WHEN station <> 'error' THEN 1 END AS n3 FROM panel_h),"
+    "\nviewed AS (SELECT station, ts, m1, m2, m3, k1, k2, k3, "
     + ", ".join(
-        f"(sum({m}) OVER w - coalesce({m}, 0)) / nullif(count({m}) OVER w - (CASE WHEN {m} IS NULL THEN 0 ELSE 1 END), 0)"
-        f" AS {m}_others, count(*) OVER w - count({m}) OVER w AS {m}_missing"
-        for m in M
+        f"(sum(k{i}) OVER w - coalesce(k{i}, 0)) / nullif(count(k{i}) OVER w - (CASE WHEN k{i} IS NULL THEN 0 ELSE 1 END), 0)"
+        f" AS m{i}_others, count(n{i}) OVER w - count(k{i}) OVER w AS m{i}_missing"
+        for i in (1, 2, 3)
     )
-    + " FROM panel_h WINDOW w AS (PARTITION BY ts))"
+    + " FROM reported WINDOW w AS (PARTITION BY ts))"
 )
 SQL_LINES = (
     "\nlines AS (SELECT station, "
     + ", ".join(
-        f"regr_slope({m}, {m}_others) AS {m}_slope, regr_intercept({m}, {m}_others) AS {m}_intercept" for m in M
+        f"regr_slope(k{m[1]}, {m}_others) AS {m}_slope, regr_intercept(k{m[1]}, {m}_others) AS {m}_intercept" for m in M
     )
     + " FROM viewed GROUP BY 1)"
 )

@@ -12,7 +12,7 @@ from panelcast.operators import panel as P, score as S
 from panelcast.operators.impute import fill_from_neighbors, fit_neighbor_lines
 from panelcast.operators.seasonal import median_features
 from panelcast.plans import histories as H, predict as D
-from panelcast.session import shared_folder
+from panelcast.session import shared_folder, write_and_read
 from panelcast.sources import landed as L, stores as K
 from panelcast.streaming import jobs as J
 from registry.forecasting import _scores, forecast_cte, summary_cte, SQL as FORECAST_SQL
@@ -100,6 +100,28 @@ def history_build(spark, sf):
     return rounded(H.build_history([early, late, rest], HOURLY, start="2024-01-02"), *M)
 
 
+def history_repeats(spark, sf):
+    """A source that holds keys twice: first the reading, later NULL or a smaller value. The first row stays."""
+    base = readings_h(spark, sf).withColumn("seq", F.lit(0))
+    gone = base.where("hour(ts) % 2 = 0").withColumns({m: F.lit(None).cast("double") for m in M}).withColumn("seq", F.lit(1))
+    less = base.where("hour(ts) % 2 = 1").withColumns({m: F.col(m) / 2 for m in M}).withColumn("seq", F.lit(2))
+    source = write_and_read(P.union_sources(less, gone, base), "source")
+    return rounded(H.build_history([source], HOURLY, order=["seq"]), *M)
+
+
+def landed_corrections(spark, sf):
+    """Keys corrected downwards in the file that lands later; the last to arrive is stored."""
+    root = shared_folder(spark, "corrections")
+    rows = readings_h(spark, sf)
+    rows.coalesce(1).write.option("header", True).csv(f"{root}/in")
+    lower = rows.where("hour(ts) < 6").withColumns({m: F.col(m) - 100 for m in M})
+    lower.coalesce(1).write.mode("append").option("header", True).csv(f"{root}/in")
+    schema = "station string, ts timestamp_ntz, m1 double, m2 double, m3 double"
+    landed = spark.read.schema(schema).option("header", True).csv(f"{root}/in").select("*", L.arrival().alias("arrival"))
+    K.land(landed, f"{root}/out", HOURLY.keys, order=["arrival"])
+    return rounded(spark.read.parquet(f"{root}/out"), *M)
+
+
 def history_backfilled(spark, sf):
     """Readings of strong events alone on the spine, gaps filled from the full panel."""
     events = read(spark, sf, "events").where(F.col("value") >= 50)
@@ -152,7 +174,7 @@ def city_merge_forecast(spark, sf):
     }
     root = shared_folder(spark, "submission")
     D.daily_job(panels, HOURLY, ORIGIN_H, settings, "medians", root)
-    stored = L.read_csv(spark, f"{root}/pred_date={ORIGIN_H}/model=medians")
+    stored = L.read_csv(spark, f"{root}/pred_date=2024-01-25/model=medians")
     return rounded(stored.withColumns({m: F.col(m).cast("double") for m in M}), *M, places=8)
 
 
@@ -224,16 +246,28 @@ def stream_sliding(spark, sf):
 
 
 def stream_daily_median(spark, sf):
-    out = J.median_summary(_panel_stream(spark, sf), "station", "ts", "m1", "1 day", delay="10 days")
+    """All days but the last two; days land in any order, so the watermark waits for the whole month."""
+    out = J.median_summary(_panel_stream(spark, sf, days_per_batch=100), "station", "ts", "m1", "1 day", delay="1 hour")
     return rounded(J.run_to_table(out, shared_folder(spark, "stream")), "median")
 
 
 def stream_ffill(spark, sf):
     """Forward fill within the day, several batches of landed days."""
-    filled = J.forward_fill_stream(_panel_stream(spark, sf), HOURLY)
+    filled = J.forward_fill_stream(_panel_stream(spark, sf), HOURLY, "31 days")
     return rounded(J.run_to_table(filled, shared_folder(spark, "stream")), *M)
 
 
+def stream_correction(spark, sf):
+    """Rows and their corrections, downwards, in one micro-batch: the file that landed later wins."""
+    root = shared_folder(spark, "corrections")
+    rows = readings_h(spark, sf)
+    rows.coalesce(1).write.parquet(f"{root}/a")
+    lower = rows.where("hour(ts) < 6").withColumns({m: F.col(m) - 100 for m in M})
+    lower.coalesce(1).write.mode("append").parquet(f"{root}/a")
+    stream = J.landed_stream(spark, f"{root}/a", rows.schema, arrival=True)
+    return rounded(J.run_upserts(stream, f"{root}/table", HOURLY.keys, ["arrival"]), *M)
+
+
 def stream_upsert(spark, sf):
     """The same key landed again in a later batch replaces the earlier row."""
     root = shared_folder(spark, "upserts")
@@ -250,9 +284,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingest_station_wide, ingest_station_files, ingest_city_feed, ingest_incremental, history_build,
-        history_backfilled, history_refresh, history_stored, imputed_history, stored_neighbor_models, city_merge_forecast,
+        history_repeats, landed_corrections, history_backfilled, history_refresh, history_stored, imputed_history, stored_neighbor_models, city_merge_forecast,
         curve_city_forecast, score_store, feature_cache, stream_ingest, stream_dedupe, stream_hourly, stream_sliding,
-        stream_daily_median, stream_ffill, stream_upsert,
+        stream_daily_median, stream_ffill, stream_correction, stream_upsert,
     )
 }
 
@@ -282,6 +316,9 @@ spined AS (
 _HISTORY = """
   SELECT station, ts, m1, m2, m3 FROM readings_h WHERE ts < TIMESTAMP '2024-01-20'
   UNION ALL SELECT station, ts, m1 * 2, m2, m3 FROM readings_h WHERE ts >= TIMESTAMP '2024-01-20'"""
+_CORRECTED = f"SELECT station, {T}, " + ", ".join(
+    f"round(CASE WHEN hour(ts) < 6 THEN {m} - 100 ELSE {m} END, 6) AS {m}" for m in M
+) + " FROM readings_h"
 _REFRESHED = """
   SELECT station, ts, m1, m2, m3 FROM readings_h WHERE ts < TIMESTAMP '2024-01-18'
   UNION ALL SELECT station, ts, m1, m2 + 1, m3 FROM readings_h
@@ -314,6 +351,9 @@ SQL = {
     "history_build": _spined(
         f"SELECT {_ROWS} FROM spined WHERE spined.ts >= TIMESTAMP '2024-01-02'", _HISTORY, "r.m1, r.m2, r.m3"
     ),
+    "history_repeats": _spined(f"SELECT {_ROWS} FROM spined", "SELECT * FROM readings_h", "r.m1, r.m2, r.m3"),
+    "landed_corrections": sql(SQL_READINGS_H, select=_CORRECTED),
+    "stream_correction": sql(SQL_READINGS_H, select=_CORRECTED),
     "history_backfilled": sql(
         SQL_READINGS_H,
         """
@@ -372,7 +412,7 @@ grid AS (
         SQL_PANEL_H,
         select="""SELECT station, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
         round(median(m1), 6) AS median FROM panel_h GROUP BY station, date_trunc('day', ts)
-        HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM panel_h) - INTERVAL 10 DAY""",
+        HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM panel_h) - INTERVAL 1 HOUR""",
     ),
     "stream_ffill": sql(SQL_PANEL_H, select=f"SELECT station, {T}, {_FORWARD} FROM panel_h"),
     "stream_upsert": sql(

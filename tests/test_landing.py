@@ -69,6 +69,35 @@ def test_history_from_sources(panel):
     assert [r.m1 for r in out.orderBy("ts").collect()] == [2.0, None, 4.0]
 
 
+def test_order_decides_between_rows_of_a_source(panel):
+    twice = panel([("s", "2018-01-01 00:00:00", 5.0, 1.0), ("s", "2018-01-01 00:00:00", None, 2.0)], ("m1", "seq"))
+    for keep, expected in (("first", 5.0), ("last", None)):
+        assert [r.m1 for r in H.build_history([twice], ONE, keep=keep, order=["seq"]).collect()] == [expected]
+    with pytest.raises(Exception, match="does not decide"):
+        H.build_history([twice], ONE).collect()
+
+
+def test_station_files_with_quoted_headers(spark, tmp_path):
+    spec = PanelSpec(measures=("pm25", "pm10"))
+    head = ('MeasurementDateGMT', '"Upper St, North: PM2.5 Particulate (ug/m3)"', '"Upper St, North: PM10 Particulate (ug/m3)"')
+    text(tmp_path / "UN1_2018-04.csv", ",".join(head), "2018-04-01 00:00,5.0,7.0", "2018-04-01 01:00,,8.0")
+    text(tmp_path / "UN2_2018-04.csv", ",".join([head[2], head[0]]), "9.0,2018-04-01 00:00", "9.0,2018-04-01 00:00", "3.0,2018-04-01 00:00")
+    headers = {"MeasurementDateGMT": "utc_time", "PM2.5 Particulate (ug/m3)": "pm25", "PM10 Particulate (ug/m3)": "pm10"}
+    out = L.read_station_files(spark, str(tmp_path / "*.csv"), spec, headers=headers, names={})
+    assert sorted((r.station, r.ts.hour, r.pm25, r.pm10) for r in out.collect()) == [
+        ("UN1", 0, 5.0, 7.0), ("UN1", 1, None, 8.0), ("UN2", 0, None, 3.0)
+    ]
+
+
+def test_forward_fill_never_looks_ahead(spark, panel, tmp_path):
+    """An hour that lands late is filled from earlier hours, whatever a former batch knew of later ones."""
+    for i, rows in enumerate([[("s", "2024-01-01 05:00:00", 7.0), ("s", "2024-01-01 01:00:00", 3.0)], [("s", "2024-01-01 02:00:00", None), ("s", "2024-01-01 06:00:00", None)]]):
+        panel(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = J.landed_stream(spark, str(tmp_path / "in"), panel(rows).schema)
+        out = J.run_to_table(J.forward_fill_stream(stream, ONE), str(tmp_path / "out"))
+    assert sorted((r.ts.hour, r.m1) for r in out.collect()) == [(1, 3.0), (2, 3.0), (5, 7.0), (6, 7.0)]
+
+
 def test_refresh_overwrites_the_overlap(panel):
     old = panel([("s", "2018-01-01 00:00:00", 1.0), ("s", "2018-01-01 01:00:00", 2.0)])
     new = panel([("s", "2018-01-01 01:00:00", 5.0), ("s", "2018-01-01 03:00:00", 6.0)])
@@ -129,7 +158,7 @@ def test_daily_job_writes_every_cell(spark, synthetic, tmp_path):
         "y": D.CitySetting([7, 14], 0.5, fill=None),
     }
     D.daily_job(panels, spec, "2024-02-20", settings, "medians", str(tmp_path))
-    stored = spark.read.option("header", True).csv(str(tmp_path / "pred_date=2024-02-20/model=medians"))
+    stored = spark.read.option("header", True).csv(str(tmp_path / "pred_date=2024-02-19/model=medians"))
     assert stored.count() == 3 * 48 and stored.where("double(m1) < 0 OR m1 IS NULL OR m2 IS NULL").count() == 0
     assert stored.where("test_id = 'a#47'").count() == 1
     curve = D.predict_cities({"x": panels["x"]}, spec, "2024-02-20", settings, "curve")
@@ -169,7 +198,7 @@ def test_streams_equal_batch(spark, synthetic, tmp_path):
     assert hourly.count() == batch.count() == 18
     assert sorted(round(r.total, 6) for r in hourly.collect()) == sorted(round(r.t, 6) for r in batch.collect())
 
-    filled = J.run_to_table(J.forward_fill_stream(stream(), spec), str(tmp_path / "b"))
+    filled = J.run_to_table(J.forward_fill_stream(stream(), spec, "30 days"), str(tmp_path / "b"))
     by_day = fill_within(holes, spec, "day", direction="forward").where("ts < '2024-01-09'")
     assert filled.select(*spec.columns).exceptAll(by_day.select(*spec.columns)).count() == 0
     assert filled.count() == by_day.count()

@@ -31,10 +31,10 @@ def grid(spark, rows):
 def test_two_is_no_score_and_masking(spark):
     actual = grid(spark, [("2024-01-01", s, h, 5.0, 5.0) for s in "ab" for h in (0, 1)])
     predicted = grid(spark, [("2024-01-01", s, h, 0.0, 5.0) for s in "ab" for h in (0, 1)])
-    scores = S.score_grid(actual, predicted, TWO, ignore_stations=["b"])
+    scores = S.score_grid(actual, predicted, TWO, two_is_missing=True, ignore_stations=["b"])
     found = {(r.station, r.measure): r.score for r in scores.collect()}
     assert found == {("a", "m1"): None, ("a", "m2"): 0.0, ("b", "m1"): None, ("b", "m2"): None}
-    kept = S.score_grid(actual, predicted, TWO, two_is_missing=False)
+    kept = S.score_grid(actual, predicted, TWO)
     assert kept.where("measure = 'm1'").first().score == 2.0
 
 
@@ -61,7 +61,7 @@ def test_complete_case_truth(panel):
 def test_alignment_of_the_two_modes(synthetic):
     origins = ["2024-02-10", "2024-02-11"]
     forecast = S.truth(synthetic, TWO, origins)  # a perfect forecast of the origin's own days
-    perfect = B.backtest(forecast, synthetic, TWO, origins, two_is_missing=False)
+    perfect = B.backtest(forecast, synthetic, TWO, origins)
     assert perfect.where("score <> 0").count() == 0 and perfect.count() == 12
     late = B.backtest(forecast, synthetic, TWO, origins, align="legacy")
     assert late.where("score > 0").count() > 0
@@ -112,3 +112,10 @@ def test_forecast_beats_the_overall_mean(synthetic):
         return S.mean_scores(S.score_grid(truth, pred, TWO), by=[]).first().score
 
     assert mean(medians) < 0.6 * mean(flat)
+
+
+def test_a_setting_with_gaps_does_not_win(spark):
+    """Setting b fails on the hard cell; on the cells that both score, a is the better one."""
+    rows = [("a", "d1", "s", "m1", 0.1), ("a", "d1", "t", "m1", 0.9), ("b", "d1", "s", "m1", 0.2), ("b", "d1", "t", "m1", None)]
+    board = S.leaderboard(spark.createDataFrame(rows, "name string, origin string, station string, measure string, score double"), ["name"])
+    assert [(r.name, r.score, r.cells) for r in board.collect()] == [("a", 0.1, 1), ("b", 0.2, 1)]
