@@ -30,8 +30,8 @@ from panelcast.session import write_and_read
 START, END = (tx.U(x) for x in tx.seeded(9, 2))
 SMALL = 5
 KEPT_BACK = 1e-4
-SHARD_TOKENS = 5_000_000
-SLICE = 40 << 20
+SHARD_TOKENS = 4_000_000
+SLICE = 24 << 20
 DOCS, SUMS, MASS, UNSEEN = range(4)
 BLOCK = "dest long, batch long, kind int, keys array<long>, payload binary"
 
@@ -76,9 +76,12 @@ class Unigrams:
         return np.where(counts > 0, discounted(counts, self.factors) / max(self.total, 1), self.unknown)
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of all rows with their end tokens, the token before each, and where each row starts."""
-    words, offsets = tx.words(texts)
+    parts = [tx.words(part.column("text")) for part in tx.slices(batch, "text")]
+    words = np.concatenate([w for w, _ in parts])
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(at) for _, at in parts]))])
+    del parts
     n = len(offsets) - 1
     starts = offsets + np.arange(n + 1)
     out = np.empty(len(words) + n, tx.U)
@@ -95,7 +98,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in tx.slices(whole, "text", SLICE):
-            items, n = np.unique(_tokens(batch.column("text"))[0], return_counts=True)
+            items, n = np.unique(_tokens(batch)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(items.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
@@ -165,15 +168,17 @@ def _send(model):
         m, number = model.value, TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in tx.slices(whole, "text", SLICE):
-                words, before, starts = _tokens(batch.column("text"))
+                words, before, starts = _tokens(batch)
                 doc = np.repeat(np.arange(len(starts) - 1, dtype=np.uint32), np.diff(starts))
                 train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
                 yield _rows([(-1 - number, number, DOCS, batch.column("key").to_pylist(), _pack(np.diff(starts)))])
                 spread = _find(m.hot, words) >= 0
-                order = np.where(spread, tx.mix(before ^ tx.mix(words)), tx.mix(words))
-                shard = ((order >> tx.U(32)) * tx.U(m.shards)) >> tx.U(32)
+                order = tx.mix(words)
+                order[spread] = tx.mix(before[spread] ^ order[spread])
+                shard = (((order >> tx.U(32)) * tx.U(m.shards)) >> tx.U(32)).astype(np.uint32)
+                del order, spread
                 by = np.lexsort((words, shard))
-                cuts = np.searchsorted(shard[by], np.arange(m.shards + 1, dtype=tx.U))
+                cuts = np.searchsorted(shard[by], np.arange(m.shards + 1))
                 for s in range(m.shards):
                     at = by[cuts[s] : cuts[s + 1]]
                     if not len(at):
