@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelcast.llm import text as tx
-from panelcast.llm.sampling import draw, remainder
+from panelcast.llm.sampling import draw, plain, remainder, restored
 
 SAMPLE = 20_000
 BINS = 64
@@ -216,7 +216,8 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", name: str =
 
     Columns pass through, except one called ``name``, which is replaced.
     """
-    d = docs.drop(name)
+    d, back = plain(docs.drop(name))
+    text = back[text]
     held = d.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +225,7 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", name: str =
             for batch in tx.slices(whole, text):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.score(features(batch.column(text))))], names=[*batch.schema.names, name])
 
-    return d.mapInArrow(run, T.StructType([*d.schema.fields, T.StructField(name, T.DoubleType())]))
+    return restored(d.mapInArrow(run, T.StructType([*d.schema.fields, T.StructField(name, T.DoubleType())])), back)
 
 
 def train_part(labels: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelcast.llm import text as tx
-from panelcast.llm.sampling import draw, remainder
+from panelcast.llm.sampling import draw, plain, remainder, restored
 
 LENGTHS = (1, 2, 3, 4)
 DIMENSIONS = 1 << 15
@@ -133,7 +133,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     Columns of ``docs`` pass through, except ones of these two names, which are replaced. Any text
     length is read whole; an empty table stays empty; rows are scored one by one, so repeats agree.
     """
-    d = docs.drop("lang_pred", "score")
+    d, back = plain(docs.drop("lang_pred", "score"))
+    text = back[text]
     held = d.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*d.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return d.mapInArrow(run, schema)
+    return restored(d.mapInArrow(run, schema), back)
 
 
 def train_part(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -25,3 +25,14 @@ def draw(rows: DataFrame, most: int, by: str | None = None, key: str = "doc_id",
         return rows.limit(0)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, most / n) * (1 << 40)))])
     return rows.where(place < F.element_at(share, F.col(by))).limit(most * len(counts) * 5 // 4)
+
+
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows with columns named by number, and each column's new name."""
+    names = {c: f"_in{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Undoes ``plain``; columns added since come last."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()], *[c for c in df.columns if c not in names.values()])
