@@ -10,6 +10,7 @@ from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelcast.operators.panel import in_range
 from panelcast.spec import PanelSpec
 
 Step = Callable[[DataFrame, PanelSpec], DataFrame]
@@ -37,13 +38,13 @@ def fill_within(df: DataFrame, spec: PanelSpec, by: str = "day", direction: str
     return df.withColumns(seen).drop("_group")
 
 
-def fill_mean(df: DataFrame, spec: PanelSpec, by: Sequence[str] | None = None) -> DataFrame:
-    """Fill with the mean of the station (or of other group columns) over the whole panel.
+def fill_mean(df: DataFrame, spec: PanelSpec, by: Sequence[str] | None = None, before: str | None = None) -> DataFrame:
+    """Fill with the mean of the station (or of other group columns) over the whole panel, or its part ``before`` a time.
 
     Means are aggregated and joined back rather than windowed, so no task holds a whole group.
     """
     by = list(by or [spec.station])
-    means = df.groupBy(*by).agg(*[F.avg(m).alias(f"_mean_{m}") for m in spec.measures])
+    means = in_range(df, spec, None, before).groupBy(*by).agg(*[F.avg(m).alias(f"_mean_{m}") for m in spec.measures])
     filled = {m: F.coalesce(F.col(m), F.col(f"_mean_{m}")) for m in spec.measures}
     return df.join(means, by, "left").withColumns(filled).select(*df.columns)
 
@@ -116,13 +117,31 @@ def fill_from_neighbors(
     return joined.withColumns(filled).select(*df.columns)
 
 
-def step(name: str, max_missing: float = 0.48, within: Sequence[str] = (), models: DataFrame | None = None) -> Step:
-    """A named step: neighbors, day, season, mean or zero."""
+def step(
+    name: str,
+    max_missing: float = 0.48,
+    within: Sequence[str] = (),
+    models: DataFrame | None = None,
+    before: str | None = None,
+) -> Step:
+    """A named step: neighbors, day, season, mean or zero.
+
+    With ``before`` no cell learns from later ones: lines and means come from rows before that time
+    alone, and values are carried forward only. Forecasts of an origin and backtests need this.
+    """
+    direction = "forward" if before else "both"
+
+    def neighbors(df: DataFrame, spec: PanelSpec) -> DataFrame:
+        known = models
+        if known is None and before is not None:
+            known = fit_neighbor_lines(in_range(df, spec, None, before), spec, within)
+        return fill_from_neighbors(df, spec, max_missing, within, known)
+
     steps: dict[str, Step] = {
-        "neighbors": lambda df, spec: fill_from_neighbors(df, spec, max_missing, within, models),
-        "day": lambda df, spec: fill_within(df, spec, "day"),
-        "season": lambda df, spec: fill_within(df, spec, "season"),
-        "mean": fill_mean,
+        "neighbors": neighbors,
+        "day": lambda df, spec: fill_within(df, spec, "day", direction),
+        "season": lambda df, spec: fill_within(df, spec, "season", direction),
+        "mean": lambda df, spec: fill_mean(df, spec, before=before),
         "zero": fill_zero,
     }
     if name not in steps:

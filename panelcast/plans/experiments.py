@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import asdict, dataclass
+from datetime import timedelta
 from functools import reduce
 from itertools import product
 from typing import Iterable, Sequence
@@ -20,7 +21,7 @@ from panelcast.operators.seasonal import day_list
 from panelcast.plans.backtest import backtest, backtest_medians
 from panelcast.session import write_and_read
 from panelcast.sources.stores import append_scores, append_settings
-from panelcast.spec import PanelSpec
+from panelcast.spec import EPOCH, PanelSpec
 
 CITIES = ("beijing", "london")
 
@@ -97,6 +98,11 @@ def settings_table(spark: SparkSession, settings: Sequence) -> DataFrame:
     return spark.createDataFrame([asdict(s) for s in settings])
 
 
+def first_day(origins: Sequence) -> str:
+    """The first origin's date: what learned fills may know ends there."""
+    return (EPOCH + timedelta(days=day_list(origins)[0])).isoformat()
+
+
 def run_medians(
     panels: dict[str, DataFrame],
     spec: PanelSpec,
@@ -110,7 +116,7 @@ def run_medians(
 
     Settings that differ in family or summary alone share one pass over the history, so there are
     as many jobs as combinations of city, learned fill and in-window fill. Truth is always the raw
-    panel.
+    panel; the learned fill is fitted on rows before the first origin alone.
     """
     runs = defaultdict(list)
     for s in settings:
@@ -121,7 +127,8 @@ def run_medians(
         if (city, learned) not in trained:
             panel = raw[city]
             if learned:
-                panel = write_and_read(impute(panel, spec, ["neighbors"], max_missing=max_missing[city]), "imputed")
+                filled = impute(panel, spec, ["neighbors"], max_missing=max_missing[city], before=first_day(origins))
+                panel = write_and_read(filled, "imputed")
             trained[city, learned] = panel
         families = {s.family: window_family(s.family) for s in group}
         methods = sorted({s.method for s in group})
@@ -147,7 +154,8 @@ def run_curves(
     cities = {s.city for s in settings}
     raw = {c: write_and_read(panels[c].select(*spec.columns), "panel") for c in cities}
     filled = {
-        c: write_and_read(impute(raw[c], spec, ["neighbors"], max_missing=max_missing[c]), "imputed") for c in cities
+        c: write_and_read(impute(raw[c], spec, ["neighbors"], max_missing=max_missing[c], before=first_day(origins)), "imputed")
+        for c in cities
     }
     scored = []
     for s in settings:
@@ -177,7 +185,7 @@ def run_pooled(
     for s in settings:
         raw = write_and_read(panels[s.city].select(*spec.columns), "panel")
         steps = ["neighbors", "season", "mean"]
-        filled = write_and_read(impute(raw, spec, steps, max_missing=max_missing[s.city]), "imputed")
+        filled = write_and_read(impute(raw, spec, steps, max_missing=max_missing[s.city], before=first_day(origins)), "imputed")
         for day in day_list(origins):
             forecast, _ = pooled_panel_forecast(
                 filled, spec, day, shifted_splits(day - 3, s.shifts), s.history_days, window_family(s.family),

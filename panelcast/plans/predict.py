@@ -42,14 +42,14 @@ class CitySetting:
 
 def medians_job(panel: DataFrame, spec: PanelSpec, origin: str, s: CitySetting) -> DataFrame:
     """Neighbours filled, then medians of medians with in-window fill."""
-    filled = impute(panel, spec, ["neighbors"], max_missing=s.max_missing)
+    filled = impute(panel, spec, ["neighbors"], max_missing=s.max_missing, before=origin)
     forecast = median_of_medians(filled, spec, [origin], {"all": s.windows}, [s.method], s.fill)
     return forecast.drop("family", "method")
 
 
 def curve_job(panel: DataFrame, spec: PanelSpec, origin: str, s: CitySetting) -> DataFrame:
     """Neighbours filled, then one curve per series."""
-    filled = impute(panel, spec, ["neighbors"], max_missing=s.max_missing)
+    filled = impute(panel, spec, ["neighbors"], max_missing=s.max_missing, before=origin)
     curves = curve_forecast(filled, spec, [origin], s.history_days, s.strength, s.changepoints)
     return to_wide(curves, spec)
 
@@ -60,7 +60,7 @@ def pooled_job(panel: DataFrame, spec: PanelSpec, origin: str, s: CitySetting, e
     The split day is the day before the origin; training splits end three days before it, so their
     labels are known.
     """
-    filled = impute(panel, spec, ["neighbors", "season", "mean"], max_missing=s.max_missing)
+    filled = impute(panel, spec, ["neighbors", "season", "mean"], max_missing=s.max_missing, before=origin)
     split = day_number(origin) - 1
     forecast, _ = pooled_panel_forecast(
         filled, spec, split, shifted_splits(split - 3, s.shifts), s.lag_history_days, s.windows,
@@ -72,7 +72,7 @@ def pooled_job(panel: DataFrame, spec: PanelSpec, origin: str, s: CitySetting, e
 def net_job(panel: DataFrame, spec: PanelSpec, origin: str, s: CitySetting) -> DataFrame:
     """The same training set and splits, learned by the shortcut net, one net per fold."""
     filled = write_and_read(
-        impute(panel, spec, ["neighbors", "season", "mean"], max_missing=s.max_missing).select(*spec.columns), "panel"
+        impute(panel, spec, ["neighbors", "season", "mean"], max_missing=s.max_missing, before=origin).select(*spec.columns), "panel"
     )
     split = day_number(origin) - 1
     shape = (s.lag_history_days, s.windows, s.median_shifts)

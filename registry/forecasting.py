@@ -435,7 +435,8 @@ def _city_settings(city, even, learned, first_num):
         gate = SQL_NEIGHBORS.replace(f"_missing < {GATE} ", f"_missing < {CITY_GATE} ").replace(
             "neighbors AS (", "neighbors AS MATERIALIZED ("
         )
-        prefix += [SQL_VIEWED, SQL_LINES, gate]
+        past = SQL_LINES.replace("FROM viewed", f"FROM viewed WHERE ts < TIMESTAMP '{min(ORIGINS_D)}'")
+        prefix += [SQL_VIEWED, past, gate]
     numbers = " ".join(
         f"WHEN fill = '{fill}' AND method = '{method}' AND family = '{family}' THEN {first_num + i}"
         for i, (fill, method, family) in enumerate(

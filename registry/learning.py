@@ -122,7 +122,7 @@ def trend_season_linear(spark, sf):
 
 def curve_forecast(spark, sf):
     """Two days ahead of three origins per series, slope changes under a Laplace prior."""
-    filled = impute(panel_h(spark, sf), HOURLY, ["neighbors"], max_missing=3)
+    filled = impute(panel_h(spark, sf), HOURLY, ["neighbors"], max_missing=3, before="2024-01-24")
     out = C.curve_forecast(filled, HOURLY, ["2024-01-24", "2024-01-25", "2024-01-26"], 20, 0.05, 13)
     return rounded(C.to_wide(out, HOURLY), *M)
 
@@ -136,7 +136,7 @@ def curve_ridge(spark, sf):
 
 
 def _imputed(spark, sf):
-    return impute(panel_h(spark, sf), HOURLY, ["neighbors", "season", "mean"], max_missing=3)
+    return impute(panel_h(spark, sf), HOURLY, ["neighbors", "season", "mean"], max_missing=3, before=SPLIT)
 
 
 def pooled_forecast(spark, sf):

@@ -55,3 +55,16 @@ def test_net_job_covers_the_grid(synthetic):
     )
     out = D.predict_cities({"x": synthetic}, TWO, "2024-02-20", {"x": setting}, "net")
     assert out.count() == 3 * 48 and out.where("m1 < 0 OR m1 IS NULL").count() == 0
+
+
+def test_no_run_looks_ahead(synthetic):
+    """Readings after the last forecast step's truth change no score, on a panel with gaps."""
+    gaps = synthetic.withColumn("m1", F.when(F.pmod(F.hash("station", "ts"), F.lit(5)) > 0, F.col("m1")))
+    late = gaps.withColumn("m1", F.when(F.col("ts") >= F.lit("2024-02-12").cast("timestamp_ntz"), F.col("m1") * 100).otherwise(F.col("m1")))
+    medians = [s for s in E.medians_settings(("x",)) if s.learned and s.family == "golden_4"][:1]
+    curve = [E.CurveSetting(1, "x", 30, 0.05, 5)]
+    pooled = [E.NetExperiment(0, "x", 3, "fib_5", 0.0, (8, 8, 8, 8), 10, shifts=4, median_shifts=1)]
+    runs = ((E.run_medians, medians, {}), (E.run_curves, curve, {}), (E.run_pooled, pooled, {"folds": 2}))
+    for run, settings, options in runs:
+        a, b = (run({"x": p}, TWO, settings, ["2024-02-09"], GATE, **options).first().score for p in (gaps, late))
+        assert a == b and a is not None
