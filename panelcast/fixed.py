@@ -80,6 +80,19 @@ MAX_MISSING_NEIGHBORS = {"beijing": 17, "london": 6}
 CURVE_HISTORY_DAYS = [475, 294, 181, 112]
 CURVE_CUT_HOURS = 9
 
+# windows and summary of the medians; history, strength and changepoints of the curve; history,
+# windows, dropout, layer sizes and batch of the net
+CITY_PRESETS = {
+    "beijing": {
+        "windows": "golden_5", "method": "median", "history_days": 475, "strength": 0.003, "changepoints": 67,
+        "lag_history_days": 360, "lag_windows": "golden_8", "dropout": 0.6, "units": (48, 48, 48, 48), "batch": 84,
+    },
+    "london": {
+        "windows": "fib_9", "method": "median", "history_days": 475, "strength": 0.001, "changepoints": 67,
+        "lag_history_days": 420, "lag_windows": "fib_8", "dropout": 0.2, "units": (24, 24, 24, 24), "batch": 22,
+    },
+}
+
 # --- derived from the fixed values ------------------------------------------------------------
 
 BEIJING_STATIONS = sorted(BEIJING_HEADERS.values())

@@ -27,6 +27,8 @@ def fill_within(df: DataFrame, spec: PanelSpec, by: str = "day", direction: str
         raise ValueError("by must be 'day' or 'season'")
     if direction not in ("both", "forward"):
         raise ValueError("direction must be 'both' or 'forward'")
+    if by == "day" and spec.step == "day":
+        return df  # a day of a daily panel is one row
     df = df.withColumn("_group", spec.day() if by == "day" else spec.season())
     groups = Window.partitionBy(spec.station, "_group")
     running = (Window.unboundedPreceding, Window.currentRow)

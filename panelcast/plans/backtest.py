@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelcast.fixed import window_family
 from panelcast.functions.columns import clip_missing
-from panelcast.operators.score import leaderboard, mean_scores, score_grid, truth
+from panelcast.operators.score import leaderboard, score_grid, truth
 from panelcast.operators.seasonal import forecast_grid, median_of_medians
 from panelcast.session import write_and_read
 from panelcast.spec import PanelSpec
@@ -71,11 +71,6 @@ def backtest_medians(
     )
 
 
-def daily_table(scores: DataFrame) -> DataFrame:
-    """Mean score per origin date."""
-    return mean_scores(scores)
-
-
 def settings_board(
     panel: DataFrame,
     spec: PanelSpec,

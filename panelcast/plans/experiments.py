@@ -11,7 +11,7 @@ from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.fixed import CURVE_HISTORY_DAYS, MAX_MISSING_NEIGHBORS, WINDOW_FAMILIES, window_family
+from panelcast.fixed import CITY_PRESETS, CURVE_HISTORY_DAYS, MAX_MISSING_NEIGHBORS, WINDOW_FAMILIES, window_family
 from panelcast.operators.curve import curve_forecast, to_wide
 from panelcast.operators.features import shifted_splits
 from panelcast.operators.impute import impute
@@ -83,8 +83,8 @@ def curve_settings(cities: Sequence[str] = CITIES) -> list[CurveSetting]:
 
 def net_settings() -> list[NetExperiment]:
     return [
-        NetExperiment(0, "london", 420, "fib_8", 0.2, (24, 24, 24, 24), 22),
-        NetExperiment(1, "beijing", 360, "golden_8", 0.6, (48, 48, 48, 48), 84),
+        NetExperiment(n, city, p["lag_history_days"], p["lag_windows"], p["dropout"], p["units"], p["batch"])
+        for n, (city, p) in enumerate((c, CITY_PRESETS[c]) for c in ("london", "beijing"))
     ]
 
 

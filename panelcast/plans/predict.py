@@ -9,6 +9,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from panelcast.fixed import CITY_OF, CITY_PRESETS, EXCLUDED_FROM_TRAINING, MAX_MISSING_NEIGHBORS, window_family
 from panelcast.operators.curve import curve_forecast, to_wide
 from panelcast.operators.features import group_folds, shifted_splits, supervised
 from panelcast.operators.impute import impute
@@ -38,6 +39,30 @@ class CitySetting:
     folds: int = 5
     exclude: Sequence[str] = field(default_factory=tuple)
     net: NetSetting = NetSetting()
+    lag_windows: Sequence[int] | None = None  # of the pooled and net models, if not ``windows``
+
+    @property
+    def feature_windows(self) -> Sequence[int]:
+        return self.windows if self.lag_windows is None else self.lag_windows
+
+
+def city_settings() -> dict[str, CitySetting]:
+    """The settings of the daily jobs by city."""
+    out = {}
+    for city, p in CITY_PRESETS.items():
+        out[city] = CitySetting(
+            windows=window_family(p["windows"]),
+            max_missing=MAX_MISSING_NEIGHBORS[city],
+            method=p["method"],
+            history_days=p["history_days"],
+            strength=p["strength"],
+            changepoints=p["changepoints"],
+            lag_history_days=p["lag_history_days"],
+            exclude=(EXCLUDED_FROM_TRAINING,) if CITY_OF[EXCLUDED_FROM_TRAINING] == city else (),
+            net=NetSetting(units=p["units"], dropout=p["dropout"]),
+            lag_windows=window_family(p["lag_windows"]),
+        )
+    return out
 
 
 def medians_job(panel: DataFrame, spec: PanelSpec, origin: str, s: CitySetting) -> DataFrame:
@@ -63,7 +88,7 @@ def pooled_job(panel: DataFrame, spec: PanelSpec, origin: str, s: CitySetting, e
     filled = impute(panel, spec, ["neighbors", "season", "mean"], max_missing=s.max_missing, before=origin)
     split = day_number(origin) - 1
     forecast, _ = pooled_panel_forecast(
-        filled, spec, split, shifted_splits(split - 3, s.shifts), s.lag_history_days, s.windows,
+        filled, spec, split, shifted_splits(split - 3, s.shifts), s.lag_history_days, s.feature_windows,
         s.median_shifts, k=s.folds, estimator=estimator, exclude=s.exclude,
     )
     return to_wide(forecast.withColumn("origin", F.date_from_unix_date(F.col("split_day") + 1)), spec)
@@ -75,7 +100,7 @@ def net_job(panel: DataFrame, spec: PanelSpec, origin: str, s: CitySetting) -> D
         impute(panel, spec, ["neighbors", "season", "mean"], max_missing=s.max_missing, before=origin).select(*spec.columns), "panel"
     )
     split = day_number(origin) - 1
-    shape = (s.lag_history_days, s.windows, s.median_shifts)
+    shape = (s.lag_history_days, s.feature_windows, s.median_shifts)
     known = filled.where(~F.col(spec.station).isin(list(s.exclude))) if s.exclude else filled
     rows = supervised(known, spec, shifted_splits(split - 3, s.shifts), *shape)
     train = write_and_read(rows.join(group_folds(rows, spec.station, s.folds), spec.station), "training")

@@ -220,7 +220,7 @@ def bootstrap_score(spark, sf):
 
 def score_table_merge(spark, sf):
     """Two runs over overlapping dates; equal rows count once."""
-    scores = write_and_read(B.daily_table(_scores(spark, sf)), "scores")
+    scores = write_and_read(S.mean_scores(_scores(spark, sf)), "scores")
     early, late = scores.where("origin <= '2024-01-24'"), scores.where("origin >= '2024-01-20'")
     return rounded(S.merge_scores(early, late), "score")
 

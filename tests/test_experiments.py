@@ -19,6 +19,14 @@ def test_sizes_of_the_grids(spark):
     assert len(E.chosen(curves, None)) == 72
 
 
+def test_city_settings():
+    settings = D.city_settings()
+    assert settings["beijing"].windows == [11, 18, 30, 48, 78] and len(settings["london"].windows) == 9
+    assert (settings["beijing"].strength, settings["london"].strength) == (0.003, 0.001)
+    assert settings["beijing"].exclude == ("zhiwuyuan_aq",) and settings["london"].exclude == ()
+    assert [s.city for s in E.net_settings()] == ["london", "beijing"]
+
+
 def test_medians_run(synthetic, tmp_path):
     panels = {"x": synthetic.where("station < 'c'"), "y": synthetic}
     settings = [s for s in E.medians_settings(("x", "y")) if s.family in ("golden_4", "fib_5")]
