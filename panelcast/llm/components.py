@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelcast.session import write_and_read
 
 BROADCAST_ROWS = 1_000_000
 GROUP = 64
+GROUP_ITEMS = 200_000
 
 
 def sized(small: DataFrame, rows: int) -> DataFrame:
@@ -65,14 +66,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = now
 
 
-def star_links(keys: DataFrame, fits: Callable[[str, str], Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``keys`` (key, id, n) whose key is shared, and candidate pairs of each with its key's least id.
+def star_links(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``keys`` (key, id) whose key is shared, with the key's least id as head, and pairs (a, b, c): ids, the least id of keys of theirs, how many.
 
-    The pairs are as many as the rows at most, however many rows share a key.
+    The pairs are as many as the rows at most, however many rows share a key. Rows must not repeat.
     """
     by_key = keys.repartition("key")
-    heads = by_key.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.max("id").alias("last")).where("head.id <> last")
-    shared = by_key.join(heads.select("key", F.col("head.id").alias("head"), F.col("head.n").alias("head_n")).hint("shuffle_hash"), "key")
-    shared = write_and_read(shared, "shared")
-    pairs = shared.where((F.col("id") != F.col("head")) & fits("n", "head_n")).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    return shared.select("key", "id", "n"), pairs
+    heads = by_key.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head <> last").drop("last")
+    shared = write_and_read(by_key.join(heads.hint("shuffle_hash"), "key"), "shared")
+    pairs = shared.where("id <> head").groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("c"))
+    return shared, pairs
+
+
+def in_groups(place: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    """Adds ``group`` to rows with a family and a root: parts of about GROUP rows (or GROUP_ITEMS of ``weight``).
+
+    A root with GROUP rows or more has groups of its own; the rows of smaller ones are grouped by family.
+    """
+    large = place.groupBy("root").agg(F.count("*").alias("_n")).where(F.col("_n") >= GROUP).select("root", F.lit(True).alias("_large"))
+    dealt = place.join(large, "root", "left").withColumn("_bucket", F.when(F.col("_large"), F.col("root")).otherwise(F.col("family")))
+    size = F.count("*") / GROUP
+    extent = dealt.groupBy("_bucket").agg(F.ceil(F.greatest(size, F.sum(weight) / GROUP_ITEMS) if weight else size).alias("_parts"))
+    part = F.pmod(F.xxhash64(key), F.col("_parts")).cast("long")
+    return dealt.join(extent, "_bucket").withColumn("group", F.xxhash64("_bucket", part)).drop("_bucket", "_large", "_parts")
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many items two ascending sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelcast.llm import text as tx
-from panelcast.llm.components import components, sized, star_links
+from panelcast.llm.components import common, components, in_groups, sized, star_links
+from panelcast.llm.marks import count_and_mark
 from panelcast.session import write_and_read
 
 WIDTH = 10
@@ -98,35 +99,110 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 ends = np.concatenate([[0], np.cumsum(fresh * BANDS)])
                 keys = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bands[fresh].reshape(-1).view(np.int64)))
                 solid = np.flatnonzero(~blank)
-                arrays = [pa.array(key[row]), pa.array(version[row]), pa.array(number), pa.array(line.view(np.int64)), pa.array(np.diff(starts)), keys]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "version", "number", "line", "n", "bands"]).take(pa.array(solid))
+                arrays = [pa.array(key[row]), pa.array(version[row]), pa.array(number), pa.array(line.view(np.int64)), keys]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "version", "number", "line", "bands"]).take(pa.array(solid))
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingle sets of the wanted lines of each document."""
+def _bands_of(batch: pa.RecordBatch) -> np.ndarray:
+    return pa.compute.list_flatten(batch.column("bands")).to_numpy().view(tx.U).copy()
+
+
+def _repeated_bands(marks):
+    """(key, id) for the bands of each line that other lines may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids = _bands_of(batch), np.repeat(batch.column("line").to_numpy(), pa.compute.list_value_length(batch.column("bands")).to_numpy(zero_copy_only=False))
+            if marks.value.least == 2:
+                on = marks.value.rank(keys) > 0
+                keys, ids = keys[on], ids[on]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids)], names=["key", "id"])
+
+    return run
+
+
+def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle set of every text, taken as one line."""
+    parts = [(grams, np.diff(starts)) for _, _, _, _, grams, starts in line_blocks(*characters(texts))]
+    sizes = np.concatenate([n for _, n in parts])
+    return tx.distinct(np.concatenate([g for g, _ in parts]), np.concatenate([[0], np.cumsum(sizes)]))
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of lines whose sets of shingles are similar enough."""
     for whole in batches:
-        for batch in tx.slices(whole, "text"):
-            lists = batch.column("wanted")
-            wanted = pa.compute.list_flatten(lists).to_numpy()
-            wanted = np.unique(np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)) * (1 << 32) + wanted)
-            for _, row, number, line, grams, starts in line_blocks(*characters(batch.column("text"))):
-                mark = np.isin(row * (1 << 32) + number, wanted)
-                if mark.any():
-                    here = np.repeat(mark, np.diff(starts))
-                    items, ends = tx.distinct(grams[here], np.concatenate([[0], np.cumsum(np.diff(starts)[mark])]))
-                    yield pa.RecordBatch.from_arrays([pa.array(line[mark].view(np.int64)), tx.lists(items, ends)], names=["id", "items"])
+        for start in range(0, whole.num_rows, 1000):
+            batch = whole.slice(start, 1000)
+            (x, x_at), (y, y_at) = _sets(batch.column("ta")), _sets(batch.column("tb"))
+            ends = x_at + y_at
+            both = np.empty(len(x) + len(y), tx.U)
+            both[np.arange(len(x)) + np.repeat(y_at[:-1], np.diff(x_at))] = x
+            both[np.arange(len(y)) + np.repeat(x_at[1:], np.diff(y_at))] = y
+            union = np.diff(tx.distinct(both, ends)[1])
+            near = 100 * (np.diff(ends) - union) >= PERCENT * union
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near))
+
+
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
+
 
+def _compare(table: pa.Table) -> pa.Table:
+    """Links between the lines of two groups that share a key, one for each pair of components they join."""
+    ids, root, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "root", "side"))
+    items, starts = _sets(table.column("text").combine_chunks())
+    same = (table.column("ga")[0] == table.column("gb")[0]) if table.num_rows else False
+    parent: dict[int, int] = {}
 
-def _fits(a: str, b: str) -> Column:
-    """Numbers of shingles that do not rule 0.8 out (repeats inside a line count, so with some room)."""
-    return (F.col(a) * 2 >= F.col(b)) & (F.col(b) * 2 >= F.col(a))
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
+    by_key: dict[int, list[int]] = {}
+    a, b, seen = [], [], set()
+    for i, keys in enumerate(table.column("keys").to_pylist()):
+        mine = items[starts[i] : starts[i + 1]]
+        for key in keys:
+            held = by_key.setdefault(key, [])
+            for j in held:
+                if (same or side[i] != side[j]) and (i, j) not in seen and find(root[i]) != find(root[j]):
+                    seen.add((i, j))
+                    other = items[starts[j] : starts[j + 1]]
+                    if 100 * min(len(mine), len(other)) >= PERCENT * max(len(mine), len(other)):
+                        both = common(mine, other)
+                        if 100 * both >= PERCENT * (len(mine) + len(other) - both):
+                            parent[find(root[i])] = find(root[j])
+                            a.append(ids[i])
+                            b.append(ids[j])
+            held.append(i)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("ib"))
-    both = F.size(F.array_intersect("ia", "ib"))
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= PERCENT * (F.size("ia") + F.size("ib") - both)).select("a", "b")
+
+def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame, count: int) -> DataFrame:
+    """Links between lines that share a key and are still in different components.
+
+    Lines lie in groups of about GROUP: parts of a large component, or of the small ones whose keys
+    lead to the same head. Pairs of groups that share a key and hold different components are compared
+    by one task each, so a family's rows are shipped once per pair of its groups, not once per pair.
+    """
+    place = shared.groupBy("id").agg(F.min("head").alias("family")).join(roots, F.col("id") == F.col("node"), "left")
+    place = place.select("id", "family", F.coalesce("root", "id").alias("root"))
+    place = in_groups(place, "id")
+    tokens = shared.select("key", "id").join(sized(place, count), "id").repartition("key")
+    mixed = tokens.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    tokens = write_and_read(tokens.join(mixed.hint("shuffle_hash"), "key"), "tokens")
+    held = tokens.groupBy("key", "group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    other = held.select("key", F.col("group").alias("gb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    pairs = held.withColumnRenamed("group", "ga").join(other, "key").where("ga <= gb and least(lo, lo_b) < greatest(hi, hi_b)").select("ga", "gb").distinct()
+    pairs = write_and_read(pairs, "group-pairs")
+    lines = tokens.groupBy("group", "id", "root").agg(F.collect_list("key").alias("keys")).join(texts, "id")
+    left = pairs.join(lines, F.col("ga") == F.col("group")).withColumn("side", F.lit(0))
+    right = pairs.where("ga < gb").join(lines, F.col("gb") == F.col("group")).withColumn("side", F.lit(1))
+    return left.unionByName(right).drop("group").groupBy("ga", "gb").applyInArrow(_compare, "a long, b long")
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,26 +217,22 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     64-bit hashes.
     """
     d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_FIRST_KEY)).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
-    lines = d.mapInArrow(_signature_rows, "key long, version long, number long, line long, n long, bands array<long>")
+    lines = d.mapInArrow(_signature_rows, "key long, version long, number long, line long, bands array<long>")
     lines = write_and_read(lines, "lines")
-    bands = lines.where(F.size("bands") > 0).select(F.explode("bands").alias("key"), F.col("line").alias("id"), "n")
-    shared, pairs = star_links(bands, _fits)
+    bands = lines.where(F.size("bands") > 0).select("line", "bands")
+    marks = d.sparkSession.sparkContext.broadcast(count_and_mark(bands.select("bands"), _bands_of, levels=1))
+    shared, pairs = star_links(bands.mapInArrow(_repeated_bands(marks), "key long, id long").distinct())
 
-    wanted = shared.select("id").distinct()
+    wanted = write_and_read(shared.select("id").distinct(), "wanted")
     count = wanted.count()
-    place = lines.join(sized(wanted, count), F.col("line") == F.col("id")).groupBy("line").agg(F.min(F.struct("key", "version", "number")).alias("at"))
-    place = write_and_read(place.groupBy("at.key", "at.version").agg(F.collect_list("at.number").alias("wanted")), "wanted")
-    some = d.join(sized(place, count), ["key", "version"]).select("text", "wanted")
-    sets = write_and_read(some.mapInArrow(_shingle_rows, "id long, items array<long>"), "sets")
-    roots = components(write_and_read(_verify(pairs, sets), "links"))
-
-    apart = shared.distinct().join(sized(roots, count), F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    mixed = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    apart = write_and_read(apart.join(mixed.hint("shuffle_hash"), "key"), "apart")
-    other = apart.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = apart.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra")).join(other, "key")
-    rest = rest.where((F.col("ra") < F.col("rb")) & _fits("na", "nb")).select("a", "b").distinct()
-    found = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verify(rest, sets)))
+    place = lines.join(sized(wanted, count), F.col("line") == F.col("id")).groupBy("id").agg(F.min(F.struct("key", "version", "number")).alias("at"))
+    place = place.groupBy("at.key", "at.version").agg(F.collect_list(F.struct(F.col("at.number").cast("int").alias("number"), "id")).alias("wanted"))
+    some = d.join(sized(write_and_read(place, "wanted"), count), ["key", "version"]).select(F.split("text", "\n", -1).alias("parts"), "wanted")
+    one = some.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), F.get(F.col("parts"), w["number"]).alias("text")))).alias("w"))
+    texts = write_and_read(one.select("w.id", "w.text"), "texts")
+    roots = components(write_and_read(_verify(pairs.drop("c"), texts), "links"))
+
+    found = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_across(shared, roots, texts, count)))
 
     placed = lines.select("key", "version", "number", "line").join(sized(found, count), F.col("line") == F.col("node"), "left")
     placed = placed.select("key", "version", "number", F.coalesce("root", "line").alias("root"))
@@ -186,7 +258,7 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     d = d.join(sized(drops, total), ["_key", "_version"], "left")
     split = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split).cast("long") - 1), F.col("_drop")), lambda i: F.get(split, i.cast("int"))), "\n")
-    lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.translate(F.col(text), "\n", "")) + 1)
+    lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1)
     new = {text: F.when(F.col("_drop").isNull(), F.col(text)).otherwise(kept), "n_lines": lines.cast("long"), "n_removed": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long")}
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return d.select([new[c].alias(c) if c in new else F.col(f"`{c}`") for c in [*names, "n_lines", "n_removed"]])
