@@ -14,9 +14,9 @@ from panelcast.session import write_and_read
 
 MARK_BITS = 27
 SHARD_BITS = 6
-LEVELS = 3
-LEVEL_STEP = 8
-SLICE = 32 << 20
+LEVELS = 2
+LEVEL_STEP = 16
+SLICE = 12 << 20
 
 
 def _count_rows(items_of: Callable[[pa.RecordBatch], np.ndarray]):
@@ -71,7 +71,7 @@ def _count_shard(table: pa.Table) -> pa.Table:
 
 @dataclass(frozen=True)
 class Marks:
-    """Bit tables of 2^MARK_BITS bits (16 MB each) over hashes: those that occur ``least`` times or more, 8, 64 x as often.
+    """Bit tables of 2^MARK_BITS bits (16 MB each) over hashes: those that occur ``least`` times or more, and 16 x as often.
 
     Other hashes may share a bit, so a mark is no proof. If ``least`` is 2, a hash without a mark
     occurs once.

@@ -15,32 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelcast.llm import text as tx
-from panelcast.llm.components import GROUP, components, sized, star_links
+from panelcast.llm.components import common, components, in_groups, sized, star_links
+from panelcast.llm.marks import count_and_mark
 from panelcast.session import write_and_read
 
 PERCENT = 80
-COMMON = 1 << 18
-COMMON_IN_BATCH = 4
 SET = "key long, n long, d1 long, d2 long, items array<long>"
 
 
-def _common_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that several documents of a batch hold, with their number of documents there."""
-    for whole in batches:
-        parts = [tx.shingles(*tx.words(batch.column("text")))[0] for batch in tx.slices(whole, "text")]
-        items, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, tx.U), np.zeros(0, np.int64))
-        often = count >= COMMON_IN_BATCH
-        yield pa.RecordBatch.from_arrays([pa.array(items[often].view(np.int64)), pa.array(count[often])], names=["item", "n"])
-
-
-def common_shingles(docs: DataFrame, most: int = COMMON) -> np.ndarray:
-    """The at most ``most`` shingles found most often, from rare to frequent: 8 bytes each, 2 MB in all.
-
-    They only decide in which order shingles are looked at, so the counts need not be exact.
-    """
-    counts = docs.select("text").mapInArrow(_common_rows, "item long, n long").groupBy("item").agg(F.sum("n").alias("n"))
-    got = counts.orderBy(F.desc("n"), "item").limit(most).toArrow()
-    return got.column("item").to_numpy().view(tx.U)[::-1].copy()
+def _shingles_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.concatenate([tx.shingles(*tx.words(part.column("text")))[0] for part in tx.slices(batch, "text")])
 
 
 def needed(n: np.ndarray | Column) -> np.ndarray | Column:
@@ -49,15 +33,12 @@ def needed(n: np.ndarray | Column) -> np.ndarray | Column:
     return F.floor(up / 100).cast("long") if isinstance(n, Column) else up // 100
 
 
-def _set_rows(common: np.ndarray | None, whole_sets: bool):
-    """Rows of SET per document: size, digests of the set, and its prefix (or all its items).
+def _set_rows(marks):
+    """Rows of SET per document: size, digests of the set, and of its prefix the items that others may hold.
 
-    In the order rare before common, any two linked sets share an item among the first
-    ``n - needed(n) + 1`` of each: the prefix.
+    In the order of ``marks``, any two linked sets share an item among the first ``n - needed(n) + 1``
+    of each: the prefix. Without ``marks``, all items.
     """
-    if common is not None and len(common):
-        place = np.argsort(common, kind="stable")
-        sorted_common = common[place]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -65,30 +46,31 @@ def _set_rows(common: np.ndarray | None, whole_sets: bool):
                 items, starts = tx.shingles(*tx.words(batch.column("text")))
                 n = np.diff(starts)
                 d1, d2 = tx.row_sums(tx.mix(items ^ tx.U(0x5851F42D4C957F2D)), starts), tx.row_sums(tx.mix(items + tx.U(0x14057B7EF767814F)), starts)
-                if whole_sets:
+                if marks is None:
                     out = tx.lists(items, starts)
                 else:
+                    rank = marks.value.rank(items)
+                    row = tx.rows_of(starts)
+                    order = np.lexsort((rank, row))
+                    items, rank = items[order], rank[order]
                     length = np.where(n > 0, n - needed(n) + 1, 0)
-                    if common is not None and len(common):
-                        at = np.minimum(np.searchsorted(sorted_common, items), len(common) - 1)
-                        rank = np.where(sorted_common[at] == items, place[at] + 1, 0)
-                        row = tx.rows_of(starts)
-                        mixed = np.unique(row[rank > 0])
-                        for i in mixed.tolist():
-                            a, b = starts[i], starts[i + 1]
-                            items[a:b] = items[a:b][np.argsort(rank[a:b], kind="stable")]
-                    ends = np.concatenate([[0], np.cumsum(length)])
-                    take = np.repeat(starts[:-1] - ends[:-1], length) + np.arange(ends[-1])
-                    out = tx.lists(items[take], ends)
+                    take = np.arange(len(items)) - starts[:-1][row] < length[row]
+                    if marks.value.least == 2:
+                        take &= rank > 0
+                    out = tx.lists(items[take], np.concatenate([[0], np.cumsum(take)])[starts])
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), out], names=["key", "n", "d1", "d2", "items"])
 
     return run
 
 
-def _fits(a: str | Column, b: str | Column) -> Column:
-    """Sizes that allow 0.8."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return (a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT)
+def _enough(c: Column, a: Column, b: Column) -> Column:
+    """Whether sets of sizes ``a`` and ``b`` that share ``c`` items of their prefixes can be linked.
+
+    A link needs 4/9 of both sizes in common. Of the set whose prefix ends first, what is common
+    lies in both prefixes or behind its own, where it has ``needed - 1`` items.
+    """
+    sizes = (a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT)
+    return sizes & (c >= F.floor((4 * (a + b) + 8) / 9) - F.greatest(needed(a), needed(b)) + 1)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -99,30 +81,55 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= PERCENT * (F.size("ia") + F.size("ib") - both)).select("a", "b")
 
 
-def open_groups(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def _open(table: pa.Table) -> pa.Table:
+    """One group and the documents that ask for it: the links found, a document's first to each component."""
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    ids, root = table.column("id").to_numpy(), table.column("root").to_numpy()
+    items = [np.sort(x.values.to_numpy()) for x in table.column("items").combine_chunks()]
+    members = np.flatnonzero(~asks)
+    union = np.unique(np.concatenate([items[i] for i in members]))
+    a, b = [], []
+    for i in np.flatnonzero(asks).tolist():
+        mine = items[i]
+        if common(mine, union) < needed(len(mine)):
+            continue
+        linked = {root[i]}
+        for j in members.tolist():
+            n = len(items[j])
+            if root[j] not in linked and 100 * min(n, len(mine)) >= PERCENT * max(n, len(mine)):
+                both = common(mine, items[j])
+                if 100 * both >= PERCENT * (len(mine) + n - both):
+                    linked.add(root[j])
+                    a.append(ids[i])
+                    b.append(ids[j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def open_groups(shared: DataFrame, sizes: DataFrame, sets: DataFrame, roots: DataFrame, count: int) -> DataFrame:
     """Links between documents of different components, by the token-group matrix.
 
-    Groups are parts of components of at most about GROUP documents. A document asks for a group if
-    they share an item of their prefixes and the sizes fit; the group opens if its union holds at
-    least ``needed(n)`` of the document's items. For two components, those of the lesser root ask.
+    A group is a part of a large component, or of the small components whose prefixes lead to the same
+    head, of about GROUP documents and at most some hundred thousand shingles. A document asks for a group that
+    holds other components if enough items of its prefix are among those of the group's members; the
+    group opens if the union of its members' sets holds at least ``needed(n)`` of the document's. Of
+    two groups, the documents of the lesser one ask.
     """
-    place = shared.select("id", "n").distinct().join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
-    sizes = place.groupBy("root").agg(F.count("*").alias("docs"))
-    place = place.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("docs") / GROUP)).cast("long")).drop("docs")
-    place = write_and_read(place, "groups")
-    tokens = shared.join(place, "id").repartition("key")
+    place = shared.groupBy("id").agg(F.min("head").alias("family")).join(sizes, "id")
+    place = place.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", "family", F.coalesce("root", "id").alias("root"))
+    place = write_and_read(in_groups(place, "id", "n").select("id", "n", "root", "group"), "groups")
+    tokens = shared.select("key", "id").join(sized(place, count), "id").repartition("key")
     mixed = tokens.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     tokens = write_and_read(tokens.join(mixed.hint("shuffle_hash"), "key"), "tokens")
-    matrix = tokens.groupBy("key", "root", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    asks = tokens.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    asked = asks.join(matrix, "key").where("ra < root and na * 100 >= lo * 80 and hi * 100 >= na * 80").select("a", "na", "root", "part").distinct()
-    asked = write_and_read(asked, "asked")
-    wanted = asked.select("root", "part").distinct()
-    members = place.join(wanted, ["root", "part"]).join(sets, "id").select("root", "part", F.col("id").alias("b"), F.col("items").alias("ib"))
-    unions = members.groupBy("root", "part").agg(F.array_distinct(F.flatten(F.collect_list("ib"))).alias("union"))
-    asking = asked.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
-    opened = asking.join(unions, ["root", "part"]).where(F.size(F.array_intersect("ia", "union")) >= needed(F.col("na"))).select("a", "root", "part")
-    return verify(opened.join(place.select(F.col("id").alias("b"), "root", "part"), ["root", "part"]).select("a", "b"), sets)
+    matrix = tokens.groupBy("key", F.col("group").alias("gb")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    asks = tokens.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("group").alias("ga"))
+    asked = asks.join(matrix, "key").where("ga <= gb and (r0 <> ra or r1 <> ra) and na * 100 >= lo * 80 and hi * 100 >= na * 80")
+    asked = asked.groupBy("a", "na", "ra", "ga", "gb").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # what a link needs is least for the members that differ most in size
+    least, most = F.greatest("lo", needed(F.col("na"))), F.least("hi", F.floor(F.col("na") * 100 / PERCENT).cast("long"))
+    asked = asked.where(_enough(F.col("c"), F.col("na"), least) | _enough(F.col("c"), F.col("na"), most))
+    asked = write_and_read(asked.select("ga", "gb", F.col("a").alias("id"), F.col("ra").alias("root"), F.lit(True).alias("asks")), "asked")
+    members = asked.select("ga", "gb").distinct().join(place, F.col("gb") == F.col("group")).select("ga", "gb", "id", "root", F.lit(False).alias("asks"))
+    return asked.unionByName(members).join(sets, "id").groupBy("ga", "gb").applyInArrow(_open, "a long, b long")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,20 +146,24 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     component of others. An empty table gives none. Other columns of ``docs`` are not read.
     """
     d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    held = write_and_read(d.mapInArrow(_set_rows(common_shingles(d), False), SET), "sets")
+    marks = d.sparkSession.sparkContext.broadcast(count_and_mark(d.select("text"), _shingles_of))
+    held = write_and_read(d.mapInArrow(_set_rows(marks), SET), "sets")
     classes = held.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "items")).alias("first"))
     classes = classes.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "n", F.col("first.key").alias("key"), F.col("first.items").alias("prefix"))
     classes = write_and_read(classes, "classes")
-    shared, pairs = star_links(classes.where("key is not null").select(F.explode("prefix").alias("key"), "id", "n"), _fits)
+    shared, pairs = star_links(classes.select(F.explode("prefix").alias("key"), "id"))
+    sizes = classes.select("id", "n")
+    pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    pairs = pairs.where(_enough(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b")
 
     wanted = write_and_read(classes.select("id", "key", "d1", "d2").join(shared.select("id").distinct(), "id"), "wanted")
     count = wanted.count()
     some = d.join(sized(wanted.select("key").distinct(), count), "key", "left_semi")
-    sets = some.mapInArrow(_set_rows(None, True), SET).join(sized(wanted, count), ["key", "d1", "d2"]).select("id", "items")
+    sets = some.mapInArrow(_set_rows(None), SET).join(sized(wanted, count), ["key", "d1", "d2"]).select("id", "items")
     sets = write_and_read(sets, "sets")
     links = write_and_read(verify(pairs, sets), "links")
     roots = components(links)
-    more = open_groups(shared, sets, roots)
+    more = open_groups(shared, sizes, sets, roots, count)
     found = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     ids = classes.join(found, F.col("id") == F.col("node"), "left").select("d1", "d2", "n", "key", F.coalesce("root", "id").alias("root"))

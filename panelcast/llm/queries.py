@@ -81,4 +81,48 @@ QUERIES = {
     "op9_language_kernel": op9_language_kernel,
     "op10_mixing": op10_mixing,
 }
-SQL: dict[str, str] = {}
+SQL_OP1 = r"""WITH RECURSIVE lowered AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS items FROM lowered
+),
+sizes AS (SELECT doc_id, len(items)::BIGINT AS n FROM sets),
+tokens AS MATERIALIZED (SELECT doc_id, n, hash(unnest(items)) AS item FROM sets JOIN sizes USING (doc_id)),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM tokens a JOIN tokens b ON a.item = b.item AND a.doc_id < b.doc_id
+    AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node
+)
+SELECT s.doc_id, s.n AS n_shingles, min(r.root) AS component_id
+FROM sizes s JOIN reach r ON r.node = s.doc_id GROUP BY 1, 2"""
+SQL_OP4 = """WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+),
+reach(node, root) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
+),
+components AS (SELECT node, min(root) AS component_id FROM reach GROUP BY 1)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.component_id,
+  e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN components c ON c.node = e.vec_id"""
+SQL = {"op1_ngram_join": SQL_OP1, "op4_quantised": SQL_OP4}

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 
