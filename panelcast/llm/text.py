@@ -99,7 +99,6 @@ def spans(texts: pa.Array, trim: bool = False) -> dict[str, np.ndarray]:
     data, offsets = raw(texts)
     n = len(data)
     found: dict[str, list] = {"hash": [np.zeros(0, U)], "at": [np.zeros(0, np.int64)], "size": [np.zeros(0, np.int64)], "tail": [np.zeros(0, np.uint8)]}
-    count = np.zeros(n + 1, np.int64)
     if n:
         solid = ~SPACE[data]
         first = np.zeros(n + 1, bool)
@@ -108,7 +107,6 @@ def spans(texts: pa.Array, trim: bool = False) -> dict[str, np.ndarray]:
         begin[1:] &= ~solid[:-1] | first[1:n]
         end = solid.copy()
         end[:-1] &= ~solid[1:] | first[1:n]
-        np.cumsum(begin, out=count[1:])
         for a, b in _blocks(first[:n] | ~solid, n):
             s, e = np.flatnonzero(begin[a:b]), np.flatnonzero(end[a:b])
             if not len(s):
@@ -125,7 +123,8 @@ def spans(texts: pa.Array, trim: bool = False) -> dict[str, np.ndarray]:
             found["hash"].append(mix((sums[e + 1] - sums[s]) * down[s] + (e - s + 1).astype(U)))
             found["at"].append(s + a)
             found["size"].append(e - s + 1)
-    return {k: np.concatenate(v) for k, v in found.items()} | {"offsets": count[offsets], "data": data}
+    out = {k: np.concatenate(v) for k, v in found.items()}
+    return out | {"offsets": np.searchsorted(out["at"], offsets).astype(np.int64), "data": data}
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
