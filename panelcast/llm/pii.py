@@ -2,10 +2,12 @@
 
 Rules find e-mail addresses, IP addresses, card and phone numbers. Looser patterns propose candidates
 of the same kinds, which may overlap each other and the rules' spans. Gradient-boosted trees learn
-from the rules' verdicts how spans of a kind look and where they stand; they see format and context
-but not what the rules test for (the at sign, Luhn's sum, the plus sign), so they also rate spans
-that the rules miss. Per kind, the least score at which enough held-out candidates are confirmed is
-the threshold; candidates that reach it and overlap no rule span are added.
+how spans of a kind look and where they stand: from candidates that a rule confirms, from copies of the
+rules' spans whose marker is removed or obfuscated (the at sign, the plus sign, usual separators), and
+against candidates with contrary evidence (such as a failed Luhn sum). A candidate that no rule confirms
+and nothing speaks against is no example of either; it is what the trees are for. Per kind, the least
+score at which the held-out copies are told from contrary candidates precisely enough is the threshold;
+candidates that reach it, have no contrary evidence and overlap no rule span are added.
 """
 
 from __future__ import annotations
@@ -175,26 +177,69 @@ def _trees(model) -> list:
     return out
 
 
-def _candidates(spanned: DataFrame) -> DataFrame:
-    """One row per candidate: its features and whether it overlaps a rule span of its kind."""
+def _contrary(kind: str, m: Column) -> Column:
+    """Whether a candidate that no rule confirms shows that it is none of its kind."""
+    s, before, after = m["s"], m["before"], m["after"]
+    if kind == "email":  # no top-level name, or a sentence that ends in between
+        return ~s.rlike("[A-Za-z]{2}$") | s.rlike(r"[^ ]\. ")
+    if kind == "ip":  # numbers out of range, mixed separators, clock times, thousands, longer series
+        high = F.exists(F.split(s, "[.:,]"), lambda x: (F.length(F.regexp_replace(x, "^0+", "")) > 3) | (F.right(F.concat(F.lit("000"), x), F.lit(3)).cast("int") > 255))
+        mixed = ~s.rlike(r"^[0-9]+([.:,])[0-9]+\1[0-9]+\1[0-9]+$")
+        return high | mixed | s.rlike("^([01]?[0-9]|2[0-3]):[0-5]?[0-9]:[0-5]?[0-9]:|^[0-9]{1,3}(,[0-9]{3})+$") | before.rlike("[0-9][.:,]$") | after.rlike("^[.:,][0-9]")
+    if kind == "card":
+        return ~luhn(_digits(s)) | after.rlike("^[ .-]?[0-9]")
+    dates = s.rlike(r"(?<![0-9])(19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}(?![0-9])|(?<![0-9])[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](19|20)[0-9]{2}(?![0-9])")
+    years = s.rlike("(?<![0-9])(19|20)[0-9]{2}[^0-9]{1,3}(19|20)[0-9]{2}(?![0-9])")
+    brackets = F.length(F.regexp_replace(s, r"[^(]", "")) != F.length(F.regexp_replace(s, r"[^)]", ""))
+    return dates | years | brackets | s.rlike(r"^[0-9]+\.[0-9]+$") | before.rlike(r"[\p{L}0-9_#$€£]$|[0-9][.,:/-]$") | after.rlike(r"^[\p{L}_%]|^[.,:/-]?[0-9]")
+
+
+def _hidden(kind: str, m: Column) -> Column:
+    """A rule's span without its marker, or with it obfuscated, in one of a few ways by its hash."""
+    s, way = m["s"], F.pmod(F.xxhash64(m["s"]), F.lit(3))
+    if kind == "email":
+        spelt = lambda at, dot: F.replace(F.replace(s, F.lit("@"), F.lit(at)), F.lit("."), F.lit(dot))
+        out = F.when(way == 0, spelt(" [at] ", " [dot] ")).when(way == 1, spelt("(at)", "(dot)")).otherwise(spelt(" @ ", "."))
+    elif kind == "ip":
+        out = F.when(way == 0, F.translate(s, ".", ",")).otherwise(F.translate(s, ".", ":"))
+    elif kind == "card":
+        out = F.regexp_replace(_digits(s), "([0-9]{4})(?=[0-9])", "$1.")
+    else:
+        out = F.when(way == 0, F.replace(s, F.lit("+"), F.lit("00"))).otherwise(F.replace(s, F.lit("+"), F.lit("")))
+    return F.struct(*[(out if c == "s" else m[c]).alias(c) for c in ("start", "kind", "end", "s", "before", "after")])
+
+
+def _examples(spanned: DataFrame) -> DataFrame:
+    """Features and label of confirmed candidates and hidden copies of the rules' spans (1), and of contrary candidates (0).
+
+    ``copy`` tells the copies. Candidates that are neither confirmed nor contrary are left out.
+    """
 
     def judged(k: str) -> Column:
-        return F.transform(f"c_{k}", lambda m: F.struct(m.alias("m"), _overlaps(f"b_{k}", m).alias("label")))
+        others = F.concat(*[F.transform(f"b_{x}", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))) for x in KINDS if x != k])
+
+        def of(m: Column) -> Column:
+            return F.when(_overlaps(f"b_{k}", m), 1).when(_contrary(k, m) | _overlaps(others, m), 0)
+
+        told = F.filter(F.transform(f"c_{k}", lambda m: F.struct(m.alias("m"), of(m).alias("label"), F.lit(False).alias("copy"))), lambda c: c["label"].isNotNull())
+        copies = F.filter(F.transform(f"b_{k}", lambda m: _hidden(k, m)), lambda m: ~_contrary(k, m))
+        return F.concat(told, F.transform(copies, lambda m: F.struct(m.alias("m"), F.lit(1).alias("label"), F.lit(True).alias("copy"))))
 
     every = F.explode(F.concat(*[judged(k) for k in KINDS])).alias("c")
-    return spanned.select("held", every).select("held", F.col("c.label").cast("double").alias("label"), *features(F.col("c.m")))
+    return spanned.select(every).select(F.col("c.label").cast("double").alias("label"), F.col("c.copy").alias("copy"), *features(F.col("c.m")))
 
 
 def learn(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Judge:
-    """Trees and thresholds from at most 1.25 x SAMPLE_DOCS documents and CANDIDATES candidates.
+    """Trees from at most 1.25 x SAMPLE_DOCS documents and CANDIDATES examples, thresholds from all held-out documents.
 
     Documents are drawn by a hash of the key; those whose crc32 of the key is divisible by 5 are held
-    out from the trees and set the thresholds. A kind with fewer than LEAST_POSITIVES confirmed
-    candidates there, or no score that reaches PRECISION, gets no threshold and no added spans.
+    out from the trees and set the thresholds. There a rule's span counts once, as its copy without
+    marker, against the contrary candidates. A kind with fewer than LEAST_POSITIVES copies there, or no
+    score that reaches PRECISION, gets no threshold and no added spans.
     """
     d = docs.select((remainder(key, 5) == 0).alias("held"), F.col(key).alias("key"), clean(text).alias("_text"))
-    found = write_and_read(_candidates(with_spans(draw(d, SAMPLE_DOCS, None, "key").repartition("key"))).limit(CANDIDATES), "candidates")
-    train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found.where("not held")).select("features", "label")
+    found = write_and_read(_examples(with_spans(draw(d.where("not held"), SAMPLE_DOCS, None, "key").repartition("key"))).limit(CANDIDATES), "candidates")
+    train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found).select("features", "label")
     none = Judge((), (None,) * len(KINDS))
     if train.agg(F.count_distinct("label")).first()[0] < 2:
         return none
@@ -205,7 +250,8 @@ def learn(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Judge:
     for tree in trees:
         margin = margin + _tree_column(tree, span)
     step = F.floor(1000 / (1 + F.exp(-2 * margin))).cast("int")
-    tally = found.where("held").groupBy("kind", step.alias("step")).agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()
+    held = _examples(with_spans(d.where("held"))).where("copy or label = 0")
+    tally = held.groupBy("kind", step.alias("step")).agg(F.sum("label").alias("right"), F.count("*").alias("n")).collect()
     thresholds: list[float | None] = []
     for i in range(len(KINDS)):
         right = n = 0
@@ -238,7 +284,7 @@ def find(docs: DataFrame, judge: Judge, text: str = "text") -> DataFrame:
     d = d.withColumn("base", F.array_sort(F.concat(*[F.transform(f"b_{k}", narrow) for k in KINDS]))).withColumn("_all", F.col("base"))
     for k, threshold in zip(KINDS, judge.thresholds, strict=True):
         if threshold is not None:
-            free = F.filter(f"c_{k}", lambda m: ~_overlaps("_all", m))
+            free = F.filter(f"c_{k}", lambda m: ~_overlaps("_all", m) & ~_contrary(k, m))
             d = d.withColumn(f"_f_{k}", free)
             good = _at_least(f"_f_{k}", judge, threshold)
             d = d.withColumn("_all", F.when(F.size(f"_f_{k}") > 0, F.concat("_all", F.transform(good, narrow))).otherwise(F.col("_all")))

@@ -363,6 +363,22 @@ def test_trees_add_spans_beside_the_rules(spark):
     assert pii.find(d.limit(0), judge).count() == 0 and pii.learn(d.limit(0)).trees == ()
 
 
+def test_trees_add_what_the_rules_miss(spark):
+    """A format that no rule takes is added; what has evidence against it is not, and holds no one back."""
+    r = random.Random(7)
+    rows = []
+    for i in range(1500):
+        number = f"({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"
+        told = f"call me at +1 {number} or write joe{i}@mail.example.com"
+        missed = f"call me at 001 {number} or write ann{i} [at] mail [dot] example [dot] com"
+        rows.append((i, (told, missed, f"part {r.randint(10**13, 10**14)} of {r.randint(1, 9)}.5 and meet me @ home. Then")[i % 3]))
+    judge = pii.learn(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    texts = ["call me at 0012 (345) 555-7788 now", "please write to joe [at] x [dot] org today", "meet me @ home. Then", "in 1990 - 1995 (2000) it", "part 4111 1111 1111 1112 of"]
+    found = [[(x.text[s.start : s.end], pii.KINDS[s.kind]) for s in x.spans] for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), judge).orderBy("doc_id").collect()]
+    assert found[0] == [("0012 (345) 555-7788", "phone")] and found[1] == [("joe [at] x [dot] org", "email")]
+    assert found[2] == [] and found[3] == [] and all(k != "card" for _, k in found[4])
+
+
 def shares(sizes):
     """Targets by the plain rule: share by weight, stop at twice the size, share the excess again."""
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
