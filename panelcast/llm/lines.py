@@ -220,7 +220,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     lines = d.mapInArrow(_signature_rows, "key long, version long, number long, line long, bands array<long>")
     lines = write_and_read(lines, "lines")
     bands = lines.where(F.size("bands") > 0).select("line", "bands")
-    marks = d.sparkSession.sparkContext.broadcast(count_and_mark(bands.select("bands"), _bands_of, levels=1))
+    marks = d.sparkSession.sparkContext.broadcast(count_and_mark(bands.select("bands"), _bands_of, F.size("bands"), levels=1))
     shared, pairs = star_links(bands.mapInArrow(_repeated_bands(marks), "key long, id long").distinct())
 
     wanted = write_and_read(shared.select("id").distinct(), "wanted")

@@ -7,19 +7,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelcast.llm import text as tx
 from panelcast.session import write_and_read
 
 MARK_BITS = 27
 SHARD_BITS = 6
+SHARD_HASHES = 4_000_000
 LEVELS = 2
 LEVEL_STEP = 16
 SLICE = 12 << 20
 
 
-def _count_rows(items_of: Callable[[pa.RecordBatch], np.ndarray]):
+def shard_bits(hashes: int, most: int = SHARD_HASHES) -> int:
+    """The least power of two of shards, 2^SHARD_BITS or more, of which none gets more than about ``most`` hashes."""
+    return min(MARK_BITS - 3, max(SHARD_BITS, (-(-hashes // most) - 1).bit_length() if hashes else 0))
+
+
+def _count_rows(items_of: Callable[[pa.RecordBatch], np.ndarray], bits: int):
     """Per batch and shard of the hash range: the batch's hashes there, ascending, with their counts.
 
     Hashes go by their top 40 bits, as differences of few bytes each.
@@ -33,11 +39,11 @@ def _count_rows(items_of: Callable[[pa.RecordBatch], np.ndarray]):
                 first = np.flatnonzero(np.append(True, items[1:] != items[:-1])) if len(items) else np.zeros(0, np.int64)
                 count = np.minimum(np.diff(np.append(first, len(items))), 65535).astype(np.uint16)
                 items = items[first]
-                cuts = np.searchsorted(items, np.arange((1 << SHARD_BITS) + 1, dtype=tx.U) << tx.U(40 - SHARD_BITS))
+                cuts = np.searchsorted(items, np.arange((1 << bits) + 1, dtype=tx.U) << tx.U(40 - bits))
                 rows: list[tuple] = []
                 for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     if b > a:
-                        steps = np.diff(items[a:b], prepend=tx.U(s) << tx.U(40 - SHARD_BITS))
+                        steps = np.diff(items[a:b], prepend=tx.U(s) << tx.U(40 - bits))
                         width = max(1, -(-int(steps.max()).bit_length() // 8))
                         planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
                         rows.append((s, width, planes.tobytes(), count[a:b].tobytes()))
@@ -47,26 +53,34 @@ def _count_rows(items_of: Callable[[pa.RecordBatch], np.ndarray]):
     return run
 
 
-def _count_shard(table: pa.Table) -> pa.Table:
-    """For every power of two from 2: how many hashes of the shard occur that often, and a bit for each."""
-    shard, items, counts = table.column("shard")[0].as_py(), [], []
-    for width, steps, count in zip(*(table.column(c).to_pylist() for c in ("width", "steps", "counts")), strict=True):
-        planes = np.frombuffer(steps, np.uint8).reshape(width, -1)
-        wide = np.zeros((planes.shape[1], 8), np.uint8)
-        wide[:, :width] = planes.T
-        items.append(np.cumsum(wide.view("<u8")[:, 0]) + (np.uint64(shard) << np.uint64(40 - SHARD_BITS)))
-        counts.append(np.frombuffer(count, np.uint16))
-    unique, at = np.unique(np.concatenate(items), return_inverse=True)
-    total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-    place = (unique >> np.uint64(40 - MARK_BITS)).astype(np.int64) & ((1 << (MARK_BITS - SHARD_BITS)) - 1)
-    rows, level = [], 2
-    while (often := total >= level).any():
-        bits = np.zeros(1 << (MARK_BITS - SHARD_BITS), bool)
-        bits[place[often]] = True
-        rows.append((shard, level, int(often.sum()), np.packbits(bits, bitorder="little").tobytes()))
-        level *= 2
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["shard", "level", "n", "bits"])
+def _count_shard(shard_bits: int):
+    """For every power of two from 2: how many hashes of a shard occur that often, and a bit for each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        held = np.empty(sum(len(x.as_py()) for x in table.column("counts")) // 2, np.uint64)
+        stop = 0
+        for width, steps, count in zip(*(table.column(c) for c in ("width", "steps", "counts")), strict=True):
+            planes = np.frombuffer(steps.as_py(), np.uint8).reshape(width.as_py(), -1)
+            wide = np.zeros((planes.shape[1], 8), np.uint8)
+            wide[:, : len(planes)] = planes.T
+            start, stop = stop, stop + len(wide)
+            # a hash and its count in one number, as 40 and 16 bits
+            held[start:stop] = ((np.cumsum(wide.view("<u8")[:, 0]) + (np.uint64(shard) << np.uint64(40 - shard_bits))) << np.uint64(16)) | np.frombuffer(count.as_py(), np.uint16)
+        held.sort()
+        first = np.flatnonzero(np.append(True, held[1:] >> np.uint64(16) != held[:-1] >> np.uint64(16)))
+        total = np.add.reduceat(held & np.uint64(65535), first).astype(np.int64)
+        place = (held[first] >> np.uint64(56 - MARK_BITS)).astype(np.int64) & ((1 << (MARK_BITS - shard_bits)) - 1)
+        rows, level = [], 2
+        while (often := total >= level).any():
+            bits = np.zeros(1 << (MARK_BITS - shard_bits), bool)
+            bits[place[often]] = True
+            rows.append((shard, level, int(often.sum()), np.packbits(bits, bitorder="little").tobytes()))
+            level *= 2
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["shard", "level", "n", "bits"])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -91,15 +105,17 @@ class Marks:
         return out
 
 
-def count_and_mark(rows: DataFrame, items_of: Callable[[pa.RecordBatch], np.ndarray], levels: int = LEVELS) -> Marks:
+def count_and_mark(rows: DataFrame, items_of: Callable[[pa.RecordBatch], np.ndarray], most: Column, levels: int = LEVELS, shard_hashes: int = SHARD_HASHES) -> Marks:
     """Counts the hashes that ``items_of`` finds in each batch of ``rows`` and marks the repeated ones.
 
-    The counts stay in the shards; the driver gets bit tables of a fixed size. ``least`` is the
+    ``most`` tells how many hashes a row has at most; the number of shards follows from its sum, so a
+    task holds about ``shard_hashes`` at most, however large the input. The counts stay in the shards; the driver gets bit tables of a fixed size. ``least`` is the
     smallest power of two for which at most a quarter of the bits are taken, 2 unless there are very
     many repeated hashes; then only the more frequent ones are marked.
     """
-    sent = rows.mapInArrow(_count_rows(items_of), "shard long, width long, steps binary, counts binary")
-    counted = write_and_read(sent.groupBy("shard").applyInArrow(_count_shard, "shard long, level long, n long, bits binary"), "marks")
+    bits = shard_bits(rows.agg(F.coalesce(F.sum(most), F.lit(0)).cast("long")).first()[0], shard_hashes)
+    sent = rows.mapInArrow(_count_rows(items_of, bits), "shard long, width long, steps binary, counts binary")
+    counted = write_and_read(sent.groupBy("shard").applyInArrow(_count_shard(bits), "shard long, level long, n long, bits binary"), "marks")
     sizes = {r["level"]: r["n"] for r in counted.groupBy("level").agg(F.sum("n").alias("n")).collect()}
     least = 2
     while sizes.get(least, 0) > 1 << (MARK_BITS - 2):
@@ -108,6 +124,6 @@ def count_and_mark(rows: DataFrame, items_of: Callable[[pa.RecordBatch], np.ndar
     for k in range(levels):
         table = np.zeros(1 << (MARK_BITS - 3), np.uint8)
         for r in counted.where(F.col("level") == least * LEVEL_STEP**k).select("shard", "bits").toLocalIterator():
-            table[r["shard"] * (len(table) >> SHARD_BITS) : (r["shard"] + 1) * (len(table) >> SHARD_BITS)] = np.frombuffer(r["bits"], np.uint8)
+            table[r["shard"] * (len(table) >> bits) : (r["shard"] + 1) * (len(table) >> bits)] = np.frombuffer(r["bits"], np.uint8)
         tables.append(table)
     return Marks(least, tables)

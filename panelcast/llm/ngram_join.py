@@ -146,7 +146,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     component of others. An empty table gives none. Other columns of ``docs`` are not read.
     """
     d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    marks = d.sparkSession.sparkContext.broadcast(count_and_mark(d.select("text"), _shingles_of))
+    marks = d.sparkSession.sparkContext.broadcast(count_and_mark(d.select("text"), _shingles_of, F.octet_length("text") / 2 + 1))
     held = write_and_read(d.mapInArrow(_set_rows(marks), SET), "sets")
     classes = held.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "items")).alias("first"))
     classes = classes.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "n", F.col("first.key").alias("key"), F.col("first.items").alias("prefix"))

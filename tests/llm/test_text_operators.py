@@ -119,6 +119,29 @@ def test_similar_equals_brute_force(docs, empty):
     assert ngram_join.similar(empty).count() == 0
 
 
+def test_shards_of_hashes_follow_the_input(spark):
+    """A shard holds a bounded number of hashes, and more shards mark the same hashes."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from panelcast.llm import marks
+
+    assert marks.shard_bits(0) == marks.shard_bits(1000) == marks.SHARD_BITS
+    for n in (10**9, 15 * 10**9, 10**12):
+        assert n / 2 ** marks.shard_bits(n) <= marks.SHARD_HASHES
+    r = np.random.default_rng(4)
+    some = r.integers(0, 1 << 63, 3000).astype(np.uint64) << np.uint64(1)
+    items = np.concatenate([some, some[:900], *[some[:40]] * 60])
+    d = spark.createDataFrame([(int(x),) for x in items.view(np.int64)], "h long").repartition(5)
+    taken = lambda batch: batch.column("h").to_numpy().view(np.uint64).copy()
+    few, many = (marks.count_and_mark(d, taken, F.lit(1), shard_hashes=n) for n in (10**6, 10))
+    assert all((a == b).all() for a, b in zip(few.tables, many.tables, strict=True))
+    assert many.rank(some[:40]).tolist() == [2] * 40 and (many.rank(some[40:900]) >= 1).all() and (many.rank(some[900:]) == 0).mean() > 0.99
+    batch = pa.record_batch([pa.array(items.view(np.int64))], names=["h"])
+    rows = next(marks._count_rows(taken, marks.shard_bits(len(items), 10))(iter([batch])))
+    assert max(len(x.as_py()) // 2 for x in rows.column("counts")) <= 40
+
+
 def test_near_copies_of_one_family_meet(spark):
     """Links only between neighbours of a chain: the first and last are alike in nothing but belong together."""
     words = [f"t{i}" for i in range(300)]
