@@ -37,13 +37,18 @@ BLOCK = "dest long, batch long, kind int, keys array<long>, payload binary"
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
-    """Factors for counts 0..SMALL + 1, the last for all larger ones, from how many items have each count.
+    """Factors from the counts of all items, by their counts of counts."""
+    return factors_of(np.bincount(np.minimum(counts[counts > 0], SMALL + 2), minlength=SMALL + 3)[: SMALL + 2])
+
+
+def factors_of(seen: np.ndarray) -> np.ndarray:
+    """Factors for counts 0..SMALL + 1, the last for all larger ones; ``seen`` tells how many items have each of the counts 0..SMALL + 1.
 
     Katz's form of Good-Turing; where the counts of counts do not allow it (a zero among them, or a
     factor outside (0, 1)), absolute discounting by n1 / (n1 + 2 n2) instead. Larger counts give up
     KEPT_BACK of their mass, so that every history leaves some for unseen words.
     """
-    n = np.bincount(np.minimum(counts[counts > 0], SMALL + 2), minlength=SMALL + 3)[: SMALL + 2].astype(float)
+    n = np.asarray(seen, float)
     r = np.arange(1, SMALL + 1)
     out = np.full(SMALL + 2, 1 - KEPT_BACK)
     with np.errstate(all="ignore"):
@@ -115,7 +120,7 @@ def unigrams(train: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Unigrams:
     small = np.zeros(SMALL + 2, np.int64)
     for r in table.where(F.col("n") <= SMALL + 1).groupBy("n").agg(F.count("*").alias("words")).collect():
         small[r["n"]] = r["words"]
-    factors = discounts(np.repeat(np.arange(SMALL + 2), np.minimum(small, 1 << 24)))
+    factors = factors_of(small)
     r = np.arange(1, SMALL + 1)
     left = ((1 - factors[1 : SMALL + 1]) * r * small[1 : SMALL + 1]).sum() + KEPT_BACK * rest
     hot = table.where(F.col("n") > total / (2 * shards)).orderBy("word").toArrow() if shards > 1 else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})

@@ -195,6 +195,17 @@ def test_best_fit_takes_the_tightest_window():
     assert sequence.max() + 1 == len(rest) and sorted(offset.tolist()) == sorted(expected.values())
 
 
+def test_unigram_discounts_of_many_rare_words(spark, monkeypatch):
+    """Counts of counts of any size give the factors; they depend on ratios alone."""
+    seen = np.array([0, 60, 20, 10, 6, 4, 3])
+    assert katz.factors_of(seen * 10**9) == pytest.approx(katz.factors_of(seen), rel=1e-12)
+    assert katz.factors_of(seen) == pytest.approx(katz.discounts(np.repeat(np.arange(7), seen)), rel=1e-12)
+    given = []
+    monkeypatch.setattr(katz, "factors_of", lambda n, f=katz.factors_of: given.append(n.tolist()) or f(n))
+    katz.unigrams(spark.range(3).selectExpr("concat('a b ', cast(id AS string)) AS text"))
+    assert given == [[0, 3, 0, 3, 0, 0, 0]]
+
+
 def katz_by_hand(rows, train):
     texts = [[*tokens(t), "end"] for _, t, *_ in rows]
     c, pairs = collections.Counter(), collections.Counter()
