@@ -9,8 +9,10 @@ up to 1 exactly after every history. A text starts after a start mark and ends w
 Scoring needs, for every token, counts that lie with its word and with the word before it. Tokens are
 sent to shards by word, in one compact block per batch of documents and shard (about 8 bytes a
 token); a shard holds the rows of the bigram table for its words. It answers with sums per document
-and passes on, by history, the mass that its pairs take and leave. Shards by history turn those into
-alpha and answer for the unseen pairs. No table is ever held whole anywhere.
+and how many seen pairs of each small count these hold, and passes on, by history, the mass that its
+pairs take and how much of each small count there is; none of this needs the pairs' discounts. These
+follow from the counts of counts of all shards, which are summed first. Shards by history then turn
+the masses into alpha and answer for the unseen pairs. No table is ever held whole anywhere.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ SMALL = 5
 KEPT_BACK = 1e-4
 SHARD_TOKENS = 4_000_000
 SLICE = 24 << 20
-DOCS, SUMS, MASS, UNSEEN = range(4)
+DOCS, SUMS, MASS, UNSEEN, COUNTS = range(5)
 BLOCK = "dest long, batch long, kind int, keys array<long>, payload binary"
 
 
@@ -161,13 +163,18 @@ def _widen(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.int64) if not len(high) else low.astype(np.int64) | (high.astype(np.int64) << 16)
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the least type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["dest", "batch", "kind", "keys", "payload"])
 
 
 def _send(model):
-    """Per batch of documents: its keys, and one block of tokens for each shard."""
+    """Per batch of documents: its keys, and one block for each shard: pairs, the documents that hold each, how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, number = model.value, TaskContext.get().partitionId() << 32
@@ -188,9 +195,13 @@ def _send(model):
                     at = by[cuts[s] : cuts[s + 1]]
                     if not len(at):
                         continue
-                    w, first = np.unique(words[at], return_index=True)
-                    names, which = np.unique(before[at], return_inverse=True)
-                    body = _pack(w, np.diff(np.append(first, len(at))).astype(np.uint32), names, *_narrow(which, len(names)), *_narrow(doc[at], len(starts)), train)
+                    w, of_w = np.unique(words[at], return_inverse=True)
+                    names, of_h = np.unique(before[at], return_inverse=True)
+                    pairs, of_pair = np.unique(of_w.astype(np.int64) * len(names) + of_h, return_inverse=True)
+                    entries, n = np.unique(of_pair.astype(np.int64) * len(starts) + doc[at], return_counts=True)
+                    per_word = np.bincount(pairs // len(names), minlength=len(w)).astype(np.uint32)
+                    per_pair = _small(np.bincount(entries // len(starts), minlength=len(pairs)))
+                    body = _pack(w, per_word, names, *_narrow(pairs % len(names), len(names)), per_pair, *_narrow(entries % len(starts), len(starts)), _small(n), train)
                     yield _rows([(s, number, SUMS, None, body)])
                 number += 1
 
@@ -198,104 +209,120 @@ def _send(model):
 
 
 def _shard(model):
-    """A shard of the bigram table from all its blocks: sums per document, mass by history, unseen pairs."""
+    """A shard of the bigram table from all its blocks: sums per document, mass by history, unseen pairs, counts of counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        m = model.value
-        if table.column("dest")[0].as_py() < 0:
+        m, shard = model.value, table.column("dest")[0].as_py()
+        if shard < 0:
             return table
         batch = table.column("batch").to_pylist()
         parts = [_unpack(p.as_py()) for p in table.column("payload")]
         del table
         words, wid = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         names, hid = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
-        wid, hid = wid.astype(np.int32), hid.astype(np.int32)
         w_cut, h_cut = (np.cumsum([0] + [len(p[k]) for p in parts]) for k in (0, 2))
         w = np.concatenate([np.repeat(wid[a:b], p[1]) for a, b, p in zip(w_cut[:-1], w_cut[1:], parts, strict=True)])
         pair = np.concatenate([hid[a:b][_widen(p[3], p[4])] for a, b, p in zip(h_cut[:-1], h_cut[1:], parts, strict=True)]).astype(np.int64)
         pair += w.astype(np.int64) * len(names)
-        train = np.concatenate([p[7][_widen(p[5], p[6])] for p in parts]).astype(bool)
-        counts = np.bincount(w[train], minlength=len(words))
+        learnt = np.concatenate([np.bincount(np.repeat(np.arange(len(p[5])), p[5]), p[8] * p[9][_widen(p[6], p[7])].astype(np.int64), len(p[5])) for p in parts]).astype(np.int64)
+        counts = np.bincount(w, learnt, len(words)).astype(np.int64)
         hot = _find(m.hot, words)
         counts[hot >= 0] = m.hot_counts[hot[hot >= 0]]
-        kinds, seen_kind = np.unique(pair[train], return_counts=True)
-        factors = discounts(seen_kind)
-        at = _find(kinds, pair) if not train.all() else np.searchsorted(kinds, pair)
+        own = learnt > 0
+        kinds, at = np.unique(pair[own], return_inverse=True)
+        seen_kind = np.bincount(at, learnt[own], len(kinds)).astype(np.int64)
+        at = _find(kinds, pair)
         c_pair = np.where(at >= 0, seen_kind[at] if len(kinds) else 0, 0)
-        del at
+        del at, own, learnt
         chance = m.chance(counts)
         with np.errstate(divide="ignore"):
-            seen_log = np.log10(discounted(np.arange(c_pair.max(initial=0) + 1), factors))
-            value = np.where(c_pair > 0, seen_log[c_pair], np.log10(chance)[w])
+            value = np.where(c_pair > 0, np.log10(np.maximum(c_pair, 1)), np.log10(chance)[w])
             value -= np.where((counts > 0) & (words != END), np.log10(np.maximum(counts, 1)), 0.0)[w]
         base, known = np.log10(counts + 0.1), counts > 0
         rows, start = [], 0
         for number, p in zip(batch, parts, strict=True):
-            doc = _widen(p[5], p[6])
-            stop, n = start + len(doc), len(p[7])
-            here = w[start:stop]
-            sums = [np.bincount(doc, x, n) for x in (value[start:stop], base[here])]
-            rows.append((-1 - number, number, SUMS, None, _pack(*sums, np.bincount(doc[known[here]], minlength=n).astype(np.uint32))))
-            unseen = np.flatnonzero(c_pair[start:stop] == 0)
+            of, n = start + np.repeat(np.arange(len(p[5])), p[5]), p[8].astype(np.int64)
+            start += len(p[5])
+            docs, doc = np.unique(_widen(p[6], p[7]), return_inverse=True)
+            sums = [np.bincount(doc, n * x, len(docs)) for x in (value[of], base[w[of]])]
+            size = np.bincount(doc * (SMALL + 2) + np.minimum(c_pair[of], SMALL + 1), n, len(docs) * (SMALL + 2)).astype(np.int64).reshape(-1, SMALL + 2)
+            of_known = np.bincount(doc, n * known[w[of]], len(docs)).astype(np.int64)
+            rows.append((-1 - number, number, SUMS, None, _pack(_small(docs), *sums, _small(of_known), *[_small(size[:, r]) for r in range(1, SMALL + 2)])))
+            unseen = np.flatnonzero(c_pair[of] == 0)
             if len(unseen):
-                h = names[pair[start + unseen] % len(names)]
+                h = names[pair[of[unseen]] % len(names)]
                 to = _history_shard(h, m.shards)
                 for s in np.unique(to).tolist():
                     mine = to == s
-                    rows.append((s, number, UNSEEN, None, _pack(h[mine], doc[unseen[mine]].astype(np.uint32), np.array([n]))))
-            start = stop
+                    rows.append((s, number, UNSEEN, None, _pack(h[mine], docs[doc[unseen[mine]]].astype(np.uint32), _small(n[unseen[mine]]))))
         h = kinds % max(len(names), 1)
         taken = np.bincount(h, chance[kinds // max(len(names), 1)], len(names))
-        left = np.bincount(h, seen_kind - discounted(seen_kind, factors), len(names))
-        some = np.flatnonzero(left)
+        mass = _mass(h, seen_kind, len(names))
+        some = np.flatnonzero(mass.any(1))
         to = _history_shard(names[some], m.shards)
         for s in range(m.shards):
             mine = some[to == s]
             if len(mine):
-                rows.append((s, 0, MASS, None, _pack(names[mine], taken[mine], left[mine].astype(np.float32))))
+                rows.append((s, 0, MASS, None, _pack(names[mine], taken[mine], *[_small(x) for x in mass[mine].T])))
+        rows.append((shard, 0, COUNTS, _counts_of(seen_kind).tolist(), _pack()))
         return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
+def _counts_of(counts: np.ndarray) -> np.ndarray:
+    """How many items have each of the counts 0..SMALL + 1."""
+    return np.bincount(np.minimum(counts, SMALL + 2), minlength=SMALL + 3)[: SMALL + 2]
+
+
+def _mass(h: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Per history, the summed counts of its pairs of count 1, 2, ..., SMALL, and more."""
+    return np.bincount(h * (SMALL + 1) + np.minimum(counts, SMALL + 1) - 1, counts, n * (SMALL + 1)).astype(np.int64).reshape(-1, SMALL + 1)
+
+
 def _history_shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((tx.mix(h + tx.U(77)) >> tx.U(32)) * tx.U(shards)) >> tx.U(32)
 
 
-def _sum_blocks(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
-    return [np.sum(x, axis=0) for x in zip(*blocks, strict=True)]
+def _backoff(factors: np.ndarray):
+    """By history: alpha(h) c(h) from all shards' masses, added up per document for the unseen pairs."""
 
+    def run(table: pa.Table) -> pa.Table:
+        kind, payload = table.column("kind").to_pylist(), [_unpack(p.as_py()) for p in table.column("payload")]
+        mass = [p for k, p in zip(kind, payload, strict=True) if k == MASS]
+        names, at = np.unique(np.concatenate([p[0] for p in mass] or [np.zeros(0, tx.U)]), return_inverse=True)
+        taken, *sizes = (np.bincount(at, np.concatenate([p[k] for p in mass] or [np.zeros(0)]), len(names)) for k in range(1, SMALL + 3))
+        left = sum((x * (1 - f) for x, f in zip(sizes, factors[1:], strict=True)), np.zeros(len(names)))
+        alpha = np.append(np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - taken, 1e-12)), 0.0)
+        blocks: dict[int, list] = {}
+        for number, k, p in zip(table.column("batch").to_pylist(), kind, payload, strict=True):
+            if k == UNSEEN:
+                blocks.setdefault(number, []).append((p[1], alpha[_find(names, p[0])] * p[2]))
+        rows = []
+        for number, found in blocks.items():
+            docs, doc = np.unique(np.concatenate([d for d, _ in found]), return_inverse=True)
+            rows.append((0, number, UNSEEN, None, _pack(_small(docs), np.bincount(doc, np.concatenate([x for _, x in found]), len(docs)))))
+        return pa.Table.from_batches([_rows(rows)])
 
-def _backoff(table: pa.Table) -> pa.Table:
-    """By history: alpha(h) c(h) from all shards' masses, added up per document for the unseen pairs."""
-    kind, payload = table.column("kind").to_pylist(), [_unpack(p.as_py()) for p in table.column("payload")]
-    if table.column("dest")[0].as_py() < 0:
-        keep = [i for i, k in enumerate(kind) if k == DOCS]
-        sums = [p for k, p in zip(kind, payload, strict=True) if k == SUMS]
-        batch = table.column("batch")[0].as_py()
-        return pa.concat_tables([table.take(pa.array(keep, pa.int64())), pa.Table.from_batches([_rows([(0, batch, SUMS, None, _pack(*_sum_blocks(sums)))])])]) if sums else table.take(pa.array(keep, pa.int64()))
-    mass = [p for k, p in zip(kind, payload, strict=True) if k == MASS]
-    names, at = np.unique(np.concatenate([p[0] for p in mass] or [np.zeros(0, tx.U)]), return_inverse=True)
-    taken, left = (np.bincount(at, np.concatenate([p[k] for p in mass] or [np.zeros(0)]), len(names)) for k in (1, 2))
-    alpha = np.append(np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - taken, 1e-12)), 0.0)
-    rows: dict[int, np.ndarray] = {}
-    for number, k, p in zip(table.column("batch").to_pylist(), kind, payload, strict=True):
-        if k == UNSEEN:
-            add = np.bincount(p[1], alpha[_find(names, p[0])], int(p[2][0]))
-            rows[number] = rows[number] + add if number in rows else add
-    return pa.Table.from_batches([_rows([(0, b, UNSEEN, None, _pack(x)) for b, x in rows.items()])])
-
-
-def _finish(model, n_train: int):
+    return run
+
+
+def _finish(model, factors: np.ndarray, n_train: int):
     def run(table: pa.Table) -> pa.Table:
         m, kind = model.value, table.column("kind").to_pylist()
         payload = [_unpack(p.as_py()) for p in table.column("payload")]
-        head = kind.index(DOCS)
+        head, logs = kind.index(DOCS), np.log10(factors)
         tokens = payload[head][0]
-        value, base, known = _sum_blocks([p for k, p in zip(kind, payload, strict=True) if k == SUMS])
-        value = value + sum([p[0] for k, p in zip(kind, payload, strict=True) if k == UNSEEN], np.zeros(len(tokens)))
+        value, base, known = np.zeros(len(tokens)), np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
+        for k, p in zip(kind, payload, strict=True):
+            if k == SUMS:
+                value[p[0]] += p[1] + sum(logs[r] * p[3 + r] for r in range(1, SMALL + 2))
+                base[p[0]] += p[2]
+                known[p[0]] += p[3]
+            elif k == UNSEEN:
+                value[p[0]] += p[1]
         value = value - (np.log10(n_train) if n_train else 0.0)
-        return pa.table({"key": pa.array(table.column("keys")[head].as_py(), pa.int64()), "n_tokens": pa.array(tokens), "n_known": pa.array(known.astype(np.int64)),
+        return pa.table({"key": pa.array(table.column("keys")[head].as_py(), pa.int64()), "n_tokens": pa.array(tokens), "n_known": pa.array(known),
                          "train_tokens": pa.array(np.full(len(tokens), m.total)), "base_score": pa.array(base - tokens * np.log10(m.total + 0.1 * (m.distinct + 1))), "score": pa.array(value)})
 
     return run
@@ -308,15 +335,20 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text",
     the additive unigram model. ``docs`` should be a stored table, as it is read twice and a lost part
     must come back in the same order. Null and empty texts are the end token alone; repeated rows
     count as often as they stand there; a null key stays null; a null in ``train`` is not learned from.
-    Without training rows every word is unknown. An empty table gives none. Good-Turing factors are
-    estimated in each shard from its own pairs, which are dealt out by hash.
+    Without training rows every word is unknown. An empty table gives none. Good-Turing factors of
+    pairs come from all shards' counts of counts, so scores do not depend on the number of shards.
     """
     d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
     known = d.where("train")
     n_train = known.select("key").count()
     model = d.sparkSession.sparkContext.broadcast(unigrams(known, shard_tokens))
     sent = d.mapInArrow(_send(model), BLOCK)
-    shards = sent.groupBy("dest").applyInArrow(_shard(model), BLOCK)
-    masses = shards.groupBy("dest").applyInArrow(_backoff, BLOCK)
-    out = masses.groupBy("batch").applyInArrow(_finish(model, n_train), "key long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    shards = write_and_read(sent.groupBy("dest").applyInArrow(_shard(model), BLOCK), "shards")
+    seen = np.zeros(SMALL + 2, np.int64)
+    for r in shards.where(F.col("kind") == COUNTS).select(F.posexplode("keys").alias("count", "n")).groupBy("count").agg(F.sum("n").alias("n")).collect():
+        seen[r["count"]] = r["n"]
+    factors = factors_of(seen)
+    masses = shards.where(F.col("kind").isin(MASS, UNSEEN)).groupBy("dest").applyInArrow(_backoff(factors), BLOCK)
+    masses = shards.where(F.col("kind").isin(DOCS, SUMS)).unionByName(masses)
+    out = masses.groupBy("batch").applyInArrow(_finish(model, factors, n_train), "key long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)

@@ -265,6 +265,18 @@ def test_katz_over_many_shards(spark):
         assert 0.3 * known[key].base_score < known[key].score < 0 or known[key].score > known[key].base_score
 
 
+def test_katz_scores_do_not_depend_on_shards(spark):
+    """One set of discounts for all shards: every score is that of the definition, however many there are."""
+    r, words = random.Random(15), [f"v{i}" for i in range(300)]
+    rows = [(i, " ".join(["the", "of"] * r.randint(0, 30) + [words[int(r.paretovariate(0.6)) % 300] for _ in range(40)]), "en", "a", 1) for i in range(400)]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    texts, _, _, p, _ = katz_by_hand(rows, [zlib.crc32(str(key).encode()) % 10 != 0 for key, *_ in rows])
+    for most in (10**9, 2000):
+        got = {x.doc_id: x.score for x in katz.score(d.withColumn("train", remainder("doc_id", 10) != 0), "train", shard_tokens=most).collect()}
+        for (key, *_), w in zip(rows, texts, strict=True):
+            assert got[key] == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(["start", *w], w, strict=False)), rel=1e-6, abs=1e-5)
+
+
 def test_lines_keep_the_first_of_each_component(spark, docs, empty):
     first, near, other = "the quick brown fox jumps over the lazy dog and runs far away from here today", "the quick brown fox jumps over the lazy dog and runs far away from here todaY", "nothing alike stands in this line of text"
     close = first.replace("today", "todas")
