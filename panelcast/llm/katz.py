@@ -7,8 +7,9 @@ the discounts leave to h, over the unigram mass of the words not seen after h, s
 up to 1 exactly after every history. A text starts after a start mark and ends with an end token.
 
 Scoring needs, for every token, counts that lie with its word and with the word before it. Tokens are
-sent to shards by word, in one compact block per batch of documents and shard (about 8 bytes a
-token); a shard holds the rows of the bigram table for its words. It answers with sums per document
+sent to shards by word, in one compact block per batch of documents and shard (about 8 bytes for
+each pair that a document holds); very common words are spread by the word before, and very common
+pairs, whose counts are known beforehand, by batch; a shard holds the rows of the bigram table for its words. It answers with sums per document
 and how many seen pairs of each small count these hold, and passes on, by history, the mass that its
 pairs take and how much of each small count there is; none of this needs the pairs' discounts. These
 follow from the counts of counts of all shards, which are summed first. Shards by history then turn
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,10 @@ def discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Unigrams:
-    """Size of the training text, discounts, mass of unknown words, and counts of the words that are spread over shards."""
+    """Size of the training text, discounts, mass of unknown words, and counts of the words and pairs that are spread over shards.
+
+    ``pairs`` are the hashes of the hot pairs, ascending, with the word before, the word and the count of each.
+    """
 
     shards: int
     total: int
@@ -78,6 +82,10 @@ class Unigrams:
     unknown: float
     hot: np.ndarray
     hot_counts: np.ndarray
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, tx.U))
+    pair_before: np.ndarray = field(default_factory=lambda: np.zeros(0, tx.U))
+    pair_word: np.ndarray = field(default_factory=lambda: np.zeros(0, tx.U))
+    pair_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def chance(self, counts: np.ndarray) -> np.ndarray:
         return np.where(counts > 0, discounted(counts, self.factors) / max(self.total, 1), self.unknown)
@@ -131,6 +139,43 @@ def unigrams(train: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Unigrams:
     return Unigrams(shards, total, distinct, factors, left / total if total else 1.0, words[order], hot.column("n").to_numpy()[order])
 
 
+def _pair_hash(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return tx.mix(before ^ tx.mix(words))
+
+
+def _pair_counts(model):
+    """How often each pair of two hot words, or of the start and a hot word, stands in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = model.hot
+        for whole in batches:
+            for batch in tx.slices(whole, "text", SLICE):
+                words, before, _ = _tokens(batch)
+                on = _among(hot, words)
+                words, before = words[on], before[on]
+                on = (before == START) | _among(hot, before)
+                words, before = words[on], before[on]
+                _, first, n = np.unique(_pair_hash(before, words), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(before[first].view(np.int64)), pa.array(words[first].view(np.int64)), pa.array(n)], names=["before", "word", "n"])
+
+    return run
+
+
+def with_hot_pairs(train: DataFrame, model: Unigrams) -> Unigrams:
+    """The model with the pairs that have more than half a shard's share of all tokens, fewer than twice the shards.
+
+    Both words of such a pair are hot (or the first is the start), so no other pairs are counted here.
+    """
+    if not len(model.hot):
+        return model
+    table = train.select("text").mapInArrow(_pair_counts(model), "before long, word long, n long").groupBy("before", "word").agg(F.sum("n").alias("n"))
+    found = table.where(F.col("n") > model.total / (2 * model.shards)).toArrow()
+    before, word = (found.column(c).to_numpy().view(tx.U) for c in ("before", "word"))
+    pairs = _pair_hash(before, word)
+    order = np.argsort(pairs)
+    return replace(model, pairs=pairs[order], pair_before=before[order], pair_word=word[order], pair_counts=found.column("n").to_numpy()[order])
+
+
 def _find(sorted_items: np.ndarray, items: np.ndarray) -> np.ndarray:
     """Where each item stands, -1 if it does not."""
     if not len(sorted_items):
@@ -139,6 +184,14 @@ def _find(sorted_items: np.ndarray, items: np.ndarray) -> np.ndarray:
     return np.where(sorted_items[at] == items, at, -1)
 
 
+def _among(sorted_items: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Whether each item is there, found block by block to keep memory low."""
+    out = np.zeros(len(items), bool)
+    for a in range(0, len(items) if len(sorted_items) else 0, 1 << 20):
+        out[a : a + (1 << 20)] = _find(sorted_items, items[a : a + (1 << 20)]) >= 0
+    return out
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join([struct.pack("<i", len(arrays))] + [struct.pack("<2sq", a.dtype.str[1:].encode(), a.nbytes) + a.tobytes() for a in arrays])
 
@@ -184,13 +237,20 @@ def _send(model):
                 doc = np.repeat(np.arange(len(starts) - 1, dtype=np.uint32), np.diff(starts))
                 train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8)
                 yield _rows([(-1 - number, number, DOCS, batch.column("key").to_pylist(), _pack(np.diff(starts)))])
-                spread = _find(m.hot, words) >= 0
+                spread = np.flatnonzero(_among(m.hot, words))
                 order = tx.mix(words)
-                order[spread] = tx.mix(before[spread] ^ order[spread])
-                shard = (((order >> tx.U(32)) * tx.U(m.shards)) >> tx.U(32)).astype(np.uint32)
+                order[spread] = _pair_hash(before[spread], words[spread])
+                # a hot pair goes to another shard from each batch
+                spread = spread[_among(m.pairs, order[spread])]
+                order[spread] = tx.mix(order[spread] + tx.mix(np.array([number], tx.U)))
+                order >>= tx.U(32)
+                order *= tx.U(m.shards)
+                order >>= tx.U(32)
+                shard = order.astype(np.uint16 if m.shards <= 1 << 16 else np.uint32)
                 del order, spread
-                by = np.lexsort((words, shard))
-                cuts = np.searchsorted(shard[by], np.arange(m.shards + 1))
+                by = np.argsort(shard, kind="stable")
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=m.shards))])
+                del shard
                 for s in range(m.shards):
                     at = by[cuts[s] : cuts[s + 1]]
                     if not len(at):
@@ -228,12 +288,14 @@ def _shard(model):
         counts = np.bincount(w, learnt, len(words)).astype(np.int64)
         hot = _find(m.hot, words)
         counts[hot >= 0] = m.hot_counts[hot[hot >= 0]]
-        own = learnt > 0
+        common = _find(m.pairs, _pair_hash(names[pair % len(names)], words[w])) if len(m.pairs) else np.full(len(pair), -1)
+        own = (learnt > 0) & (common < 0)
         kinds, at = np.unique(pair[own], return_inverse=True)
         seen_kind = np.bincount(at, learnt[own], len(kinds)).astype(np.int64)
         at = _find(kinds, pair)
         c_pair = np.where(at >= 0, seen_kind[at] if len(kinds) else 0, 0)
-        del at, own, learnt
+        c_pair[common >= 0] = m.pair_counts[common[common >= 0]]
+        del at, own, learnt, common
         chance = m.chance(counts)
         with np.errstate(divide="ignore"):
             value = np.where(c_pair > 0, np.log10(np.maximum(c_pair, 1)), np.log10(chance)[w])
@@ -284,14 +346,17 @@ def _history_shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((tx.mix(h + tx.U(77)) >> tx.U(32)) * tx.U(shards)) >> tx.U(32)
 
 
-def _backoff(factors: np.ndarray):
-    """By history: alpha(h) c(h) from all shards' masses, added up per document for the unseen pairs."""
+def _backoff(model, factors: np.ndarray):
+    """By history: alpha(h) c(h) from all shards' masses and the hot pairs', added up per document for the unseen pairs."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, payload = table.column("kind").to_pylist(), [_unpack(p.as_py()) for p in table.column("payload")]
-        mass = [p for k, p in zip(kind, payload, strict=True) if k == MASS]
-        names, at = np.unique(np.concatenate([p[0] for p in mass] or [np.zeros(0, tx.U)]), return_inverse=True)
-        taken, *sizes = (np.bincount(at, np.concatenate([p[k] for p in mass] or [np.zeros(0)]), len(names)) for k in range(1, SMALL + 3))
+        m, mass = model.value, [p for k, p in zip(kind, payload, strict=True) if k == MASS]
+        mine = np.flatnonzero(_history_shard(m.pair_before, m.shards) == tx.U(table.column("dest")[0].as_py()))
+        hot_chance = m.chance(m.hot_counts[_find(m.hot, m.pair_word[mine])])
+        mass.append([m.pair_before[mine], hot_chance, *_mass(np.arange(len(mine)), m.pair_counts[mine], len(mine)).T])
+        names, at = np.unique(np.concatenate([p[0] for p in mass]), return_inverse=True)
+        taken, *sizes = (np.bincount(at, np.concatenate([p[k] for p in mass]), len(names)) for k in range(1, SMALL + 3))
         left = sum((x * (1 - f) for x, f in zip(sizes, factors[1:], strict=True)), np.zeros(len(names)))
         alpha = np.append(np.log10(np.maximum(left, 1e-300)) - np.log10(np.maximum(1 - taken, 1e-12)), 0.0)
         blocks: dict[int, list] = {}
@@ -341,14 +406,14 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text",
     d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
     known = d.where("train")
     n_train = known.select("key").count()
-    model = d.sparkSession.sparkContext.broadcast(unigrams(known, shard_tokens))
+    model = d.sparkSession.sparkContext.broadcast(with_hot_pairs(known, unigrams(known, shard_tokens)))
     sent = d.mapInArrow(_send(model), BLOCK)
     shards = write_and_read(sent.groupBy("dest").applyInArrow(_shard(model), BLOCK), "shards")
-    seen = np.zeros(SMALL + 2, np.int64)
+    seen = _counts_of(model.value.pair_counts)
     for r in shards.where(F.col("kind") == COUNTS).select(F.posexplode("keys").alias("count", "n")).groupBy("count").agg(F.sum("n").alias("n")).collect():
-        seen[r["count"]] = r["n"]
+        seen[r["count"]] += r["n"]
     factors = factors_of(seen)
-    masses = shards.where(F.col("kind").isin(MASS, UNSEEN)).groupBy("dest").applyInArrow(_backoff(factors), BLOCK)
+    masses = shards.where(F.col("kind").isin(MASS, UNSEEN)).groupBy("dest").applyInArrow(_backoff(model, factors), BLOCK)
     masses = shards.where(F.col("kind").isin(DOCS, SUMS)).unionByName(masses)
     out = masses.groupBy("batch").applyInArrow(_finish(model, factors, n_train), "key long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)

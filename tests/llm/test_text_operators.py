@@ -277,6 +277,44 @@ def test_katz_scores_do_not_depend_on_shards(spark):
             assert got[key] == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(["start", *w], w, strict=False)), rel=1e-6, abs=1e-5)
 
 
+def test_katz_spreads_a_very_common_pair(spark):
+    """A pair that makes up a third of all tokens goes to several shards, with whole counts for all."""
+    import pyarrow as pa
+
+    r = random.Random(16)
+    rows = [(i, " ".join(["of the"] * 30 + [f"v{r.randint(0, 400)}" for _ in range(25)]), "en", "a", 1) for i in range(600)]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    model = katz.with_hot_pairs(d, katz.unigrams(d, 2000))
+    assert sorted(model.pair_counts.tolist())[-2:] == [600 * 29, 600 * 30]
+
+    class Sent:
+        value = model
+
+    batches = [pa.record_batch({"text": [t for _, t, *_ in rows[k : k + 20]], "train": [True] * 20, "key": list(range(20))}) for k in range(0, 600, 20)]
+    of, the = model.pair_before[model.pair_counts == 600 * 30][0], model.pair_word[model.pair_counts == 600 * 30][0]
+    dests = collections.Counter()
+
+    class Task:
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+        get = classmethod(lambda cls: cls)
+
+    katz.TaskContext, kept = Task, katz.TaskContext
+    try:
+        for out in katz._send(Sent)(iter(batches)):
+            for row in out.to_pylist():
+                if row["kind"] == katz.SUMS:
+                    p = katz._unpack(row["payload"])
+                    pair = zip(p[2][katz._widen(p[3], p[4])].tolist(), np.repeat(p[0], p[1]).tolist(), strict=True)
+                    dests[row["dest"]] += (of, the) in set(pair)
+    finally:
+        katz.TaskContext = kept
+    assert sum(dests.values()) == 30 and max(dests.values()) <= 10
+    texts, _, _, p, _ = katz_by_hand(rows, [zlib.crc32(str(key).encode()) % 10 != 0 for key, *_ in rows])
+    got = {x.doc_id: x.score for x in katz.score(d.withColumn("train", remainder("doc_id", 10) != 0), "train", shard_tokens=2000).collect()}
+    for (key, *_), w in zip(rows, texts, strict=True):
+        assert got[key] == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip(["start", *w], w, strict=False)), rel=1e-6, abs=1e-5)
+
+
 def test_lines_keep_the_first_of_each_component(spark, docs, empty):
     first, near, other = "the quick brown fox jumps over the lazy dog and runs far away from here today", "the quick brown fox jumps over the lazy dog and runs far away from here todaY", "nothing alike stands in this line of text"
     close = first.replace("today", "todas")
