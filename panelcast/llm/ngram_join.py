@@ -63,14 +63,25 @@ def _set_rows(marks):
     return run
 
 
-def _enough(c: Column, a: Column, b: Column) -> Column:
+def _enough(c: Column, a: Column, b: Column, less: int = 0) -> Column:
     """Whether sets of sizes ``a`` and ``b`` that share ``c`` items of their prefixes can be linked.
 
     A link needs 4/9 of both sizes in common. Of the set whose prefix ends first, what is common
-    lies in both prefixes or behind its own, where it has ``needed - 1`` items.
+    lies in both prefixes or behind its own, where it has ``needed - 1`` items. ``less`` lowers what
+    they must share.
     """
     sizes = (a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT)
-    return sizes & (c >= F.floor((4 * (a + b) + 8) / 9) - F.greatest(needed(a), needed(b)) + 1)
+    return sizes & (c >= F.floor((4 * (a + b) + 8) / 9) - F.greatest(needed(a), needed(b)) + 1 - less)
+
+
+def _may_hold(c: Column, a: Column, lo: Column, hi: Column) -> Column:
+    """Whether a set of size ``a`` can be linked with a member, of ``lo`` to ``hi`` items, of a group that shares ``c`` of its prefix.
+
+    What a link needs is least for the members that differ most in size, but for steps of one among
+    the larger ones.
+    """
+    least, most = F.greatest(lo, needed(a)), F.least(hi, F.floor(a * 100 / PERCENT).cast("long"))
+    return _enough(c, a, least) | _enough(c, a, most, 1)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -124,9 +135,7 @@ def open_groups(shared: DataFrame, sizes: DataFrame, sets: DataFrame, roots: Dat
     asks = tokens.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("group").alias("ga"))
     asked = asks.join(matrix, "key").where("ga <= gb and (r0 <> ra or r1 <> ra) and na * 100 >= lo * 80 and hi * 100 >= na * 80")
     asked = asked.groupBy("a", "na", "ra", "ga", "gb").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    # what a link needs is least for the members that differ most in size
-    least, most = F.greatest("lo", needed(F.col("na"))), F.least("hi", F.floor(F.col("na") * 100 / PERCENT).cast("long"))
-    asked = asked.where(_enough(F.col("c"), F.col("na"), least) | _enough(F.col("c"), F.col("na"), most))
+    asked = asked.where(_may_hold(F.col("c"), F.col("na"), F.col("lo"), F.col("hi")))
     asked = write_and_read(asked.select("ga", "gb", F.col("a").alias("id"), F.col("ra").alias("root"), F.lit(True).alias("asks")), "asked")
     members = asked.select("ga", "gb").distinct().join(place, F.col("gb") == F.col("group")).select("ga", "gb", "id", "root", F.lit(False).alias("asks"))
     return asked.unionByName(members).join(sets, "id").groupBy("ga", "gb").applyInArrow(_open, "a long, b long")

@@ -119,6 +119,21 @@ def test_similar_equals_brute_force(docs, empty):
     assert ngram_join.similar(empty).count() == 0
 
 
+def test_groups_open_for_members_of_every_size(spark):
+    """No group stays closed that holds a member of a size which the shared items allow."""
+    from pyspark.sql import functions as F
+
+    bound = lambda a, b: (4 * (a + b) + 8) // 9 - max(-(-4 * a // 5), -(-4 * b // 5)) + 1
+    r, rows = random.Random(13), [(100, 100, 110, 6)]
+    for _ in range(3000):
+        a = r.randint(5, 200)
+        lo, hi = sorted(r.randint(-(-4 * a // 5), a * 5 // 4) for _ in range(2))
+        rows.append((a, lo, hi, min(bound(a, b) for b in range(lo, hi + 1))))
+    assert rows[0][3] == min(bound(100, b) for b in range(100, 111))
+    d = spark.createDataFrame(rows, "a long, lo long, hi long, c long")
+    assert d.where(~ngram_join._may_hold(*map(F.col, ("c", "a", "lo", "hi")))).count() == 0
+
+
 def test_shards_of_hashes_follow_the_input(spark):
     """A shard holds a bounded number of hashes, and more shards mark the same hashes."""
     import pyarrow as pa
