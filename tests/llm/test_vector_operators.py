@@ -91,6 +91,15 @@ def test_search_finds_the_nearest(spark, monkeypatch):
     assert multi_index.nearest(few.limit(0), few).count() == 0 and multi_index.nearest(few, few.limit(0)).count() == 0
 
 
+def test_radius_follows_the_whole_sample():
+    """Families of close copies that were loaded first do not set the radius for all others."""
+    r = np.random.default_rng(9)
+    families = np.repeat(r.standard_normal((50, 32)), 6, axis=0) + 0.01 * r.standard_normal((300, 32))
+    x = np.concatenate([families, r.standard_normal((1500, 32))])
+    other = multi_index.learn(x[::-1].copy()).radius
+    assert multi_index.learn(x).radius >= 0.8 * other > 20
+
+
 def test_every_code_in_the_radius_is_found():
     r = np.random.default_rng(7)
     parts = r.integers(0, 1 << 16, (500, 16)).astype(np.uint16)
