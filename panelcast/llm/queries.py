@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import gam, katz, langid, lines, mixing, multi_index, ngram_join, packing, pii, quantised
+from panelcast.llm import conversations, gam, katz, langid, lines, mixing, multi_index, ngram_join, packing, pii, quantised
 from panelcast.llm.sampling import remainder
 
 
@@ -69,6 +69,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+    return conversations.report(pieces).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_multi_index": op2_multi_index,
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_language_kernel": op9_language_kernel,
     "op10_mixing": op10_mixing,
+    "op11_repair": op11_repair,
 }
 SQL_OP1 = r"""WITH RECURSIVE lowered AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -125,4 +131,57 @@ components AS (SELECT node, min(root) AS component_id FROM reach GROUP BY 1)
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.component_id,
   e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN components c ON c.node = e.vec_id"""
-SQL = {"op1_ngram_join": SQL_OP1, "op4_quantised": SQL_OP4}
+SQL_OP11 = r"""WITH RECURSIVE shown AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+),
+crc AS (
+  SELECT *, xor(list_reduce([4294967295::BIGINT] || range(8 * length(k)), lambda r, i:
+    xor(xor(r, CASE WHEN i % 8 = 0 THEN ascii(substring(k, i // 8 + 1, 1)) ELSE 0 END) >> 1,
+        3988292384 * (xor(r, CASE WHEN i % 8 = 0 THEN ascii(substring(k, i // 8 + 1, 1)) ELSE 0 END) & 1))), 4294967295) % 20 AS fault FROM shown
+),
+damaged AS (
+  SELECT c, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM crc JOIN (VALUES (1), (2)) copies(copy) ON copy = 1 OR fault = 3 WHERE fault <> 0
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+judged AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY c ORDER BY pos), 1) || left(role, 1) AS pair FROM placed
+),
+inserts(src, edits, said, mid) AS (
+  VALUES ('0', '', '', '0'), ('0', 'I', chr(10) || 'user:', 'U'), ('0', 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 'A'),
+    ('S', '', '', 'S'), ('S', 'I', chr(10) || 'user:', 'U'), ('S', 'II', chr(10) || 'user:' || chr(10) || 'assistant:', 'A'),
+    ('U', '', '', 'U'), ('U', 'I', chr(10) || 'assistant:', 'A'), ('A', '', '', 'A'), ('A', 'I', chr(10) || 'user:', 'U')
+),
+edits(mid, edit, initial, dst, new_role) AS (
+  VALUES ('0', 'D', NULL, '0', NULL), ('S', 'D', NULL, 'S', NULL), ('U', 'D', NULL, 'U', NULL), ('A', 'D', NULL, 'A', NULL),
+    ('0', 'K', 's', 'S', NULL), ('0', 'K', 'u', 'U', NULL), ('S', 'K', 'u', 'U', NULL), ('U', 'K', 'a', 'A', NULL), ('A', 'K', 'u', 'U', NULL),
+    ('0', 'R', NULL, 'U', 'user'), ('S', 'R', NULL, 'U', 'user'), ('U', 'R', NULL, 'A', 'assistant'), ('A', 'R', NULL, 'U', 'user')
+),
+moves AS (SELECT i.src, i.edits || e.edit AS audit, 5 * length(i.edits) + CASE e.edit WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END AS cost, i.said, e.* FROM inserts i JOIN edits e USING (mid)),
+walk(c, pos, state, best) AS (
+  SELECT DISTINCT c, 0::BIGINT, '0', {'cost': 0::BIGINT, 'audit': '', 'said': ''} FROM shown
+  UNION ALL
+  SELECT w.c, w.pos + 1, m.dst, min({'cost': w.best.cost + m.cost + CASE WHEN r.fault = 'truncated' AND m.edit <> 'D' THEN 5 ELSE 0 END,
+    'audit': w.best.audit || m.audit, 'said': w.best.said || m.said || CASE WHEN m.edit = 'D' THEN '' ELSE chr(10) || coalesce(m.new_role, r.role) || ':' || r.text END})
+  FROM walk w JOIN judged r ON r.c = w.c AND r.pos = w.pos + 1
+    JOIN moves m ON m.src = w.state AND (m.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate')) AND (m.initial IS NULL OR m.initial = r.initial)
+  GROUP BY w.c, w.pos, m.dst
+),
+ended AS (
+  SELECT w.c, w.pos, min({'cost': w.best.cost + 5 * length(i.edits), 'audit': w.best.audit || i.edits, 'said': w.best.said || i.said}) AS best
+  FROM walk w JOIN inserts i ON i.src = w.state AND i.mid IN ('0', 'A') GROUP BY 1, 2
+),
+counts AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY c
+)
+SELECT k.conv_id, coalesce(n.gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated,
+  coalesce(n.illegal, 0) AS illegal, e.best.cost AS cost, e.best.audit AS audit, sha256(substring(e.best.said, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM shown) k LEFT JOIN counts n USING (c) JOIN ended e ON e.c = k.c AND e.pos = coalesce(n.n, 0)"""
+SQL = {"op1_ngram_join": SQL_OP1, "op4_quantised": SQL_OP4, "op11_repair": SQL_OP11}
