@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import conversations, gam, katz, langid, lines, mixing, multi_index, ngram_join, packing, pii, quantised
+from panelcast.llm import conversations, gam, katz, langid, lines, mixing, multi_index, ngram_join, packing, pii, quantised, whitening
 from panelcast.llm.sampling import remainder
 
 
@@ -74,6 +74,16 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(pieces).withColumnRenamed("conv", "conv_id")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows)
+    explained = F.array(*[F.lit(v / model["trace"]) for v in model["values"]], F.lit(None).cast("double"))
+    each = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    n, error = F.lit(model["n"]).cast("long").alias("n"), F.lit(model["identity_error"]).alias("identity_error")
+    component, share = (F.col("at") + 1).alias("component"), F.element_at(explained, F.col("at") + 1).alias("explained")
+    return each.select("vec_id", component, n, "deviation", "whitened", share, error)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_multi_index": op2_multi_index,
@@ -86,6 +96,7 @@ QUERIES = {
     "op9_language_kernel": op9_language_kernel,
     "op10_mixing": op10_mixing,
     "op11_repair": op11_repair,
+    "op12_whitening": op12_whitening,
 }
 SQL_OP1 = r"""WITH RECURSIVE lowered AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
