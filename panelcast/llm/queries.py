@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelcast.llm import conversations, gam, katz, langid, lines, mixing, multi_index, ngram_join, packing, pii, quantised, whitening
+from panelcast.llm import conversations, gam, katz, langid, licenses, lines, mixing, multi_index, ngram_join, packing, pii, quantised, whitening
 from panelcast.llm.sampling import remainder
 
 
@@ -84,6 +84,23 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", component, n, "deviation", "whitened", share, error)
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["start"])
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(F.transform(base, lambda p: p["label"])).alias("base_labels"),
+        joined(F.col("labels")).alias("labels"),
+        "score",
+    )
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_multi_index": op2_multi_index,
@@ -97,6 +114,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_repair": op11_repair,
     "op12_whitening": op12_whitening,
+    "op13_licenses": op13_licenses,
 }
 SQL_OP1 = r"""WITH RECURSIVE lowered AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
