@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+from typing import Iterable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelcast.operators.panel import series_arrays
 from panelcast.operators.seasonal import day_list, in_days, median_features
+from panelcast.session import write_and_read
 from panelcast.spec import PanelSpec, day_number
 
 
@@ -131,24 +132,56 @@ def inverse(df: DataFrame, scalers: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.join(scalers, spec.station, "left").withColumns(back).select(*df.columns)
 
 
+def deal(sizes: Iterable[tuple[int, int]], k: int) -> Iterator[tuple[int, list[int], list[list[int]]]]:
+    """How groups of falling sizes go to the lightest of ``k`` folds: (size, starts, folds) per (size, count).
+
+    Of equally light folds the first takes the next group. A run of equal sizes is dealt by arithmetic: a
+    fold that holds q sizes and a rest takes part from level q on, one group a level, in order of
+    rests. So the order repeats itself until the next fold joins; from the start-th group of the run on
+    the folds listed take turns.
+    """
+    loads = [0] * k
+    for size, count in sizes:
+        levels, rests = zip(*[divmod(load, size) for load in loads])
+        order = sorted(range(k), key=lambda i: (rests[i], i))
+        starts, turns, start = [], [], 0
+        joins = sorted(set(levels))
+        for level, after in zip(joins, [*joins[1:], None]):
+            held = [i for i in order if levels[i] <= level]
+            starts.append(start)
+            turns.append(held)
+            end = count if after is None else min(count, start + len(held) * (after - level))
+            for place, i in enumerate(held):
+                loads[i] += size * max(0, -(-(end - start - place) // len(held)))
+            start = end
+            if start == count:
+                break
+        yield size, starts, turns
+
+
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    """Fold 0..k-1 per group, so that a group is never in two folds and folds are of equal size.
+    """Fold 0..k-1 per group, so that a group is never in two folds and folds hold about as many rows.
 
-    Groups are numbered by size and dealt out in turn. Numbering goes in two steps, within
-    buckets of equal size and hash prefix and then over the buckets, so no task sees all groups.
-    Result: (group, fold).
+    From the largest group to the smallest each goes to the fold with the fewest rows so far. Which
+    fold the n-th group of a size gets follows from the histogram of sizes alone (``deal``); as sizes add up to
+    the rows, there are at most sqrt(2 x rows) of them, and only these reach the driver. Groups of a
+    size are numbered within hash prefixes and over these, so no task sees all groups. Result: (group, fold).
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    keyed = write_and_read(sizes.withColumn("_prefix", F.substring(F.md5(F.coalesce(F.col(group).cast("string"), F.lit(""))), 1, 3)), "sizes")
     bucket = ["_size", "_prefix"]
-    keyed = sizes.withColumn("_prefix", F.substring(F.md5(F.col(group).cast("string")), 1, 3))
-    within = F.row_number().over(Window.partitionBy(*bucket).orderBy(group))
     counts = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_groups"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy(F.col("_size").desc(), "_prefix").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    earlier = Window.partitionBy("_size").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*bucket, F.coalesce(F.sum("_groups").over(earlier), F.lit(0)).alias("_before"))
-    numbered = keyed.withColumn("_within", within).join(offsets, bucket)
-    return numbered.select(group, ((F.col("_before") + F.col("_within") - 1) % k).cast("int").alias("fold"))
+    histogram = keyed.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("_size").desc()).collect()
+    schema = "_size long, _starts array<long>, _turns array<array<int>>"
+    turns = df.sparkSession.createDataFrame(list(deal([(r["_size"], r["n"]) for r in histogram], k)), schema)
+    place = F.row_number().over(Window.partitionBy(*bucket).orderBy(group)) + F.col("_before") - 1
+    placed = keyed.join(offsets, bucket).withColumn("_place", place).join(turns, "_size")
+    part = F.size(F.filter("_starts", lambda s: s <= F.col("_place")))
+    held = F.element_at("_turns", part)
+    turn = (F.col("_place") - F.element_at("_starts", part)) % F.size(held)
+    return placed.select(group, F.element_at(held, (turn + 1).cast("int")).alias("fold"))
 
 
 def calendar(spark, days: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -60,8 +60,8 @@ def pooled_forecast(
     split_day, horizon, value) and the folds' scores on their held-out stations.
     """
     estimator = estimator or LinearRegression(regParam=0.01)
-    folds = group_folds(train, spec.station, k)
-    known = write_and_read(train.where("label IS NOT NULL").join(folds, spec.station), "training")
+    rows = write_and_read(train.where("label IS NOT NULL"), "rows")
+    known = write_and_read(rows.join(group_folds(rows, spec.station, k), spec.station), "training")
     predictions, scores = [], []
     for fold in range(k):
         model = estimator.fit(known.where(F.col("fold") != fold))
@@ -169,7 +169,7 @@ def fill_from_trees(
         viewed = neighbor_features(df, spec, m, within)
         gaps = viewed.where(
             F.col(m).isNull() & spec.reports(m)
-            & (F.col(f"{m}_missing") < (F.col(f"{measure}_stations") * max_missing if max_missing < 1 else F.lit(max_missing)))
+            & (F.col(f"{m}_missing") < (F.col(f"{m}_stations") * max_missing if max_missing < 1 else F.lit(max_missing)))
         )
         guesses = model.transform(gaps).select(*spec.keys, F.col("prediction").alias("_guess"))
         filled = (

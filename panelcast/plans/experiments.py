@@ -12,7 +12,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelcast.fixed import CITY_PRESETS, CURVE_HISTORY_DAYS, MAX_MISSING_NEIGHBORS, WINDOW_FAMILIES, window_family
-from panelcast.operators.curve import curve_forecast, to_wide
+from panelcast.operators.curve import CurveShape, curve_models, predict_curves, to_wide
 from panelcast.operators.features import shifted_splits
 from panelcast.operators.impute import impute
 from panelcast.operators.pooled import pooled_panel_forecast
@@ -150,7 +150,7 @@ def run_curves(
     max_missing: dict[str, float] = MAX_MISSING_NEIGHBORS,
     align: str = "target",
 ) -> DataFrame:
-    """Daily scores of every curve setting: (num, origin, score)."""
+    """Daily scores of every curve setting: (num, origin, score); all settings of a city share one pass."""
     cities = {s.city for s in settings}
     raw = {c: write_and_read(panels[c].select(*spec.columns), "panel") for c in cities}
     filled = {
@@ -158,10 +158,12 @@ def run_curves(
         for c in cities
     }
     scored = []
-    for s in settings:
-        curves = curve_forecast(filled[s.city], spec, origins, s.history_days, s.strength, s.changepoints)
-        scores = backtest(to_wide(curves, spec), raw[s.city], spec, origins, align=align)
-        scored.append(mean_scores(scores).withColumn("num", F.lit(s.num)))
+    for c in sorted(cities):
+        shapes = {s.num: CurveShape(s.history_days, s.strength, s.changepoints) for s in settings if s.city == c}
+        curves = predict_curves(curve_models(filled[c], spec, origins, shapes), spec)
+        wide = to_wide(curves, spec, by=("num", "origin"))
+        scores = backtest(wide, raw[c], spec, origins, by=["num", "origin"], align=align)
+        scored.append(mean_scores(scores, ["num", "origin"]))
     return reduce(DataFrame.unionByName, scored)
 
 

@@ -102,7 +102,7 @@ def net_job(panel: DataFrame, spec: PanelSpec, origin: str, s: CitySetting) -> D
     split = day_number(origin) - 1
     shape = (s.lag_history_days, s.feature_windows, s.median_shifts)
     known = filled.where(~F.col(spec.station).isin(list(s.exclude))) if s.exclude else filled
-    rows = supervised(known, spec, shifted_splits(split - 3, s.shifts), *shape)
+    rows = write_and_read(supervised(known, spec, shifted_splits(split - 3, s.shifts), *shape), "rows")
     train = write_and_read(rows.join(group_folds(rows, spec.station, s.folds), spec.station), "training")
     net = train_net(train, spec, s.net, s.folds)
     forecast = net_forecast(net, supervised(filled, spec, [split], *shape, labels=False), spec)

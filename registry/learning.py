@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import curve as C, features as X, net as N, pooled as P, score as S
 from panelcast.operators.impute import impute
+from panelcast.plans import experiments as E
+from panelcast.plans.backtest import backtest
 from panelcast.session import write_and_read
 from registry.forecasting import summary_cte
 from registry.panels import (
@@ -139,6 +141,34 @@ def _imputed(spark, sf):
     return impute(panel_h(spark, sf), HOURLY, ["neighbors", "season", "mean"], max_missing=3, before=SPLIT)
 
 
+CURVES = {1: C.CurveShape(20, 0.05, 13), 2: C.CurveShape(20, 0.003, 67), 3: C.CurveShape(12, 0.5, 25), 4: C.CurveShape(20, 0.05, 25, "ridge")}
+CURVE_ORIGINS = ["2024-01-24", "2024-01-26"]
+
+
+def curve_conditions(spark, sf):
+    """Every model of four shapes against the conditions of its minimum."""
+    base = write_and_read(panel_h(spark, sf), "panel")
+    models = write_and_read(C.curve_models(base, HOURLY, CURVE_ORIGINS, CURVES), "models")
+    return rounded(C.optimality(models, base, HOURLY, CURVES), "violation", places=5)
+
+
+def curve_backtest(spark, sf):
+    """Curves of three origins, scored against the raw panel."""
+    base = write_and_read(panel_h(spark, sf), "panel")
+    origins = ["2024-01-24", "2024-01-25", "2024-01-26"]
+    filled = impute(base, HOURLY, ["neighbors"], max_missing=3, before=origins[0])
+    curves = C.to_wide(C.curve_forecast(filled, HOURLY, origins, 20, 0.05, 13), HOURLY)
+    return rounded(backtest(curves, base, HOURLY, origins), "score")
+
+
+def curve_settings_board(spark, sf):
+    """Mean scores of all 72 curve settings, one pass per city."""
+    base = panel_h(spark, sf)
+    panels = {"beijing": base.where("station < 'p'"), "london": base.where("station >= 'p'")}
+    scores = E.run_curves(panels, HOURLY, E.curve_settings(), ["2024-01-25", "2024-01-26"], {"beijing": 2, "london": 2})
+    return rounded(scores.groupBy("num").agg(F.avg("score").alias("score")), "score")
+
+
 def pooled_forecast(spark, sf):
     """Ensemble of two grouped-fold models over all series, two days ahead."""
     forecast, _ = P.pooled_panel_forecast(
@@ -162,7 +192,7 @@ def _as_forecast(df):
 def pooled_net(spark, sf):
     """The shortcut net, a few epochs of two folds, forecasting two days ahead."""
     base = write_and_read(_imputed(spark, sf), "panel")
-    rows = X.supervised(base, HOURLY, X.shifted_splits("2024-01-23", SHIFTS), HISTORY, WINDOWS)
+    rows = write_and_read(X.supervised(base, HOURLY, X.shifted_splits("2024-01-23", SHIFTS), HISTORY, WINDOWS), "rows")
     train = write_and_read(rows.join(X.group_folds(rows, "station", 2), "station"), "training")
     net = N.train_net(train, HOURLY, N.NetSetting(units=(24, 24, 24, 24), epochs=8), k=2)
     test = X.supervised(base, HOURLY, [SPLIT], HISTORY, WINDOWS, labels=False)
@@ -181,7 +211,7 @@ QUERIES = {
     for f in (
         history_label_split, shifted_training_set, supervised_medians, indicators, standardize, scaler_table,
         scaler_inverse, group_kfold, fold_ensemble, fold_score_spread, holidays, trend_season_linear, curve_forecast,
-        curve_ridge, pooled_forecast, pooled_fold_scores, pooled_net, neighbor_gbt_impute,
+        curve_ridge, curve_conditions, curve_backtest, curve_settings_board, pooled_forecast, pooled_fold_scores, pooled_net, neighbor_gbt_impute,
     )
 }
 
@@ -219,10 +249,15 @@ _TARGETS = sorted({(date.fromisoformat(d) - timedelta(days=k)).isoformat() for d
 _SCALERS = ", ".join(f"avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std" for m in M)
 _FOLDS = """
 sizes AS ({source}),
-folds AS (
-  SELECT station, (row_number() OVER (ORDER BY size DESC, substr(md5(station), 1, 3), station) - 1) % 5 AS fold
-  FROM sizes
-)"""
+dealt AS (SELECT station, size, row_number() OVER (ORDER BY size DESC, substr(md5(station), 1, 3), station) AS n FROM sizes),
+walk(n, station, fold, loads) AS (
+  SELECT 0::BIGINT, NULL::VARCHAR, 0::INT, [0, 0, 0, 0, 0]::BIGINT[]
+  UNION ALL
+  SELECT d.n, d.station, list_position(loads, list_min(loads))::INT - 1,
+    list_transform(loads, lambda x, i: x + CASE WHEN i = list_position(loads, list_min(loads)) THEN d.size ELSE 0 END)
+  FROM walk w JOIN dealt d ON d.n = w.n + 1
+),
+folds AS (SELECT station, fold FROM walk WHERE n > 0)"""
 _FIT = ", ".join(
     f"regr_slope({m}, t) AS {m}_slope, regr_intercept({m}, t) AS {m}_intercept" for m in M
 )
@@ -304,6 +339,15 @@ scores AS (
         )
         + " FROM timed JOIN lines USING (station) GROUP BY 1, 2",
     ),
+    "curve_conditions": sql(
+        SQL_PANEL_H,
+        SQL_SERIES,
+        select=f"""SELECT num::INT AS num, CAST(origin AS VARCHAR) AS origin, station, measure, count(value)::INT AS n, 0.0::DOUBLE AS violation
+        FROM (VALUES {', '.join(f"({n}, {c.history_days})" for n, c in CURVES.items())}) c(num, days)
+        CROSS JOIN (VALUES {', '.join(f"(DATE '{d}')" for d in CURVE_ORIGINS)}) o(origin)
+        JOIN series ON ts <= origin - INTERVAL 9 HOUR AND ts >= origin - INTERVAL 9 HOUR - INTERVAL 1 DAY * days
+        GROUP BY 1, 2, 3, 4 HAVING count(value) >= 2""",
+    ),
     "holidays": sql(
         SQL_PANEL_D,
         select=f"""SELECT station, ts::VARCHAR AS ts, {r(*M)},

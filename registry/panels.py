@@ -148,8 +148,8 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 
 
 def sql(*ctes: str, select: str) -> str:
-    """WITH <ctes> <select>."""
-    return "WITH " + ",".join(ctes) + "\n" + select
+    """WITH RECURSIVE <ctes> <select>."""
+    return "WITH RECURSIVE " + ",".join(ctes) + "\n" + select
 
 
 def r(*columns: str, places: int = 6, table: str = "") -> str:

@@ -55,7 +55,7 @@ def test_gate_as_fraction(panel):
 def test_neighbors_stay_within_their_city(panel):
     df = five_stations(panel, 0).withColumn("city", F.when(F.col("station") < "c", "x").otherwise("y"))
     viewed = I.with_neighbors(df, ONE, within=["city"]).where("station = 'a' AND hour(ts) = 1").first()
-    assert viewed.m1_others == 11.0 and viewed.n_stations == 2
+    assert viewed.m1_others == 11.0 and viewed.m1_stations == 2
 
 
 def test_line_recovers_a_linear_relation(panel):

@@ -60,6 +60,34 @@ def test_folds_are_even_and_disjoint(spark):
     assert sizes == [7, 7, 7, 8, 8] and folds.select("station").distinct().count() == 37
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_dealing_goes_to_the_lightest_fold(seed):
+    r = np.random.default_rng(seed)
+    k = int(r.integers(1, 7))
+    sizes = sorted(set(r.integers(1, [3, 30, 1000][seed % 3], 12).tolist()), reverse=True)
+    runs = [(s, int(r.integers(1, 40))) for s in sizes]
+    loads, expected = [0] * k, []
+    for size, count in runs:
+        for _ in range(count):
+            fold = loads.index(min(loads))
+            loads[fold] += size
+            expected.append(fold)
+    got = []
+    for (size, starts, turns), (_, count) in zip(X.deal(runs, k), runs, strict=True):
+        for place in range(count):
+            at = max(i for i, s in enumerate(starts) if s <= place)
+            got.append(turns[at][(place - starts[at]) % len(turns[at])])
+    assert got == expected
+
+
+def test_folds_of_unequal_groups_are_balanced(spark):
+    rows = spark.range(40).selectExpr("concat('g', id) AS station", "explode(sequence(1, int(id * id) + 1)) AS x").unionByName(spark.range(3000).selectExpr("null AS station", "1 AS x"))
+    folds = X.group_folds(rows, "station", 4)
+    assert folds.count() == 41 and folds.where("station IS NULL").first().fold == 0
+    loads = [x["n"] for x in rows.join(folds, rows.station.eqNullSafe(folds.station)).groupBy("fold").agg(F.count("*").alias("n")).collect()]
+    assert max(loads) - min(loads) < 400 and sum(loads) == rows.count()
+
+
 def test_calendar(spark, panel):
     one = PanelSpec(measures=("m1",))
     days = X.calendar(spark, {"x": ["2024-01-01"], "y": ["2024-01-01", "2024-01-02"]})
@@ -97,6 +125,44 @@ def test_strong_penalty_removes_slope_changes():
     assert np.abs(loose - y).max() < 0.5 < np.abs(stiff - y).max()
 
 
+def hard_series(seed):
+    r = np.random.default_rng(seed)
+    t = np.sort(r.choice(475 * 24, [2, 3, 7, 40, 400, 6000][seed % 6], replace=False)) / 24.0
+    kinds = [np.full(len(t), 7.0), np.zeros(len(t)), r.normal(size=len(t)) * 1e-9 + 5, np.cumsum(r.normal(size=len(t))) * 100, np.abs(t - 200) + r.normal(size=len(t))]
+    return t, kinds[seed % 5]
+
+
+@pytest.mark.parametrize("seed", range(30))
+@pytest.mark.parametrize("strength", [0.001, 0.5])
+def test_slope_changes_reach_the_duality_gap(seed, strength):
+    """Few points, equal values, huge and tiny scales, 67 changes: the search ends, near the minimum."""
+    t, v = hard_series(seed)
+    model = C.fit_model(t, v, C.CurveShape(475, strength, 67), 24)
+    assert model["gap"] <= 1e-8 and np.isfinite(C.curve_at(model, t, 24)).all()
+
+
+def test_lasso_meets_the_conditions_of_its_minimum():
+    r = np.random.default_rng(7)
+    x = np.maximum(np.linspace(0, 1, 300)[:, None] - np.linspace(0, 0.8, 68)[1:], 0)
+    y = x @ np.where(r.random(67) < 0.1, r.normal(size=67), 0) + 0.05 * r.normal(size=300)
+    for weight in (1e-3, 0.1, 1.0, 100.0):
+        d, gap = C.lasso(x, y, weight)
+        slope = x.T @ (y - x @ d)
+        assert gap <= 1e-10
+        assert np.abs(slope).max() <= weight + 1e-4 and np.allclose(slope[d != 0], weight * np.sign(d[d != 0]), atol=1e-4)
+
+
+def test_curves_of_many_shapes_in_one_pass(synthetic):
+    shapes = {1: C.CurveShape(30, 0.05, 5), 2: C.CurveShape(20, 0.5, 10), 3: C.CurveShape(30, 0.05, 5, "ridge")}
+    models = write_and_read(C.curve_models(synthetic, ABSENT, ["2024-02-20", "2024-02-21"], shapes), "models")
+    assert models.count() == 3 * 2 * 5 and models.where("status = 'fitted'").count() == 3 * 2 * 5
+    together = C.predict_curves(models, ABSENT).where("num = 2").drop("num")
+    alone = C.curve_forecast(synthetic, ABSENT, ["2024-02-20", "2024-02-21"], 20, 0.5, 10)
+    assert together.exceptAll(alone).isEmpty() and together.count() == alone.count()
+    off = C.optimality(models, synthetic, ABSENT, shapes).collect()
+    assert len(off) == 3 * 2 * 5 and max(r.violation for r in off) < 1e-6
+
+
 def test_gradient_of_the_net():
     rng = np.random.default_rng(1)
     shapes = N.layer_shapes(6, (5, 4, 4, 3), 2)
