@@ -10,6 +10,8 @@ from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelcast.operators.boosted import fill_from_boosted, fit_boosted
+from panelcast.operators.normal import fill_from_normal, fit_normal
 from panelcast.operators.panel import in_range
 from panelcast.spec import PanelSpec
 
@@ -126,9 +128,9 @@ def step(
     models: DataFrame | None = None,
     before: str | None = None,
 ) -> Step:
-    """A named step: neighbors, day, season, mean or zero.
+    """A named step: neighbors, normal, boosted, day, season, mean or zero.
 
-    With ``before`` no cell learns from later ones: lines and means come from rows before that time
+    ``models`` are those of the neighbors, normal or boosted step. With ``before`` no cell learns from later ones: lines, normals, trees and means come from rows before that time
     alone, and values are carried forward only. Forecasts of an origin and backtests need this.
     """
     direction = "forward" if before else "both"
@@ -139,8 +141,18 @@ def step(
             known = fit_neighbor_lines(in_range(df, spec, None, before), spec, within)
         return fill_from_neighbors(df, spec, max_missing, within, known)
 
+    def normal(df: DataFrame, spec: PanelSpec) -> DataFrame:
+        known = models if models is not None else fit_normal(in_range(df, spec, None, before), spec)
+        return fill_from_normal(df, spec, max_missing, known)
+
+    def boosted(df: DataFrame, spec: PanelSpec) -> DataFrame:
+        known = models if models is not None else fit_boosted(in_range(df, spec, None, before), spec)
+        return fill_from_boosted(df, spec, max_missing, known)
+
     steps: dict[str, Step] = {
         "neighbors": neighbors,
+        "normal": normal,
+        "boosted": boosted,
         "day": lambda df, spec: fill_within(df, spec, "day", direction),
         "season": lambda df, spec: fill_within(df, spec, "season", direction),
         "mean": lambda df, spec: fill_mean(df, spec, before=before),

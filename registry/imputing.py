@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from panelcast.operators import impute as I
+from pyspark.sql import functions as F
+
+from panelcast.operators import boosted as B, impute as I, normal as G
 from panelcast.session import write_and_read
-from registry.panels import HOURLY, SQL_PANEL_H, T, panel_h, r, rounded, sql
+from registry.panels import HOURLY, SQL_PANEL_H, T, WIDE, panel_h, panel_w, r, rounded, sql
 
 M = ("m1", "m2", "m3")
 ROWS = f"station, {T}, {r(*M)}"
@@ -66,11 +68,63 @@ def neighbor_regression_impute(spark, sf):
     return rounded(I.fill_from_neighbors(base, HOURLY, GATE), *M, places=4)
 
 
+def missing_patterns(spark, sf):
+    """What EM reads: times by the stations that report, their number, sums and sums of products."""
+    base = write_and_read(panel_h(spark, sf), "panel")
+    known = {(x.measure, x.station): (x.mean, x.scale) for x in G.moments(base, HOURLY).collect()}
+    held = G.patterns(G.times(base, HOURLY, G.station_list(base, HOURLY), known))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v).alias(c)
+    names = F.array_join(F.transform("stations", lambda x: x.cast("string")), ",").alias("stations")
+    return rounded(held.select("measure", names, "n", total("sums"), total("outer")), "sums", "outer", places=3)
+
+
+def normal_models(spark, sf):
+    """Means, scales and covariances of five stations, fitted with gaps."""
+    models = G.fit_normal(panel_h(spark, sf), HOURLY)
+    return rounded(models.select("measure", "station", "mean", "scale", F.posexplode("row").alias("other", "covariance"), "settled"), "mean", "scale", "covariance")
+
+
+def normal_impute(spark, sf):
+    """35 stations, each cell from all others at its time."""
+    base = write_and_read(panel_w(spark, sf), "panel")
+    return rounded(G.fill_from_normal(base, WIDE, 35), *M, places=4)
+
+
+def imputation_errors(spark, sf):
+    """Every seventh reading hidden: mean absolute error of both learned fills on the cells that both can fill."""
+    base = write_and_read(panel_h(spark, sf), "panel")
+    hidden = F.pmod(F.xxhash64("station", "ts"), F.lit(7)) == 0
+    holes = write_and_read(base.withColumns({m: F.when(~hidden, F.col(m)) for m in M}), "holes")
+    truth = base.where(hidden).select("station", "ts", *[F.col(m).alias(f"true_{m}") for m in M])
+    fills = {"normal": G.fill_from_normal(holes, HOURLY, 5), "line": I.fill_from_neighbors(holes, HOURLY, 5)}
+    for name, df in fills.items():
+        truth = truth.join(df.select("station", "ts", *[F.col(m).alias(f"{name}_{m}") for m in M]), ["station", "ts"])
+    errors = []
+    for m in M:
+        both = truth.where(F.col(f"true_{m}").isNotNull() & F.col(f"normal_{m}").isNotNull() & F.col(f"line_{m}").isNotNull())
+        mean = [F.avg(F.abs(F.col(f"{name}_{m}") - F.col(f"true_{m}"))).alias(name) for name in fills]
+        errors.append(both.agg(F.count("*").alias("cells"), *mean).withColumn("measure", F.lit(m)))
+    return rounded(errors[0].unionByName(errors[1]).unionByName(errors[2]), "normal", "line")
+
+
+def boosted_first_splits(spark, sf):
+    """The best split of the root of every station's and measure's model, among 16 bins of equal width."""
+    splits = B.first_splits(panel_h(spark, sf), HOURLY, bins=16, least_rows=5, edges="width")
+    return rounded(splits, "gain", places=4)
+
+
+def boosted_impute(spark, sf):
+    """Gated cells from one boosted model per station and measure."""
+    base = write_and_read(panel_h(spark, sf), "panel")
+    return rounded(B.fill_from_boosted(base, HOURLY, GATE, B.fit_boosted(base, HOURLY, trees=20)), *M, places=4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ffill_bfill_day, ffill_bfill_season, ffill_only_season, mean_fill, zero_fill, impute_cascade,
         impute_main_residual, missing_count_gate, neighbor_loo_mean, neighbor_line_models, neighbor_regression_impute,
+        missing_patterns, normal_models, normal_impute, imputation_errors, boosted_first_splits, boosted_impute,
     )
 }
 
@@ -152,6 +206,52 @@ SQL = {
     "neighbor_line_models": sql(
         SQL_PANEL_H, SQL_VIEWED, SQL_LINES, select=f"SELECT station, {r(*_LINE_COLUMNS)} FROM lines"
     ),
+    "missing_patterns": sql(
+        SQL_PANEL_H,
+        """
+cells AS (
+  SELECT ts, station, 'm1' AS measure, m1 AS v FROM panel_h UNION ALL SELECT ts, station, 'm2', m2 FROM panel_h
+  UNION ALL SELECT ts, station, 'm3', m3 FROM panel_h WHERE station <> 'error'
+),
+scaled AS (
+  SELECT measure, ts, dense_rank() OVER (ORDER BY station) - 1 AS place, v,
+    (v - avg(v) OVER s) / coalesce(nullif(stddev_pop(v) OVER s, 0), 1) AS z FROM cells WINDOW s AS (PARTITION BY measure, station)
+),
+at_time AS (
+  SELECT measure, ts, string_agg(place::VARCHAR, ',' ORDER BY place) AS stations, sum(z) AS z FROM scaled WHERE v IS NOT NULL GROUP BY 1, 2
+)""",
+        select='SELECT measure, stations, count(*) AS n, round(sum(z), 3) AS sums, round(sum(z * z), 3) AS "outer" FROM at_time GROUP BY 1, 2',
+    ),
+    "boosted_first_splits": sql(
+        SQL_PANEL_H,
+        """
+cells AS (
+  SELECT ts, station, 'm1' AS measure, m1 AS v FROM panel_h UNION ALL SELECT ts, station, 'm2', m2 FROM panel_h
+  UNION ALL SELECT ts, station, 'm3', m3 FROM panel_h WHERE station <> 'error'
+),
+scaled AS (
+  SELECT measure, station, ts, v, (v - avg(v) OVER s) / coalesce(nullif(stddev_pop(v) OVER s, 0), 1) AS z,
+    len(list_filter(list_distinct([min(v) OVER s + (max(v) OVER s - min(v) OVER s) * k / 16 FOR k IN range(1, 16)]), lambda e: e < v)) AS bin
+  FROM cells WINDOW s AS (PARTITION BY measure, station)
+),
+pairs AS (
+  SELECT y.measure, y.station, x.station AS neighbour, CASE WHEN x.v IS NULL THEN 16 ELSE x.bin END AS bin, -sum(y.z) AS g, count(*) AS n
+  FROM scaled y JOIN scaled x ON x.measure = y.measure AND x.ts = y.ts AND x.station <> y.station WHERE y.v IS NOT NULL GROUP BY 1, 2, 3, 4
+),
+summed AS (
+  SELECT *, sum(g) OVER f AS ga, sum(n) OVER f AS na, coalesce(sum(g) FILTER (bin = 16) OVER f, 0) AS gm, coalesce(sum(n) FILTER (bin = 16) OVER f, 0) AS nm,
+    sum(g) OVER (f ORDER BY bin) AS gl, sum(n) OVER (f ORDER BY bin) AS nl FROM pairs WINDOW f AS (PARTITION BY measure, station, neighbour)
+),
+sides AS (
+  SELECT measure, station, neighbour, bin AS cut, gap_left, ga, na, gl + CASE WHEN gap_left THEN gm ELSE 0 END AS gl, nl + CASE WHEN gap_left THEN nm ELSE 0 END AS nl
+  FROM summed CROSS JOIN (VALUES (false), (true)) s(gap_left) WHERE bin < 16
+),
+gains AS (
+  SELECT *, gl * gl / (nl + 1) + (ga - gl) * (ga - gl) / (na - nl + 1) - ga * ga / (na + 1) AS gain FROM sides WHERE nl >= 5 AND na - nl >= 5
+)""",
+        select="""SELECT measure, station, neighbour, cut::INT AS cut, gap_left, round(gain, 4) AS gain, na::BIGINT AS n FROM gains
+        QUALIFY row_number() OVER (PARTITION BY measure, station ORDER BY round(gain, 6) DESC, neighbour, cut, gap_left) = 1""",
+    ),
     "neighbor_regression_impute": sql(
         SQL_PANEL_H, SQL_VIEWED, SQL_LINES, SQL_NEIGHBORS,
         select=f"SELECT station, {T}, {r(*M, places=4)} FROM neighbors",
