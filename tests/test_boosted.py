@@ -74,7 +74,7 @@ def test_trees_equal_a_search_by_hand(spark, panel, monkeypatch, trees, depth):
 def test_fill_beats_the_line_where_the_relation_is_no_line(spark, panel):
     x, holes, rows = panel_rows(5, 700, 0.15)
     df = panel(rows)
-    models = B.fit_boosted(df, ONE, trees=15, depth=3, rate=0.3, share=0.8)
+    models = B.fit_boosted(df, ONE, trees=8, depth=3, rate=0.5, share=0.8)
     trees = {(r.station, str(r.ts)): r.m1 for r in B.fill_from_boosted(df, ONE, 3, models).collect()}
     lines = {(r.station, str(r.ts)): r.m1 for r in I.fill_from_neighbors(df, ONE, 3).collect()}
     errors = [[], []]
