@@ -33,8 +33,8 @@ from panelcast.session import write_and_read
 START, END = (tx.U(x) for x in tx.seeded(9, 2))
 SMALL = 5
 KEPT_BACK = 1e-4
-SHARD_TOKENS = 4_000_000
-SLICE = 24 << 20
+SHARD_TOKENS = 2_000_000
+SLICE = 8 << 20
 DOCS, SUMS, MASS, UNSEEN, COUNTS = range(5)
 BLOCK = "dest long, batch long, kind int, keys array<long>, payload binary"
 
@@ -275,6 +275,7 @@ def _shard(model):
         m, shard = model.value, table.column("dest")[0].as_py()
         if shard < 0:
             return table
+        tx.release()
         batch = table.column("batch").to_pylist()
         parts = [_unpack(p.as_py()) for p in table.column("payload")]
         del table

@@ -124,7 +124,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     weight = 1 / np.bincount(y)[y][:, None]
     left = kernel.T @ (weight * kernel) + ridge * (z @ z.T).astype(np.float64) + 1e-9 * np.eye(len(z))
     beta = np.linalg.solve(left, kernel.T @ (weight * goal))
-    return LanguageModel(languages, (z.T @ beta).astype(np.float32))
+    model = LanguageModel(languages, (z.T @ beta).astype(np.float32))
+    del got, lists, z, kernel, goal, left, weight
+    tx.release()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

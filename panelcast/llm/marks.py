@@ -14,10 +14,10 @@ from panelcast.session import write_and_read
 
 MARK_BITS = 27
 SHARD_BITS = 6
-SHARD_HASHES = 4_000_000
+SHARD_HASHES = 2_000_000
 LEVELS = 2
 LEVEL_STEP = 16
-SLICE = 12 << 20
+SLICE = 6 << 20
 
 
 def shard_bits(hashes: int, most: int = SHARD_HASHES) -> int:
@@ -77,6 +77,8 @@ def _count_shard(shard_bits: int):
             bits[place[often]] = True
             rows.append((shard, level, int(often.sum()), np.packbits(bits, bitorder="little").tobytes()))
             level *= 2
+        del held, first, total, place
+        tx.release()
         types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["shard", "level", "n", "bits"])
 

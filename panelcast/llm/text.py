@@ -8,6 +8,7 @@ n items the chance that any two differ and hash alike is about n^2 / 4e19.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,15 @@ def powers(base: int, n: int) -> np.ndarray:
 POWER, UNPOWER = powers(BASE, BLOCK_BYTES), powers(UNBASE, BLOCK_BYTES)
 
 
+def release() -> None:
+    """Gives free memory back to the system, which the pools of Arrow and of the C library would keep for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold at most ``most`` bytes together, or one longer row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -61,6 +71,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    release()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
