@@ -264,6 +264,7 @@ def _send(model):
                     body = _pack(w, per_word, names, *_narrow(pairs % len(names), len(names)), per_pair, *_narrow(entries % len(starts), len(starts)), _small(n), train)
                     yield _rows([(s, number, SUMS, None, body)])
                 number += 1
+            tx.release()
 
     return run
 

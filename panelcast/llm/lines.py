@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelcast.llm import text as tx
 from panelcast.llm.components import common, components, in_groups, sized, star_links
 from panelcast.llm.marks import count_and_mark
+from panelcast.llm.sampling import plain
 from panelcast.session import write_and_read
 
 WIDTH = 10
@@ -101,6 +102,7 @@ def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 solid = np.flatnonzero(~blank)
                 arrays = [pa.array(key[row]), pa.array(version[row]), pa.array(number), pa.array(line.view(np.int64)), keys]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "version", "number", "line", "bands"]).take(pa.array(solid))
+        tx.release()
 
 
 def _bands_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -253,12 +255,12 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     drops = write_and_read(repeated_lines(docs, key, text), "drops")
     total = drops.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0]
     drops = drops.select(F.col("key").alias("_key"), F.col("version").alias("_version"), F.col("drop").alias("_drop"))
-    d = docs.drop("n_lines", "n_removed")
+    d, back = plain(docs.drop("n_lines", "n_removed"))
+    key, text = back[key], back[text]
     d = d.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(_FIRST_KEY))).withColumn("_version", F.xxhash64(text))
     d = d.join(sized(drops, total), ["_key", "_version"], "left")
     split = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split).cast("long") - 1), F.col("_drop")), lambda i: F.get(split, i.cast("int"))), "\n")
     lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1)
     new = {text: F.when(F.col("_drop").isNull(), F.col(text)).otherwise(kept), "n_lines": lines.cast("long"), "n_removed": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long")}
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return d.select([new[c].alias(c) if c in new else F.col(f"`{c}`") for c in [*names, "n_lines", "n_removed"]])
+    return d.select([new.get(c, F.col(c)).alias(name) for name, c in back.items()] + [new[c].alias(c) for c in ("n_lines", "n_removed")])

@@ -49,6 +49,7 @@ def _count_rows(items_of: Callable[[pa.RecordBatch], np.ndarray], bits: int):
                         rows.append((s, width, planes.tobytes(), count[a:b].tobytes()))
                 types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["shard", "width", "steps", "counts"])
+            tx.release()
 
     return run
 

@@ -59,6 +59,7 @@ def _set_rows(marks):
                         take &= rank > 0
                     out = tx.lists(items[take], np.concatenate([[0], np.cumsum(take)])[starts])
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), out], names=["key", "n", "d1", "d2", "items"])
+            tx.release()
 
     return run
 

@@ -71,7 +71,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
         yield batch.slice(start, stop - start)
         start = stop
-    release()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
