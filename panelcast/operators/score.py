@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import Sequence
 
@@ -168,3 +169,39 @@ def bootstrap(daily: DataFrame, reps: int, days: int = 25, seed: int = 0, day: s
     order = Window.partitionBy("rep").orderBy(F.md5(text))
     sampled = drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= days)
     return sampled.groupBy("rep").agg(F.avg("score").alias("score"))
+
+
+def _poisson(text, greatest: int = 12):
+    """How often a thing is drawn, Poisson with mean 1, from the first 32 bits of the text's md5."""
+    uniform = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    term, total, draws = math.exp(-1), 0.0, []
+    for k in range(greatest):
+        term = term / k if k else term
+        total += term
+        draws.append(F.when(uniform >= total, 1).otherwise(0))
+    return reduce(lambda a, b: a + b, draws)
+
+
+def bootstrap_difference(
+    daily: DataFrame, setting: str, a, b, reps: int, level: float = 0.9, seed: int = 0, day: str = "origin"
+) -> DataFrame:
+    """How much lower ``a`` scores than ``b``: (difference, low, high, days), with a percentile interval of replicates.
+
+    Each replicate takes every date as often as a Poisson number from a hash of seed, replicate and date, the
+    same for both settings, so days need no order and no replicate more than a sum: all replicates are
+    one aggregation, which a task combines over its own dates. Only dates that both settings score count;
+    replicates that draw none are left out. ``daily`` has one score per setting and date.
+    """
+    scores = daily.where(F.col(setting).isin(a, b) & F.col("score").isNotNull()).groupBy(day)
+    signed = scores.agg(
+        F.avg(F.when(F.col(setting) == a, F.col("score"))).alias("_a"), F.avg(F.when(F.col(setting) == b, F.col("score"))).alias("_b")
+    ).where("_a IS NOT NULL AND _b IS NOT NULL")
+    drawn = signed.select(day, (F.col("_a") - F.col("_b")).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("rep"))
+    times = _poisson(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col(day).cast("string")))
+    drawn = drawn.withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(times))  # replicate 0 is the sample itself
+    means = drawn.groupBy("rep").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"), F.count("*").alias("n"))
+    sample, tail = F.col("rep") == 0, (1 - level) / 2
+    share = lambda q: F.percentile(F.when(~sample, F.col("m")), F.lit(q))
+    return means.agg(
+        F.max(F.when(sample, F.col("m"))).alias("difference"), share(tail).alias("low"), share(1 - tail).alias("high"), F.max("n").alias("days")
+    )

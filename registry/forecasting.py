@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
 from panelcast.fixed import FIB_WINDOWS, GOLDEN_WINDOWS, WINDOW_FAMILIES, window_family
 from panelcast.operators import score as S, seasonal as R
+from panelcast.operators.quantiles import exact_quantiles
 from panelcast.plans import backtest as B, experiments as E
 from panelcast.session import shared_folder, write_and_read
 from registry.imputing import GATE, SQL_LINES, SQL_NEIGHBORS, SQL_VIEWED, fill_cte
 from registry.panels import (
     DAILY, HOURLY, ORIGIN_D, ORIGIN_H, ORIGINS_H, SQL_PANEL_H, SQL_PANEL_S, SQL_PANEL_W, T, WIDE, WINDOWS_H,
-    panel_h, panel_s, panel_w, r, rounded, sql,
+    panel_h, panel_s, panel_w, r, read, rounded, sql,
 )
 
 M = ("m1", "m2", "m3")
@@ -218,6 +220,20 @@ def bootstrap_score(spark, sf):
     return rounded(S.bootstrap(daily, reps=20, days=5, seed=7), "score")
 
 
+def bootstrap_interval(spark, sf):
+    """All windows against the shortest two over the scored days: the difference, and 200 replicates' interval."""
+    base = write_and_read(panel_h(spark, sf), "panel")
+    scores = B.backtest_medians(base, base, HOURLY, ORIGINS_H, {"all": WINDOWS_H, "short": WINDOWS_H[:2]})
+    daily = S.mean_scores(scores, ["family", "origin"]).withColumn("origin", F.col("origin").cast("string"))
+    return rounded(S.bootstrap_difference(daily, "family", "all", "short", 200, seed=3), "difference", "low", "high")
+
+
+def exact_event_quantiles(spark, sf):
+    """Quantiles of every raw event's value per type, by histograms of at most 64 bins."""
+    out = exact_quantiles(read(spark, sf, "events"), ["event_type"], "value", [0.1, 0.5, 0.9], bins=64, few=200)
+    return rounded(out, "value")
+
+
 def score_table_merge(spark, sf):
     """Two runs over overlapping dates; equal rows count once."""
     scores = write_and_read(S.mean_scores(_scores(spark, sf)), "scores")
@@ -258,6 +274,7 @@ QUERIES = {
         median_features_shifted, median_of_medians, median_of_medians_imputed, median_of_medians_daily, forecast_grid,
         truth_complete, smape_official, smape_missing_forecast, smape_skipna, smape_loss, mae_clipped,
         backtest_rolling, backtest_legacy_align, score_grid, daily_score, overall_score, score_wide, bootstrap_score,
+        bootstrap_interval, exact_event_quantiles,
         score_table_merge, settings_leaderboard, settings_grid, best_setting,
     )
 }
@@ -467,6 +484,9 @@ _FRAME_DEFS = ", ".join(
     for w in WINDOWS_H
 )
 _SCORE = "SELECT origin, station, measure, round(score, 6) AS score FROM scores"
+_DRAWS = " + ".join(
+    f"CASE WHEN u >= {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r} THEN 1 ELSE 0 END" for k in range(12)
+)
 _DAILY = "SELECT origin, avg(score) AS score FROM scores GROUP BY 1"
 
 SQL = {
@@ -594,6 +614,30 @@ forecast AS (
           SELECT rep, score, row_number() OVER (PARTITION BY rep ORDER BY md5('7|' || rep || '|' || origin)) AS n
           FROM ({_DAILY}) d CROSS JOIN (SELECT unnest(range(1, 21)) AS rep)) WHERE n <= 5 GROUP BY 1"""
     ),
+    "bootstrap_interval": sql(
+        SQL_PANEL_H,
+        summary_cte("summaries", "panel_h", _next_days(ORIGINS_H), WINDOWS_H),
+        forecast_cte("f_all", "summaries", ORIGINS_H),
+        forecast_cte("f_short", f'(SELECT * FROM summaries WHERE "window" <= {WINDOWS_H[1]})', ORIGINS_H),
+        truth_cte("truth", ORIGINS_H, 0),
+        scores_cte("s_all", "truth", "f_all"),
+        scores_cte("s_short", "truth", "f_short"),
+        f"""
+daily AS (
+  SELECT origin, a.score - b.score AS d FROM (SELECT origin, avg(score) AS score FROM s_all GROUP BY 1) a
+  JOIN (SELECT origin, avg(score) AS score FROM s_short GROUP BY 1) b USING (origin) WHERE a.score IS NOT NULL AND b.score IS NOT NULL
+),
+hashed AS (
+  SELECT rep, d, ('0x' || substr(md5('3|' || rep || '|' || origin), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u
+  FROM daily CROSS JOIN (SELECT unnest(range(1, 201)) AS rep)
+),
+drawn AS (SELECT rep, d, {_DRAWS} AS w FROM hashed),
+means AS (SELECT rep, sum(w * d) / nullif(sum(w), 0) AS m FROM drawn GROUP BY 1)""",
+        select="""SELECT round((SELECT avg(d) FROM daily), 6) AS difference, round(quantile_cont(m, 0.05), 6) AS low,
+        round(quantile_cont(m, 0.95), 6) AS high, (SELECT count(*) FROM daily) AS days FROM means""",
+    ),
+    "exact_event_quantiles": """SELECT event_type, q AS quantile, round(CASE q WHEN 0.1 THEN quantile_cont(value, 0.1) WHEN 0.5 THEN quantile_cont(value, 0.5)
+    ELSE quantile_cont(value, 0.9) END, 6) AS value FROM events CROSS JOIN (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) t(q) GROUP BY 1, 2""",
     "score_table_merge": _backtest(f"SELECT origin, round(score, 6) AS score FROM ({_DAILY})"),
     "settings_leaderboard": _settings(
         WINDOW_FAMILIES,

@@ -119,3 +119,15 @@ def test_a_setting_with_gaps_does_not_win(spark):
     rows = [("a", "d1", "s", "m1", 0.1), ("a", "d1", "t", "m1", 0.9), ("b", "d1", "s", "m1", 0.2), ("b", "d1", "t", "m1", None)]
     board = S.leaderboard(spark.createDataFrame(rows, "name string, origin string, station string, measure string, score double"), ["name"])
     assert [(r.name, r.score, r.cells) for r in board.collect()] == [("a", 0.1, 1), ("b", 0.2, 1)]
+
+
+def test_bootstrap_of_a_difference(spark):
+    days = [(f"d{i}", f, s) for i in range(40) for f, s in (("a", 0.5 + 0.01 * (i % 5)), ("b", 0.6))] + [("d99", "a", 9.0)]
+    daily = spark.createDataFrame(days, "origin string, family string, score double")
+    one = S.bootstrap_difference(daily, "family", "a", "b", 300).first()
+    assert one.days == 40 and one.difference == pytest.approx(-0.08) and one.low < one.difference < one.high < -0.07
+    assert S.bootstrap_difference(daily.repartition(7), "family", "a", "b", 300).first().low == pytest.approx(one.low)
+    wide = S.bootstrap_difference(daily, "family", "a", "b", 300, level=0.99).first()
+    assert wide.low <= one.low and wide.high >= one.high
+    draws = spark.range(20_000).select(S._poisson(F.col("id").cast("string")).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
+    assert draws[0] == pytest.approx(1, abs=0.03) and draws[1] == pytest.approx(1, abs=0.05)
