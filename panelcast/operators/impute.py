@@ -89,7 +89,10 @@ def fit_neighbor_lines(df: DataFrame, spec: PanelSpec, within: Sequence[str] = (
     All models come from a single aggregation over the panel, whatever their number. Measures that a
     station never reports get no line there.
     """
-    viewed = with_neighbors(df, spec, within)
+    return _lines(with_neighbors(df, spec, within), spec)
+
+
+def _lines(viewed: DataFrame, spec: PanelSpec) -> DataFrame:
     fits = []
     for m in spec.measures:
         y, x = F.when(spec.reports(m), F.col(m)), F.col(f"{m}_others")
@@ -111,7 +114,7 @@ def fill_from_neighbors(
     always those before imputation.
     """
     viewed = with_neighbors(df, spec, within)
-    models = models if models is not None else fit_neighbor_lines(df, spec, within)
+    models = models if models is not None else _lines(viewed, spec)
     joined = viewed.join(models, spec.station, "left")
     filled = {}
     for m in spec.measures:

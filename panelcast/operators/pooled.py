@@ -69,9 +69,19 @@ def pooled_forecast(
         held_out = model.transform(known.where(F.col("fold") == fold))
         score = smape_loss(F.col("label"), F.col("prediction")).alias("score")
         scores.append(held_out.agg(score).withColumn("fold", F.lit(fold)))
-    every = reduce(DataFrame.unionByName, predictions)
     keys = [spec.station, "measure", "split_day", "horizon"]
-    return every.groupBy(*keys).agg(F.avg("prediction").alias("value")), reduce(DataFrame.unionByName, scores)
+    return ensemble(predictions, keys, ["prediction"]).withColumnRenamed("prediction", "value"), reduce(DataFrame.unionByName, scores)
+
+
+def ensemble(forecasts: Sequence[DataFrame], keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Mean of the folds' forecasts per key; a fold without a value for a key has no say there."""
+    every = reduce(DataFrame.unionByName, [f.select(*keys, *values) for f in forecasts])
+    return every.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
+
+
+def fold_spread(scores: DataFrame) -> DataFrame:
+    """One row from the folds' scores: mean, population deviation and least."""
+    return scores.agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("least"))
 
 
 def pooled_panel_forecast(

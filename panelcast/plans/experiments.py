@@ -16,7 +16,7 @@ from panelcast.operators.curve import CurveShape, curve_models, predict_curves,
 from panelcast.operators.features import shifted_splits
 from panelcast.operators.impute import impute
 from panelcast.operators.pooled import pooled_panel_forecast
-from panelcast.operators.score import mean_scores
+from panelcast.operators.score import common_cells, mean_scores
 from panelcast.operators.seasonal import day_list
 from panelcast.plans.backtest import backtest, backtest_medians
 from panelcast.session import write_and_read
@@ -200,8 +200,13 @@ def run_pooled(
 
 
 def record(scores: DataFrame, settings: Sequence, path: str) -> DataFrame:
-    """Append the scores and the settings behind them below ``path``; return mean scores per setting."""
+    """Append the scores and the settings behind them below ``path``; return mean scores per setting, best first.
+
+    Settings are compared on the origins that all of them score; one that scores none of these comes last.
+    """
     append_scores(scores, f"{path}/scores")
     append_settings(scores.sparkSession, f"{path}/settings", [asdict(s) for s in settings], f"{path}/scores")
-    stored = scores.sparkSession.read.parquet(f"{path}/scores").distinct()
-    return stored.groupBy("num").agg(F.avg("score").alias("score")).orderBy(F.col("score").asc_nulls_last(), "num")
+    stored = scores.sparkSession.read.parquet(f"{path}/scores").distinct().where(F.col("num").isin([s.num for s in settings]))
+    means = common_cells(stored, ["num"], ["origin"]).groupBy("num").agg(F.avg("score").alias("score"))
+    board = stored.select("num").distinct().join(means, "num", "left")
+    return board.orderBy(F.col("score").asc_nulls_last(), "num")

@@ -89,10 +89,7 @@ def fold_ensemble(spark, sf):
     per_fold = [
         folded.where(F.col("fold") != f).groupBy("station").agg(*[F.median(m).alias(m) for m in M]) for f in range(5)
     ]
-    union = per_fold[0]
-    for p in per_fold[1:]:
-        union = union.unionByName(p)
-    return rounded(union.groupBy("station").agg(*[F.avg(m).alias(m) for m in M]), *M)
+    return rounded(P.ensemble(per_fold, ["station"], M), *M)
 
 
 def fold_score_spread(spark, sf):
@@ -102,10 +99,7 @@ def fold_score_spread(spark, sf):
     before = base.select("station", (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.col("m1").alias("p"))
     pairs = base.join(before, ["station", "ts"]).join(folds, "station")
     scores = pairs.groupBy("fold").agg(S.smape_official(F.col("m1"), F.col("p")).alias("score"))
-    spread = scores.agg(
-        F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("least")
-    )
-    return rounded(spread, "mean", "std", "least")
+    return rounded(P.fold_spread(scores), "mean", "std", "least")
 
 
 def holidays(spark, sf):
@@ -170,16 +164,16 @@ def curve_settings_board(spark, sf):
 
 
 def pooled_forecast(spark, sf):
-    """Ensemble of two grouped-fold models over all series, two days ahead."""
+    """Ensemble of five grouped-fold models over all series, two days ahead."""
     forecast, _ = P.pooled_panel_forecast(
-        _imputed(spark, sf), HOURLY, SPLIT, X.shifted_splits("2024-01-23", SHIFTS), HISTORY, WINDOWS, k=2
+        _imputed(spark, sf), HOURLY, SPLIT, X.shifted_splits("2024-01-23", SHIFTS), HISTORY, WINDOWS, k=5
     )
     return rounded(C.to_wide(_as_forecast(forecast), HOURLY), *M)
 
 
 def pooled_fold_scores(spark, sf):
     _, scores = P.pooled_panel_forecast(
-        _imputed(spark, sf), HOURLY, SPLIT, X.shifted_splits("2024-01-23", SHIFTS), HISTORY, WINDOWS, k=2
+        _imputed(spark, sf), HOURLY, SPLIT, X.shifted_splits("2024-01-23", SHIFTS), HISTORY, WINDOWS, k=5
     )
     return rounded(scores, "score")
 

@@ -44,6 +44,13 @@ def test_medians_run(synthetic, tmp_path):
     assert E.record(scores, settings, str(tmp_path)).count() == 32
 
 
+def test_record_compares_on_the_same_days(spark, tmp_path):
+    scores = spark.createDataFrame([(1, "d1", 0.2), (1, "d2", 0.9), (2, "d1", 0.3), (3, "d9", 0.0)], "num int, origin string, score double")
+    settings = [E.CurveSetting(n, "x", 30, 0.05, 5) for n in (1, 2)]
+    board = E.record(scores, settings, str(tmp_path)).collect()
+    assert [(r.num, r.score) for r in board] == [(1, 0.2), (2, 0.3)]
+
+
 def test_curve_run(synthetic):
     settings = [E.CurveSetting(1, "x", 30, 0.05, 5), E.CurveSetting(2, "x", 30, 0.001, 5)]
     scores = E.run_curves({"x": synthetic}, TWO, settings, ["2024-02-20"], GATE)
