@@ -184,6 +184,13 @@ def curve_city_forecast(spark, sf):
     return rounded(D.predict_cities({"a": base}, HOURLY, ORIGIN_H, settings, "curve"), *M)
 
 
+def pooled_city_forecast(spark, sf):
+    """The daily job of the pooled ensemble: five folds, four shifts of training splits."""
+    base = panel_h(spark, sf)
+    settings = {"a": D.CitySetting([3, 5], 3, lag_history_days=3, shifts=4, median_shifts=2, folds=5)}
+    return rounded(D.predict_cities({"a": base}, HOURLY, ORIGIN_H, settings, "pooled"), *M)
+
+
 def score_store(spark, sf):
     """Two overlapping runs appended, read back without duplicates, with their log."""
     scores, root = S.mean_scores(_scores(spark, sf)), shared_folder(spark, "scores")
@@ -285,7 +292,7 @@ QUERIES = {
     for f in (
         ingest_station_wide, ingest_station_files, ingest_city_feed, ingest_incremental, history_build,
         history_repeats, landed_corrections, history_backfilled, history_refresh, history_stored, imputed_history, stored_neighbor_models, city_merge_forecast,
-        curve_city_forecast, score_store, feature_cache, stream_ingest, stream_dedupe, stream_hourly, stream_sliding,
+        curve_city_forecast, pooled_city_forecast, score_store, feature_cache, stream_ingest, stream_dedupe, stream_hourly, stream_sliding,
         stream_daily_median, stream_ffill, stream_correction, stream_upsert,
     )
 }
