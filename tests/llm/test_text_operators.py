@@ -575,3 +575,10 @@ def test_digest_columns_of_the_pii_query(spark, tmp_path):
         text = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
         assert x.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and x.spans == text
         assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(k == i for _, k, _ in spans) for i in range(4)]
+
+
+def test_line_deduplication_passes_columns_of_any_name(spark):
+    rows = [(1, "The very same line stands here.\nOne.", "K", 7, "D"), (2, "The very same line stands here.\nTwo.", "L", 8, "E")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _key string, _version int, _drop string")
+    got = lines.dedupe_lines(d).orderBy("doc_id").collect()
+    assert [(r._key, r._version, r._drop, r.text, r.n_removed) for r in got] == [("K", 7, "D", rows[0][1], 0), ("L", 8, "E", "Two.", 1)]
