@@ -97,7 +97,18 @@ def score_grid(
     answers = actual.select(*on, *[F.col(m).alias(f"_a_{m}") for m in spec.measures])
     # Forecasts multiply their history by origins and settings, which size estimates do not see,
     # so they are never to be broadcast on an estimate.
-    pairs = answers.join(predicted.hint("merge"), on, "left")
+    return score_pairs(answers.join(predicted.hint("merge"), on, "left"), spec, by, metric, two_is_missing, ignore_stations)
+
+
+def score_pairs(
+    pairs: DataFrame,
+    spec: PanelSpec,
+    by: Sequence[str] = ("origin",),
+    metric: str = "smape",
+    two_is_missing: bool = False,
+    ignore_stations: Sequence[str] = (),
+) -> DataFrame:
+    """The scores of rows that hold truth (``_a_<measure>``) and forecast (``<measure>``) side by side."""
     cells = pairs.groupBy(*by, spec.station).agg(
         *[METRICS[metric](F.col(f"_a_{m}"), F.col(m)).alias(m) for m in spec.measures]
     )

@@ -51,7 +51,7 @@ class CurveSetting:
 
 @dataclass(frozen=True)
 class NetExperiment:
-    """Setting of a pooled experiment; ``batch_size`` is kept for the record, epochs use all rows."""
+    """Setting of a pooled experiment; ``batch_size`` is the number of rows of a step of the net."""
 
     num: int
     city: str

@@ -59,7 +59,7 @@ def city_settings() -> dict[str, CitySetting]:
             changepoints=p["changepoints"],
             lag_history_days=p["lag_history_days"],
             exclude=(EXCLUDED_FROM_TRAINING,) if CITY_OF[EXCLUDED_FROM_TRAINING] == city else (),
-            net=NetSetting(units=p["units"], dropout=p["dropout"]),
+            net=NetSetting(units=p["units"], dropout=p["dropout"], batch_rows=p["batch"]),
             lag_windows=window_family(p["lag_windows"]),
         )
     return out

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import csv
 from functools import reduce
-from typing import Mapping, Sequence
+from typing import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelcast.fixed import CITY_FEED_COLUMNS, LONDON_HEADERS, MEASURE_NAMES
 from panelcast.functions.columns import at_hour, number, shift_hours
-from panelcast.operators.panel import dedupe, station_columns_to_rows
+from panelcast.operators.panel import clean, dedupe, station_columns_to_rows, union_sources
+from panelcast.session import write_and_read
 from panelcast.spec import PanelSpec
 
 
@@ -69,17 +69,11 @@ def read_station_wide(
     return station_columns_to_rows(unique, spec, stations, types=types)
 
 
-def _header_groups(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files by the names in their header line, site prefixes left off. One line per file reaches the driver."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")
-    )
-    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("header")).collect()
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for r in sorted(heads, key=lambda r: r["file"]):
-        names = next(csv.reader([r["header"]], skipinitialspace=True), [])
-        groups.setdefault(tuple(n.split(": ")[-1].strip() for n in names), []).append(r["file"])
-    return groups
+def _cells(value: Column, width: int) -> Column:
+    """The cells of a CSV line as an array of text, missing ones NULL."""
+    schema = ", ".join(f"_{i} string" for i in range(width))
+    line = F.from_csv(value, schema, {"ignoreLeadingWhiteSpace": "true"})
+    return F.array(*[line[f"_{i}"] for i in range(width)])
 
 
 def read_station_files(
@@ -94,30 +88,36 @@ def read_station_files(
     """One file per station (and month), each with its own header -> unique (station, ts, measures).
 
     Headers read ``<site>: <quantity>``; the text after the last ': ' names the column. Order and
-    number of columns may differ per file: files of equal names are read together by the CSV source,
-    with the names as schema, so a large file is split like any other. The station is taken from the
-    path. Where rows overlap the last to arrive wins.
+    number of columns may differ per file. Files are read once, as lines, into the shared folder; a
+    file's first line that is not blank is its header, which is joined back to the file's lines by
+    Spark, so the driver sees no line and a large file is split like any other. The station is taken
+    from the path. A file without the time column adds nothing; if none has it, the call fails. Lines
+    are rows, so quoted cells hold no line ends. Where rows overlap the last to arrive wins.
     """
     wanted = {names.get(short, short): header for header, short in headers.items() if header != time_header}
-    frames = []
-    for columns, files in _header_groups(spark, paths).items():
-        if time_header not in columns:
-            continue
-        schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(columns))])
-        raw = spark.read.schema(schema).option("header", True).option("ignoreLeadingWhiteSpace", True).csv(files)
-        cell = {name: F.col(f"_{i}") for i, name in reversed(list(enumerate(columns)))}
-        measures = {m: number(cell[wanted[m]]) if wanted.get(m) in cell else F.lit(None).cast("double") for m in spec.measures}
-        frames.append(
-            raw.select(
-                F.regexp_extract(F.col("_metadata.file_path"), station_pattern, 1).alias(spec.station),
-                F.try_to_timestamp(cell[time_header]).cast("timestamp_ntz").alias(spec.ts),
-                arrival().alias("_arrival"),
-                *[c.alias(m) for m, c in measures.items()],
-            )
-        )
-    if not frames:
+    read = spark.read.text(paths).select(F.regexp_replace("value", "^\ufeff", "").alias("value"), arrival().alias("_arrival"))
+    lines = write_and_read(read.where(F.trim("value") != ""), "station-lines")
+    at = F.struct("_arrival.block", "_arrival.line")
+    heads = lines.groupBy(F.col("_arrival.file").alias("_file")).agg(F.min(at).alias("_at"), F.min_by("value", at).alias("_head"))
+    heads = write_and_read(heads, "station-heads")
+    width = heads.agg(F.max(F.size(F.split("_head", ",")))).first()[0] or 1
+    titles = F.transform(_cells(F.col("_head"), width), lambda t: F.trim(F.element_at(F.split(t, ": "), -1)))
+    place = {spec.ts: time_header, **{m: wanted[m] for m in spec.measures if m in wanted}}
+    heads = heads.withColumn("_titles", titles).select(
+        "_file", "_at", *[(F.array_position("_titles", h) - 1).cast("int").alias(f"_at_{c}") for c, h in place.items()]
+    )
+    heads = heads.where(F.col(f"_at_{spec.ts}") >= 0)
+    if heads.isEmpty():
         raise ValueError(f"no file has a column {time_header!r}")
-    readings = reduce(DataFrame.unionByName, frames)
+    rows = lines.join(heads, F.col("_arrival.file") == F.col("_file")).where(at != F.col("_at"))
+    rows = rows.withColumn("_cells", _cells(F.col("value"), width))
+    cell = {c: F.get("_cells", F.col(f"_at_{c}")) for c in place}
+    readings = rows.select(
+        F.regexp_extract("_file", station_pattern, 1).alias(spec.station),
+        F.try_to_timestamp(cell[spec.ts]).cast("timestamp_ntz").alias(spec.ts),
+        "_arrival",
+        *[(number(cell[m]) if m in cell else F.lit(None).cast("double")).alias(m) for m in spec.measures],
+    )
     return dedupe(readings.where(F.col(spec.ts).isNotNull()), spec.keys, ["_arrival"], keep="last").drop("_arrival")
 
 
@@ -134,13 +134,32 @@ def read_city_feed(
 
 
 def read_city_history(
-    spark: SparkSession, path: str, city: str, spec: PanelSpec, fresh: DataFrame | None = None, cities=("beijing", "london")
+    spark: SparkSession,
+    path: str,
+    city: str,
+    spec: PanelSpec,
+    fresh: DataFrame | None = None,
+    cities=("beijing", "london"),
+    stations: Sequence[str] | None = None,
+    order: Sequence[str] = (),
+    fill: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Stored panel of one city, with fresh readings added if given.
+    """Stored panel of one city, with fresh readings added if given: unique, clean rows of its stations.
 
-    ``city`` is the partition column of the stored panel, so other cities are not read.
+    ``city`` is the partition column of the stored panel, so other cities are not read. Rows without a
+    time are left out, measures that are no numbers are NULL, and only ``stations`` stay, if named. A
+    fresh reading replaces the stored one of its station and time; among fresh ones the last by
+    ``order`` (columns of ``fresh``) does. ``fill`` is applied to the result: a learned fill, say.
     """
     if city not in cities:
         raise ValueError(f"city must be one of {list(cities)}, not {city!r}")
-    stored = spark.read.parquet(path).where(F.col("city") == city).select(*spec.columns)
-    return stored if fresh is None else stored.unionByName(fresh.select(*spec.columns))
+    rows = spark.read.parquet(path).where(F.col("city") == city).select(*spec.columns)
+    if fresh is not None:
+        rows = union_sources(rows, fresh.select(*spec.columns, *order), rank="_rank")
+    if stations is not None:
+        rows = rows.where(F.col(spec.station).isin(list(stations)))
+    rows = clean(rows, spec).where(F.col(spec.ts).isNotNull())
+    if fresh is not None:
+        by = ["_rank", *order]
+        rows = dedupe(rows, spec.keys, by, keep="last").drop(*by)
+    return rows if fill is None else fill(rows)

@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from panelcast.functions.columns import as_instant, as_wall_time
 from panelcast.operators.panel import dedupe
 from panelcast.sources.landed import arrival as place_of_arrival
+from panelcast.sources.stores import read_if_any
 from panelcast.spec import PanelSpec
 
 
@@ -144,14 +145,16 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_upserts(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def run_upserts(
+    stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str] = (), merge_after: int = 32
+) -> DataFrame:
     """Apply batches of rows as upserts; the last row to arrive for a key wins.
 
     Batches count first, then ``order`` within a batch (for landed files the column that
     ``landed_stream`` adds on ``arrival=True``) and the place in the file; without ``order`` a batch that holds a key twice with
     different values fails. Each batch is written to its own folder, replaced if the
-    batch is repeated after a failure, and never rewritten later; the current state is resolved on
-    reading.
+    batch is repeated after a failure, and never rewritten later. Reading resolves the batches since the
+    last merge against its result; ``merge_after`` or more of them are merged at the end of the run.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -167,9 +170,61 @@ def run_upserts(stream: DataFrame, path: str, keys: Sequence[str], order: Sequen
         .start()
     )
     query.awaitTermination()
-    return current_rows(stream.sparkSession, f"{path}/rows", keys)
+    merge_batches(stream.sparkSession, path, keys, merge_after)
+    return current_rows(stream.sparkSession, path, keys)
+
+
+def _merged(spark: SparkSession, path: str) -> int:
+    """The last batch that a finished merge holds, -1 if none."""
+    log = read_if_any(spark, f"{path}/merges")
+    return -1 if log is None else log.agg(F.max("upto")).first()[0]
+
+
+def merge_batches(spark: SparkSession, path: str, keys: Sequence[str], at_least: int = 1) -> int:
+    """Write the latest row per key as one table that readers start from, if ``at_least`` batches came since the last merge.
+
+    A merge counts once its line in the log is written, after its rows, so one that breaks off is
+    repeated and readers never see half of it; a merge that counts is not written again. Returns
+    the last batch merged. The batch folders stay, as the record of what arrived.
+    """
+    batches, done = read_if_any(spark, f"{path}/rows"), _merged(spark, path)
+    if batches is None:
+        return done
+    last = batches.agg(F.max("batch")).first()[0]
+    if last is None or last - done < max(at_least, 1):
+        return done
+    current_rows(spark, path, keys).write.mode("overwrite").parquet(f"{path}/merged/upto={last}")
+    spark.createDataFrame([(last,)], "upto int").coalesce(1).write.mode("append").parquet(f"{path}/merges")
+    return last
 
 
 def current_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The latest row per key of a table of upsert batches."""
-    return dedupe(spark.read.parquet(path), keys, ["batch"], keep="last").drop("batch")
+    """The latest row per key: the last merge and the batches after it, older batches are not read."""
+    done = _merged(spark, path)
+    rows = spark.read.parquet(f"{path}/rows").where(F.col("batch") > done)
+    if done >= 0:
+        rows = rows.unionByName(spark.read.parquet(f"{path}/merged/upto={done}").withColumn("batch", F.lit(done)))
+    return dedupe(rows, keys, ["batch"], keep="last").drop("batch")
+
+
+def forecasts_met(
+    forecasts: DataFrame, readings: DataFrame, spec: PanelSpec, gap_days: int = 0, delay: str = "3 days"
+) -> DataFrame:
+    """Forecast rows beside the readings they foretold, as truth arrives: (origin, station, horizon, due, _a_<measure>..., measures).
+
+    Both are streams: forecasts (origin, station, horizon, measures), horizon 0 being the first step of
+    the day ``gap_days`` after the origin, and readings, unique per station and time (``dedupe_stream``
+    or landed rows). They meet on station and due time, whichever comes first; either side waits until
+    the watermark, ``delay`` behind the later of its times, has passed the due time, and is then
+    forgotten, so state holds the forecasts not yet due and the readings of ``delay``. A forecast of two
+    origins for one time meets its reading twice; a reading nobody foretold is no row.
+    """
+    day = F.col("origin").cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(gap_days))
+    ahead = forecasts.select(
+        "origin", spec.station, "horizon", as_instant(day + spec.steps("horizon")).alias("due"), *spec.measures
+    ).withWatermark("due", delay)
+    truth = readings.select(
+        F.col(spec.station).alias("_station"), as_instant(spec.ts).alias("_at"), *[F.col(m).alias(f"_a_{m}") for m in spec.measures]
+    ).withWatermark("_at", delay)
+    met = ahead.join(truth, (F.col(spec.station) == F.col("_station")) & (F.col("due") == F.col("_at")))
+    return met.withColumn("due", as_wall_time("due")).drop("_station", "_at")

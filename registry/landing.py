@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from panelcast.functions.columns import hour_of
 from panelcast.operators import panel as P, score as S
 from panelcast.operators.impute import fill_from_neighbors, fit_neighbor_lines
-from panelcast.operators.seasonal import median_features
+from panelcast.operators.seasonal import median_features, median_of_medians
 from panelcast.plans import histories as H, predict as D
 from panelcast.session import shared_folder, write_and_read
 from panelcast.sources import landed as L, stores as K
 from panelcast.streaming import jobs as J
 from registry.forecasting import _scores, forecast_cte, summary_cte, SQL as FORECAST_SQL
 from registry.imputing import SQL as IMPUTE_SQL, SQL_LINES, SQL_NEIGHBORS, SQL_VIEWED
+from registry.learning import NET
 from registry.panels import (
-    HOURLY, ORIGIN_H, SQL_PANEL_H, SQL_READINGS_H, T, WINDOWS_H, panel_h, r, read, readings_h,
+    HOURLY, ORIGIN_H, ORIGINS_H, SQL_PANEL_H, SQL_READINGS_H, T, WINDOWS_H, panel_h, r, read, readings_h,
     rounded, sql,
 )
 
@@ -148,6 +149,23 @@ def history_stored(spark, sf):
     return rounded(L.read_city_history(spark, root, "beijing", HOURLY, fresh), *M)
 
 
+def history_fresh(spark, sf):
+    """The load of a city: fresh readings correct stored ones, those that land later win, only its stations stay, hours filled."""
+    base = panel_h(spark, sf).withColumn("city", F.when(F.col("station") < "p", "beijing").otherwise("london"))
+    root = shared_folder(spark, "history")
+    K.write_panel(P.in_range(base, HOURLY, None, "2024-01-25"), root, HOURLY)
+    fresh = P.in_range(base, HOURLY, "2024-01-23").where("city = 'london'").withColumn("seq", F.lit(0))
+    later = fresh.where("hour(ts) < 6").withColumns({"m1": F.col("m1") - 100, "seq": F.lit(1)})
+    unreadable = fresh.where("hour(ts) = 9").withColumns({"m2": F.lit(float("nan")), "seq": F.lit(1)})
+    every = P.union_sources(fresh, later, unreadable)
+    out = L.read_city_history(spark, root, "london", HOURLY, every, stations=["signup", "view"], order=["seq"], fill=_zero_m2)
+    return rounded(out, *M)
+
+
+def _zero_m2(df):
+    return df.withColumn("m2", F.coalesce("m2", F.lit(0.0)))
+
+
 def imputed_history(spark, sf):
     out = H.imputed_history(panel_h(spark, sf), HOURLY, "all", before="2024-01-30", max_missing=3)
     return rounded(out, *M, places=4)
@@ -191,6 +209,12 @@ def pooled_city_forecast(spark, sf):
     return rounded(D.predict_cities({"a": base}, HOURLY, ORIGIN_H, settings, "pooled"), *M)
 
 
+def net_city_forecast(spark, sf):
+    """The daily job of the shortcut net."""
+    settings = {"a": D.CitySetting([3, 5], 3, lag_history_days=3, shifts=4, median_shifts=2, folds=5, net=NET)}
+    return rounded(D.predict_cities({"a": panel_h(spark, sf)}, HOURLY, ORIGIN_H, settings, "net"), *M)
+
+
 def score_store(spark, sf):
     """Two overlapping runs appended, read back without duplicates, with their log."""
     scores, root = S.mean_scores(_scores(spark, sf)), shared_folder(spark, "scores")
@@ -287,13 +311,37 @@ def stream_upsert(spark, sf):
     return rounded(J.run_upserts(stream, f"{root}/table", HOURLY.keys), *M)
 
 
+def stream_upsert_merged(spark, sf):
+    """Three landings, batches merged after each but the last: readers take the merge and what came since."""
+    root = shared_folder(spark, "upserts")
+    rows = readings_h(spark, sf)
+    steps = [(None, 0, 1), ("2024-01-20", 1, 1), ("2024-01-25", 2, 1000)]
+    for since, added, merge_after in steps:
+        P.in_range(rows, HOURLY, since).withColumn("m1", F.col("m1") + added).write.mode("append").parquet(f"{root}/a")
+        stream = J.landed_stream(spark, f"{root}/a", rows.schema, files_per_trigger=1000)
+        out = J.run_upserts(stream, f"{root}/table", HOURLY.keys, merge_after=merge_after)
+    return rounded(out, *M)
+
+
+def stream_scores(spark, sf):
+    """Forecasts of ten origins and the readings they foretold, both streamed, scored where they met."""
+    base = write_and_read(panel_h(spark, sf), "panel")
+    root = shared_folder(spark, "forecasts")
+    forecast = median_of_medians(base, HOURLY, ORIGINS_H, {"all": WINDOWS_H}).select("origin", "station", "horizon", *M)
+    forecast.repartition(4, "origin").write.parquet(root)
+    ahead = J.landed_stream(spark, root, spark.read.parquet(root).schema, files_per_trigger=1)
+    met = J.forecasts_met(ahead, _panel_stream(spark, sf), HOURLY, delay="62 days")
+    pairs = J.run_to_table(met, shared_folder(spark, "met"))
+    return rounded(S.score_pairs(pairs, HOURLY).select("origin", "station", "measure", "score"), "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ingest_station_wide, ingest_station_files, ingest_city_feed, ingest_incremental, history_build,
-        history_repeats, landed_corrections, history_backfilled, history_refresh, history_stored, imputed_history, stored_neighbor_models, city_merge_forecast,
-        curve_city_forecast, pooled_city_forecast, score_store, feature_cache, stream_ingest, stream_dedupe, stream_hourly, stream_sliding,
-        stream_daily_median, stream_ffill, stream_correction, stream_upsert,
+        history_repeats, landed_corrections, history_backfilled, history_refresh, history_stored, history_fresh, imputed_history, stored_neighbor_models, city_merge_forecast,
+        curve_city_forecast, pooled_city_forecast, net_city_forecast, score_store, feature_cache, stream_ingest, stream_dedupe, stream_hourly, stream_sliding,
+        stream_daily_median, stream_ffill, stream_correction, stream_upsert, stream_upsert_merged, stream_scores,
     )
 }
 
@@ -379,6 +427,12 @@ grid AS (
     ),
     "history_refresh": _spined(f"SELECT {_ROWS} FROM spined", _REFRESHED, "r.m1, r.m2, r.m3"),
     "history_stored": sql(SQL_PANEL_H, select=f"SELECT {_ROWS} FROM panel_h WHERE station < 'p'"),
+    "history_fresh": sql(
+        SQL_PANEL_H,
+        select=f"""SELECT station, {T}, round(CASE WHEN ts >= TIMESTAMP '2024-01-23' AND hour(ts) < 6 THEN m1 - 100 ELSE m1 END, 6) AS m1,
+        CASE WHEN ts >= TIMESTAMP '2024-01-23' AND hour(ts) = 9 THEN 0.0 ELSE round(coalesce(m2, 0.0), 6) END AS m2, {r('m3')}
+        FROM panel_h WHERE station IN ('signup', 'view')""",
+    ),
     "imputed_history": sql(
         SQL_PANEL_H.replace("panel_h AS", "panel_all AS"),
         "\npanel_h AS (SELECT * FROM panel_all WHERE ts < TIMESTAMP '2024-01-30')",
@@ -427,4 +481,10 @@ grid AS (
         select=f"""SELECT station, {T},
         round(CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN m1 + 1 ELSE m1 END, 6) AS m1, {r('m2', 'm3')} FROM readings_h""",
     ),
-}
\ No newline at end of file
+    "stream_upsert_merged": sql(
+        SQL_READINGS_H,
+        select=f"""SELECT station, {T}, round(m1 + CASE WHEN ts >= TIMESTAMP '2024-01-25' THEN 2
+          WHEN ts >= TIMESTAMP '2024-01-20' THEN 1 ELSE 0 END, 6) AS m1, {r('m2', 'm3')} FROM readings_h""",
+    ),
+    "stream_scores": FORECAST_SQL["backtest_rolling"],
+}

@@ -89,6 +89,35 @@ def test_station_files_with_quoted_headers(spark, tmp_path):
     ]
 
 
+def test_station_files_are_read_once(spark, tmp_path):
+    """The files may change after the call: its result rests on what was read then."""
+    head = "MeasurementDateGMT,A: PM10 Particulate (ug/m3)"
+    text(tmp_path / "A1_x.csv", "", head, *[f"2018-04-01 {h:02d}:00,{h}" for h in range(24)], "not a time,5")
+    text(tmp_path / "A2_x.csv", "MeasurementDateGMT,B: Nothing,B: PM10 Particulate (ug/m3),B: PM10 Particulate (ug/m3)", "2018-04-01 00:00,1,2,3", "2018-04-01 01:00")
+    text(tmp_path / "A3_x.csv", "When,A: PM10 Particulate (ug/m3)", "2018-04-01 00:00,9")
+    out = L.read_station_files(spark, str(tmp_path / "*.csv"), AIR)
+    for name in ("A1_x.csv", "A2_x.csv", "A3_x.csv"):
+        (tmp_path / name).write_text("gone")
+    found = {(r.station, r.ts.hour): r.pm10 for r in out.collect()}
+    assert found == {**{("A1", h): float(h) for h in range(24)}, ("A2", 0): 2.0, ("A2", 1): None}
+    with pytest.raises(ValueError, match="no file has a column"):
+        L.read_station_files(spark, str(tmp_path / "*.csv"), AIR)
+
+
+def test_city_history_takes_fresh_rows(spark, panel, tmp_path):
+    stored = panel([("a", "2018-01-01 00:00:00", 1.0), ("a", "2018-01-01 01:00:00", 2.0), ("z", "2018-01-01 00:00:00", 3.0)])
+    K.write_panel(stored.withColumn("city", F.lit("london")), str(tmp_path), ONE)
+    fresh = spark.createDataFrame(
+        [("a", "2018-01-01 01:00:00", "5", 1), ("a", "2018-01-01 01:00:00", "7", 2), ("a", "NaT", "8", 1), ("a", "2018-01-01 02:00:00", "NaN", 1)],
+        "station string, ts string, m1 string, seq int",
+    )
+    fresh = fresh.withColumns({"ts": F.try_to_timestamp("ts").cast("timestamp_ntz"), "m1": F.col("m1").try_cast("double")})
+    out = L.read_city_history(spark, str(tmp_path), "london", ONE, fresh, stations=["a"], order=["seq"])
+    assert sorted((r.station, r.ts.hour, r.m1) for r in out.collect()) == [("a", 0, 1.0), ("a", 1, 7.0), ("a", 2, None)]
+    filled = L.read_city_history(spark, str(tmp_path), "london", ONE, fresh, stations=["a"], order=["seq"], fill=lambda d: d.fillna(0.0, ["m1"]))
+    assert filled.where("m1 IS NULL").isEmpty()
+
+
 def test_forward_fill_never_looks_ahead(spark, panel, tmp_path):
     """An hour that lands late is filled from earlier hours, whatever a former batch knew of later ones."""
     for i, rows in enumerate([[("s", "2024-01-01 05:00:00", 7.0), ("s", "2024-01-01 01:00:00", 3.0)], [("s", "2024-01-01 02:00:00", None), ("s", "2024-01-01 06:00:00", None)]]):
@@ -220,6 +249,45 @@ def test_stream_resumes_and_upserts(spark, panel, tmp_path):
     assert sorted((r.station, r.m1) for r in state.collect()) == [("a", 0.5), ("b", 2.0)]
 
 
+def test_upsert_batches_are_merged(spark, panel, tmp_path):
+    source, table = str(tmp_path / "source"), str(tmp_path / "table")
+    for i in range(4):
+        rows = panel([("a", "2024-01-01 00:00:00", float(i)), (f"b{i}", "2024-01-01 00:00:00", 2.0)])
+        rows.coalesce(1).write.mode("append").parquet(source)
+        stream = J.landed_stream(spark, source, rows.schema)
+        state = J.run_upserts(stream, table, ONE.keys, merge_after=2)
+    expected = [("a", 3.0), *[(f"b{i}", 2.0) for i in range(4)]]
+    assert sorted((r.station, r.m1) for r in state.collect()) == expected
+    assert sorted(r.upto for r in spark.read.parquet(f"{table}/merges").collect()) == [1, 3]
+    # a merge that broke off before its line in the log does not count
+    panel([("x", "2024-01-01 00:00:00", 0.0)]).write.parquet(f"{table}/merged/upto=9")
+    assert sorted((r.station, r.m1) for r in J.current_rows(spark, table, ONE.keys).collect()) == expected
+    assert J.merge_batches(spark, table, ONE.keys) == 3
+    scanned = J.current_rows(spark, table, ONE.keys)._jdf.queryExecution().optimizedPlan().toString()
+    assert "batch" in scanned and J.merge_batches(spark, str(tmp_path / "none"), ONE.keys) == -1
+
+
+def test_forecasts_meet_their_readings(spark, panel, tmp_path):
+    """Whichever side comes first, over several batches; two origins meet one reading twice."""
+    made = spark.createDataFrame(
+        [("2024-01-01", "a", 25, 1.0), ("2024-01-02", "a", 1, 3.0), ("2024-01-02", "a", 2, None), ("2024-01-02", "b", 0, 9.0)],
+        "origin string, station string, horizon int, m1 double",
+    ).withColumn("origin", F.col("origin").cast("date"))
+    readings = [[("a", "2024-01-02 01:00:00", 2.0)], [("a", "2024-01-02 02:00:00", 4.0), ("a", "2024-01-02 05:00:00", 1.0)]]
+    for i, rows in enumerate(readings):
+        panel(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "truth"))
+        made.where(f"day(origin) = {2 - i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "made"))
+        ahead = J.landed_stream(spark, str(tmp_path / "made"), made.schema)
+        truth = J.landed_stream(spark, str(tmp_path / "truth"), panel(rows).schema)
+        out = J.run_to_table(J.forecasts_met(ahead, truth, ONE), str(tmp_path / "met"))
+    found = sorted((str(r.origin), r.horizon, str(r.due), r["_a_m1"], r.m1) for r in out.collect())
+    assert found == [
+        ("2024-01-01", 25, "2024-01-02 01:00:00", 2.0, 1.0),
+        ("2024-01-02", 1, "2024-01-02 01:00:00", 2.0, 3.0),
+        ("2024-01-02", 2, "2024-01-02 02:00:00", 4.0, None),
+    ]
+
+
 def test_fixed_values():
     assert len(fixed.BEIJING_STATIONS) == 35 and len(fixed.LONDON_STATIONS) == 13
     assert len(fixed.HOLIDAYS) == 8

@@ -182,16 +182,47 @@ def test_gradient_of_the_net():
 def test_net_learns_and_repeats(synthetic):
     rows = X.supervised(synthetic, TWO, X.shifted_splits("2024-02-10", 6), 2, [3])
     train = write_and_read(rows.join(X.group_folds(rows, "station", 3), "station"), "training")
-    setting = N.NetSetting(units=(8, 8, 8, 8), dropout=0.0, epochs=6)
+    setting = N.NetSetting(units=(8, 8, 8, 8), dropout=0.1, batch_rows=5, patience=3)
     net = N.train_net(train, TWO, setting, k=3)
-    losses = [h["train"] for h in net.history if h["fold"] == 0]
-    assert losses[-1] < losses[0]
+    losses = [[h["val"] for h in net.history if h["fold"] == f] for f in range(3)]
+    for held in losses:  # patience ended each fold, not a number of epochs
+        assert len(held) < setting.epochs and len(held) - 1 - int(np.argmin(held)) >= setting.patience and min(held) < held[0]
     again = N.train_net(train, TWO, setting, k=3)
-    assert np.allclose(net.weights[0], again.weights[0])
+    assert all((a == b).all() for a, b in zip(net.weights, again.weights))
+    # several shards: their steps are averaged, and the net still learns
+    shards = N.train_net(train, TWO, N.NetSetting(units=(8, 8, 8, 8), dropout=0.1, batch_rows=5, patience=3, shard_rows=9), k=3)
+    assert min(h["val"] for h in shards.history) < shards.history[0]["val"]
     test = X.supervised(synthetic, TWO, ["2024-02-13"], 2, [3], labels=False)
     assert N.net_forecast(net, test, TWO).where("value IS NOT NULL").count() == 6 * 48
 
 
+def test_one_shard_is_mini_batch_training():
+    """An epoch over one shard equals Adam over its batches in the seeded order."""
+    rng, setting = np.random.default_rng(3), N.NetSetting(units=(3, 3, 3, 3), dropout=0.0, batch_rows=4)
+    shapes = N.layer_shapes(5, setting.units, 2)
+    x, y = rng.normal(size=(10, 5)), rng.uniform(1, 2, size=(10, 2))
+    w = N.initial_weights(shapes, 0)
+    start = N._State(w, np.zeros_like(w), np.zeros_like(w), 0, 0.01, 10)
+    got, first, second, steps, _ = N._fold_steps(x, y, start, shapes, setting, np.random.default_rng(5))
+    order, moments, expected = np.random.default_rng(5).permutation(10), (np.zeros_like(w), np.zeros_like(w)), w.copy()
+    for i, part in enumerate((order[:4], order[4:8], order[8:])):
+        out, inputs, masks = N.forward(x[part], expected, shapes)
+        gradient = N.backward(N.loss_and_slope(y[part], out)[1], inputs, masks, expected, shapes) / len(part)
+        expected = N._adam(expected, gradient, moments, i + 1, 0.01, setting)
+    assert steps == 3 and (got == expected).all() and (first == moments[0]).all() and not start.first.any()
+
+
+def test_mini_batches_beat_one_step_an_epoch(synthetic):
+    """The same twelve passes over the rows: many steps each lead further than one each."""
+    rows = X.supervised(synthetic, TWO, X.shifted_splits("2024-02-17", 12), 2, [3])
+    train = write_and_read(rows.join(X.group_folds(rows, "station", 3), "station"), "training")
+    best = []
+    for batch in (8, 10**6):
+        net = N.train_net(train, TWO, N.NetSetting(units=(16, 16, 16, 16), dropout=0.0, batch_rows=batch, epochs=12), k=3)
+        best.append(min(h["val"] for h in net.history))
+    assert best[0] < best[1]
+
+
 def test_pooled_ensemble(synthetic):
     forecast, scores = P.pooled_panel_forecast(
         synthetic, TWO, "2024-02-20", X.shifted_splits("2024-02-17", 5), 3, [3, 5], k=3, exclude=["c"]
