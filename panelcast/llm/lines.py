@@ -259,8 +259,13 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     key, text = back[key], back[text]
     d = d.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(_FIRST_KEY))).withColumn("_version", F.xxhash64(text))
     d = d.join(sized(drops, total), ["_key", "_version"], "left")
-    split = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split).cast("long") - 1), F.col("_drop")), lambda i: F.get(split, i.cast("int"))), "\n")
+
+    def without(parts):
+        left = F.array_except(F.sequence(F.lit(0), F.size(parts).cast("long") - 1), F.col("_drop"))
+        return F.array_join(F.transform(left, lambda i: F.get(parts, i.cast("int"))), "\n")
+
+    # the lines are bound as one variable: named in the inner function, the text would be split again for every line
+    kept = F.transform(F.array(F.split(F.col(text), "\n", -1)), without)[0]
     lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1)
     new = {text: F.when(F.col("_drop").isNull(), F.col(text)).otherwise(kept), "n_lines": lines.cast("long"), "n_removed": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long")}
     return d.select([new.get(c, F.col(c)).alias(name) for name, c in back.items()] + [new[c].alias(c) for c in ("n_lines", "n_removed")])
