@@ -30,8 +30,43 @@ _FIRST_KEY = -(1 << 63)
 def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all rows and where each row starts (one entry more); null is empty."""
     data, offsets = tx.raw(texts)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    if len(points) == len(data):  # a byte each
+        return points, offsets
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), lead[offsets]
+    return points, lead[offsets]
+
+
+def _mixed(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """``tx.mix`` in place; ``held`` is room of the same size."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(x, tx.U(shift), out=held)
+        np.bitwise_xor(x, held, out=x)
+        if factor:
+            np.multiply(x, tx.U(factor), out=x)
+    return x
+
+
+def _grams(sums: np.ndarray, down: np.ndarray, s: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of lines at ``s`` of ``m`` characters, given running sums; where each line's start.
+
+    Windows are taken at every place, which needs no gathering, and those across a line's end are left out.
+    """
+    n = len(sums) - 1
+    every, held = np.zeros(n, tx.U), np.empty(n, tx.U)
+    if n >= WIDTH:
+        part = every[: n + 1 - WIDTH]
+        np.subtract(sums[WIDTH:], sums[:-WIDTH], out=part)
+        np.multiply(part, down[: len(part)], out=part)
+        _mixed(part, held[: len(part)])
+    short = m < WIDTH
+    at = s[short]
+    every[at] = tx.mix((sums[at + m[short]] - sums[at]) * down[at])
+    count = np.maximum(m - WIDTH + 1, 1)
+    step = np.zeros(n + 1, np.int8)
+    step[s] += 1
+    step[s + count] -= 1
+    return every[np.cumsum(step[:-1], dtype=np.int8).view(bool)], np.concatenate([[0], np.cumsum(count)])
 
 
 def line_blocks(points: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -57,17 +92,17 @@ def line_blocks(points: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nd
         stop = max(start + 1, int(np.searchsorted(begin + size, begin[start] + tx.BLOCK_BYTES // 2, "right")))
         a, b = int(begin[start]), int(begin[stop - 1] + size[stop - 1])
         part = points[a:b]
-        code = np.where(part < 65536, _CODE[np.minimum(part, 65535)], tx.mix(part.astype(tx.U)))
+        place = np.minimum(part, 65535)
+        code, rare = _CODE[place], np.flatnonzero(part > 65535)
+        code[rare] = tx.mix(part[rare].astype(tx.U))
         up, down = (tx.POWER, tx.UNPOWER) if b - a <= tx.BLOCK_BYTES else (tx.powers(tx.BASE, b - a), tx.powers(tx.UNBASE, b - a))
         sums = np.zeros(b - a + 1, tx.U)
-        np.cumsum(code * up[: b - a], out=sums[1:])
+        np.multiply(code, up[: b - a], out=code)
+        np.cumsum(code, out=sums[1:])
         s, m = begin[start:stop] - a, size[start:stop]
         whole = tx.mix((sums[s + m] - sums[s]) * down[s] + m.astype(tx.U))
-        count = np.maximum(m - WIDTH + 1, 1)
-        starts = np.concatenate([[0], np.cumsum(count)])
-        at = np.repeat(s - starts[:-1], count) + np.arange(starts[-1])
-        grams = tx.mix((sums[np.minimum(at + WIDTH, np.repeat(s + m, count))] - sums[at]) * down[at])
-        blank = tx.row_sums(_SOLID[np.minimum(part, 65535)].astype(np.int64), np.append(s, b - a)) == 0
+        grams, starts = _grams(sums, down, s, m)
+        blank = ~np.logical_or.reduceat(_SOLID[place], s)
         yield blank, row[start:stop], number[start:stop], whole, grams, starts
         start = stop
 
@@ -151,11 +186,33 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
 
 
+def _open_lines(keys: np.ndarray, line: np.ndarray, root: np.ndarray, side: np.ndarray, same: bool) -> np.ndarray:
+    """Which entries (key, line) have a key that lines of other components hold, on the other side unless ``same``."""
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+    r, s = root[line[order]], side[line[order]]
+    mixed = np.minimum.reduceat(r, starts) != np.maximum.reduceat(r, starts)
+    if not same:
+        mixed &= np.minimum.reduceat(s, starts) != np.maximum.reduceat(s, starts)
+    out = np.zeros(len(keys), bool)
+    out[order] = np.repeat(mixed, np.diff(np.append(starts, len(keys))))
+    return out
+
+
 def _compare(table: pa.Table) -> pa.Table:
     """Links between the lines of two groups that share a key, one for each pair of components they join."""
     ids, root, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "root", "side"))
-    items, starts = _sets(table.column("text").combine_chunks())
     same = (table.column("ga")[0] == table.column("gb")[0]) if table.num_rows else False
+    lists = table.column("keys").combine_chunks()
+    keys = lists.flatten().to_numpy(zero_copy_only=False)
+    line = np.repeat(np.arange(table.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+    a, b = [], []
+    if len(keys):
+        on = _open_lines(keys, line, root, side, same)
+        keys, line = keys[on], line[on]
+    held, line = np.unique(line, return_inverse=True)
+    ids, root, side = ids[held], root[held].tolist(), side[held].tolist()
+    items, starts = _sets(table.column("text").combine_chunks().take(pa.array(held))) if len(held) else (None, None)
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -165,22 +222,20 @@ def _compare(table: pa.Table) -> pa.Table:
         return x
 
     by_key: dict[int, list[int]] = {}
-    a, b, seen = [], [], set()
-    for i, keys in enumerate(table.column("keys").to_pylist()):
-        mine = items[starts[i] : starts[i + 1]]
-        for key in keys:
-            held = by_key.setdefault(key, [])
-            for j in held:
-                if (same or side[i] != side[j]) and (i, j) not in seen and find(root[i]) != find(root[j]):
-                    seen.add((i, j))
-                    other = items[starts[j] : starts[j + 1]]
-                    if 100 * min(len(mine), len(other)) >= PERCENT * max(len(mine), len(other)):
-                        both = common(mine, other)
-                        if 100 * both >= PERCENT * (len(mine) + len(other) - both):
-                            parent[find(root[i])] = find(root[j])
-                            a.append(ids[i])
-                            b.append(ids[j])
-            held.append(i)
+    seen = set()
+    for i, key in zip(line.tolist(), keys.tolist(), strict=True):
+        others = by_key.setdefault(key, [])
+        for j in others:
+            if (same or side[i] != side[j]) and (i, j) not in seen and find(root[i]) != find(root[j]):
+                seen.add((i, j))
+                mine, other = items[starts[i] : starts[i + 1]], items[starts[j] : starts[j + 1]]
+                if 100 * min(len(mine), len(other)) >= PERCENT * max(len(mine), len(other)):
+                    both = common(mine, other)
+                    if 100 * both >= PERCENT * (len(mine) + len(other) - both):
+                        parent[find(root[i])] = find(root[j])
+                        a.append(ids[i])
+                        b.append(ids[j])
+        others.append(i)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
