@@ -94,10 +94,10 @@ def fold_ensemble(spark, sf):
 
 def fold_score_spread(spark, sf):
     """Mean and deviation of the folds' scores of the previous value as forecast."""
-    base = panel_s(spark, sf).where("m1 IS NOT NULL").select("station", "ts", "m1")
+    base = write_and_read(panel_s(spark, sf).where("m1 IS NOT NULL").select("station", "ts", "m1"), "known")
     folds = X.group_folds(base, "station", 5)
     before = base.select("station", (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), F.col("m1").alias("p"))
-    pairs = base.join(before, ["station", "ts"]).join(folds, "station")
+    pairs = base.join(before.hint("merge"), ["station", "ts"]).join(folds, "station")
     scores = pairs.groupBy("fold").agg(S.smape_official(F.col("m1"), F.col("p")).alias("score"))
     return rounded(P.fold_spread(scores), "mean", "std", "least")
 

@@ -44,6 +44,17 @@ def test_spine_with_given_bounds_and_stations(spark, panel):
     assert full.where("m1 = 9").count() == 0
 
 
+def test_spine_joins_nothing_and_keeps_odd_rows(panel):
+    """The grid is never a join's side, so no guess of its size can broadcast it (fold_score_spread)."""
+    rows_in = [("a", "2024-01-01 01:00:00", 1.0), ("a", "2024-01-01 01:00:00", 2.0), ("b", "2024-01-01 00:00:00", None),
+               (None, "2024-01-01 03:00:00", 5.0), ("a", "2024-01-01 02:30:00", 9.0), ("c", None, 4.0)]
+    full = P.to_spine(panel(rows_in), ONE)
+    known = full.where("m1 IS NOT NULL")
+    assert "Join" not in known._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.m1 for r in known.collect()) == [1.0, 2.0]
+    assert full.count() == 4 * 4 + 1 and full.where("station IS NULL AND m1 IS NULL").count() == 4
+
+
 def test_daily_spine(panel):
     daily = PanelSpec(measures=("m1",), step="day")
     df = panel([("a", "2024-02-27 00:00:00", 1.0), ("a", "2024-03-01 00:00:00", 2.0)])
