@@ -84,11 +84,13 @@ def group_kfold(spark, sf):
 
 def fold_ensemble(spark, sf):
     """Mean of per-fold forecasts, each the station medians of the other folds' days."""
+    fold = F.pmod(DAILY.day(), F.lit(5))
+    medians = [F.median(F.when(fold != f, F.col(m))).alias(f"{m}_{f}") for f in range(5) for m in M]
     base = panel_s(spark, sf)
-    folded = base.withColumn("fold", F.pmod(DAILY.day(), F.lit(5)))
-    per_fold = [
-        folded.where(F.col("fold") != f).groupBy("station").agg(*[F.median(m).alias(m) for m in M]) for f in range(5)
-    ]
+    known = base.where(" OR ".join(f"{m} IS NOT NULL" for m in M)).groupBy("station").agg(*medians)
+    # All folds in one pass, stored, so that the panel is not built again per fold.
+    stored = write_and_read(base.select("station").distinct().join(known, "station", "left"), "medians")
+    per_fold = [stored.select("station", *[F.col(f"{m}_{f}").alias(m) for m in M]) for f in range(5)]
     return rounded(P.ensemble(per_fold, ["station"], M), *M)
 
 

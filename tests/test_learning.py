@@ -250,3 +250,21 @@ def test_grid_search_picks_a_model(synthetic):
     one = PanelSpec(measures=("m1",))
     models = P.fit_neighbor_trees(few, one, grid=[{"maxIter": 1}, {"maxIter": 4}], folds=2, maxDepth=2)
     assert models["m1"].stages[-1].getNumTrees == 4
+
+
+def test_fold_medians_come_from_one_pass(spark, tmp_path):
+    """The panel is not built again for every fold (fold_ensemble); a supplier without a known value stays."""
+    from registry import learning
+
+    rows = [(s, d, None if s == 2 else float(s * d % 7), None if s == 2 else float(d)) for s in (1, 2, 3) for d in (1, 2, 4, 9, 11)]
+    items = spark.createDataFrame(rows, "l_suppkey long, d int, l_quantity double, l_extendedprice double")
+    items.selectExpr("*", "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(d) AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = learning.fold_ensemble(spark, str(tmp_path))
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.station: (r.m1, r.m2, r.m3) for r in out.collect()}
+    fold = {d: (19723 + d) % 5 for _, d, *_ in rows}
+    for s in (1, 3):
+        per_fold = [np.median([d for d in fold if fold[d] != f]) for f in range(5)]
+        assert found[str(s)][1] == pytest.approx(np.mean(per_fold), abs=1e-6)
+    assert found["2"] == (None, None, 1.0) and len(found) == 3
