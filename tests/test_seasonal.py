@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,17 @@ def test_bad_arguments(days):
         R.window_summaries(days, DAILY, ["2024-01-11"], [4], methods=["mode"])
     with pytest.raises(ValueError):
         R.median_of_medians(days, DAILY, ["2024-01-11"], {"f": [4]}, fill="zero")
+
+
+def test_pieces_are_bounded_and_hold_whole_stations(monkeypatch):
+    """A task never gathers more than a bounded piece, however many stations it has (rolling_summary_golden)."""
+    monkeypatch.setattr(R, "MAX_ROWS", 100)
+    lengths = [7, 30, 1, 250, 3, 60] * 20
+    rows = pa.RecordBatch.from_pydict({
+        "station": pa.array(np.repeat(np.arange(len(lengths)), lengths)),
+        "_n": pa.array(np.concatenate([np.arange(1, n + 1) for n in lengths])),
+    })
+    pieces = list(R._whole_stations(rows.slice(i, 40) for i in range(0, rows.num_rows, 40)))
+    assert sum(p.num_rows for p in pieces) == rows.num_rows and len(pieces) > 15
+    assert all(p.column("_n")[0].as_py() == 1 for p in pieces) and max(p.num_rows for p in pieces) < 100 + 250 + 40
+    assert pa.Table.from_batches(pieces).column("station").to_pylist() == rows.column("station").to_pylist()
