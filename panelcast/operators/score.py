@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelcast.functions.columns import abs_ratio, ape_ratio
 from panelcast.operators.panel import complete_case, drop_absent
 from panelcast.operators.seasonal import day_list, in_days
+from panelcast.session import write_and_read
 from panelcast.spec import PanelSpec
 
 
@@ -112,7 +113,9 @@ def score_pairs(
     cells = pairs.groupBy(*by, spec.station).agg(
         *[METRICS[metric](F.col(f"_a_{m}"), F.col(m)).alias(m) for m in spec.measures]
     )
-    long = drop_absent(cells.unpivot([*by, spec.station], list(spec.measures), "measure", "score"), spec)
+    # exploded, not unpivoted, which would hide how the cells are dealt and have them dealt again
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("score")) for m in spec.measures]))
+    long = drop_absent(cells.select(*by, spec.station, each.alias("_cell")).select(*by, spec.station, "_cell.*"), spec)
     score = F.col("score")
     if two_is_missing:
         score = F.nullif(score, F.lit(2.0))
@@ -142,11 +145,17 @@ def leaderboard(
     ``cell`` are the columns that with ``day`` name a scored cell, as far as ``scores`` has them. A
     cell that one setting fails to score counts for none; how many count is told as ``cells``.
     """
-    daily = common_cells(scores, setting, [day, *[c for c in cell if c in scores.columns]]).groupBy(*setting, day).agg(
-        F.avg("score").alias("score"), F.count("score").alias("cells")
-    )
+    place = [day, *[c for c in cell if c in scores.columns]]
+    named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in place])
+    scorers = F.collect_set(F.when(F.col("score").isNotNull(), F.struct(*setting))).over(Window.partitionBy(*place))
+    met = F.when(named, F.size(scorers)).otherwise(0).alias("_met")
+    # Sums per number of settings that score a cell, so that one pass does: how many there are is known at its end.
+    sums = scores.select("*", met).groupBy(*setting, day, "_met").agg(F.sum("score").alias("_sum"), F.count("score").alias("cells"))
+    sums = write_and_read(sums, "sums")
+    settings = sums.where("cells > 0").agg(F.count_distinct(F.struct(*setting))).scalar()
+    daily = sums.where((F.col("_met") == settings) & (F.col("cells") > 0)).withColumn("score", F.col("_sum") / F.col("cells"))
     means = daily.groupBy(*setting).agg(F.avg("score").alias("score"), F.sum("cells").alias("cells"))
-    board = scores.select(*setting).distinct().join(means, list(setting), "left")
+    board = sums.select(*setting).distinct().join(means, list(setting), "left")
     return board.orderBy(F.col("score").asc_nulls_last(), *setting)
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.operators import score as S
+from panelcast.operators import score as S, seasonal as R
 from panelcast.operators.seasonal import median_of_medians
 from panelcast.plans import backtest as B
 from panelcast.spec import PanelSpec
@@ -131,3 +131,33 @@ def test_bootstrap_of_a_difference(spark):
     assert wide.low <= one.low and wide.high >= one.high
     draws = spark.range(20_000).select(S._poisson(F.col("id").cast("string")).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
     assert draws[0] == pytest.approx(1, abs=0.03) and draws[1] == pytest.approx(1, abs=0.05)
+
+
+def test_packed_forecasts_score_as_the_long_ones(spark, synthetic):
+    """A row per origin and station meets the truth (settings_grid), odd rows of both sides included."""
+    holes = synthetic.withColumn("m1", F.when(F.pmod(F.hash("station", "ts"), F.lit(5)) > 0, F.col("m1")))
+    late = holes.where("station = 'a' AND ts >= '2024-02-10'").withColumn("station", F.lit("late"))
+    nameless = holes.where("station = 'b'").withColumn("station", F.lit(None).cast("string"))
+    raw = holes.union(late).union(nameless).union(holes.where("ts = '2024-02-10 05:00:00'"))
+    train = holes.union(nameless)
+    origins, families, methods = ["2024-02-10", "2024-02-12"], {"f": [3, 5], "g": [4]}, ["median", "mean"]
+    packed = R.packed_medians(train, TWO, origins, families, methods)
+    assert packed.count() == 2 * 4 and packed.first().m1.__len__() == 48 * 2 * 2
+    by = ["origin", "family", "method"]
+    for fill in (None, "day+mean"):
+        long = median_of_medians(train, TWO, origins, families, methods, fill)
+        one = B.backtest(long, raw, TWO, origins, by=by)
+        both = [df.withColumn("score", F.round("score", 9)) for df in (one, B.backtest_medians(train, raw, TWO, origins, families, methods, fill))]
+        assert both[0].columns == both[1].columns
+        assert both[0].exceptAll(both[1]).count() == 0 and both[1].exceptAll(both[0]).count() == 0
+
+
+def test_leaderboard_reads_the_scores_once(spark):
+    """Sums are stored by how many settings score a cell (best_setting, settings_leaderboard)."""
+    scores = spark.range(60).selectExpr(
+        "if(id % 2 = 0, 'x', 'y') AS family", "concat('d', id div 20) AS origin", "cast(id div 2 % 10 AS string) AS station",
+        "if(id = 7, null, id / 100.0D) AS score",
+    )
+    board = S.leaderboard(scores, ["family"])
+    assert "Range" not in board._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.family, r.cells) for r in board.collect()] == [("x", 29), ("y", 29)]
