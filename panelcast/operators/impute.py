@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from panelcast.operators.boosted import fill_from_boosted, fit_boosted
 from panelcast.operators.normal import fill_from_normal, fit_normal
 from panelcast.operators.panel import in_range
+from panelcast.session import counted_side
 from panelcast.spec import PanelSpec
 
 Step = Callable[[DataFrame, PanelSpec], DataFrame]
@@ -71,7 +72,7 @@ def with_neighbors(df: DataFrame, spec: PanelSpec, within: Sequence[str] = ()) -
     for m in spec.measures:
         known = F.when(spec.reports(m), F.col(m))
         totals += [F.sum(known).alias(f"_sum_{m}"), F.count(known).alias(f"_cnt_{m}"), F.count_if(spec.reports(m)).alias(f"_all_{m}")]
-    joined = df.join(df.groupBy(*keys).agg(*totals), keys, "left")
+    joined = df.join(counted_side(df.groupBy(*keys).agg(*totals), "totals"), keys, "left")
     added = {}
     for m in spec.measures:
         own = F.when(spec.reports(m), F.col(m))
@@ -115,7 +116,7 @@ def fill_from_neighbors(
     """
     viewed = with_neighbors(df, spec, within)
     models = models if models is not None else _lines(viewed, spec)
-    joined = viewed.join(models, spec.station, "left")
+    joined = viewed.join(counted_side(models, "lines"), spec.station, "left")
     filled = {}
     for m in spec.measures:
         limit = F.col(f"{m}_stations") * max_missing if max_missing < 1 else F.lit(max_missing)

@@ -18,7 +18,7 @@ from panelcast.operators.impute import impute
 from panelcast.operators.pooled import pooled_panel_forecast
 from panelcast.operators.score import common_cells, mean_scores
 from panelcast.operators.seasonal import day_list
-from panelcast.plans.backtest import backtest, backtest_medians
+from panelcast.plans.backtest import backtest, backtest_fills
 from panelcast.session import write_and_read
 from panelcast.sources.stores import append_scores, append_settings
 from panelcast.spec import EPOCH, PanelSpec
@@ -114,30 +114,28 @@ def run_medians(
 ) -> DataFrame:
     """Daily scores of every setting: (num, origin, score).
 
-    Settings that differ in family or summary alone share one pass over the history, so there are
-    as many jobs as combinations of city, learned fill and in-window fill. Truth is always the raw
+    Settings of a city and learned fill share the truth and one pass over the history, but for fills
+    that change it. Truth is always the raw
     panel; the learned fill is fitted on rows before the first origin alone.
     """
     runs = defaultdict(list)
     for s in settings:
-        runs[s.city, s.learned, s.fill].append(s)
-    raw = {city: write_and_read(panels[city].select(*spec.columns), "panel") for city, _, _ in runs}
-    trained, scored = {}, []
-    for (city, learned, fill), group in runs.items():
-        if (city, learned) not in trained:
-            panel = raw[city]
-            if learned:
-                filled = impute(panel, spec, ["neighbors"], max_missing=max_missing[city], before=first_day(origins))
-                panel = write_and_read(filled, "imputed")
-            trained[city, learned] = panel
+        runs[s.city, s.learned].append(s)
+    raw = {city: write_and_read(panels[city].select(*spec.columns), "panel") for city, _ in runs}
+    scored = []
+    for (city, learned), group in runs.items():
+        panel = raw[city]
+        if learned:
+            filled = impute(panel, spec, ["neighbors"], max_missing=max_missing[city], before=first_day(origins))
+            panel = write_and_read(filled, "imputed")
         families = {s.family: window_family(s.family) for s in group}
         methods = sorted({s.method for s in group})
-        scores = backtest_medians(
-            trained[city, learned], raw[city], spec, origins, families, methods,
-            "day+mean" if fill else None, align, complete=complete,
+        fills = {s.fill: "day+mean" if s.fill else None for s in group}
+        scores = backtest_fills(
+            panel, raw[city], spec, origins, families, methods, list(fills.values()), align, complete=complete
         )
-        number = F.create_map(*[x for s in group for x in (F.lit(f"{s.family}|{s.method}"), F.lit(s.num))])
-        numbered = scores.withColumn("num", F.try_element_at(number, F.concat_ws("|", "family", "method")))
+        number = F.create_map(*[x for s in group for x in (F.lit(f"{s.family}|{s.method}|{fills[s.fill] or 'none'}"), F.lit(s.num))])
+        numbered = scores.withColumn("num", F.try_element_at(number, F.concat_ws("|", "family", "method", "fill")))
         scored.append(mean_scores(numbered.where("num IS NOT NULL"), ["num", "origin"]))
     return reduce(DataFrame.unionByName, scored)
 

@@ -81,3 +81,10 @@ def test_step_lists():
             I.main_residual_steps(*bad)
     with pytest.raises(ValueError):
         I.step("guess")
+
+
+def test_small_sides_are_broadcast_before_the_panel_moves(panel):
+    """Sums by time and lines by station are counted, so no panel is shuffled to meet them (settings_grid)."""
+    out = I.fill_from_neighbors(five_stations(panel, 1), ONE, max_missing=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
