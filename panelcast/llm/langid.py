@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelcast.llm import text as tx
 from panelcast.llm.sampling import draw, plain, remainder, restored
+from panelcast.session import write_and_read
 
 LENGTHS = (1, 2, 3, 4)
 DIMENSIONS = 1 << 15
@@ -86,46 +87,73 @@ class LanguageModel:
         return names, np.where(letters, chance[np.arange(len(best)), best], 0.0)
 
 
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, lang, grams) of texts: the n-grams that each holds, none for a text without letter."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(start, ROWS)
+            rows, letters = presence(batch.column("text"))
+            held = [np.flatnonzero(r).astype(np.int32) if ok else None for r, ok in zip(rows, letters, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("lang"), pa.array(held, pa.list_(pa.int32()))], names=["key", "lang", "grams"])
+        del rows, held
+        tx.release()
+
+
+def _shared_with(landmarks):
+    """(key, lang, digest, size, shared): how many n-grams a text has, and has in common with each landmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros((DIMENSIONS, len(landmarks.value)), np.uint8)
+        for k, grams in enumerate(landmarks.value):
+            marks[grams, k] = 1
+        for batch in batches:
+            lists = [x.values.to_numpy() for x in batch.column("grams")]
+            shared = [marks[x].sum(0, dtype=np.int32) for x in lists]
+            arrays = [batch.column(c) for c in ("key", "lang", "digest")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(x) for x in lists], pa.int32()), pa.array(shared, pa.list_(pa.int32()))], names=["key", "lang", "digest", "size", "shared"])
+
+    return run
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
     """Fits on at most 1.25 x ``sample`` texts per language, of which ``landmarks`` in all are landmarks.
 
-    The texts are drawn by a hash of the key. Their n-gram sets are made where the texts lie; the
-    driver gets only those sets. Rows without language or letter are not learned from.
+    The texts are drawn by a hash of the key. Their n-gram sets are made and compared with the
+    landmarks' where the texts lie; the driver gets the landmarks' sets, and of each text one count
+    per landmark. Rows without language or letter are not learned from.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(start, ROWS)
-                rows, letters = presence(batch.column("text"))
-                held = [np.flatnonzero(r).astype(np.int32) if ok else None for r, ok in zip(rows, letters, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("lang"), pa.array(held, pa.list_(pa.int32()))], names=["key", "lang", "grams"])
-
-    got = draw(known, sample, "lang", "key").mapInArrow(grams, "key string, lang string, grams array<int>").where("grams is not null").toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
-    languages = tuple(sorted(set(got.column("lang").to_pylist())))
+    order = [(c, "ascending") for c in ("key", "lang", "digest")]
+    drawn = draw(known, sample, "lang", "key").mapInArrow(_gram_rows, "key string, lang string, grams array<int>").where("grams is not null")
+    drawn = write_and_read(drawn.withColumn("digest", F.xxhash64("grams")), "grams")
+    told = drawn.select("key", "lang", "digest").toArrow().sort_by(order)
+    languages = tuple(sorted(set(told.column("lang").to_pylist())))
     if not languages:
         return LanguageModel((), np.zeros((DIMENSIONS, 0), np.float32))
-    y = np.array([languages.index(x) for x in got.column("lang").to_pylist()])
-    lists = [x.values.to_numpy() for x in got.column("grams").combine_chunks()]
-
-    def dense(which: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(which), DIMENSIONS), np.float32)
-        for i, w in enumerate(which.tolist()):
-            out[i, lists[w]] = 1
-        return scaled(out)
-
+    y = np.array([languages.index(x) for x in told.column("lang").to_pylist()])
     turn = np.zeros(len(y), np.int64)
     for k in range(len(languages)):
         turn[y == k] = np.arange((y == k).sum())
-    z = dense(np.lexsort((y, turn))[:landmarks])
-    kernel = np.concatenate([dense(np.arange(a, min(a + 256, len(y)))) @ z.T for a in range(0, len(y), 256)]).astype(np.float64)
+    chosen = np.lexsort((y, turn))[:landmarks]
+    digests = told.column("digest").take(pa.array(chosen)).to_pylist()
+    sets = drawn.where(F.col("digest").isin(digests)).dropDuplicates(["digest"]).select("digest", "grams").toArrow()
+    by_digest = dict(zip(sets.column("digest").to_pylist(), (x.values.to_numpy() for x in sets.column("grams")), strict=True))
+    marks = [by_digest[x] for x in digests]
+
+    held = drawn.sparkSession.sparkContext.broadcast(marks)
+    got = drawn.mapInArrow(_shared_with(held), "key string, lang string, digest long, size int, shared array<int>").toArrow().sort_by(order)
+    kernel = np.stack([x.values.to_numpy() for x in got.column("shared")]).astype(np.float64)
+    root = np.sqrt([len(x) for x in marks])
+    kernel /= np.sqrt(got.column("size").to_numpy())[:, None] * root
     goal = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = 1 / np.bincount(y)[y][:, None]
-    left = kernel.T @ (weight * kernel) + ridge * (z @ z.T).astype(np.float64) + 1e-9 * np.eye(len(z))
-    beta = np.linalg.solve(left, kernel.T @ (weight * goal))
-    model = LanguageModel(languages, (z.T @ beta).astype(np.float32))
-    del got, lists, z, kernel, goal, left, weight
+    left = kernel.T @ (weight * kernel) + ridge * kernel[chosen] + 1e-9 * np.eye(len(marks))
+    beta = np.linalg.solve(left, kernel.T @ (weight * goal)) / root[:, None]
+    weights = np.zeros((DIMENSIONS, len(languages)))
+    for grams, share in zip(marks, beta, strict=True):
+        weights[grams] += share
+    model = LanguageModel(languages, weights.astype(np.float32))
+    del told, got, sets, kernel, left
     tx.release()
     return model
 
@@ -147,6 +175,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
                     batch = part.slice(start, ROWS)
                     names, score = held.value.score(batch.column(text))
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            tx.release()
 
     schema = T.StructType([*d.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return restored(d.mapInArrow(run, schema), back)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -365,6 +366,18 @@ def test_lines_miss_few_near_copies(spark):
     assert all(x.doc_id % 2 for x in got) and len(got) >= 0.95 * pairs
 
 
+def test_language_fit_sends_counts_not_sets(spark, monkeypatch):
+    words = {"en": ["the", "house", "water", "which"], "de": ["das", "haus", "wasser", "welche"]}
+    rows = [(i, prose(i, 300, words[k]) + f" {i * i}", k) for i in range(200) for k in [sorted(words)[i % 2]]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sent, kept = [], type(d).toArrow
+    monkeypatch.setattr(type(d), "toArrow", lambda df: (sent.append(kept(df)), sent[-1])[1])
+    model = langid.fit(d, landmarks=16)
+    sets = sum(int(langid.presence(pa.array([t]))[0].sum()) * 4 for _, t, _ in rows)
+    assert sum(t.nbytes for t in sent) < sets / 2
+    assert all(x.lang == x.lang_pred for x in langid.identify(d, model).collect())
+
+
 def test_language_and_quality_on_held_out_rows(spark, empty):
     r = random.Random(2)
     sounds = {"xx": ["ka", "to", "mi", "ra"], "yy": ["sch", "ung", "ein", "ber"], "zz": ["eau", "oux", "ez", "ille"]}
