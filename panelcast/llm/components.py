@@ -12,6 +12,7 @@ from panelcast.session import write_and_read
 
 BROADCAST_ROWS = 1_000_000
 GROUP = 64
+FEW_EDGES = 500_000
 GROUP_ITEMS = 200_000
 
 
@@ -42,28 +43,37 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[roots[far]])], names=["u", "v"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _one_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of all batches of one task."""
+    held = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())])).combine_chunks()
+    yield from _forest(iter(held.to_batches()))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW_EDGES) -> DataFrame:
     """(node, root) for every node of an edge that is not the least of its component; root is the least.
 
     Distributed union-find: the edges of each batch are first reduced to a forest where they lie;
     then every node's neighbours are hung on the least of them, larger ones and smaller ones in turn,
     until every node hangs on its root. Only minima are aggregated per node, so a node with very many
     edges is no list in one task. Each round is a written table, so lost executors cost one round.
+    Once FEW_EDGES or fewer are left (16 bytes each), the rest is one small task in place of rounds.
     """
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v")
     e = write_and_read(e.mapInArrow(_forest, "u long, v long").distinct(), "edges")
     state = None
     while True:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state or not now[0]:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if now[0] <= few:
+            return write_and_read(e.coalesce(1).mapInArrow(_one_forest, "u long, v long"), "edges").select(F.col("u").alias("node"), F.col("v").alias("root"))
+        state = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = write_and_read(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
 
 
 def star_links(keys: DataFrame) -> tuple[DataFrame, DataFrame]:

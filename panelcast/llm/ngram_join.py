@@ -71,8 +71,7 @@ def _enough(c: Column, a: Column, b: Column, less: int = 0) -> Column:
     lies in both prefixes or behind its own, where it has ``needed - 1`` items. ``less`` lowers what
     they must share.
     """
-    sizes = (a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT)
-    return sizes & (c >= F.floor((4 * (a + b) + 8) / 9) - F.greatest(needed(a), needed(b)) + 1 - less)
+    return _close(a, b) & (c >= F.floor((4 * (a + b) + 8) / 9) - F.greatest(needed(a), needed(b)) + 1 - less)
 
 
 def _may_hold(c: Column, a: Column, lo: Column, hi: Column) -> Column:
@@ -93,6 +92,24 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= PERCENT * (F.size("ia") + F.size("ib") - both)).select("a", "b")
 
 
+def _close(a: Column, b: Column) -> Column:
+    """Whether sets of sizes ``a`` and ``b`` can be similar enough."""
+    return (a * 100 >= b * PERCENT) & (b * 100 >= a * PERCENT)
+
+
+def drawn_links(shared: DataFrame, sizes: DataFrame, sets: DataFrame, roots: DataFrame, count: int) -> DataFrame:
+    """Links of each document with a head drawn for each of its keys, if that is of another component.
+
+    The keys of a family mostly have the same least document, but other drawn ones, so a document that
+    is not like the least meets about as many others as it has keys: one pair a key at most.
+    """
+    place = sizes.join(shared.select("id").distinct(), "id", "left_semi").join(roots, F.col("id") == F.col("node"), "left").select("id", "n", F.coalesce("root", "id").alias("root"))
+    tokens = shared.select("key", "id").join(sized(write_and_read(place, "roots"), count), "id").repartition("key")
+    heads = tokens.groupBy("key").agg(F.min_by(F.struct("id", "n", "root"), F.xxhash64("id", "key")).alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    pairs = tokens.join(heads.hint("shuffle_hash"), "key").where((F.col("root") != F.col("head.root")) & _close(F.col("n"), F.col("head.n")))
+    return verify(pairs.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct(), sets)
+
+
 def _open(table: pa.Table) -> pa.Table:
     """One group and the documents that ask for it: the links found, a document's first to each component."""
     asks = table.column("asks").to_numpy(zero_copy_only=False)
@@ -147,8 +164,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     Documents with equal sets are one class from the start (the set's size and two 64-bit digests),
     so copies cost one row each and none is compared with another. Classes that share a prefix item
-    are first compared with the item's least class, which brings large families together in about
-    one comparison per document; what is left apart is searched exactly by ``open_groups``.
+    are first compared with the item's least class, then, if still apart, with one drawn for the item:
+    two comparisons per item at most bring large families together. What is left apart is searched
+    exactly by ``open_groups``.
 
     Documents without words (null or empty texts) have no shingles and are linked with nothing; their
     component is their own key. Repeated rows and keys are rows of their own; of repeated keys with
@@ -164,7 +182,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     shared, pairs = star_links(classes.select(F.explode("prefix").alias("key"), "id"))
     sizes = classes.select("id", "n")
     pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = pairs.where(_enough(F.col("c"), F.col("na"), F.col("nb"))).select("a", "b")
+    pairs = pairs.where(_close(F.col("na"), F.col("nb"))).select("a", "b")
 
     wanted = write_and_read(classes.select("id", "key", "d1", "d2").join(shared.select("id").distinct(), "id"), "wanted")
     count = wanted.count()
@@ -173,6 +191,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     sets = write_and_read(sets, "sets")
     links = write_and_read(verify(pairs, sets), "links")
     roots = components(links)
+    links = write_and_read(links.unionByName(drawn_links(shared, sizes, sets, roots, count)), "links")
+    roots = components(links)
     more = open_groups(shared, sizes, sets, roots, count)
     found = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 

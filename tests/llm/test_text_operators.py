@@ -120,6 +120,19 @@ def test_similar_equals_brute_force(docs, empty):
     assert ngram_join.similar(empty).count() == 0
 
 
+def test_families_whose_least_member_is_unlike_meet_by_drawn_heads(spark):
+    base = list(range(1000, 1100))
+    sets = {0: [*base[:60], *range(40)]} | {i: [*base[: 100 - i % 5], *range(5000 + 10 * i, 5003 + 10 * i)] for i in range(1, 40)}
+    frame = spark.createDataFrame(list(sets.items()), "id long, items array<long>")
+    shared = spark.createDataFrame([(k, i, 0) for i, items in sets.items() for k in items if k in base[:40]], "key long, id long, head long")
+    sizes = spark.createDataFrame([(i, len(items)) for i, items in sets.items()], "id long, n long")
+    roots = spark.createDataFrame([], "node long, root long")
+    found = {(x.a, x.b) for x in ngram_join.drawn_links(shared, sizes, frame, roots, 40).collect()}
+    like = lambda x, y: 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})
+    assert all(a < b and like(sets[a], sets[b]) for a, b in found) and len(found) <= 40 * 40
+    assert {i for pair in found for i in pair} == set(range(1, 40))
+
+
 def test_groups_open_for_members_of_every_size(spark):
     """No group stays closed that holds a member of a size which the shared items allow."""
     from pyspark.sql import functions as F

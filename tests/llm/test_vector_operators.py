@@ -127,3 +127,14 @@ def test_components(spark):
     got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     assert got == {x: find(x) for x in list(root) if find(x) != x}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_edges_end_in_one_round(spark, monkeypatch):
+    written = []
+    keep = components.write_and_read
+    monkeypatch.setattr(components, "write_and_read", lambda df, purpose: (written.append(purpose), keep(df, purpose))[1])
+    order = np.random.default_rng(8).permutation(400).tolist()
+    edges = spark.createDataFrame([*zip(order, order[1:], strict=False), (900, 901)], "a long, b long").repartition(7)
+    want = {**dict.fromkeys(range(1, 400), 0), 901: 900}
+    assert {x.node: x.root for x in components.components(edges).collect()} == want and len(written) == 2
+    assert {x.node: x.root for x in components.components(edges, few=0).collect()} == want and len(written) > 4
