@@ -165,12 +165,21 @@ def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tx.distinct(np.concatenate([g for g, _ in parts]), np.concatenate([[0], np.cumsum(sizes)]))
 
 
+def _sets_by(ids: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``_sets`` of texts of which those of one id are the same: each is made once."""
+    _, first, at = np.unique(ids.to_numpy(), return_index=True, return_inverse=True)
+    items, starts = _sets(texts.take(pa.array(first)))
+    size = np.diff(starts)[at]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return items[np.arange(ends[-1]) + np.repeat(starts[:-1][at] - ends[:-1], size)], ends
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) of lines whose sets of shingles are similar enough."""
     for whole in batches:
         for start in range(0, whole.num_rows, 1000):
             batch = whole.slice(start, 1000)
-            (x, x_at), (y, y_at) = _sets(batch.column("ta")), _sets(batch.column("tb"))
+            (x, x_at), (y, y_at) = _sets(batch.column("ta")), _sets_by(batch.column("b"), batch.column("tb"))
             ends = x_at + y_at
             both = np.empty(len(x) + len(y), tx.U)
             both[np.arange(len(x)) + np.repeat(y_at[:-1], np.diff(x_at))] = x
@@ -186,33 +195,41 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
 
 
-def _open_lines(keys: np.ndarray, line: np.ndarray, root: np.ndarray, side: np.ndarray, same: bool) -> np.ndarray:
-    """Which entries (key, line) have a key that lines of other components hold, on the other side unless ``same``."""
-    order = np.argsort(keys, kind="stable")
-    starts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-    r, s = root[line[order]], side[line[order]]
+def _open_entries(keys: np.ndarray, pair: np.ndarray, root: np.ndarray, side: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries whose key, in their pair of groups, other components hold too, on the other side unless ``same``.
+
+    They come by pair and key, with a mark at the first of each.
+    """
+    if not len(keys):
+        return np.zeros(0, bool), np.zeros(0, np.int64)
+    order = np.lexsort((keys, pair))
+    k, p, r, s = keys[order], pair[order], root[order], side[order]
+    new = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1]))
+    starts = np.flatnonzero(new)
     mixed = np.minimum.reduceat(r, starts) != np.maximum.reduceat(r, starts)
-    if not same:
-        mixed &= np.minimum.reduceat(s, starts) != np.maximum.reduceat(s, starts)
-    out = np.zeros(len(keys), bool)
-    out[order] = np.repeat(mixed, np.diff(np.append(starts, len(keys))))
-    return out
+    mixed &= same[order][starts] | (np.minimum.reduceat(s, starts) != np.maximum.reduceat(s, starts))
+    on = np.repeat(mixed, np.diff(np.append(starts, len(keys))))
+    return new[on], order[on]
+
 
+def _compare(table: pa.Table) -> pa.RecordBatch:
+    """Links between the lines of two groups that share a key, for some pairs of groups (ga, gb), each in a run of rows.
 
-def _compare(table: pa.Table) -> pa.Table:
-    """Links between the lines of two groups that share a key, one for each pair of components they join."""
-    ids, root, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "root", "side"))
-    same = (table.column("ga")[0] == table.column("gb")[0]) if table.num_rows else False
+    A line's set is made once for all its pairs. Two components are joined by one link.
+    """
+    ga, gb, ids, root, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("ga", "gb", "id", "root", "side"))
+    begin = np.append(True, (ga[1:] != ga[:-1]) | (gb[1:] != gb[:-1]))[: len(ga)]
+    pair = np.cumsum(begin) - 1
     lists = table.column("keys").combine_chunks()
     keys = lists.flatten().to_numpy(zero_copy_only=False)
-    line = np.repeat(np.arange(table.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+    row = np.repeat(np.arange(table.num_rows), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+    at, entry = _open_entries(keys, pair[row], root[row], side[row], (ga == gb)[row])
+    row = row[entry]
+    _, first, line = np.unique(ids[row], return_index=True, return_inverse=True)
+    items, starts = _sets(table.column("text").combine_chunks().take(pa.array(row[first]))) if len(row) else (None, None)
+    sizes, ids = np.diff(starts).tolist() if len(row) else [], ids[row[first]].tolist() if len(row) else []
+    same, side, root = (ga == gb)[row].tolist(), side[row].tolist(), root[row].tolist()
     a, b = [], []
-    if len(keys):
-        on = _open_lines(keys, line, root, side, same)
-        keys, line = keys[on], line[on]
-    held, line = np.unique(line, return_inverse=True)
-    ids, root, side = ids[held], root[held].tolist(), side[held].tolist()
-    items, starts = _sets(table.column("text").combine_chunks().take(pa.array(held))) if len(held) else (None, None)
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -221,22 +238,43 @@ def _compare(table: pa.Table) -> pa.Table:
             x = parent[x]
         return x
 
-    by_key: dict[int, list[int]] = {}
     seen = set()
-    for i, key in zip(line.tolist(), keys.tolist(), strict=True):
-        others = by_key.setdefault(key, [])
-        for j in others:
-            if (same or side[i] != side[j]) and (i, j) not in seen and find(root[i]) != find(root[j]):
+    line, others = line.tolist(), []
+    for p, (i, new) in enumerate(zip(line, at.tolist(), strict=True)):
+        if new:
+            others = []
+        for q in others:
+            j = line[q]
+            if (same[p] or side[p] != side[q]) and (i, j) not in seen and find(root[p]) != find(root[q]):
                 seen.add((i, j))
-                mine, other = items[starts[i] : starts[i + 1]], items[starts[j] : starts[j + 1]]
-                if 100 * min(len(mine), len(other)) >= PERCENT * max(len(mine), len(other)):
-                    both = common(mine, other)
-                    if 100 * both >= PERCENT * (len(mine) + len(other) - both):
-                        parent[find(root[i])] = find(root[j])
+                if 100 * min(sizes[i], sizes[j]) >= PERCENT * max(sizes[i], sizes[j]):
+                    both = common(items[starts[i] : starts[i + 1]], items[starts[j] : starts[j + 1]])
+                    if 100 * both >= PERCENT * (sizes[i] + sizes[j] - both):
+                        parent[find(root[p])] = find(root[q])
                         a.append(ids[i])
                         b.append(ids[j])
-        others.append(i)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        others.append(p)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_compare`` for rows in order of (ga, gb): whole pairs of groups, of about SLICE_BYTES of text at once."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        ga, gb = table.column("ga").to_numpy(), table.column("gb").to_numpy()
+        ends = np.flatnonzero((ga[1:] != ga[:-1]) | (gb[1:] != gb[:-1])) + 1
+        size = np.cumsum(pa.compute.binary_length(table.column("text")).to_numpy().astype(np.int64))
+        start = 0
+        while start < (ends[-1] if len(ends) else 0):
+            far = int(np.searchsorted(size, (size[start - 1] if start else 0) + tx.SLICE_BYTES, "right"))
+            stop = int(ends[max(np.searchsorted(ends, far, "right") - 1, np.searchsorted(ends, start, "right"))])
+            yield _compare(table.slice(start, stop - start))
+            start = stop
+        rest = table.slice(start)
+    if rest is not None:
+        yield _compare(rest)
+    tx.release()
 
 
 def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame, count: int) -> DataFrame:
@@ -244,7 +282,7 @@ def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame, count: int) -
 
     Lines lie in groups of about GROUP: parts of a large component, or of the small ones whose keys
     lead to the same head. Pairs of groups that share a key and hold different components are compared
-    by one task each, so a family's rows are shipped once per pair of its groups, not once per pair.
+    in one place each, so a family's rows are shipped once per pair of its groups, not once per pair.
     """
     place = shared.groupBy("id").agg(F.min("head").alias("family")).join(roots, F.col("id") == F.col("node"), "left")
     place = place.select("id", "family", F.coalesce("root", "id").alias("root"))
@@ -259,7 +297,7 @@ def _across(shared: DataFrame, roots: DataFrame, texts: DataFrame, count: int) -
     lines = tokens.groupBy("group", "id", "root").agg(F.collect_list("key").alias("keys")).join(texts, "id")
     left = pairs.join(lines, F.col("ga") == F.col("group")).withColumn("side", F.lit(0))
     right = pairs.where("ga < gb").join(lines, F.col("gb") == F.col("group")).withColumn("side", F.lit(1))
-    return left.unionByName(right).drop("group").groupBy("ga", "gb").applyInArrow(_compare, "a long, b long")
+    return left.unionByName(right).drop("group").repartition("ga", "gb").sortWithinPartitions("ga", "gb").mapInArrow(_compared, "a long, b long")
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,6 +359,6 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     # the lines are bound as one variable: named in the inner function, the text would be split again for every line
     kept = F.transform(F.array(F.split(F.col(text), "\n", -1)), without)[0]
-    lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1)
+    lines = F.when(F.col(text).isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"))) + 1)
     new = {text: F.when(F.col("_drop").isNull(), F.col(text)).otherwise(kept), "n_lines": lines.cast("long"), "n_removed": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long")}
     return d.select([new.get(c, F.col(c)).alias(name) for name, c in back.items()] + [new[c].alias(c) for c in ("n_lines", "n_removed")])

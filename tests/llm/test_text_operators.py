@@ -379,6 +379,34 @@ def test_lines_miss_few_near_copies(spark):
     assert all(x.doc_id % 2 for x in got) and len(got) >= 0.95 * pairs
 
 
+def test_many_pairs_of_line_groups_are_compared_at_once(spark):
+    r = random.Random(4)
+    text = {i: prose(i % 7, 12, ["alpha", "beta", "gamma", "delta", "eps"]) + ("" if i < 7 else f" {i}") for i in range(40)}
+    rows = []
+    for ga, gb in [(1, 1), (1, 2), (2, 2), (2, 9), (9, 9)]:
+        for side in (0, 1) if ga < gb else (0,):
+            for i in sorted(r.sample(range(40), 15)):
+                if not side or i not in {x[2] for x in rows if x[:2] == (ga, gb)}:
+                    rows.append((ga, gb, i, i, [i % 7, 100 + i % 3], text[i], side))
+    grams = {i: {t.lower()[k : k + 10] for k in range(max(1, len(t) - 9))} for i, t in text.items()}
+    like = lambda i, j: 100 * len(grams[i] & grams[j]) >= 80 * len(grams[i] | grams[j])
+    want = {frozenset((x[2], y[2])) for x in rows for y in rows if x[:2] == y[:2] and x[2] != y[2] and (x[0] == x[1] or x[6] != y[6]) and {*x[4]} & {*y[4]} and like(x[2], y[2])}
+    names = ["ga", "gb", "id", "root", "keys", "text", "side"]
+    whole = pa.Table.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+
+    def roots(links):
+        parent = {i: i for i in text}
+        find = lambda x: x if parent[x] == x else find(parent[x])
+        for a, b in links:
+            parent[find(a)] = find(b)
+        return collections.Counter(frozenset(j for j in text if find(j) == find(i)) for i in text)
+
+    for size in (1, 4, 1000):
+        got = [x for b in lines._compared(iter(whole.to_batches(max_chunksize=size))) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert {frozenset(x) for x in got} <= want and roots(got) == roots(map(tuple, want)) and len(want) > 5
+    assert sum(b.num_rows for b in lines._compared(iter([]))) == 0
+
+
 def test_language_fit_sends_counts_not_sets(spark, monkeypatch):
     words = {"en": ["the", "house", "water", "which"], "de": ["das", "haus", "wasser", "welche"]}
     rows = [(i, prose(i, 300, words[k]) + f" {i * i}", k) for i in range(200) for k in [sorted(words)[i % 2]]]
