@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +15,7 @@ from panelcast.session import write_and_read
 
 WINDOW = 2048
 BLOCK_PIECES = 50_000
+HELD = 1 << 21
 PIECE = "key long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
 
@@ -51,30 +52,63 @@ def encode_words(vocabulary: list[bytes], path: str) -> tuple[np.ndarray, np.nda
             continue
         for i, lo, hi in zip(part, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
             ids[i] = got[lo:hi]
-    for a in range(0, len(other), 4096):
-        part = other[a : a + 4096]
+    for a in range(0, len(other), 1024):
+        part = other[a : a + 1024]
         for i, e in zip(part, tokenizer.encode_batch([texts[i] for i in part], add_special_tokens=False), strict=True):
             ids[i] = np.asarray(e.ids, np.int32)
     starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
     return np.concatenate(ids) if ids else np.zeros(0, np.int32), starts
 
 
-def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+class Words:
+    """Ids of words met before, by hash: about HELD words and ids, or those of the last slice if it has more."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.hash, self.flat, self.starts = np.zeros(0, tx.U), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.signs, self.sign_starts = encode_words([b".", b","], path)
+
+    def find(self, hashes: np.ndarray, spell: Callable[[np.ndarray], list[bytes]]) -> np.ndarray:
+        """Places of ascending ``hashes`` among the held words; new ones, as ``spell`` tells them, are encoded and held."""
+        at = np.searchsorted(self.hash, hashes)
+        met = at < len(self.hash)
+        met[met] = self.hash[at[met]] == hashes[met]
+        new = np.flatnonzero(~met)
+        if len(new):
+            flat, starts = encode_words(spell(new), self.path)
+            sizes = np.diff(self.starts)
+            keep = np.arange(len(sizes)) if len(self.hash) + len(self.flat) + len(new) + len(flat) <= HELD else at[met]
+            names = np.concatenate([self.hash[keep], hashes[new]])
+            order = np.argsort(names)
+            first = np.concatenate([self.starts[:-1][keep], starts[:-1] + len(self.flat)])[order]
+            sizes = np.concatenate([sizes[keep], np.diff(starts)])[order]
+            self.flat = laid_out(np.concatenate([self.flat, flat]), first, sizes)
+            self.hash, self.starts = names[order], np.concatenate([[0], np.cumsum(sizes)])
+        return np.searchsorted(self.hash, hashes)
+
+
+def laid_out(flat: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ``flat`` end to end: ``sizes`` entries from each of ``first``."""
+    reach = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(first - reach[:-1], sizes) + np.arange(reach[-1])]
+
+
+def encode(texts: pa.Array, path: str, held: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of every row, end to end, and where each row's ids start; null is empty.
 
-    The tokenizer drops white space and never joins across it, so each distinct word of the batch is
-    encoded once and its ids are laid out per occurrence. Rows with ``<|``, which may hold the special
-    tokens' own strings, are encoded whole.
+    The tokenizer drops white space and never joins across it, so each distinct word that is not
+    among those ``held`` is encoded once and its ids are laid out per occurrence. Rows with ``<|``,
+    which may hold the special tokens' own strings, are encoded whole.
     """
+    held = held or Words(path)
     whole = {i for i, x in enumerate(pa.compute.fill_null(pa.compute.match_substring(texts, "<|"), False).to_pylist()) if x}
     w = tx.spans(texts, trim=True)
-    _, first, which = np.unique(w["hash"], return_index=True, return_inverse=True)
-    at, size, data = w["at"][first], w["size"][first], w["data"].tobytes()
-    vocabulary = [data[a : a + n].lower() for a, n in zip(at.tolist(), size.tolist(), strict=True)]
-    flat, starts = encode_words([*vocabulary, b".", b","], path)
-    del data
+    hashes, first, which = np.unique(w["hash"], return_index=True, return_inverse=True)
+    at, size, data = w["at"][first], w["size"][first], w["data"]
+    which = held.find(hashes, lambda new: [data[a : a + n].tobytes().lower() for a, n in zip(at[new].tolist(), size[new].tolist(), strict=True)])[which]
+    stop, comma = len(held.hash), len(held.hash) + 1
+    flat, starts = np.concatenate([held.flat, held.signs]), np.append(held.starts, held.starts[-1] + held.sign_starts[1:])
     n_ids = np.diff(starts)
-    stop, comma = len(vocabulary), len(vocabulary) + 1
     rows, counts = [], []
     offsets = w["offsets"]
     for lo in range(0, len(offsets) - 1, 256):
@@ -88,9 +122,8 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         ends = np.concatenate([[0], np.cumsum(here)])[2 * (offsets[lo : hi + 1] - a)]
         parts = parts[here]
         sizes = n_ids[parts]
-        reach = np.concatenate([[0], np.cumsum(sizes)])
-        out = flat[np.repeat(starts[parts] - reach[:-1], sizes) + np.arange(reach[-1])]
-        edge = reach[ends]
+        out = laid_out(flat, starts[parts], sizes)
+        edge = np.concatenate([[0], np.cumsum(sizes)])[ends]
         for i in range(lo, hi):
             if i in whole:
                 got = np.asarray(_tokenizer(path)[0].encode(texts[i].as_py(), add_special_tokens=False).ids, np.int32)
@@ -109,9 +142,10 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Words(tokenizer)
         for whole in batches:
-            for batch in tx.slices(whole, "text", 12 << 20):
-                flat, starts = encode(batch.column("text"), tokenizer)
+            for batch in tx.slices(whole, "text"):
+                flat, starts = encode(batch.column("text"), tokenizer, held)
                 out: list[list] = [[], [], [], [], [], []]
                 for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
                     doc = np.append(flat[a:b], np.int32(end_id)).astype("<i4")
@@ -122,6 +156,8 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                             column.append(value)
                 arrays = [batch.column("key").take(pa.array(out[0], pa.int64())), *[pa.array(c, pa.int64()) for c in out[1:5]], pa.array(out[5], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                del flat, out, arrays
+                tx.release()
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, PIECE)
 

@@ -208,6 +208,37 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_encodes_a_word_once_while_it_is_held(monkeypatch):
+    path = queries.word_tokenizer()
+    from tokenizers import Tokenizer
+
+    tokenizer, spelled, slow = Tokenizer.from_file(path), [], packing.encode_words
+    monkeypatch.setattr(packing, "encode_words", lambda words, path: (spelled.append(len(words)), slow(words, path))[1])
+    r = random.Random(3)
+    vocabulary = [f"w{i}x" for i in range(300)] + ["Anna,", "anna.", ".", ",", "x1,", "\u00dcber."]
+    texts = [" ".join(r.choices(vocabulary, k=400)) for _ in range(12)] + [None, "", "a <|endoftext|> b"]
+    for most in (1 << 21, 40):  # 40: hardly any word stays
+        monkeypatch.setattr(packing, "HELD", most)
+        held, spelled[:] = packing.Words(path), []
+        for text in texts:
+            ids, starts = packing.encode(pa.array([text, text], pa.string()), path, held)
+            expected = tokenizer.encode(text or "", add_special_tokens=False).ids
+            assert ids.tolist() == 2 * expected and starts.tolist() == [0, len(expected), 2 * len(expected)]
+            assert most > 40 or len(held.hash) <= 306
+        assert (sum(spelled) <= 310) == (most > 40)
+
+
+def test_packing_gives_its_tasks_small_slices(spark, monkeypatch):
+    sizes, encode = [], packing.encode
+    monkeypatch.setattr(packing, "encode", lambda texts, *rest: (sizes.append(sum(map(len, texts.to_pylist()))), encode(texts, *rest))[1])
+    frame, taken = spark.createDataFrame([(1, "x")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda df, run, schema: taken.append(run) or df)
+    packing.pieces(frame, queries.word_tokenizer())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(["ab cd " * 20_000] * 60)], names=["key", "text"])
+    assert sum(out.num_rows for out in taken[0](iter([batch]))) == 60 * -(-int(encode(batch.column("text")[:1], queries.word_tokenizer())[1][-1] + 1) // 2048)
+    assert sum(sizes) == 60 * 120_000 and max(sizes) <= 2 << 20
+
+
 def test_best_fit_takes_the_tightest_window():
     r = random.Random(5)
     lengths = np.array([r.randint(1, 100) for _ in range(400)])
