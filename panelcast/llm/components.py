@@ -88,14 +88,15 @@ def star_links(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shared, pairs
 
 
-def in_groups(place: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+def in_groups(place: DataFrame, key: str, weight: str | None = None, wide: bool = False) -> DataFrame:
     """Adds ``group`` to rows with a family and a root: parts of about GROUP rows (or GROUP_ITEMS of ``weight``).
 
-    A root with GROUP rows or more has groups of its own; the rows of smaller ones are grouped by family.
+    With ``wide``, parts of n rows have about sqrt(GROUP x n), so each row meets that many fewer of them. A root with GROUP rows or more has groups of its own; the rows of smaller ones are grouped by family.
     """
     large = place.groupBy("root").agg(F.count("*").alias("_n")).where(F.col("_n") >= GROUP).select("root", F.lit(True).alias("_large"))
     dealt = place.join(large, "root", "left").withColumn("_bucket", F.when(F.col("_large"), F.col("root")).otherwise(F.col("family")))
     size = F.count("*") / GROUP
+    size = F.sqrt(size) if wide else size
     extent = dealt.groupBy("_bucket").agg(F.ceil(F.greatest(size, F.sum(weight) / GROUP_ITEMS) if weight else size).alias("_parts"))
     part = F.pmod(F.xxhash64(key), F.col("_parts")).cast("long")
     return dealt.join(extent, "_bucket").withColumn("group", F.xxhash64("_bucket", part)).drop("_bucket", "_large", "_parts")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelcast.llm import text as tx
-from panelcast.llm.components import common, components, in_groups, sized, star_links
+from panelcast.llm.components import components, in_groups, sized, star_links
 from panelcast.llm.marks import count_and_mark
 from panelcast.session import write_and_read
 
@@ -84,6 +84,16 @@ def _may_hold(c: Column, a: Column, lo: Column, hi: Column) -> Column:
     return _enough(c, a, least) | _enough(c, a, most, 1)
 
 
+def _first_may_be(at: Column, a: Column, lo: Column, reach: Column) -> Column:
+    """Whether an item, at place ``at`` of a set of size ``a``, can be the first it shares with a linked member of a group.
+
+    In the common order, what two sets share lies at and behind the first such item in both, and is
+    4/9 of both sizes: 9 at <= 5 a - 4 b, and so for the other set. Of the members that hold the item,
+    ``lo`` is the least size and ``reach`` the most of 5 b - 9 times its place there.
+    """
+    return (9 * at <= 5 * a - 4 * F.greatest(lo, needed(a))) & (4 * a <= reach)
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by exact comparison."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"))
@@ -111,26 +121,36 @@ def drawn_links(shared: DataFrame, sizes: DataFrame, sets: DataFrame, roots: Dat
 
 
 def _open(table: pa.Table) -> pa.Table:
-    """One group and the documents that ask for it: the links found, a document's first to each component."""
+    """One group and the documents that ask for it: the links found, a document's first to each component.
+
+    The group's items stand in one ascending run with the member of each, so a document is compared
+    with all members at once: those that hold an item of its are counted.
+    """
     asks = table.column("asks").to_numpy(zero_copy_only=False)
     ids, root = table.column("id").to_numpy(), table.column("root").to_numpy()
-    items = [np.sort(x.values.to_numpy()) for x in table.column("items").combine_chunks()]
+    lists = table.column("items").combine_chunks()
+    flat, starts = lists.values.to_numpy(), lists.offsets.to_numpy()
     members = np.flatnonzero(~asks)
-    union = np.unique(np.concatenate([items[i] for i in members]))
+    size = np.diff(starts)
+    n = size[members]
+    held = np.concatenate([flat[starts[i] : starts[i + 1]] for i in members.tolist()])
+    order = np.argsort(held)
+    held, holder = held[order], np.repeat(np.arange(len(members)), n)[order]
     a, b = [], []
     for i in np.flatnonzero(asks).tolist():
-        mine = items[i]
-        if common(mine, union) < needed(len(mine)):
+        mine = flat[starts[i] : starts[i + 1]]
+        low = np.searchsorted(held, mine)
+        times = np.searchsorted(held, mine, "right") - low
+        if np.count_nonzero(times) < needed(len(mine)):
             continue
+        at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+        both = np.bincount(holder[at], minlength=len(members))
         linked = {root[i]}
-        for j in members.tolist():
-            n = len(items[j])
-            if root[j] not in linked and 100 * min(n, len(mine)) >= PERCENT * max(n, len(mine)):
-                both = common(mine, items[j])
-                if 100 * both >= PERCENT * (len(mine) + n - both):
-                    linked.add(root[j])
-                    a.append(ids[i])
-                    b.append(ids[j])
+        for j in members[100 * both >= PERCENT * (len(mine) + n - both)].tolist():
+            if root[j] not in linked:
+                linked.add(root[j])
+                a.append(ids[i])
+                b.append(ids[j])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -138,23 +158,24 @@ def open_groups(shared: DataFrame, sizes: DataFrame, sets: DataFrame, roots: Dat
     """Links between documents of different components, by the token-group matrix.
 
     A group is a part of a large component, or of the small components whose prefixes lead to the same
-    head, of about GROUP documents and at most some hundred thousand shingles. A document asks for a group that
-    holds other components if enough items of its prefix are among those of the group's members; the
-    group opens if the union of its members' sets holds at least ``needed(n)`` of the document's. Of
-    two groups, the documents of the lesser one ask.
+    head, of sqrt(GROUP x n) of their n documents and at most some hundred thousand shingles. A document asks for a
+    group that holds other components if an item of both may be the first that it shares with a linked
+    member; the group opens if the union of its members' sets holds at least ``needed(n)`` of the
+    document's. Of two groups, the documents of the lesser one ask.
     """
     place = shared.groupBy("id").agg(F.min("head").alias("family")).join(sizes, "id")
     place = place.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", "family", F.coalesce("root", "id").alias("root"))
-    place = write_and_read(in_groups(place, "id", "n").select("id", "n", "root", "group"), "groups")
-    tokens = shared.select("key", "id").join(sized(place, count), "id").repartition("key")
+    place = write_and_read(in_groups(place, "id", "n", wide=True).select("id", "n", "root", "group"), "groups")
+    tokens = shared.select("key", "id", "at").join(sized(place, count), "id").repartition("key")
     mixed = tokens.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     tokens = write_and_read(tokens.join(mixed.hint("shuffle_hash"), "key"), "tokens")
-    matrix = tokens.groupBy("key", F.col("group").alias("gb")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    asks = tokens.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("group").alias("ga"))
+    matrix = tokens.groupBy("key", F.col("group").alias("gb")).agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max(F.expr("5 * n - 9 * at")).alias("reach")
+    )
+    asks = tokens.select("key", F.col("id").alias("a"), F.col("n").alias("na"), "at", F.col("root").alias("ra"), F.col("group").alias("ga"))
     asked = asks.join(matrix, "key").where("ga <= gb and (r0 <> ra or r1 <> ra) and na * 100 >= lo * 80 and hi * 100 >= na * 80")
-    asked = asked.groupBy("a", "na", "ra", "ga", "gb").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    asked = asked.where(_may_hold(F.col("c"), F.col("na"), F.col("lo"), F.col("hi")))
-    asked = write_and_read(asked.select("ga", "gb", F.col("a").alias("id"), F.col("ra").alias("root"), F.lit(True).alias("asks")), "asked")
+    asked = asked.where(_first_may_be(F.col("at"), F.col("na"), F.col("lo"), F.col("reach")))
+    asked = write_and_read(asked.select("ga", "gb", F.col("a").alias("id"), F.col("ra").alias("root"), F.lit(True).alias("asks")).distinct(), "asked")
     members = asked.select("ga", "gb").distinct().join(place, F.col("gb") == F.col("group")).select("ga", "gb", "id", "root", F.lit(False).alias("asks"))
     return asked.unionByName(members).join(sets, "id").groupBy("ga", "gb").applyInArrow(_open, "a long, b long")
 
@@ -179,7 +200,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     classes = held.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "items")).alias("first"))
     classes = classes.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "n", F.col("first.key").alias("key"), F.col("first.items").alias("prefix"))
     classes = write_and_read(classes, "classes")
-    shared, pairs = star_links(classes.select(F.explode("prefix").alias("key"), "id"))
+    before = F.col("n") - needed(F.col("n")) + 1 - F.size("prefix")
+    placed = classes.select(F.posexplode("prefix").alias("at", "key"), "id", before.alias("before"))
+    shared, pairs = star_links(placed.select("key", "id", (F.col("before") + F.col("at")).alias("at")))
     sizes = classes.select("id", "n")
     pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     pairs = pairs.where(_close(F.col("na"), F.col("nb"))).select("a", "b")

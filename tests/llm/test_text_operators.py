@@ -148,6 +148,54 @@ def test_groups_open_for_members_of_every_size(spark):
     assert d.where(~ngram_join._may_hold(*map(F.col, ("c", "a", "lo", "hi")))).count() == 0
 
 
+def test_a_family_that_stays_apart_asks_few_groups(spark, monkeypatch):
+    """Near copies of one text, most of them too far from one another: few rows ask, and every link is found."""
+    r, base, rows = random.Random(21), [f"b{i}" for i in range(150)], []
+    for i in range(500):
+        words = base.copy()
+        for k in r.sample(range(150), r.choice([2, 3, 4])):
+            words[k] = r.choice(["x", f"u{i}k{k}"])
+        rows.append((i, " ".join(words)))
+    kept, store = [], ngram_join.write_and_read
+    monkeypatch.setattr(ngram_join, "write_and_read", lambda df, purpose: (kept.append((purpose, store(df, purpose))), kept[-1][1])[1])
+    got = {x.doc_id: x.component_id for x in ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets, root = shingle_sets(rows), list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in range(len(rows))} and len({*got.values()}) > 50
+    tables = dict(kept)
+    assert tables["groups"].select("group").distinct().count() <= 4 and 0 < tables["asked"].count() < 1500
+
+
+def test_an_item_that_is_first_shared_with_a_linked_set_asks(spark):
+    """Of random linked sets in one order, the first item they share passes the bound of its places, alone and in a group."""
+    from pyspark.sql import functions as F
+
+    r, rows = random.Random(23), [(0, 100, 100, 500), (11, 100, 100, 401)]
+    for _ in range(4000):
+        a = r.sample(range(1000), r.randint(1, 120))
+        b = a[: r.randint(len(a) * 4 // 5, len(a))] + [1000 + k for k in range(r.randint(0, len(a) // 4))]
+        a, b = sorted(a, key=lambda x: (x * 7919) % 2003), sorted(b, key=lambda x: (x * 7919) % 2003)
+        both = {*a} & {*b}
+        if both and 100 * len(both) >= 80 * (len(a) + len(b) - len(both)):
+            at = next(i for i, x in enumerate(a) if x in both)
+            rows.append((at, len(a), len(b), 5 * len(b) - 9 * b.index(a[at])))
+    d = spark.createDataFrame(rows, "at long, a long, b long, reach long")
+    held = ngram_join._first_may_be(*map(F.col, ("at", "a", "b", "reach")))
+    assert len(rows) > 1000 and d.where(~held).count() == 0
+    assert d.where(~ngram_join._first_may_be(F.col("at"), F.col("a"), F.lit(1), F.col("reach") + 900)).count() == 0
+    assert spark.createDataFrame([(12, 100, 100, 500), (0, 100, 100, 399)], "at long, a long, b long, reach long").where(held).count() == 0
+
+
 def test_shards_of_hashes_follow_the_input(spark):
     """A shard holds a bounded number of hashes, and more shards mark the same hashes."""
     import pyarrow as pa
