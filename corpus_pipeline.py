@@ -1,7 +1,8 @@
 """From raw documents to packed token sequences: the stages of a training-data pipeline.
 
 Every stage is a function of (spark, docs, sf_dir); its result is written as Parquet in the shared
-folder and read again as the next stage's docs.
+folder and read again as the next stage's docs. Stages that hand texts to Python bound the session's
+Arrow batches by bytes; no result depends on how rows are batched.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelcast.llm import langid, lines, mixing, ngram_join, packing
 from panelcast.llm.components import sized
 from panelcast.llm.queries import table, word_tokenizer
-from panelcast.session import write_and_read
+from panelcast.session import bound_batches, write_and_read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.35
@@ -25,6 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Out go texts that are null or have no letter, and those whose best language has a score below
     LEAST_SCORE, hardly more than a guess among four.
     """
+    bound_batches(spark)
     model = langid.fit(langid.train_part(docs))
     told = langid.identify(docs.select(*COLUMNS), model)
     return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
@@ -35,6 +37,7 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A document of which nothing but white space is left goes: all it said stands in others.
     """
+    bound_batches(spark)
     kept = lines.dedupe_lines(docs.select(*COLUMNS))
     kept = kept.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\s]"))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -42,6 +45,7 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least doc_id, of each group linked by word shingles."""
+    bound_batches(spark)
     groups = ngram_join.similar(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     groups = write_and_read(groups, "copies")
     return docs.select(*COLUMNS).join(sized(groups, groups.count()), "doc_id", "left_anti").select(*COLUMNS)
@@ -54,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
+    bound_batches(spark)
     return packing.pack(docs, word_tokenizer()).drop("ids")
 
 

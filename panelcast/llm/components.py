@@ -57,6 +57,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW_EDGE
     until every node hangs on its root. Only minima are aggregated per node, so a node with very many
     edges is no list in one task. Each round is a written table, so lost executors cost one round.
     Once FEW_EDGES or fewer are left (16 bytes each), the rest is one small task in place of rounds.
+    Edges that are found in Python should be written first: else each core holds two workers, and the
+    idle ones stay with their memory for the stages that follow.
     """
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v")
     e = write_and_read(e.mapInArrow(_forest, "u long, v long").distinct(), "edges")

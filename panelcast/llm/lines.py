@@ -327,7 +327,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts = write_and_read(one.select("w.id", "w.text"), "texts")
     roots = components(write_and_read(_verify(pairs.drop("c"), texts), "links"))
 
-    found = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_across(shared, roots, texts, count)))
+    more = write_and_read(_across(shared, roots, texts, count), "links")
+    found = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     placed = lines.select("key", "version", "number", "line").join(sized(found, count), F.col("line") == F.col("node"), "left")
     placed = placed.select("key", "version", "number", F.coalesce("root", "line").alias("root"))

@@ -17,6 +17,7 @@ SHARD_BITS = 6
 SHARD_HASHES = 2_000_000
 LEVELS = 2
 LEVEL_STEP = 16
+SPARSE = 32
 SLICE = 6 << 20
 
 
@@ -31,27 +32,24 @@ def _count_rows(items_of: Callable[[pa.RecordBatch], np.ndarray], bits: int):
     Hashes go by their top 40 bits, as differences of few bytes each.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in tx.slices(whole, "text", SLICE) if "text" in whole.schema.names else [whole]:
-                items = items_of(part) >> tx.U(24) if part.num_rows else np.zeros(0, tx.U)
-                items.sort()
-                first = np.flatnonzero(np.append(True, items[1:] != items[:-1])) if len(items) else np.zeros(0, np.int64)
-                count = np.minimum(np.diff(np.append(first, len(items))), 65535).astype(np.uint16)
-                items = items[first]
-                cuts = np.searchsorted(items, np.arange((1 << bits) + 1, dtype=tx.U) << tx.U(40 - bits))
-                rows: list[tuple] = []
-                for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if b > a:
-                        steps = np.diff(items[a:b], prepend=tx.U(s) << tx.U(40 - bits))
-                        width = max(1, -(-int(steps.max()).bit_length() // 8))
-                        planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-                        rows.append((s, width, planes.tobytes(), count[a:b].tobytes()))
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["shard", "width", "steps", "counts"])
-            tx.release()
-
-    return run
+    def one(part: pa.RecordBatch) -> pa.RecordBatch:
+        items = items_of(part) >> tx.U(24) if part.num_rows else np.zeros(0, tx.U)
+        items.sort()
+        first = np.flatnonzero(np.append(True, items[1:] != items[:-1])) if len(items) else np.zeros(0, np.int64)
+        count = np.minimum(np.diff(np.append(first, len(items))), 65535).astype(np.uint16)
+        items = items[first]
+        cuts = np.searchsorted(items, np.arange((1 << bits) + 1, dtype=tx.U) << tx.U(40 - bits))
+        rows: list[tuple] = []
+        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if b > a:
+                steps = np.diff(items[a:b], prepend=tx.U(s) << tx.U(40 - bits))
+                width = max(1, -(-int(steps.max()).bit_length() // 8))
+                planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+                rows.append((s, width, planes.tobytes(), count[a:b].tobytes()))
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["shard", "width", "steps", "counts"])
+
+    return lambda batches: tx.sliced(batches, "text", one, SLICE)
 
 
 def _count_shard(shard_bits: int):
@@ -86,9 +84,27 @@ def _count_shard(shard_bits: int):
     return run
 
 
+def _packed(table: np.ndarray) -> np.ndarray:
+    """A bit table, or in its place the ascending numbers of the bits set, if few bytes hold any."""
+    if np.count_nonzero(table) * SPARSE > len(table):
+        return table
+    held = np.flatnonzero(table)
+    byte, bit = np.nonzero(np.unpackbits(table[held][:, None], axis=1, bitorder="little"))
+    return (held[byte] * 8 + bit).astype(np.uint32)
+
+
+def _marked(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether each bit of ``place`` is set in a ``_packed`` table."""
+    if table.dtype == np.uint8:
+        return (table[place >> 3] >> (place & 7)) & 1 == 1
+    if not len(table):
+        return np.zeros(len(place), bool)
+    return table[np.minimum(np.searchsorted(table, place.astype(np.uint32)), len(table) - 1)] == place
+
+
 @dataclass(frozen=True)
 class Marks:
-    """Bit tables of 2^MARK_BITS bits (16 MB each) over hashes: those that occur ``least`` times or more, and 16 x as often.
+    """Tables of 2^MARK_BITS bits (16 MB each, less if few are set) over hashes: those that occur ``least`` times or more, and 16 x as often.
 
     Other hashes may share a bit, so a mark is no proof. If ``least`` is 2, a hash without a mark
     occurs once.
@@ -102,8 +118,7 @@ class Marks:
         place = (items >> tx.U(64 - MARK_BITS)).astype(np.int64)
         on = np.arange(len(items))
         for table in self.tables:
-            at = place[on]
-            on = on[(table[at >> 3] >> (at & 7)) & 1 == 1]
+            on = on[_marked(table, place[on])]
             out[on] += 1
         return out
 
@@ -128,5 +143,5 @@ def count_and_mark(rows: DataFrame, items_of: Callable[[pa.RecordBatch], np.ndar
         table = np.zeros(1 << (MARK_BITS - 3), np.uint8)
         for r in counted.where(F.col("level") == least * LEVEL_STEP**k).select("shard", "bits").toLocalIterator():
             table[r["shard"] * (len(table) >> bits) : (r["shard"] + 1) * (len(table) >> bits)] = np.frombuffer(r["bits"], np.uint8)
-        tables.append(table)
+        tables.append(_packed(table))
     return Marks(least, tables)

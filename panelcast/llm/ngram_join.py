@@ -20,6 +20,7 @@ from panelcast.llm.marks import count_and_mark
 from panelcast.session import write_and_read
 
 PERCENT = 80
+SLICE = 1 << 20
 SET = "key long, n long, d1 long, d2 long, items array<long>"
 
 
@@ -40,28 +41,25 @@ def _set_rows(marks):
     of each: the prefix. Without ``marks``, all items.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in tx.slices(whole, "text"):
-                items, starts = tx.shingles(*tx.words(batch.column("text")))
-                n = np.diff(starts)
-                d1, d2 = tx.row_sums(tx.mix(items ^ tx.U(0x5851F42D4C957F2D)), starts), tx.row_sums(tx.mix(items + tx.U(0x14057B7EF767814F)), starts)
-                if marks is None:
-                    out = tx.lists(items, starts)
-                else:
-                    rank = marks.value.rank(items)
-                    row = tx.rows_of(starts)
-                    order = np.lexsort((rank, row))
-                    items, rank = items[order], rank[order]
-                    length = np.where(n > 0, n - needed(n) + 1, 0)
-                    take = np.arange(len(items)) - starts[:-1][row] < length[row]
-                    if marks.value.least == 2:
-                        take &= rank > 0
-                    out = tx.lists(items[take], np.concatenate([[0], np.cumsum(take)])[starts])
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), out], names=["key", "n", "d1", "d2", "items"])
-            tx.release()
-
-    return run
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        items, starts = tx.shingles(*tx.words(batch.column("text")))
+        n = np.diff(starts)
+        d1, d2 = tx.row_sums(tx.mix(items ^ tx.U(0x5851F42D4C957F2D)), starts), tx.row_sums(tx.mix(items + tx.U(0x14057B7EF767814F)), starts)
+        if marks is None:
+            out = tx.lists(items, starts)
+        else:
+            rank = marks.value.rank(items)
+            row = tx.rows_of(starts)
+            order = np.lexsort((rank, row))
+            items, rank = items[order], rank[order]
+            length = np.where(n > 0, n - needed(n) + 1, 0)
+            take = np.arange(len(items)) - starts[:-1][row] < length[row]
+            if marks.value.least == 2:
+                take &= rank > 0
+            out = tx.lists(items[take], np.concatenate([[0], np.cumsum(take)])[starts])
+        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), out], names=["key", "n", "d1", "d2", "items"])
+
+    return lambda batches: tx.sliced(batches, "text", one, SLICE)
 
 
 def _enough(c: Column, a: Column, b: Column, less: int = 0) -> Column:
@@ -197,6 +195,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     marks = d.sparkSession.sparkContext.broadcast(count_and_mark(d.select("text"), _shingles_of, F.octet_length("text") / 2 + 1))
     held = write_and_read(d.mapInArrow(_set_rows(marks), SET), "sets")
+    marks.unpersist()
     classes = held.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "items")).alias("first"))
     classes = classes.select(F.monotonically_increasing_id().alias("id"), "d1", "d2", "n", F.col("first.key").alias("key"), F.col("first.items").alias("prefix"))
     classes = write_and_read(classes, "classes")
@@ -216,7 +215,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     roots = components(links)
     links = write_and_read(links.unionByName(drawn_links(shared, sizes, sets, roots, count)), "links")
     roots = components(links)
-    more = open_groups(shared, sizes, sets, roots, count)
+    more = write_and_read(open_groups(shared, sizes, sets, roots, count), "links")
     found = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     ids = classes.join(found, F.col("id") == F.col("node"), "left").select("d1", "d2", "n", "key", F.coalesce("root", "id").alias("root"))

@@ -141,23 +141,22 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     and ids (null unless asked for). A null or empty text is the one token ``end_id``.
     """
 
+    def one(batch: pa.RecordBatch, held: Words) -> pa.RecordBatch:
+        flat, starts = encode(batch.column("text"), tokenizer, held)
+        out: list[list] = [[], [], [], [], [], []]
+        for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+            doc = np.append(flat[a:b], np.int32(end_id)).astype("<i4")
+            for s in range(0, len(doc), window):
+                piece = doc[s : s + window]
+                row = (i, s, len(piece), zlib.crc32(piece.tobytes()), len(doc), piece.tolist() if ids else None)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+        arrays = [batch.column("key").take(pa.array(out[0], pa.int64())), *[pa.array(c, pa.int64()) for c in out[1:5]], pa.array(out[5], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(arrays, names=["key", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Words(tokenizer)
-        for whole in batches:
-            for batch in tx.slices(whole, "text"):
-                flat, starts = encode(batch.column("text"), tokenizer, held)
-                out: list[list] = [[], [], [], [], [], []]
-                for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
-                    doc = np.append(flat[a:b], np.int32(end_id)).astype("<i4")
-                    for s in range(0, len(doc), window):
-                        piece = doc[s : s + window]
-                        row = (i, s, len(piece), zlib.crc32(piece.tobytes()), len(doc), piece.tolist() if ids else None)
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
-                arrays = [batch.column("key").take(pa.array(out[0], pa.int64())), *[pa.array(c, pa.int64()) for c in out[1:5]], pa.array(out[5], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-                del flat, out, arrays
-                tx.release()
+        yield from tx.sliced(batches, "text", lambda batch: one(batch, held))
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, PIECE)
 

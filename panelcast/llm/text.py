@@ -9,7 +9,7 @@ n items the chance that any two differ and hash alike is about n^2 / 4e19.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +73,20 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start = stop
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: str, make: Callable[[pa.RecordBatch], pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """What ``make`` makes of each of the ``slices`` of a task's batches; without ``column``, of each batch.
+
+    Nothing of a slice is held once it is done, and free memory is given back after each and at the
+    end, when the last batch is gone too: a worker that waits for its next task keeps neither.
+    """
+    for whole in batches:
+        for part in slices(whole, column, most) if column in whole.schema.names else [whole]:
+            yield make(part)
+            release()
+        whole = part = None
+    release()
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all rows and where each row starts (one more entry for the end); null is empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())

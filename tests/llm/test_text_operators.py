@@ -219,6 +219,89 @@ def test_shards_of_hashes_follow_the_input(spark):
     assert max(len(x.as_py()) // 2 for x in rows.column("counts")) <= 40
 
 
+def test_shingle_steps_hold_nothing_of_a_batch_once_done(spark):
+    """Batches and their sets are freed before the next batch is asked for, and at the end."""
+    from types import SimpleNamespace
+
+    from panelcast.llm import marks
+
+    text = " ".join(f"w{i}" for i in range(1000))
+    whole = lambda k: pa.record_batch([pa.array(range(900)), pa.array([f"{text} {k} {i}" for i in range(900)])], names=["key", "text"])
+    given = SimpleNamespace(value=marks.Marks(2, [np.full(1 << (marks.MARK_BITS - 3), 255, np.uint8)]))
+    for step in (ngram_join._set_rows(None), ngram_join._set_rows(given), marks._count_rows(ngram_join._shingles_of, marks.SHARD_BITS)):
+        start, held = pa.total_allocated_bytes(), []
+
+        def batches(start=start, held=held):
+            for k in range(3):
+                held.append(pa.total_allocated_bytes() - start)
+                yield whole(k)
+            held.append(pa.total_allocated_bytes() - start)
+
+        rows = 0
+        for out in step(batches()):
+            rows += out.num_rows
+            del out
+        assert rows and max(held) < 100_000, held
+
+
+def test_pipeline_bounds_batches_by_bytes(spark):
+    """Its stages send Python batches of a few MB, whatever the length of the texts; a given limit stays."""
+    import corpus_pipeline
+    from panelcast import session
+
+    given = spark.conf.get(session.ARROW_BYTES, None)
+    rows = [(i, f"{i} " + "long text " * 2000, "en", "a", 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sizes = docs.coalesce(1).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    try:
+        spark.conf.unset(session.ARROW_BYTES)
+        corpus_pipeline.pack_sequences(spark, docs.limit(1), "")
+        assert max(x.n for x in sizes.collect()) < session.BATCH_BYTES + 100_000
+        spark.conf.set(session.ARROW_BYTES, 1_000_000)
+        corpus_pipeline.pack_sequences(spark, docs.limit(1), "")
+        assert max(x.n for x in sizes.collect()) < 1_100_000
+    finally:
+        spark.conf.unset(session.ARROW_BYTES) if given is None else spark.conf.set(session.ARROW_BYTES, given)
+
+
+def test_marks_of_few_hashes_are_small(spark):
+    """A table in which few bits are set is kept as their numbers, and tells the same."""
+    import pickle
+
+    from pyspark.sql import functions as F
+
+    from panelcast.llm import marks
+
+    r = np.random.default_rng(9)
+    some = r.integers(0, 1 << 63, 2000).astype(np.uint64) << np.uint64(1)
+    some[:2] = 0, (1 << 64) - 1
+    items = np.concatenate([some, some[:500], *[some[:30]] * 40])
+    d = spark.createDataFrame([(int(x),) for x in items.view(np.int64)], "h long")
+    got = marks.count_and_mark(d, lambda batch: batch.column("h").to_numpy().view(np.uint64).copy(), F.lit(1))
+    assert len(pickle.dumps(got)) < 100_000
+    tables = [np.zeros(1 << (marks.MARK_BITS - 3), np.uint8) for _ in range(2)]
+    for table, often in zip(tables, (some[:500], some[:30]), strict=True):
+        place = (often >> np.uint64(64 - marks.MARK_BITS)).astype(np.int64)
+        np.bitwise_or.at(table, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+    asked = np.concatenate([items, r.integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(1)])
+    assert got.rank(asked).tolist() == marks.Marks(2, tables).rank(asked).tolist()
+    assert marks.Marks(2, [marks._packed(np.zeros(64, np.uint8))]).rank(asked).max() == 0
+    full = np.full(64, 255, np.uint8)
+    assert marks._packed(full) is full
+
+
+def test_links_are_written_before_components(spark, monkeypatch):
+    """No task of components() also runs the Python that finds its edges: a core needs one worker at a time."""
+    r = random.Random(8)
+    words = [f"v{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, "\n".join(prose(r.randrange(40), 30, words) for _ in range(3))) for i in range(60)], "doc_id long, text string")
+    for module, run in ((ngram_join, ngram_join.similar), (lines, lines.repeated_lines)):
+        seen, own = [], module.components
+        monkeypatch.setattr(module, "components", lambda edges, seen=seen, own=own: (seen.append(edges._jdf.queryExecution().toString()), own(edges))[1])
+        run(docs).collect()
+        assert seen and not any("InArrow" in plan for plan in seen)
+
+
 def test_near_copies_of_one_family_meet(spark):
     """Links only between neighbours of a chain: the first and last are alike in nothing but belong together."""
     words = [f"t{i}" for i in range(300)]
